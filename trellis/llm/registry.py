@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import quality, sharding, spm
+from trellis.llm import decontam, quality, sharding, spm
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
@@ -29,6 +29,11 @@ def piece_model() -> bytes:
         return f.read()
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.digests(decontam.decontaminate(documents(spark, sf_dir), benchmark)).drop("n_near_items")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
@@ -42,6 +47,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(documents(spark, sf_dir)).select(*names)
 
 
+def op2_sql() -> str:
+    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({lower}, '{word}') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({lower}, '{word}') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS g
+    FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)),
+hits AS (SELECT doc_id, i, n, item FROM dw JOIN bw USING (n, g)),
+per AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
 def op4_sql() -> str:
     table = ", ".join(map(str, sharding.fill_table(SHARDS)))
     names = ", ".join(f"'{s}'" for s in SHARDS)
@@ -76,11 +100,12 @@ FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
 }
-ORACLES: dict[str, Callable[[], str]] = {"op4_sharding": op4_sql, "op8_quality_rules": op8_sql}
+ORACLES: dict[str, Callable[[], str]] = {"op2_decontamination": op2_sql, "op4_sharding": op4_sql, "op8_quality_rules": op8_sql}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
