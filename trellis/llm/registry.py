@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import decontam, quality, sharding, spm
+from trellis.llm import decontam, quality, sharding, spm, substring
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
@@ -42,6 +42,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_digests(documents(spark, sf_dir), piece_model())
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(documents(spark, sf_dir), digest=True)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept"]
     return quality.measure(documents(spark, sf_dir)).select(*names)
@@ -76,6 +80,18 @@ WITH placed AS (
 SELECT doc_id, slot, list_extract([{names}], list_extract([{table}], slot + 1) + 1) AS shard FROM placed"""
 
 
+def op7_sql() -> str:
+    return """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM later)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS s FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 def op8_sql() -> str:
     stop = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
     return f"""
@@ -103,9 +119,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
-ORACLES: dict[str, Callable[[], str]] = {"op2_decontamination": op2_sql, "op4_sharding": op4_sql, "op8_quality_rules": op8_sql}
+ORACLES: dict[str, Callable[[], str]] = {"op2_decontamination": op2_sql, "op4_sharding": op4_sql, "op7_substring_dedup": op7_sql, "op8_quality_rules": op8_sql}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
