@@ -117,6 +117,6 @@ def test_spm_on_documents_equals_the_library(spark):
 def test_word_that_differs_takes_the_library_ids():
     model = spm.MergeModel(registry.piece_model())
     table = spm.WordTable(model)
-    model.scores.pop("▁the")  # as if our merges went wrong
+    model.costs.pop("▁the")  # as if our merges went wrong
     out, differ = spm.encode_block(["the cat the", "cat"], table)
     assert np.frombuffer(out[0], "<u4").tolist() == model.library.encode("the cat the") and differ == [2, 0]

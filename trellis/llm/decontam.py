@@ -4,7 +4,7 @@
    is one window). Terms are 64-bit hashes of words.
 2. One pass over the training texts counts the test terms. A window with a term
    that never occurs cannot match; each other window is looked up by its rarest
-   term, its anchor.
+   terms, its anchors.
 3. A second pass stores the postings: for each text, the positions of anchors
    and of the test terms within reach of one. They are a Parquet table in the
    shared folder, so the texts are never shuffled.
@@ -43,6 +43,9 @@ WINDOW = 10
 SLACK = 2
 NEAR_SHARE = 0.8
 MAX_WINDOWS = 500_000
+#: Rarest terms by which a window is looked up: one finds every exact match, a
+#: second finds windows whose rarest word was changed.
+ANCHORS = 2
 #: Alignments checked at once.
 STEP = 4096
 
@@ -90,14 +93,15 @@ def count_terms(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") ->
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def anchors(found_items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item, at (offset in the item), term: the rarest term of each window all of whose terms occur."""
+def anchors(found_items: DataFrame, counts: DataFrame, window: int = WINDOW, per_window: int = ANCHORS) -> DataFrame:
+    """item, at (offset in the item), term: the rarest terms of each window all of whose terms occur."""
     size = F.least(F.size("terms"), F.lit(window))
     windows = found_items.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("terms") - size)))
     words = windows.select("item", "terms", "start", F.posexplode(F.slice("terms", F.col("start") + 1, size)).alias("k", "term"))
     rated = words.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = rated.groupBy("item", "terms", "start").agg(F.min("n").alias("least"), F.min(F.struct("n", "term", "k")).alias("rarest"))
-    return rarest.where("least > 0").select("item", "terms", (F.col("start") + F.col("rarest.k")).alias("at"), F.col("rarest.term").alias("term")).distinct()
+    rarest = rated.groupBy("item", "terms", "start").agg(F.min("n").alias("least"), F.sort_array(F.collect_list(F.struct("n", "term", "k"))).alias("by_n"))
+    picked = rarest.where("least > 0").select("item", "terms", "start", F.explode(F.slice("by_n", 1, per_window)).alias("r"))
+    return picked.select("item", "terms", (F.col("start") + F.col("r.k")).alias("at"), F.col("r.term").alias("term")).distinct()
 
 
 def build_index(docs: DataFrame, vocabulary: np.ndarray, anchor_terms: np.ndarray, reach: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,14 +209,14 @@ def _blocks_of(found_items: DataFrame, window: int, limit: int) -> list[DataFram
     return [found_items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k) for k in range(parts)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, slack: int = SLACK, near_share: float = NEAR_SHARE, limit: int = MAX_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, slack: int = SLACK, near_share: float = NEAR_SHARE, limit: int = MAX_WINDOWS, per_window: int = ANCHORS) -> DataFrame:
     """For each text: doc, n_words, n_hit, items (sorted strings, exact), near_items
     (sorted strings, exact or by proximity)."""
     found = materialise(items(benchmark), "items")
     index = matches = None
     for block in _blocks_of(found, window, limit):
         vocabulary = np.unique(np.array(block.select(F.explode("terms").alias("t")).distinct().toPandas()["t"], np.int64).view(np.uint64))
-        anchor_rows = materialise(anchors(block, count_terms(docs, vocabulary, text), window), "anchors")
+        anchor_rows = materialise(anchors(block, count_terms(docs, vocabulary, text), window, per_window), "anchors")
         anchor_terms = np.unique(np.array(anchor_rows.select("term").distinct().toPandas()["term"], np.int64).view(np.uint64))
         part = materialise(build_index(docs, vocabulary, anchor_terms, window + slack, doc, text), "postings")
         index = index if index is not None else part

@@ -31,7 +31,7 @@ def piece_model() -> bytes:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.digests(decontam.decontaminate(documents(spark, sf_dir), benchmark)).drop("n_near_items")
+    return decontam.digests(decontam.decontaminate(documents(spark, sf_dir), benchmark, slack=0, per_window=1)).drop("n_near_items")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,10 @@ from pyspark.sql import functions as F
 from trellis.llm.shared import blocks
 
 MARK = "▁"
-#: Words in one generation of a Python worker's table; two are kept (some 130 MB).
-KEEP_WORDS = 250_000
+#: Words in one generation of a Python worker's table; two are kept (some 250 MB).
+KEEP_WORDS = 500_000
+#: Symbols up to which a plain list is the faster agenda.
+SHORT = 64
 
 
 class MergeModel:
@@ -51,7 +54,7 @@ class MergeModel:
         self.special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i)}
         self.byte_ids = {int(pieces[i][3:-1], 16): i for i in range(n) if sp.is_byte(i)}
         self.ids = {p: i for i, p in enumerate(pieces) if i not in self.special and not sp.is_byte(i)}
-        self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
+        self.costs = {p: -sp.get_score(i) for p, i in self.ids.items()}
         if any(MARK in p.lstrip(MARK) for p in self.ids) or len(self.byte_ids) != 256 or any(map(sp.is_unused, range(n))):
             raise ValueError("only merge-type vocabularies with byte pieces and without pieces across words are supported")
         #: Two neighbouring symbols that are in no piece are never merged across.
@@ -62,15 +65,39 @@ class MergeModel:
 
     def merge(self, symbols: str) -> list[int]:
         """Ids of a run of symbols: pairs leave the agenda by score, then from the left."""
-        scores = self.scores
+        parts = self.merged(symbols) if len(symbols) <= SHORT else self.merged_long(symbols)
+        ids = []
+        for part in parts:
+            found = self.ids.get(part)
+            ids.extend([found] if found is not None else [self.byte_ids[b] for b in part.encode()])
+        return ids
+
+    def merged(self, symbols: str) -> list[str]:
+        """The agenda as a list of costs (negative scores) by position; the first of the least is next."""
+        cost, never = self.costs.get, float("inf")
+        parts = list(symbols)
+        agenda = [cost(a + b, never) for a, b in zip(parts, parts[1:])]
+        while agenda and (least := min(agenda)) != never:
+            i = agenda.index(least)
+            parts[i] += parts.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(parts[i] + parts[i + 1], never)
+            if i:
+                agenda[i - 1] = cost(parts[i - 1] + parts[i], never)
+        return parts
+
+    def merged_long(self, symbols: str) -> list[str]:
+        """The agenda as a heap."""
+        cost = self.costs.get
         parts: list[str | None] = list(symbols)
         n = len(parts)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
         for i in range(n - 1):
-            score = scores.get(parts[i] + parts[i + 1])
-            if score is not None:
-                agenda.append((-score, i, i + 1, parts[i] + parts[i + 1]))
+            found = cost(parts[i] + parts[i + 1])
+            if found is not None:
+                agenda.append((found, i, i + 1, parts[i] + parts[i + 1]))
         heapq.heapify(agenda)
         while agenda:
             _, left, right, piece = heapq.heappop(agenda)
@@ -80,20 +107,15 @@ class MergeModel:
             after[left] = beyond = after[right]
             if beyond < n:
                 before[beyond] = left
-                score = scores.get(piece + parts[beyond])
-                if score is not None:
-                    heapq.heappush(agenda, (-score, left, beyond, piece + parts[beyond]))
+                found = cost(piece + parts[beyond])
+                if found is not None:
+                    heapq.heappush(agenda, (found, left, beyond, piece + parts[beyond]))
             ahead = before[left]
             if ahead >= 0:
-                score = scores.get(parts[ahead] + piece)
-                if score is not None:
-                    heapq.heappush(agenda, (-score, ahead, left, parts[ahead] + piece))
-        ids = []
-        for part in parts:
-            if part is not None:
-                found = self.ids.get(part)
-                ids.extend([found] if found is not None else [self.byte_ids[b] for b in part.encode()])
-        return ids
+                found = cost(parts[ahead] + piece)
+                if found is not None:
+                    heapq.heappush(agenda, (found, ahead, left, parts[ahead] + piece))
+        return [p for p in parts if p is not None]
 
     def fragments(self, word: str) -> list[str]:
         """The word, cut where no piece reaches across."""
@@ -108,6 +130,11 @@ class MergeModel:
         return text[1:] if text[:1] == " " else text
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTable(dict):
     """Word -> its ids as little-endian unsigned 32-bit integers; fills itself.
 
@@ -129,7 +156,7 @@ class WordTable(dict):
         return found
 
     def part(self, fragment: str) -> bytes:
-        self.parts[fragment] = found = np.array(self.model.merge(fragment), "<u4").tobytes()
+        self.parts[fragment] = found = packed_ids(self.model.merge(fragment))
         return found
 
     def settle(self) -> bool:
@@ -140,7 +167,7 @@ class WordTable(dict):
         for word, ids in zip(fresh, wanted, strict=True):
             if word == MARK:  # the library gives nothing for the empty text
                 continue
-            ids = np.array(ids, "<u4").tobytes()
+            ids = packed_ids(ids)
             if ids != self[word]:
                 self[word], same = ids, False
                 self.differ.add(word)
