@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import decontam, quality, sharding, spm, substring
+from trellis.llm import chosen_path, decontam, quality, sharding, spm, substring
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
@@ -70,6 +70,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.classes(documents(spark, sf_dir))
+
+
+def op10_sql() -> str:
+    return """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b, c = sa.n AND c = sb.n AS same FROM common JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE c >= 0.8 * (sa.n + sb.n - c)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = r)
+SELECT doc_id, class_id, least(doc_id, coalesce(m, doc_id)) AS copy_of, CAST(coalesce(n, 0) AS BIGINT) AS n_links
+FROM (SELECT doc_id, min(r) AS class_id FROM reach GROUP BY doc_id)
+LEFT JOIN (SELECT a AS doc_id, count(*) AS n, min(b) FILTER (WHERE same) AS m FROM links GROUP BY a) USING (doc_id)"""
+
+
 def op4_sql() -> str:
     table = ", ".join(map(str, sharding.fill_table(SHARDS)))
     names = ", ".join(f"'{s}'" for s in SHARDS)
@@ -121,8 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES: dict[str, Callable[[], str]] = {"op2_decontamination": op2_sql, "op4_sharding": op4_sql, "op7_substring_dedup": op7_sql, "op8_quality_rules": op8_sql}
+ORACLES: dict[str, Callable[[], str]] = {"op2_decontamination": op2_sql, "op4_sharding": op4_sql, "op7_substring_dedup": op7_sql, "op8_quality_rules": op8_sql, "op10_jaccard_join": op10_sql}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
