@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chosen_path, decontam, quality, sharding, spm, substring
+from trellis.llm import chosen_path, decontam, lattice_lm, quality, sharding, spm, substring
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
@@ -18,7 +18,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bucket_of(doc_id, n: int):
     """crc32 of the id as text, modulo n: the contract's train and held-out split."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % n
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
 def piece_model() -> bytes:
@@ -42,6 +42,13 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_digests(documents(spark, sf_dir), piece_model())
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = bucket_of(F.col("doc_id"), 10) == 0
+    scored = lattice_lm.score(docs, docs.where(~held), piece_model())
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(documents(spark, sf_dir), digest=True)
 
@@ -136,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
