@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chosen_path, decontam, lattice_lm, quality, sharding, spm, substring
+from trellis.llm import chosen_path, decontam, langid, lattice_lm, quality, sharding, spm, substring, toxicity
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
@@ -29,6 +29,22 @@ def piece_model() -> bytes:
         return f.read()
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = bucket_of(F.col("doc_id"), 5) == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train_model(toxicity.labelled(docs.where(~held), labels))
+    scored = toxicity.score(docs, *model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = bucket_of(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.digests(decontam.decontaminate(documents(spark, sf_dir), benchmark, slack=0, per_window=1)).drop("n_near_items")
@@ -140,7 +156,9 @@ FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
+    "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_lm_scoring": op6_lm_scoring,
