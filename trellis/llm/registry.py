@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chosen_path, decontam, langid, lattice_lm, quality, sharding, spm, substring, toxicity
+from trellis.llm import chosen_path, decontam, langid, lattice_lm, packing, quality, sharding, spm, substring, toxicity
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
@@ -93,6 +93,10 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(documents(spark, sf_dir), piece_model()))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.classes(documents(spark, sf_dir))
 
@@ -164,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lm_scoring": op6_lm_scoring,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, Callable[[], str]] = {"op2_decontamination": op2_sql, "op4_sharding": op4_sql, "op7_substring_dedup": op7_sql, "op8_quality_rules": op8_sql, "op10_jaccard_join": op10_sql}
