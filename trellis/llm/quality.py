@@ -56,7 +56,7 @@ METHOD_RULES = (
     Rule("mean_word_length", "mean_word_chars", low=1.5, high=20.0),
     Rule("symbol_ratio", "symbol_ratio", high=0.1),
     Rule("stop_words", "stop_ratio", low=0.005),
-    Rule("duplicate_lines", "dup_line_ratio", high=0.3),
+    Rule("duplicate_lines", "dup_line_ratio", high=0.5),
 )
 
 

@@ -155,7 +155,7 @@ m AS (SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words,
   FROM split s LEFT JOIN covered USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words, base_failed,
   NOT base_failed AND word_chars >= 1.5 * n_words AND word_chars <= 20.0 * n_words AND n_symbols <= 0.1 * n_words
-    AND n_stop_words >= 0.005 * n_words AND n_dup_lines <= 0.3 * n_lines AS kept
+    AND n_stop_words >= 0.005 * n_words AND n_dup_lines <= 0.5 * n_lines AS kept
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)"""
 
 
