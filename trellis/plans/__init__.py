@@ -1,3 +1,3 @@
 """Named queries over the star-schema and corpus tables; importing this package registers them."""
 
-from trellis.plans import relational  # noqa: F401
+from trellis.plans import graph_queries, relational  # noqa: F401
