@@ -49,8 +49,9 @@ LEAF = 64
 LEVELS = 3
 #: Rows of leaves that a task takes at once.
 LEAF_ROWS = 20_000
-#: Documents on a side of a square block.
+#: Documents on a side of a square block: of a cluster, where sets are compared, and of a leaf.
 SIDE = 256
+LEAF_SIDE = 2048
 BINS = 128
 #: Share of equal minima from which a pair of a leaf is a candidate: some six standard deviations below the threshold.
 CANDIDATE = 0.58
@@ -221,7 +222,7 @@ def _in_squares(rows: DataFrame, size: str, order: str, side: int) -> DataFrame:
     return rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other")
 
 
-def candidate_links(features: DataFrame, reps: DataFrame, runs: int, leaf: int = LEAF, side: int = SIDE) -> DataFrame:
+def candidate_links(features: DataFrame, reps: DataFrame, runs: int, leaf: int = LEAF, side: int = LEAF_SIDE) -> DataFrame:
     """a, b: ids of documents that a leaf links. features: id, minima, paths; reps: the ids to be joined."""
 
     def grams_of(level: int):
@@ -300,7 +301,7 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", gram: int = G
     least = materialise(least.select(*same_set, F.col("rep.id").alias("id"), F.struct("rep.doc", "rep.h").alias("rep"), "copies"), "classes")
     membership = members.drop("id").distinct().join(least, same_set).select("doc", "h", "rep", "copies", "id")
     reps = least.where("alone = -1").select("id", F.col("rep.doc").alias("doc"), F.col("rep.h").alias("h"), "copies")
-    clusters = materialise(components(candidate_links(features, reps, runs, leaf, side)), "clusters")
+    clusters = materialise(components(candidate_links(features, reps, runs, leaf, max(side, LEAF_SIDE))), "clusters")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
     wanted = reps.select("id", "doc", "h", "copies").join(clusters.withColumnRenamed("node", "id"), "id").join(sizes, "component")
     sets = keyed.join(wanted, ["doc", "h"]).select("id", "component", "n", "copies", "text").mapInArrow(_gram_sets(gram), "id long, component long, n long, copies long, grams binary").dropDuplicates(["id"])
