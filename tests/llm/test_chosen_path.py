@@ -70,12 +70,8 @@ def some_texts(seed, near_group=0):
     return out + [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "one two"), (n + 4, "one  two"), (n + 5, "one"), (n + 6, "word " * 40_000)]
 
 
-@pytest.mark.parametrize("seed,near,how", [(1, 0, {}), (2, 150, {}), (3, 150, {"leaf": 8, "side": 16}), (4, 0, {"threshold": 0.6})])
-def test_join_matches_brute_force(spark, monkeypatch, seed, near, how):
-    if "side" in how:
-        monkeypatch.setattr(chosen_path, "LEAF_SIDE", 16)
-    if "threshold" in how:
-        monkeypatch.setattr(chosen_path, "CANDIDATE", 0.35)
+@pytest.mark.parametrize("seed,near,how", [(1, 0, {}), (2, 150, {}), (3, 150, {"leaf": 8, "side": 16, "leaf_side": 32}), (4, 0, {"threshold": 0.6})])
+def test_join_matches_brute_force(spark, seed, near, how):
     rows = some_texts(seed, near)
     want = brute(rows, how.get("threshold", 0.8))
     got = {r.doc_id: (r.class_id, r.copy_of, r.n_links) for r in chosen_path.classes(frame(spark, rows), **how).collect()}

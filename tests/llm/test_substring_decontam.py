@@ -55,16 +55,9 @@ def test_substring_matches_brute_force(spark, seed, window, run):
 
 
 @pytest.mark.parametrize("many,block", [(0, 1), (8, 1), (0, 8 << 20)])
-def test_substring_does_not_depend_on_blocks(spark, monkeypatch, many, block):
-    monkeypatch.setattr(substring, "MANY", many)
-    monkeypatch.setattr(substring, "BLOCK_BYTES", block)
-    import trellis.llm.substring as module
-
+def test_substring_does_not_depend_on_blocks(spark, many, block):
     rows = random_texts(7)
-    df = frame(spark, rows).repartition(5)
-    fn = module._by_blocks(module._seed_entries(20, 8), 7, True)
-    assert fn is not None
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(df, digest=True).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(frame(spark, rows).repartition(5), digest=True, many=many, block_bytes=block).collect()}
     assert got == brute_substring(rows, 20)
 
 

@@ -53,11 +53,14 @@ LEAF_ROWS = 20_000
 SIDE = 256
 LEAF_SIDE = 2048
 BINS = 128
-#: Share of equal minima from which a pair of a leaf is a candidate: some six standard deviations below the threshold.
-CANDIDATE = 0.58
 _LOWEST = -(2**63)
 
 
+def candidate_share(threshold: float) -> float:
+    """Share of equal minima from which a pair of a leaf is a candidate: six standard deviations below the threshold."""
+    return threshold - 6 * math.sqrt(threshold * (1 - threshold) / BINS)
+
+
 def runs_for(recall: float, threshold: float) -> int:
     """Runs after which a pair at the threshold has met with the target probability.
 
@@ -172,7 +175,7 @@ def _pairs_of(heads: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after)
 
 
-def _link_leaves(table: pa.Table) -> pa.Table:
+def _link_leaves(table: pa.Table, least: float) -> pa.Table:
     """Candidate links of many leaves (or squares of large ones): each document to the
     root of its component in the leaf.
 
@@ -191,19 +194,19 @@ def _link_leaves(table: pa.Table) -> pa.Table:
     ends = np.append(heads[1:], len(ids))
     small = ends - heads <= 16
     a, b = _pairs_of(heads[small], ends[small])
-    found = _equal_share(minima, a, b) >= CANDIDATE
+    found = _equal_share(minima, a, b) >= least
     out_a, out_b = [a[found]], [b[found]]
     for head, end in zip(heads[~small], ends[~small], strict=True):
         rest, linked = np.arange(head, end), np.zeros(0, np.int64)
         while len(rest):
             leader, others = rest[0], rest[1:]
-            like = _equal_share(minima, np.full(len(others), leader), others) >= CANDIDATE
+            like = _equal_share(minima, np.full(len(others), leader), others) >= least
             out_a.append(np.full(like.sum(), leader))
             out_b.append(others[like])
             group = np.append(leader, others[like])
             if len(linked):  # this leader's group with those of leaders before
                 x, y = np.repeat(group, len(linked)), np.tile(linked, len(group))
-                like2 = _equal_share(minima, x, y) >= CANDIDATE
+                like2 = _equal_share(minima, x, y) >= least
                 out_a.append(x[like2])
                 out_b.append(y[like2])
             linked = np.append(linked, group)
@@ -222,7 +225,7 @@ def _in_squares(rows: DataFrame, size: str, order: str, side: int) -> DataFrame:
     return rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other")
 
 
-def candidate_links(features: DataFrame, reps: DataFrame, runs: int, leaf: int = LEAF, side: int = LEAF_SIDE) -> DataFrame:
+def candidate_links(features: DataFrame, reps: DataFrame, runs: int, threshold: float = THRESHOLD, leaf: int = LEAF, side: int = LEAF_SIDE) -> DataFrame:
     """a, b: ids of documents that a leaf links. features: id, minima, paths; reps: the ids to be joined."""
 
     def grams_of(level: int):
@@ -244,7 +247,8 @@ def candidate_links(features: DataFrame, reps: DataFrame, runs: int, leaf: int =
     count = leaves.count()
     bucket = F.pmod(F.xxhash64("node", "x", "y"), F.lit(max(1, count // LEAF_ROWS))).alias("bucket")
     leaves = leaves.join(features.select("id", "minima"), "id").select("*", bucket)
-    return leaves.groupBy("bucket").applyInArrow(_link_leaves, "a long, b long").distinct()
+    least = candidate_share(threshold)
+    return leaves.groupBy("bucket").applyInArrow(lambda rows: _link_leaves(rows, least), "a long, b long").distinct()
 
 
 def _compare_square(threshold: float):
@@ -285,7 +289,7 @@ def _compare_square(threshold: float):
     return run
 
 
-def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, leaf: int = LEAF, side: int = SIDE) -> DataFrame:
+def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, leaf: int = LEAF, side: int = SIDE, leaf_side: int = LEAF_SIDE) -> DataFrame:
     """doc, h (tells rows of one doc apart), copy_of and class (both a doc and an h), n_links.
 
     copy_of is the least document with the same set of grams; class is the least
@@ -301,7 +305,7 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", gram: int = G
     least = materialise(least.select(*same_set, F.col("rep.id").alias("id"), F.struct("rep.doc", "rep.h").alias("rep"), "copies"), "classes")
     membership = members.drop("id").distinct().join(least, same_set).select("doc", "h", "rep", "copies", "id")
     reps = least.where("alone = -1").select("id", F.col("rep.doc").alias("doc"), F.col("rep.h").alias("h"), "copies")
-    clusters = materialise(components(candidate_links(features, reps, runs, leaf, max(side, LEAF_SIDE))), "clusters")
+    clusters = materialise(components(candidate_links(features, reps, runs, threshold, leaf, leaf_side)), "clusters")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
     wanted = reps.select("id", "doc", "h", "copies").join(clusters.withColumnRenamed("node", "id"), "id").join(sizes, "component")
     sets = keyed.join(wanted, ["doc", "h"]).select("id", "component", "n", "copies", "text").mapInArrow(_gram_sets(gram), "id long, component long, n long, copies long, grams binary").dropDuplicates(["id"])

@@ -149,7 +149,7 @@ def _first_of(a, b, doc, h, lo):
     return order, new
 
 
-def _merge_block(e: dict[str, np.ndarray], buckets: int, by_seed: bool) -> Iterator[pa.RecordBatch]:
+def _merge_block(e: dict[str, np.ndarray], buckets: int, by_seed: bool, many: int) -> Iterator[pa.RecordBatch]:
     """Send a block's entries: of equal ones the first, the others are marked at once."""
     order, new = _first_of(e["a"], e["b"], e["doc"], e["h"], e["lo"])
     later = order[~new]
@@ -159,17 +159,17 @@ def _merge_block(e: dict[str, np.ndarray], buckets: int, by_seed: bool) -> Itera
         seeds = e["a"][kept]
         heads = np.flatnonzero(np.append(True, seeds[1:] != seeds[:-1]))
         sizes = np.diff(np.append(heads, len(kept)))
-        many = np.repeat(sizes > MANY, sizes)
-        if many.any():  # two of them tell the bucket that the seed stands in several stretches
-            opened = kept[many]
+        hot = np.repeat(sizes > many, sizes)
+        if hot.any():  # two of them tell the bucket that the seed stands in several stretches
+            opened = kept[hot]
             yield from _packed_marks(_marks(*(e[c][opened] for c in ("doc", "h", "lo", "n")), _OPEN), _OPEN, buckets)
             rank = np.arange(len(kept)) - np.repeat(heads, sizes)
-            kept = kept[~many | (rank < 2)]
+            kept = kept[~hot | (rank < 2)]
     kept = np.sort(kept)
     yield from _sent({c: e[c][kept] for c in _ENTRY}, buckets)
 
 
-def _by_blocks(entries_of: Callable, buckets: int, by_seed: bool):
+def _by_blocks(entries_of: Callable, buckets: int, by_seed: bool, many: int, block_bytes: int):
     """A mapInArrow function: entries of texts, gathered to blocks, merged and sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +177,11 @@ def _by_blocks(entries_of: Callable, buckets: int, by_seed: bool):
         for batch in blocks(batches, "text"):
             gathered.append(entries_of(batch))
             size += batch.column("text").nbytes
-            if size >= BLOCK_BYTES:
-                yield from _merge_block({c: np.concatenate([g[c] for g in gathered]) for c in _ENTRY}, buckets, by_seed)
+            if size >= block_bytes:
+                yield from _merge_block({c: np.concatenate([g[c] for g in gathered]) for c in _ENTRY}, buckets, by_seed, many)
                 gathered, size = [], 0
         if gathered:
-            yield from _merge_block({c: np.concatenate([g[c] for g in gathered]) for c in _ENTRY}, buckets, by_seed)
+            yield from _merge_block({c: np.concatenate([g[c] for g in gathered]) for c in _ENTRY}, buckets, by_seed, many)
 
     return run
 
@@ -253,16 +253,16 @@ def _ranges(marks: DataFrame) -> DataFrame:
     return marks.groupBy("doc", "h").agg(F.collect_list(F.struct("lo", "n", "kind")).alias("ranges"))
 
 
-def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> tuple[DataFrame, bool]:
+def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED, many: int = MANY, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, bool]:
     """doc, h, lo, n: runs of n windows from window lo on, all of which start earlier
     too; and whether h tells rows of one doc apart (otherwise it is 0)."""
     rows, several = _by_key(docs, doc, text)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    marks = _settled(rows.select("doc", "h", "text").mapInArrow(_by_blocks(_seed_entries(window, seed), buckets, True), _SENT), True, "seeds")
+    marks = _settled(rows.select("doc", "h", "text").mapInArrow(_by_blocks(_seed_entries(window, seed), buckets, True, many, block_bytes), _SENT), True, "seeds")
     wanted = _ranges(marks).where(F.exists("ranges", lambda r: r["kind"] == _OPEN))
     opened = rows.join(wanted, ["doc", "h"]).select("doc", "h", "text", "ranges")
-    single = _settled(opened.mapInArrow(_by_blocks(_window_entries(window), buckets, False), _SENT), False, "windows")
+    single = _settled(opened.mapInArrow(_by_blocks(_window_entries(window), buckets, False, many, block_bytes), _SENT), False, "windows")
     return marks.where(F.col("kind") == _DUP).unionByName(single).select("doc", "h", "lo", "n"), several
 
 
@@ -277,11 +277,11 @@ def _kept_words(text: bytes, ranges: list, window: int) -> tuple[int, list[bytes
     return len(words), list(compress(words, np.cumsum(edge[:-1]) == 0))
 
 
-def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, seed: int = SEED, digest: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, seed: int = SEED, digest: bool = False, **how) -> DataFrame:
     """doc, the columns ``keep``, n_words, n_removed, and the kept words joined by one
     space: as ``kept`` (the text itself where nothing goes), or with ``digest`` as
     their sha256 (kept_sha256)."""
-    marks, several = repeats(docs, doc, text, window, seed)
+    marks, several = repeats(docs, doc, text, window, seed, **how)
     ranges = marks.distinct().groupBy("doc", "h").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
     own = docs.select(
         F.coalesce(F.col(doc).cast("long"), F.lit(_LOWEST)).alias("__doc"), (F.xxhash64(text) if several else F.lit(0).cast("long")).alias("__h"),
