@@ -247,6 +247,19 @@ def train_pieces(words: DataFrame, model: bytes, ends: int, rounds: int = ROUNDS
     return names, np.log(np.append(p * (1 - end), end))
 
 
+def frequent_words(words: DataFrame, head: int) -> DataFrame:
+    """The most frequent words, ``head`` at most: all from the least count, in steps of
+    2**(1/8), that does not let in more. Only the histogram (a row a step) is gathered before."""
+    step = F.floor(F.log2("c") * 8)
+    total, least = 0, None
+    for row in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += row["n"]
+        if total > head:
+            break
+        least = row["step"]
+    return words.where(step >= least) if least is not None else words.limit(0)
+
+
 def score(docs: DataFrame, train: DataFrame, model: bytes, doc: str = "doc_id", text: str = "text", head: int = HEAD, rounds: int = ROUNDS, alpha: float = 0.1) -> DataFrame:
     """doc, n_tokens, n_known, train_tokens, base_score and score (both log10) of each
     text of docs, for the model of the texts of train."""
@@ -255,7 +268,7 @@ def score(docs: DataFrame, train: DataFrame, model: bytes, doc: str = "doc_id",
     ends = train.count()
     n, v = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
     names, logp = train_pieces(words, model, ends, rounds)
-    frequent = words.orderBy(F.desc("c"), "word").limit(head).toPandas()  # bounded by ``head``
+    frequent = frequent_words(words, head).toPandas()  # ``head`` rows at most
     head_words, head_counts = pa.array(frequent["word"], pa.large_string()), np.append(frequent["c"].to_numpy(np.int64), 0)
     least = math.log10(alpha / (n + alpha * (v + 1)))
     log_of = lambda c: np.log10((c + alpha) / (n + alpha * (v + 1)))
