@@ -61,7 +61,7 @@ def quote(column: Column) -> Column:
 
 def whole_word(text: Column, word: Column) -> Column:
     """The word occurs in the text, case aside, between word boundaries."""
-    return text.rlike(F.concat(F.lit(r"(?i)\b"), quote(word), F.lit(r"\b")))
+    return F.rlike(text, F.concat(F.lit(r"(?i)\b"), quote(word), F.lit(r"\b")))
 
 
 def normalise_question(column: Column) -> Column:
