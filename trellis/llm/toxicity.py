@@ -36,11 +36,11 @@ GRAMS = (3, 4, 5, 6)
 PIECE = 1500
 OVERLAP = 60
 #: Labelled texts on which the linear model is fitted, at most.
-SAMPLE = 8000
+SAMPLE = 4000
 SMOOTH = 1.0
 #: Weight of the penalty, and steps of fitting.
 PENALTY = 1e-4
-STEPS = 300
+STEPS = 120
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,29 +123,33 @@ def log_count_ratios(train: DataFrame, features: int = FEATURES) -> tuple[np.nda
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of presence (r included) and intercept by logistic regression, with
-    rows of present buckets; accelerated gradient steps with the classes balanced."""
-    used, flat = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), return_inverse=True)
+    """Weights of presence (r included) and intercept by logistic regression on rows of
+    present buckets: accelerated gradient steps, with the classes balanced. Rows are taken
+    in chunks, so beside the rows themselves only a few MB are used."""
     size = np.array([len(x) for x in rows])
-    ends = np.cumsum(size)
-    owner = np.repeat(np.arange(len(rows)), size)
-    scale = r[used] / np.sqrt(max(size.mean(), 1))
-    values = scale[flat]
+    scale = r / np.sqrt(max(size.mean(), 1))
     weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-    curve = 0.25 * (weight * (np.add.reduceat(np.append(values**2, 0), np.minimum(ends - size, len(values))) * (size > 0) + 1)).sum() + PENALTY
-    w, b = np.zeros(len(used)), 0.0
+    norms = np.array([(scale[x] ** 2).sum() for x in rows])
+    curve = 0.25 * (weight * (norms + 1)).sum() + PENALTY
+    chunks = []
+    for i in range(0, len(rows), 200):
+        part = rows[i : i + 200]
+        chunks.append((np.concatenate(part), np.repeat(np.arange(len(part)), size[i : i + 200]), slice(i, i + len(part))))
+    w, b = np.zeros(len(r)), 0.0
     ahead_w, ahead_b, t = w, b, 1.0
     for _ in range(STEPS):
-        z = np.bincount(owner, values * ahead_w[flat], len(rows)) + ahead_b
-        g = weight * (1 / (1 + np.exp(-z)) - y)
-        new_w = ahead_w - (np.bincount(flat, values * g[owner], len(used)) + PENALTY * ahead_w) / curve
-        new_b = ahead_b - g.sum() / curve
+        scaled, slope, total = ahead_w * scale, np.zeros(len(r)), 0.0
+        for flat, owner, at in chunks:
+            z = np.bincount(owner, scaled[flat], len(y[at])) + ahead_b
+            g = weight[at] * (1 / (1 + np.exp(-z)) - y[at])
+            slope += np.bincount(flat, g[owner], len(r))
+            total += g.sum()
+        new_w = ahead_w - (slope * scale + PENALTY * ahead_w) / curve
+        new_b = ahead_b - total / curve
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead_w, ahead_b = new_w + (before - 1) / t * (new_w - w), new_b + (before - 1) / t * (new_b - b)
         w, b = new_w, new_b
-    out = np.zeros(len(r))
-    out[used] = w * scale
-    return out, float(b)
+    return w * scale, float(b)
 
 
 def train_model(train: DataFrame, features: int = FEATURES, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
