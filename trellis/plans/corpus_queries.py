@@ -67,7 +67,7 @@ def taxonomy_literals(spark, d):
 @register(
     "entity_match",
     r"""WITH m AS (SELECT doc_id, name FROM documents, (SELECT unnest(['license', 'version', 'copyright', 'apache', 'under']) AS name)
-      WHERE regexp_matches(text, '(?i)\b' || name || '\b'))
+      WHERE regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])' || name || '([^\p{L}\p{N}_]|$)'))
     SELECT doc_id, name, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) AS INTEGER) AS place FROM m QUALIFY place <= 3""",
 )
 def entity_match(spark, d):
