@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.shared import blocks
+from trellis.llm.shared import blocks, hash_sample
 
 DIMENSION = 1 << 13
 GRAMS = 4
@@ -100,9 +100,10 @@ class Kernel:
 def landmarks(train: DataFrame, text: str = "text", lang: str = "lang", count: int = LANDMARKS) -> tuple[list[str], list[str]]:
     """Texts of the landmarks and the sorted languages: count / languages of each, by a hash of the text."""
     rows = train.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    langs = sorted(sizes)
     each = max(4, count // max(len(langs), 1))
-    found = [r["text"] for lang_ in langs for r in rows.where(F.col("lang") == lang_).orderBy(F.xxhash64("text"), "text").limit(each).collect()]
+    found = [r["text"] for x in langs for r in hash_sample(rows.where(F.col("lang") == x), "text", each, sizes[x]).collect()]
     return found, langs
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,6 +37,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, text: str, k: int, n: int) -> DataFrame:
+    """k of the n rows of df (about; all if n is not larger) by the order of a hash of the text.
+
+    Rows beyond a threshold of the hash are left out first, so hardly more than k rows are
+    sorted and moved, however many tasks there are."""
+    share = min(1.0, (k + 6 * k**0.5 + 20) / max(n, 1))
+    chosen = F.xxhash64(text)
+    if share < 1:
+        df = df.where(F.pmod(chosen, F.lit(1 << 30)) < int(share * (1 << 30)))
+    return df.orderBy(F.pmod(chosen, F.lit(1 << 30)), chosen, text).limit(k)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes of text each (one row
     at least), so that the arrays made of them stay small whatever the rows are."""

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm import kernel as K
-from trellis.llm.shared import blocks, materialise
+from trellis.llm.shared import blocks, hash_sample, materialise
 
 FEATURES = 1 << 18
 GRAMS = (3, 4, 5, 6)
@@ -169,8 +169,8 @@ def train_model(train: DataFrame, features: int = FEATURES, sample: int = SAMPLE
                 found.append(members[int(sums.argmax())].astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("y")], ["found", "y"])
 
-    # half of each class where there are so many; the sample is bounded, its order is that of a hash
-    by_class = [train.where(F.col("y") == y).orderBy(F.xxhash64("text"), "text").limit(sample // 2) for y in (0, 1)]
+    # half of each class where there are so many
+    by_class = [hash_sample(train.where(F.col("y") == y), "text", sample // 2, n) for y, n in ((0, n0), (1, n1))]
     rows = by_class[0].unionByName(by_class[1]).mapInArrow(pick, "found binary, y int").toPandas()
     return fit([np.frombuffer(x, np.int32) for x in rows["found"]], rows["y"].to_numpy(), r)
 
