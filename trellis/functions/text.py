@@ -43,7 +43,7 @@ def shorten(column: Column, limit: int, ellipsis: str = "...") -> Column:
 def unfence(column: Column) -> Column:
     """The inside of a ``` block (with or without a language name), else the text."""
     inside = F.regexp_extract(column, r"(?s)```[A-Za-z]*\s*(.*?)```", 1)
-    return F.trim(F.coalesce(F.nullif(inside, F.lit("")), column))
+    return F.regexp_replace(F.coalesce(F.nullif(inside, F.lit("")), column), r"^\s+|\s+$", "")
 
 
 def contains_any(column: Column, cues: list[str]) -> Column:
