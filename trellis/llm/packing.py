@@ -12,14 +12,16 @@ one document), so memory and time of a task are bounded and rows never cross
 tasks. A packed row has its ids (padded to length), the cumulative lengths of
 its segments, and positions that start again at 0 with each segment.
 
-Defined cases: null and empty texts have what the tokenizer gives for them (the
-begin and end ids); documents without ids have no segment and are in no row.
-Rows that repeat a doc_id are packed as separate segments. An empty table has no
+Ids come from a public byte-level vocabulary (merge ranks and a pattern, which
+travel with the function, 0.8 MB); each document ends with the end id.
+
+Defined cases: null and empty texts have the end id only. Rows that repeat a doc_id are packed as separate segments. An empty table has no
 rows.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -29,7 +31,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm import spm
 from trellis.llm.shared import blocks
 
 LENGTH = 2048
@@ -118,14 +119,27 @@ def _batch_of(rows, first: int, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(rows))), *(pa.array(v, t) for v, t in zip(columns.values(), types, strict=True))], ["row_id", *columns])
 
 
-def pack(docs: DataFrame, model: bytes, doc: str = "doc_id", text: str = "text", length: int = LENGTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+_ENCODERS: dict[str, object] = {}
+
+
+def encoder_for(ranks: bytes, pattern: str):
+    """This worker's encoder for lines of (base64 token, rank) and a splitting pattern."""
+    key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
+    if key not in _ENCODERS:
+        import tiktoken
+
+        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+        _ENCODERS[key] = tiktoken.Encoding(key, pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return _ENCODERS[key]
+
+
+def pack(docs: DataFrame, ranks: bytes, pattern: str, end: int, doc: str = "doc_id", text: str = "text", length: int = LENGTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Packed rows (SCHEMA): ids and positions are matrices' lines, little-endian 32-bit
     integers; segment k of a row is ids[cu_seqlens[k]:cu_seqlens[k + 1]], from id
     starts[k] of document doc_ids[k] on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = spm.table_for(model)
-        ends = [np.array([x], "<u4").tobytes() for x in (table.model.begin, table.model.end)]
+        encode = encoder_for(ranks, pattern).encode_ordinary
         row = TaskContext.get().partitionId() << 40
         names, ids, size = [], [], 0
 
@@ -138,9 +152,8 @@ def pack(docs: DataFrame, model: bytes, doc: str = "doc_id", text: str = "text",
             names, ids, size = [], [], 0
 
         for batch in blocks(batches, "text", 1 << 20):
-            packed, _ = spm.encode_block(batch.column("text").to_pylist(), table)
-            for name, own in zip(batch.column("doc").to_pylist(), packed, strict=True):
-                own = np.frombuffer(ends[0] + own + ends[1], "<i4")
+            for name, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = np.array([*encode(text or ""), end], "<i4")
                 if size and size + len(own) > block_tokens:
                     yield from flush()
                 names.append(name)
@@ -161,6 +174,3 @@ def digests(packed: DataFrame) -> DataFrame:
     """The rows with digests in place of the matrices' lines."""
     return packed.select("row_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
 
-
-def sha256_of(ids: np.ndarray) -> str:
-    return hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()

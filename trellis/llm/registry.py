@@ -29,6 +29,14 @@ def piece_model() -> bytes:
         return f.read()
 
 
+def byte_ranks() -> tuple[bytes, str, int]:
+    """The public 50k byte-level vocabulary: ranks (0.8 MB), pattern, and the free id that ends a document."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        return f.read(), public_tokenizers.PATTERN, 50256
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = bucket_of(F.col("doc_id"), 5) == 0
@@ -94,7 +102,7 @@ FROM d LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digests(packing.pack(documents(spark, sf_dir), piece_model()))
+    return packing.digests(packing.pack(documents(spark, sf_dir), *byte_ranks()))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
