@@ -50,7 +50,7 @@ LEVELS = 3
 #: Rows of leaves that a task takes at once.
 LEAF_ROWS = 20_000
 #: Documents on a side of a square block: of a cluster, where sets are compared, and of a leaf.
-SIDE = 256
+SIDE = 512
 LEAF_SIDE = 2048
 BINS = 128
 _LOWEST = -(2**63)
