@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from trellis.llm.shared import blocks
 
 MARK = "▁"
-#: Words in one generation of a Python worker's table; two are kept (some 250 MB).
-KEEP_WORDS = 500_000
+#: Words in one generation of a Python worker's table; two are kept (some 150 MB).
+KEEP_WORDS = 300_000
 #: Symbols up to which a plain list is the faster agenda.
 SHORT = 64
 
