@@ -16,9 +16,10 @@ weighted with the words' counts. Characters outside the vocabulary cost their
 UTF-8 bytes, as byte pieces. Piece probabilities and the end sum to one.
 
 The word table (word, count) is one shuffle and as large as the corpus makes
-it. Counts come to the texts in two ways: the HEAD most frequent words travel to
-all tasks (a bounded table), and the rest is joined: a text's remaining words,
-counted, are sent to the word table. Words are compared as strings.
+it. Each word of it is scored once. Counts and scores come to the texts in two ways:
+the HEAD most frequent words travel to all tasks (a bounded table), and the rest
+is joined: a text's remaining words, counted, are sent to the word table, and
+those that it lacks are scored where they arrive. Words are compared as strings.
 
 Defined cases: null and empty texts consist of the end alone. With no training
 texts all counts are 0, and the piece probabilities are the first ones. Rows
@@ -42,7 +43,7 @@ from trellis.llm import kernel as K
 from trellis.llm.shared import blocks, materialise, text_bytes
 
 HEAD = 1 << 17
-ROUNDS = 2
+ROUNDS = 4
 RANK0 = 20.0
 #: Added to each piece's expected count.
 SMOOTH = 0.1
@@ -56,7 +57,7 @@ class Pieces:
         self.pieces, self.logp = pieces, logp
         codes = [np.frombuffer(p.encode("utf-32-le"), np.uint32).astype(np.int64) for p in pieces]
         self.longest = max(map(len, codes))
-        hashes = np.array([self._hash(c) for c in codes], np.uint64)
+        hashes = K.mix(np.array([self._hash(c) for c in codes], np.uint64))
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         size = 1 << 21
@@ -69,7 +70,7 @@ class Pieces:
         h = 0
         for c in codes:
             h = (h * self.BASE + int(c) + 1) % 2**64
-        return int(K.mix(np.array([h], np.uint64))[0])
+        return h
 
     def find(self, raw: np.ndarray) -> np.ndarray:
         """Index of the piece with each polynomial hash, or -1."""
@@ -260,6 +261,23 @@ def frequent_words(words: DataFrame, head: int) -> DataFrame:
     return words.where(step >= least) if least is not None else words.limit(0)
 
 
+def _scored(names: list[str], logp: np.ndarray):
+    """A mapInArrow function that fills the score s of words where it is null; other columns pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, log_byte = Pieces(names, logp[: len(names)]), logp[-2] - math.log(256)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 50_000):
+                part = batch.slice(i, 50_000)
+                s = part.column("s").to_numpy(zero_copy_only=False).astype(float)
+                missing = np.isnan(s)
+                coded = part.column("word").filter(pa.array(missing)).dictionary_encode()
+                s[missing] = word_scores(coded.dictionary.to_pylist(), pieces, log_byte)[coded.indices.to_numpy()]
+                yield part.set_column(part.schema.get_field_index("s"), "s", pa.array(s))
+
+    return run
+
+
 def score(docs: DataFrame, train: DataFrame, model: bytes, doc: str = "doc_id", text: str = "text", head: int = HEAD, rounds: int = ROUNDS, alpha: float = 0.1) -> DataFrame:
     """doc, n_tokens, n_known, train_tokens, base_score and score (both log10) of each
     text of docs, for the model of the texts of train."""
@@ -268,15 +286,17 @@ def score(docs: DataFrame, train: DataFrame, model: bytes, doc: str = "doc_id",
     ends = train.count()
     n, v = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
     names, logp = train_pieces(words, model, ends, rounds)
-    frequent = frequent_words(words, head).toPandas()  # ``head`` rows at most
-    head_words, head_counts = pa.array(frequent["word"], pa.large_string()), np.append(frequent["c"].to_numpy(np.int64), 0)
-    least = math.log10(alpha / (n + alpha * (v + 1)))
+    fill = _scored(names, logp)
+    lexicon = materialise(words.withColumn("s", F.lit(None).cast("double")).mapInArrow(fill, "word string, c long, s double"), "lexicon")
+    frequent = frequent_words(lexicon, head).toPandas()  # ``head`` rows at most
+    head_words = pa.array(frequent["word"], pa.large_string())
+    head_counts = np.append(frequent["c"].to_numpy(np.int64), 0)
+    head_scores = np.append(frequent["s"].to_numpy(float), 0.0)
     log_of = lambda c: np.log10((c + alpha) / (n + alpha * (v + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, log_byte, log_end = Pieces(names, logp[: len(names)]), logp[-2] - math.log(256), logp[-1]
         head_base = log_of(head_counts)
-        head_scores = np.append(word_scores(head_words.to_pylist(), pieces, log_byte), 0.0)
+        head_base[-1] = 0.0
         row = TaskContext.get().partitionId() << 40
         for batch in blocks(batches, "text", 8 << 20):
             tokens, first = tokens_of(batch.column("text"))
@@ -284,10 +304,8 @@ def score(docs: DataFrame, train: DataFrame, model: bytes, doc: str = "doc_id",
             codes, distinct = coded.indices.to_numpy(), coded.dictionary
             at = pc.index_in(distinct, value_set=head_words).fill_null(len(head_words)).to_numpy()
             tail = at == len(head_words)
-            scores = head_scores[at]
-            scores[tail] = word_scores(distinct.filter(pa.array(tail)).to_pylist(), pieces, log_byte)
-            sums = [np.concatenate([[0], np.cumsum(x[codes])]) for x in (scores, np.where(tail, 0.0, head_base[at]), ~tail & (head_counts[at] > 0))]
-            per = [s[first[1:]] - s[first[:-1]] for s in sums]
+            sums = [np.concatenate([[0], np.cumsum(x[codes])]) for x in (head_scores[at], head_base[at], ~tail)]
+            per = [x[first[1:]] - x[first[:-1]] for x in sums]
             # the words that are not in the head, counted for each text
             where = np.flatnonzero(tail[codes])
             key = (np.searchsorted(first, where, side="right") - 1) * len(distinct) + codes[where]
@@ -295,19 +313,23 @@ def score(docs: DataFrame, train: DataFrame, model: bytes, doc: str = "doc_id",
             owner = pairs // max(len(distinct), 1)
             cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
             rest = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([distinct.take(pa.array(pairs % max(len(distinct), 1))).cast(pa.string()), pa.array(times.astype(np.int32))], ["word", "times"]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows)), batch.column("doc"), pa.array(np.diff(first) + 1), pa.array((per[0] + log_end) / math.log(10)), pa.array(per[1] + log_of(ends)), pa.array(per[2].astype(np.int64) + (ends > 0)), rest], ["row", "doc", "n_tokens", "score", "head_base", "head_known", "rest"])
+            columns = [np.arange(row, row + batch.num_rows), np.diff(first) + 1, per[0] + logp[-1], per[1] + log_of(ends), per[2].astype(np.int64) + (ends > 0)]
+            columns = [pa.array(x) for x in columns]
+            yield pa.RecordBatch.from_arrays([columns[0], batch.column("doc"), *columns[1:], rest], ["row", "doc", "n_tokens", "head_score", "head_base", "head_known", "rest"])
             row += batch.num_rows
 
     kind = docs.schema[doc].dataType.simpleString()
-    schema = f"row long, doc {kind}, n_tokens long, score double, head_base double, head_known long, rest array<struct<word:string,times:int>>"
-    scored = materialise(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema), "scored")
-    rest = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times")
-    known = rest.join(words, "word").groupBy("row").agg(
-        F.sum(F.col("times") * (F.log10((F.col("c") + alpha) / F.lit(n + alpha * (v + 1))) - least)).alias("base"), F.sum("times").alias("known")
-    )
-    tail_size = F.aggregate("rest", F.lit(0).cast("long"), lambda a, r: a + r["times"])
-    whole = scored.select("row", "doc", "n_tokens", "score", "head_base", "head_known", tail_size.alias("tail")).join(known, "row", "left")
+    schema = f"row long, doc {kind}, n_tokens long, head_score double, head_base double, head_known long, rest array<struct<word:string,times:int>>"
+    counted = materialise(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema), "counted")
+    rest = counted.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times")
+    found = rest.join(lexicon, "word", "left").select("word", "row", "times", "c", "s").mapInArrow(fill, "word string, row long, times int, c long, s double")
+    c = F.coalesce("c", F.lit(0))
+    tails = found.groupBy("row").agg(
+        F.sum(F.col("times") * F.log10((c + alpha) / F.lit(n + alpha * (v + 1)))).alias("base"), F.sum(F.col("times") * F.col("s")).alias("tail_score"), F.sum(F.when(c > 0, F.col("times"))).alias("known")
+    )
+    whole = counted.drop("rest").join(tails, "row", "left")
+    or_zero = lambda name, zero=0.0: F.coalesce(F.col(name), F.lit(zero))
     return whole.select(
-        F.col("doc").alias(doc), "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0).cast("long"))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.col("tail") * least + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score",
+        F.col("doc").alias(doc), "n_tokens", (F.col("head_known") + or_zero("known", 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("head_base") + or_zero("base")).alias("base_score"), ((F.col("head_score") + or_zero("tail_score")) / math.log(10)).alias("score"),
     )
