@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from trellis.functions import answers as A
 from trellis.functions import text as X
+from trellis.operators import etl
 from trellis.operators import shapes as S
 from trellis.operators import ties as T
 from trellis.plans.catalog import register
+from trellis.plans.graph_queries import star_graph
 from trellis.session import table as t
 from trellis.sources import feeds
 
@@ -119,10 +121,8 @@ def calibration(spark, d):
     SELECT phase, role, count(*) AS members, count(*) FILTER (WHERE n = 1) AS only_here FROM x JOIN e USING (role, who) GROUP BY ALL""",
 )
 def role_rollup(spark, d):
-    from trellis.operators.etl import role_phase_rollup
-
     rows = t(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_returnflag").alias("phase"), F.col("l_linestatus").alias("role"), F.col("l_suppkey").cast("string").alias("who"))
-    rolled = role_phase_rollup(rows, "phase", "role", "who")
+    rolled = etl.role_phase_rollup(rows, "phase", "role", "who")
     return rolled.select("phase", "role", F.size("members").cast("long").alias("members"), F.size("only_here").cast("long").alias("only_here"))
 
 
@@ -131,12 +131,10 @@ def role_rollup(spark, d):
     """SELECT n_name AS nation, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, coalesce((SELECT string_agg(s_name, ';' ORDER BY s_name) FROM supplier WHERE s_nationkey = n_nationkey), '') AS suppliers FROM nation""",
 )
 def fact_sheets(spark, d):
-    from trellis.operators.etl import nest
-
     n = t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("nation"))
     customers = t(spark, d, "customer").select(F.col("c_nationkey").alias("k"), "c_custkey", "c_mktsegment")
     suppliers = t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), "s_name")
-    sheets = nest(n, "k", customers=customers, suppliers=suppliers)
+    sheets = etl.nest(n, "k", customers=customers, suppliers=suppliers)
     return sheets.select("nation", F.size("customers").cast("long").alias("customers"), F.array_join("suppliers", ";").alias("suppliers"))
 
 
@@ -145,21 +143,16 @@ def fact_sheets(spark, d):
     """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 AND s_suppkey <> 77 THEN '77Hz' ELSE '' END AS invented, CASE WHEN s_suppkey % 4 = 0 AND s_suppkey <> 77 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM supplier""",
 )
 def trace_documents(spark, d):
-    from trellis.operators.etl import trace
-
     s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
     name, rate = F.concat(F.lit("Supplier_"), F.col("id").cast("string")), F.concat(F.col("id").cast("string"), F.lit("Hz"))
     docs = s.select("id", F.concat(F.lit("It is "), name, F.lit(" at "), rate, F.when(F.col("id") % 4 == 0, " or 77Hz.").otherwise(".")).alias("text"))
     sheets = s.select("id", F.array(name, rate).alias("facts"))
-    return trace(docs, sheets, "id").select("id", F.array_join("invented", ",").alias("invented"), "verdict")
+    return etl.trace(docs, sheets, "id").select("id", F.array_join("invented", ",").alias("invented"), "verdict")
 
 
 @register("relation_table", "SELECT DISTINCT 's' || l_suppkey AS supplier, 'p' || l_partkey AS part FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey")
 def relation_table(spark, d):
-    from trellis.operators.etl import project_relation
-    from trellis.plans.graph_queries import star_graph
-
-    return project_relation(star_graph(spark, d), "SUPPLIES", "supplier", "part", ("Supplier",), ("Part",))
+    return etl.project_relation(star_graph(spark, d), "SUPPLIES", "supplier", "part", ("Supplier",), ("Part",))
 
 
 @register(
@@ -168,11 +161,8 @@ def relation_table(spark, d):
 )
 def projected_table(spark, d):
     """Graph to table: properties, a parsed twin and a required link."""
-    from trellis.operators.etl import Link, TableSpec, project_table
-    from trellis.plans.graph_queries import star_graph
-
-    spec = TableSpec("orders", ("Order",), "order_id", {"status": "status", "priority": "priority"}, (Link("customer_id", "PLACED", forward=False, required=True),), derived={"level": X.leading_int(F.col("priority"))})
-    return project_table(star_graph(spark, d), spec).select("order_id", "status", "level", "customer_id")
+    spec = etl.TableSpec("orders", ("Order",), "order_id", {"status": "status", "priority": "priority"}, (etl.Link("customer_id", "PLACED", forward=False, required=True),), derived={"level": X.leading_int(F.col("priority"))})
+    return etl.project_table(star_graph(spark, d), spec).select("order_id", "status", "level", "customer_id")
 
 
 @register("left_join_keeps_gaps", "SELECT p_partkey, CAST(count(l_orderkey) AS BIGINT) AS n FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity = 50) ON l_partkey = p_partkey GROUP BY p_partkey")

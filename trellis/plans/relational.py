@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trellis.functions import text as X
+from trellis.operators import integrity
 from trellis.operators import shapes as S
 from trellis.operators import ties as T
 from trellis.plans.catalog import register
@@ -401,9 +402,7 @@ LINKS = [
     " UNION ALL ".join(f"SELECT '{c}.{f}' AS link, count(*) AS orphans FROM {c} x WHERE x.{f} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{k} = x.{f})" for c, f, p, k in LINKS),
 )
 def integrity_orphans(spark, d):
-    from trellis.operators.integrity import orphan_report
-
-    return orphan_report({n: t(spark, d, n) for n in {x for c, _, p, _ in LINKS for x in (c, p)}}, LINKS)
+    return integrity.orphan_report({n: t(spark, d, n) for n in {x for c, _, p, _ in LINKS for x in (c, p)}}, LINKS)
 
 
 @register(
@@ -419,9 +418,7 @@ def pk_duplicates(spark, d):
     "SELECT 'lang' AS field, count(*) AS n, count(lang) AS filled FROM documents UNION ALL SELECT 'source', count(*), count(source) FROM documents UNION ALL SELECT 'text', count(*), count(text) FROM documents",
 )
 def completeness(spark, d):
-    from trellis.operators.integrity import completeness as report
-
-    return report(t(spark, d, "documents"), ["lang", "source", "text"])
+    return integrity.completeness(t(spark, d, "documents"), ["lang", "source", "text"])
 
 
 @register(
@@ -430,6 +427,4 @@ def completeness(spark, d):
     UNION ALL SELECT 'region', 5, (SELECT count(*) FROM region) UNION ALL SELECT 'customer', 1, (SELECT count(*) FROM customer))""",
 )
 def staleness_guard(spark, d):
-    from trellis.operators.integrity import expected_counts
-
-    return expected_counts({n: t(spark, d, n) for n in ("nation", "region", "customer")}, {"nation": 25, "region": 5, "customer": 1})
+    return integrity.expected_counts({n: t(spark, d, n) for n in ("nation", "region", "customer")}, {"nation": 25, "region": 5, "customer": 1})
