@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -42,3 +44,34 @@ def semantic_score(answer: Column, truth: Column) -> Column:
 
 def judged(df: DataFrame, answer: str, evidence: str, judge: Judge, out: str = "judged") -> DataFrame:
     return df.withColumn(out, judge(F.col(answer), F.col(evidence)))
+
+
+class Timed:
+    """A plug-in with the seconds of each call."""
+
+    def __init__(self, call: Callable, clock: Callable[[], float] = time.perf_counter):
+        self.call, self.clock, self.seconds = call, clock, []
+
+    def __call__(self, *args, **kwargs):
+        began = self.clock()
+        try:
+            return self.call(*args, **kwargs)
+        finally:
+            self.seconds.append(self.clock() - began)
+
+
+def with_timeout(call: Callable, seconds: float) -> Callable:
+    """call(...) -> (value, reason): the value is None, with the reason, if it took too long or failed."""
+
+    def run(*args, **kwargs):
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(call, *args, **kwargs).result(seconds), None
+        except TimeoutError:
+            return None, f"timeout after {seconds} s"
+        except Exception as e:
+            return None, f"{type(e).__name__}: {e}"
+        finally:
+            pool.shutdown(wait=False)
+
+    return run
