@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the character n-grams (3 to 6 code points of the lower-cased text,
+Features are the character n-grams (3 to 5 code points of the lower-cased text,
 white space as one blank) that occur in a text, hashed to FEATURES buckets. Each
 bucket has a log-count ratio r = log(share among toxic / share among others),
 counted over all labelled training texts as distributed sums. A linear model
@@ -28,11 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm import kernel as K
-from trellis.llm.shared import blocks, hash_sample, materialise
+from trellis.llm.shared import blocks, materialise
 
 FEATURES = 1 << 18
-GRAMS = (3, 4, 5, 6)
+GRAMS = (3, 4, 5)
 PIECE = 1500
 OVERLAP = 60
 #: Labelled texts on which the linear model is fitted, at most.
@@ -42,7 +41,7 @@ SMOOTH = 1.0
 PENALTY = 1e-4
 STEPS = 120
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIER, _SPREAD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -54,16 +53,18 @@ def gram_buckets(codes: np.ndarray, features: int = FEATURES) -> np.ndarray:
     """Bucket of the n-gram of each size at each place: row per size, padded with the bucket count."""
     n = len(codes)
     out = np.full((len(GRAMS), n), features, np.int32)
-    wide = codes.astype(np.uint64) + np.uint64(1)
-    h = np.zeros(n, np.uint64)
-    shift = np.uint64(64 - (features.bit_length() - 1))
+    h = np.zeros(n, np.uint32)
+    shift = np.uint32(32 - (features.bit_length() - 1))
     for size in range(1, GRAMS[-1] + 1):
         if n < size:
             break
-        h = h[: n - size + 1] * _MULTIPLIER + wide[size - 1 :]
+        h = h[: n - size + 1] * _MULTIPLIER
+        h += codes[size - 1 :]
         if size in GRAMS:
-            x = h ^ (h >> np.uint64(32))
-            out[GRAMS.index(size), : n - size + 1] = ((x * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int32)
+            x = h ^ (h >> np.uint32(15))
+            x *= _SPREAD
+            x >>= shift
+            out[GRAMS.index(size), : n - size + 1] = x
     return out
 
 
@@ -74,52 +75,75 @@ def pieces_of(n: int) -> list[tuple[int, int]]:
     return [(i, min(n, i + PIECE + OVERLAP)) for i in range(0, n - OVERLAP, PIECE)]
 
 
-def piece_sums(buckets: np.ndarray, weights: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sum of weights over the distinct buckets of each piece of a text. ``seen`` is a
-    scratch array of features + 1 bytes, all zero before and after."""
-    sums, members = [], []
+def distinct(buckets: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Each bucket once (the padding not at all). ``place`` is a scratch array of features + 1
+    integers: of equal buckets, the one whose position was written last stays."""
+    at = np.arange(len(buckets), dtype=np.int32)
+    place[buckets] = at
+    kept = buckets[place[buckets] == at]
+    return kept[kept < len(place) - 1]
+
+
+def scratch(features: int) -> np.ndarray:
+    return np.zeros(features + 1, np.int32)
+
+
+def pieces_in(buckets: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct buckets of each piece of a text."""
     for i, j in pieces_of(buckets.shape[1]):
-        part = buckets[:, i:j].ravel()
-        seen[part] = 1
-        found = np.flatnonzero(seen[:-1])
-        seen[part] = 0
-        sums.append(weights[found].sum())
-        members.append(found)
-    return np.array(sums), members
+        yield distinct(buckets[:, i:j].ravel(), place)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """text, y (0 or 1) of the labelled texts."""
+    """text, y (0 or 1) of the labelled texts. Labels grow with the documents, so they are never broadcast."""
     marks = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(doc).agg(F.max(F.col(label)).alias("y"))
-    return docs.select(doc, F.coalesce(text, F.lit("")).alias("text")).join(marks, doc).select("text", F.col("y").cast("int").alias("y"))
+    return docs.select(doc, F.coalesce(text, F.lit("")).alias("text")).join(marks.hint("merge"), doc).select("text", F.col("y").cast("int").alias("y"))
 
 
-def log_count_ratios(train: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, int, int]:
-    """r of each bucket, and how many texts have label 0 and 1. Tasks send one row for
-    each of their 64 stretches of buckets; sums are made by stretch."""
-    width = features // 64
+_PARTS = 64
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, features + 1), np.int64)
-        texts = np.zeros(2, np.int64)
+
+def gather(train: DataFrame, sizes: dict[int, int], features: int, sample: int) -> DataFrame:
+    """One pass over the labelled texts. Rows with part >= 0: of a task, how many texts of each
+    label have each bucket of that part of the buckets. Rows with part -1: the texts of the
+    sample (about half of it for each label), by a threshold of a hash of the text."""
+    share = {y: min(1.0, (sample // 2 + 6 * (sample // 2) ** 0.5 + 20) / max(n, 1)) for y, n in sizes.items()}
+    limit = {y: int(s * (1 << 30)) for y, s in share.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, place, some = np.zeros((2, features + 1), np.int32), scratch(features), False
+        names = ["part", "n0", "n1", "text", "y", "chosen"]
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int64())
+        row = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
         for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                total[y, np.unique(gram_buckets(codes_of(text), features))] += 1
-                texts[y] += 1
-        if texts.any():
-            parts = total[:, :-1].reshape(2, 64, width)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), *(pa.array([p.tobytes() for p in parts[y]], pa.binary()) for y in (0, 1)), *(pa.array(np.full(64, texts[y])) for y in (0, 1))], ["part", "n0", "n1", "t0", "t1"])
+            picked = []
+            for text, y, chosen in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "chosen")), strict=True):
+                total[y, distinct(gram_buckets(codes_of(text), features).ravel(), place)] += 1
+                some = True
+                if chosen < limit[y]:
+                    picked.append((text, y, chosen))
+            if picked:
+                n = len(picked)
+                yield row([-1] * n, [None] * n, [None] * n, *map(list, zip(*picked, strict=True)))
+        if some:
+            parts = total[:, :-1].reshape(2, _PARTS, features // _PARTS)
+            none = [None] * _PARTS
+            yield row(range(_PARTS), *([p.tobytes() for p in parts[y]] for y in (0, 1)), none, none, none)
+
+    rows = train.withColumn("chosen", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
+    return materialise(rows.mapInArrow(run, "part long, n0 binary, n1 binary, text string, y int, chosen long"), "gathered")
+
+
+def log_count_ratios(gathered: DataFrame, features: int) -> np.ndarray:
+    """r of each bucket: the tasks' counts summed part by part (64 rows of 32 KB come to the driver)."""
 
     def add(table: pa.Table) -> pa.Table:
-        sums = [sum(np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()) for c in ("n0", "n1")]
-        return pa.table({"part": table.column("part").slice(0, 1), "n0": pa.array([sums[0].tobytes()], pa.binary()), "n1": pa.array([sums[1].tobytes()], pa.binary()), "t0": [sum(table.column("t0").to_pylist())], "t1": [sum(table.column("t1").to_pylist())]})
+        sums = [sum(np.frombuffer(x, np.int32).astype(np.int64) for x in table.column(c).to_pylist()) for c in ("n0", "n1")]
+        return pa.table({"part": table.column("part").slice(0, 1), "n0": pa.array([sums[0].tobytes()], pa.binary()), "n1": pa.array([sums[1].tobytes()], pa.binary())})
 
-    schema = "part long, n0 binary, n1 binary, t0 long, t1 long"
-    rows = sorted(train.mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect())  # 64 rows, 4 MB
-    if not rows:
-        return np.zeros(features), 0, 0
-    p, q = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) + SMOOTH for k in (2, 1))
-    return np.log((p / p.sum()) / (q / q.sum())), rows[0][3], rows[0][4]
+    rows = sorted(gathered.where("part >= 0").groupBy("part").applyInArrow(add, "part long, n0 binary, n1 binary").collect())
+    q, p = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) + SMOOTH for k in (1, 2))
+    return np.log((p / p.sum()) / (q / q.sum()))
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
@@ -154,23 +178,23 @@ def fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray) -> tuple[np.ndarra
 
 def train_model(train: DataFrame, features: int = FEATURES, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights of all buckets and the intercept."""
-    train = materialise(train, "labelled")
-    r, n0, n1 = log_count_ratios(train, features)
-    if not n0 or not n1:
-        share = n1 / max(n0 + n1, 1)
+    sizes = {0: 0, 1: 0} | {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}  # two rows
+    if not sizes[0] or not sizes[1]:
+        share = sizes[1] / max(sum(sizes.values()), 1)
         return np.zeros(features), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
+    gathered = gather(train, sizes, features, sample)
+    r = log_count_ratios(gathered, features)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(features + 1, np.uint8)
+        place = scratch(features)
         for batch in batches:
             found = []
             for text in batch.column("text").to_pylist():
-                sums, members = piece_sums(gram_buckets(codes_of(text), features), r, seen)
-                found.append(members[int(sums.argmax())].astype(np.int32).tobytes())
+                found.append(max(pieces_in(gram_buckets(codes_of(text), features), place), key=lambda x: r[x].sum()).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("y")], ["found", "y"])
 
-    # half of each class where there are so many
-    by_class = [hash_sample(train.where(F.col("y") == y), "text", sample // 2, n) for y, n in ((0, n0), (1, n1))]
+    texts = gathered.where("part = -1").select("text", "y", "chosen")
+    by_class = [texts.where(F.col("y") == y).orderBy("chosen", "text").limit(sample // 2).select("text", "y") for y in (0, 1)]
     rows = by_class[0].unionByName(by_class[1]).mapInArrow(pick, "found binary, y int").toPandas()
     return fit([np.frombuffer(x, np.int32) for x in rows["found"]], rows["y"].to_numpy(), r)
 
@@ -181,9 +205,9 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float, doc: str = "do
     weights = weights.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(features + 1, np.uint8)
+        place = scratch(features)
         for batch in blocks(batches, "text"):
-            z = np.array([piece_sums(gram_buckets(codes_of(t or ""), features), weights, seen)[0].max() for t in batch.column("text").to_pylist()], np.float64) + intercept
+            z = np.array([max(weights[x].sum() for x in pieces_in(gram_buckets(codes_of(t or ""), features), place)) for t in batch.column("text").to_pylist()], np.float64) + intercept
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc", "score"])
 
     kind = docs.schema[doc].dataType.simpleString()
