@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm import kernel as K
@@ -49,8 +49,10 @@ LEAF = 64
 LEVELS = 3
 #: Rows of leaves that a task takes at once.
 LEAF_ROWS = 20_000
-#: Documents on a side of a square block: of a cluster, where sets are compared, and of a leaf.
+#: Documents on a side of a square block: of a cluster, where sets are compared (fewer where
+#: the sets are large, so that a side has some SIDE_GRAMS grams at most), and of a leaf.
 SIDE = 512
+SIDE_GRAMS = 400_000
 LEAF_SIDE = 2048
 BINS = 128
 _LOWEST = -(2**63)
@@ -109,7 +111,7 @@ def _features(gram: int, threshold: float, runs: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 1 << 20):
             grams, at = _sets(batch.column("text"), gram)
             n, size = batch.num_rows, np.diff(at)
             owner = np.repeat(np.arange(n), size)
@@ -217,7 +219,7 @@ def _link_leaves(table: pa.Table, least: float) -> pa.Table:
     return pa.table({"a": ids[far], "b": ids[root[far]]})
 
 
-def _in_squares(rows: DataFrame, size: str, order: str, side: int) -> DataFrame:
+def _in_squares(rows: DataFrame, size: str, order: str, side: Column) -> DataFrame:
     """Each row once for each square block of its group that it stands in: columns x <= y
     (the block) for blocks of ``side`` by ``side`` rows, dealt by a hash of ``order``."""
     count = F.ceil(F.col(size) / side).cast("int")
@@ -243,7 +245,7 @@ def candidate_links(features: DataFrame, reps: DataFrame, runs: int, threshold:
         if level < LEVELS:  # split what is too large on the next level's grams
             split = placed.where(F.col("n") > leaf).join(grams_of(level), "id").select("id", "run", "node", F.explode(F.get("grams", F.col("run"))).alias("gram"))
             nodes = split.select("id", "run", F.xxhash64("node", "gram").alias("node"))
-    leaves = _in_squares(leaves, "n", "id", side).select("id", "node", "x", "y")
+    leaves = _in_squares(leaves, "n", "id", F.lit(side)).select("id", "node", "x", "y")
     count = leaves.count()
     bucket = F.pmod(F.xxhash64("node", "x", "y"), F.lit(max(1, count // LEAF_ROWS))).alias("bucket")
     leaves = leaves.join(features.select("id", "minima"), "id").select("*", bucket)
@@ -301,15 +303,17 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", gram: int = G
     # documents with equal sets are one class; texts without grams are no copies of each other
     members = features.select("doc", "h", "size", "set_a", "set_b", F.when(F.col("size") == 0, F.col("id")).otherwise(-1).alias("alone"), "id")
     same_set = ["set_a", "set_b", "alone"]
-    least = members.groupBy(*same_set).agg(F.min(F.struct("doc", "h", "id")).alias("rep"), F.count_distinct("doc", "h").alias("copies"))
-    least = materialise(least.select(*same_set, F.col("rep.id").alias("id"), F.struct("rep.doc", "rep.h").alias("rep"), "copies"), "classes")
-    membership = members.drop("id").distinct().join(least, same_set).select("doc", "h", "rep", "copies", "id")
-    reps = least.where("alone = -1").select("id", F.col("rep.doc").alias("doc"), F.col("rep.h").alias("h"), "copies")
+    least = members.groupBy(*same_set).agg(F.min(F.struct("doc", "h", "id")).alias("rep"), F.count_distinct("doc", "h").alias("copies"), F.max("size").alias("size"))
+    least = materialise(least.select(*same_set, F.col("rep.id").alias("id"), F.struct("rep.doc", "rep.h").alias("rep"), "copies", "size"), "classes")
+    membership = members.drop("id", "size").distinct().join(least, same_set).select("doc", "h", "rep", "copies", "id")
+    reps = least.where("alone = -1").select("id", F.col("rep.doc").alias("doc"), F.col("rep.h").alias("h"), "copies", "size")
     clusters = materialise(components(candidate_links(features, reps, runs, threshold, leaf, leaf_side)), "clusters")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    wanted = reps.select("id", "doc", "h", "copies").join(clusters.withColumnRenamed("node", "id"), "id").join(sizes, "component")
-    sets = keyed.join(wanted, ["doc", "h"]).select("id", "component", "n", "copies", "text").mapInArrow(_gram_sets(gram), "id long, component long, n long, copies long, grams binary").dropDuplicates(["id"])
-    squares = _in_squares(materialise(sets, "sets"), "n", "id", side)
+    clustered = reps.join(clusters.withColumnRenamed("node", "id"), "id")
+    own_side = F.greatest(F.lit(1), F.least(F.lit(side), F.floor(F.lit(SIDE_GRAMS) / F.max("size")))).cast("int")
+    sizes = materialise(clustered.groupBy("component").agg(F.count("*").alias("n"), own_side.alias("side")), "sizes")
+    wanted = clustered.join(sizes, "component").select("id", "doc", "h", "copies", "component", "n", "side")
+    sets = keyed.join(wanted, ["doc", "h"]).select("id", "component", "n", "side", "copies", "text").mapInArrow(_gram_sets(gram), "id long, component long, n long, side int, copies long, grams binary").dropDuplicates(["id"])
+    squares = _in_squares(materialise(sets, "sets"), "n", "id", F.col("side"))
     found = materialise(squares.groupBy("component", "x", "y").applyInArrow(_compare_square(threshold), "id long, root long, links long"), "squares")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
@@ -324,7 +328,7 @@ def _gram_sets(gram: int):
         for batch in blocks(batches, "text"):
             grams, at = _sets(batch.column("text"), gram)
             packed = [grams[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "component", "n", "copies")), pa.array(packed, pa.binary())], ["id", "component", "n", "copies", "grams"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "component", "n", "side", "copies")), pa.array(packed, pa.binary())], ["id", "component", "n", "side", "copies", "grams"])
 
     return run
 
