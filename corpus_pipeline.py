@@ -37,9 +37,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slack=0, per_window=1)
-    hit = found.where("n_hit > 0").select("doc_id").distinct()
+    """Documents without any window of a benchmark item, word for word or by proximity."""
+    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = found.where("n_hit > 0 or size(near_items) > 0").select("doc_id").distinct()
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
 
 

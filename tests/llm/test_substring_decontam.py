@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import types as T
 
-from trellis.llm import decontam, substring
+import corpus_pipeline
+from trellis.llm import decontam, registry, substring
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n", T.StringType()), T.StructField("lo", T.StringType()), T.StructField("row", T.StringType())])
 
@@ -130,3 +131,20 @@ def test_decontam_empty_sides(spark):
     for items in ([], [(1, None)]):
         r = decontam.digests(run_decontam(spark, [(1, "a b c")], items)).first()
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (3, 0, 0, False) and r.items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def written(spark, tmp_path, rows, items):
+    """A folder of documents and benchmark."""
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_query_and_stage_find_near_matches(spark, tmp_path):
+    item = [f"w{i}" for i in range(40)]
+    near = " ".join("w0" if i % 10 == 5 else w for i, w in enumerate(item))  # every tenth word changed
+    folder = written(spark, tmp_path, [(1, near), (2, " ".join(item)), (3, "nothing of it"), (4, None)], [(7, " ".join(item))])
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated, r.n_near_items) for r in registry.op2_near_matches(spark, folder).collect()}
+    assert got == {1: (0, 0, False, 1), 2: (40, 1, True, 1), 3: (0, 0, False, 0), 4: (0, 0, False, 0)}
+    kept = corpus_pipeline.decontamination(spark, registry.documents(spark, folder), folder)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4]
