@@ -148,3 +148,34 @@ def test_query_and_stage_find_near_matches(spark, tmp_path):
     assert got == {1: (0, 0, False, 1), 2: (40, 1, True, 1), 3: (0, 0, False, 0), 4: (0, 0, False, 0)}
     kept = corpus_pipeline.decontamination(spark, registry.documents(spark, folder), folder)
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4]
+
+
+def brute_near(text, item, window=10, slack=2, share=0.8):
+    """A window of the item with a share of its terms within slack of one shift."""
+    words, terms = words_of(text), words_of(item)
+    size = min(window, len(terms))
+    for start in range(len(terms) - size + 1):
+        for shift in range(-len(terms) - slack, len(words) + slack + 1):
+            there = sum(any(0 <= shift + k + off < len(words) and words[shift + k + off] == terms[k] for off in range(-slack, slack + 1)) for k in range(start, start + size))
+            if there >= share * size:
+                return True
+    return False
+
+
+def test_proximity_matches_brute_force(spark):
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(40)]
+    items, rows = [], []
+    for i in range(25):
+        words = [rng.choice(common) for _ in range(rng.choice([5, 10, 10, 12, 25]))]
+        words[rng.randrange(len(words))] = f"name{i}"  # in no text, or in few
+        items.append((i, " ".join(words)))
+        for k in range(4):
+            copy = [f"new{i}" if w.startswith("name") and k < 2 else w for w in words]
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 1)] = rng.choice([[], [rng.choice(common)], ["odd", "odd"]])
+            rows.append((4 * i + k, " ".join(["pad"] * rng.randint(0, 3) + copy + [rng.choice(common)] * rng.randint(0, 3))))
+    want = {d: sorted(str(i) for i, t in items if brute_near(text, t)) for d, text in rows}
+    got = {r.doc_id: r.near_items for r in run_decontam(spark, rows, items).collect()}
+    assert got == want and sum(map(bool, want.values())) > 40

@@ -3,22 +3,26 @@
 1. Windows of the test items are their runs of ``window`` words (a shorter item
    is one window). Terms are 64-bit hashes of words.
 2. One pass over the training texts counts the test terms. A window with a term
-   that never occurs cannot match; each other window is looked up by its rarest
-   terms, its anchors.
+   that never occurs cannot match exactly; each other window is looked up by its
+   rarest terms, its anchors. With ``slack``, a window may miss as many terms as
+   ``near_share`` leaves free: those that never occur are some of these, and
+   anchors are one term more than the rest of them, so one stands in any match.
 3. A second pass stores the postings: for each text, the positions of anchors
-   and of the test terms within reach of one. They are a Parquet table in the
-   shared folder, so the texts are never shuffled.
+   and of the test terms within reach of one. Anchors around which no window can
+   have enough of its terms, wherever they stand, are left out. The postings are a
+   Parquet table in the shared folder, so the texts are never shuffled.
 4. Anchor postings are joined to the test items on the term, and each position
    is adjusted by the anchor's offset in the item: an alignment (text, item,
    shift). The other terms' postings are intersected at the same shift; runs
    that cover a whole window are exact phrase matches. With ``slack``, terms
    may stand that many words off: a window with ``near_share`` of its terms in
-   place is a proximity match.
+   place, for one shift of the window, is a proximity match. All shifts at which
+   an anchor may stand that far off are tried.
 
 A very common test passage gives one alignment for each text that has it, and
 joins on terms are split by AQE. Test items are taken in blocks of at most
 MAX_WINDOWS windows, so what travels to the executors (the terms of one block,
-8 bytes each) is bounded however many items there are.
+12 bytes each, and 24 bytes for each anchor) is bounded however many items there are.
 
 Defined cases: null or empty texts and items have no words, hence no matches,
 and the digest of an empty list; a text as long as memory allows is indexed
@@ -43,11 +47,12 @@ WINDOW = 10
 SLACK = 2
 NEAR_SHARE = 0.8
 MAX_WINDOWS = 500_000
-#: Rarest terms by which a window is looked up: one finds every exact match, a
-#: second finds windows whose rarest word was changed.
+#: Rarest terms by which a window is looked up, at least: one finds every exact
+#: match; proximity takes as many as may be missing, and one more.
 ANCHORS = 2
-#: Alignments checked at once.
+#: Alignments checked at once, and places of anchors.
 STEP = 4096
+CANDIDATES = 20_000
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,20 +98,70 @@ def count_terms(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") ->
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def anchors(found_items: DataFrame, counts: DataFrame, window: int = WINDOW, per_window: int = ANCHORS) -> DataFrame:
-    """item, at (offset in the item), term: the rarest terms of each window all of whose terms occur."""
+def anchors(found_items: DataFrame, counts: DataFrame, window: int = WINDOW, per_window: int = ANCHORS, near_share: float = 1.0) -> DataFrame:
+    """item, at (offset in the item), term: the rarest terms that occur, of each window of
+    whose terms a share of near_share occurs."""
     size = F.least(F.size("terms"), F.lit(window))
     windows = found_items.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("terms") - size)))
     words = windows.select("item", "terms", "start", F.posexplode(F.slice("terms", F.col("start") + 1, size)).alias("k", "term"))
     rated = words.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = rated.groupBy("item", "terms", "start").agg(F.min("n").alias("least"), F.sort_array(F.collect_list(F.struct("n", "term", "k"))).alias("by_n"))
-    picked = rarest.where("least > 0").select("item", "terms", "start", F.explode(F.slice("by_n", 1, per_window)).alias("r"))
+    rarest = rated.groupBy("item", "terms", "start").agg(F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct("n", "term", "k")))).alias("by_n"), F.count("*").alias("size"))
+    spare = F.size("by_n") - F.ceil(F.lit(near_share) * F.col("size"))  # terms that occur and may be missing
+    picked = rarest.where(spare >= 0).select("item", "terms", "start", F.explode(F.slice("by_n", F.lit(1), F.greatest(F.lit(per_window), spare + 1).cast("int"))).alias("r"))
     return picked.select("item", "terms", (F.col("start") + F.col("r.k")).alias("at"), F.col("r.term").alias("term")).distinct()
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray, anchor_terms: np.ndarray, reach: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def places(block: DataFrame, anchor_rows: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where anchors stand in the items of a block: the terms of all items as indexes into
+    the vocabulary; and by anchor, for term k the entries from[k] to from[k + 1] of the index
+    of its item's first term, of the item's size and of the offset."""
+    key = F.xxhash64("item", "terms").alias("key")
+    whole = block.select(key, "terms").toArrow().combine_chunks()
+    rows = anchor_rows.select(key, "at", "term").toPandas()
+    flat, item_at = _flat(whole.column("terms").combine_chunks())
+    keys = whole.column("key").to_numpy()
+    order = np.argsort(keys)
+    item = order[np.searchsorted(keys[order], rows["key"].to_numpy())]
+    term = _index_in(rows["term"].to_numpy().view(np.uint64), vocabulary)
+    by_term = np.argsort(term, kind="stable")
+    starts = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1))
+    item = item[by_term]
+    return _index_in(flat.view(np.uint64), vocabulary).astype(np.int32), starts, item_at[item], np.diff(item_at)[item], rows["at"].to_numpy()[by_term].astype(np.int64)
+
+
+def _promising(codes: np.ndarray, first: np.ndarray, hits: np.ndarray, owner: np.ndarray, where: tuple[np.ndarray, ...], window: int, slack: int, near_share: float) -> np.ndarray:
+    """Whether enough terms of a window stand around each hit, within 2 * slack of the hit's shift."""
+    item_codes, starts, item_first, item_size, item_offset = where
+    pad = window + 2 * slack
+    padded = np.full(len(codes) + pad * (len(first) + 1), -1, np.int32)
+    padded[np.arange(len(codes)) + pad * (1 + np.repeat(np.arange(len(first) - 1), np.diff(first)))] = codes
+    base = hits + pad * (owner + 1)
+    begin, count = starts[codes[hits]], starts[codes[hits] + 1] - starts[codes[hits]]
+    ends = np.cumsum(count)
+    out = np.zeros(len(hits), bool)
+    around, wider = np.arange(1 - window, window), np.arange(1 - window - 2 * slack, window + 2 * slack)
+    for low in range(0, int(ends[-1]) if len(ends) else 0, CANDIDATES):
+        entry = np.arange(low, min(low + CANDIDATES, ends[-1]))
+        hit = np.searchsorted(ends, entry, side="right")
+        place = begin[hit] + entry - (ends[hit] - count[hit])
+        at = item_offset[place][:, None] + around
+        inside = (at >= 0) & (at < item_size[place][:, None])
+        want = np.where(inside, item_codes[np.where(inside, item_first[place][:, None] + at, 0)], -2)
+        text = padded[base[hit][:, None] + wider]
+        there = np.zeros(want.shape, bool)
+        for moved in range(4 * slack + 1):
+            there |= text[:, moved : moved + len(around)] == want
+        sums = np.cumsum(np.pad(there, ((0, 0), (1, 0))), axis=1, dtype=np.int16)
+        most = (sums[:, window:] - sums[:, :window]).max(axis=1)
+        out[hit[most >= near_share * np.minimum(item_size[place], window)]] = True
+    return out
+
+
+def build_index(docs: DataFrame, vocabulary: np.ndarray, where: tuple[np.ndarray, ...], window: int, slack: int, near_share: float, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each text: row, doc, n_words, anchor_terms and anchor_at, and the
     postings (terms, at) of test terms within reach of an anchor, by position."""
+    reach = window + 2 * slack
+    is_anchor = np.append(np.diff(where[1]) > 0, False)  # the last for no term, -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -114,11 +169,14 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, anchor_terms: np.ndarra
         for batch in blocks(batches, "text"):
             n = batch.num_rows
             terms, first = _terms(batch.column("text"))
-            hits = np.flatnonzero(_index_in(terms, anchor_terms) >= 0)
+            codes = _index_in(terms, vocabulary)
+            hits = np.flatnonzero(is_anchor[codes])
             owner = np.searchsorted(first, hits, side="right") - 1
+            some = _promising(codes, first, hits, owner, where, window, slack, near_share)
+            hits, owner = hits[some], owner[some]
             near = hits[:, None] + around
             near = np.unique(near[(near >= first[owner][:, None]) & (near < first[owner + 1][:, None])])
-            near = near[_index_in(terms[near], vocabulary) >= 0]
+            near = near[codes[near] >= 0]
             near_owner = np.searchsorted(first, near, side="right") - 1
 
             def lists(values, owners):
@@ -169,25 +227,25 @@ def match(index: DataFrame, anchor_rows: DataFrame, window: int = WINDOW, slack:
                 offset = np.arange(len(items_flat)) - item_at[owner]
                 want = (owner << 32) + shift[owner] + offset + slack
 
-                def stands(off, want=want, keys=keys, terms=terms, items_flat=items_flat, shift=shift, owner=owner, offset=offset):
+                def at_off(off, want=want, keys=keys, terms=terms, items_flat=items_flat, shift=shift, owner=owner, offset=offset):
                     if not len(keys):
                         return np.zeros(len(want), bool)
                     i = np.minimum(np.searchsorted(keys, want + off), len(keys) - 1)
                     return (keys[i] == want + off) & (terms[i] == items_flat) & (shift[owner] + offset + off >= 0)
 
-                exact = stands(0)
-                near = exact.copy()
-                for off in range(1, slack + 1):
-                    near |= stands(off) | stands(-off)
+                stands = {off: at_off(off) for off in range(-2 * slack, 2 * slack + 1)}
+                exact = stands[0]
                 length = np.minimum(sizes, window)
-                sums, near_sums = (np.concatenate([[0], np.cumsum(x)]) for x in (exact, near))
+                sums = np.concatenate([[0], np.cumsum(exact)])
                 first = offset <= (sizes - length)[owner]  # a window starts here
                 here = np.flatnonzero(first)
                 long = length[owner[here]]
                 full = here[sums[here + long] - sums[here] == long]
-                close = here[near_sums[here + long] - near_sums[here] >= near_share * long]
                 near_rows = np.zeros(n, bool)
-                near_rows[owner[close]] = True
+                for moved in range(-slack, slack + 1):  # the anchor itself may stand off
+                    near = np.any([stands[moved + off] for off in range(-slack, slack + 1)], axis=0)
+                    near_sums = np.concatenate([[0], np.cumsum(near)])
+                    near_rows[owner[here[near_sums[here + long] - near_sums[here] >= near_share * long]]] = True
                 # runs of exact windows become spans
                 start = shift[owner[full]] + offset[full]
                 new = np.ones(len(full), bool)
@@ -213,17 +271,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
     """For each text: doc, n_words, n_hit, items (sorted strings, exact), near_items
     (sorted strings, exact or by proximity)."""
     found = materialise(items(benchmark), "items")
+    near_share = near_share if slack else 1.0
     index = matches = None
     for block in _blocks_of(found, window, limit):
         vocabulary = np.unique(np.array(block.select(F.explode("terms").alias("t")).distinct().toPandas()["t"], np.int64).view(np.uint64))
-        anchor_rows = materialise(anchors(block, count_terms(docs, vocabulary, text), window, per_window), "anchors")
-        anchor_terms = np.unique(np.array(anchor_rows.select("term").distinct().toPandas()["term"], np.int64).view(np.uint64))
-        part = materialise(build_index(docs, vocabulary, anchor_terms, window + slack, doc, text), "postings")
+        anchor_rows = materialise(anchors(block, count_terms(docs, vocabulary, text), window, per_window, near_share), "anchors")
+        where = places(block, anchor_rows, vocabulary)
+        part = materialise(build_index(docs, vocabulary, where, window, slack, near_share, doc, text), "postings")
         index = index if index is not None else part
         hit = match(part, anchor_rows, window, slack, near_share)
         matches = hit if matches is None else matches.unionByName(hit)
     if index is None:  # no item has a word
-        index = build_index(docs, np.zeros(0, np.uint64), np.zeros(0, np.uint64), 0, doc, text)
+        none = np.zeros(0, np.int64)
+        index = build_index(docs, np.zeros(0, np.uint64), (none.astype(np.int32), np.zeros(1, np.int64), none, none, none), window, slack, near_share, doc, text)
         return index.select(F.col("doc").alias(doc), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<string>").alias("near_items"))
     matches = materialise(matches, "matches")
     by_item = matches.groupBy("row", "item").agg(F.max(F.size("spans") > 0).alias("exact"))
