@@ -179,3 +179,12 @@ def test_proximity_matches_brute_force(spark):
     want = {d: sorted(str(i) for i, t in items if brute_near(text, t)) for d, text in rows}
     got = {r.doc_id: r.near_items for r in run_decontam(spark, rows, items).collect()}
     assert got == want and sum(map(bool, want.values())) > 40
+
+
+def test_items_without_an_id(spark):
+    one, two = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(12))
+    rows = [(1, one), (2, two + " x " + one), (3, "c d"), (4, "e f g")]
+    found = run_decontam(spark, rows, [(None, one), (None, two), (5, two), (6, "e f g")]).collect()
+    assert {r.doc_id: (r.n_hit, r["items"], r.near_items) for r in found} == {1: (12, [None], [None]), 2: (24, [None, "5"], [None, "5"]), 3: (0, [], []), 4: (3, ["6"], ["6"])}
+    shown = decontam.digests(run_decontam(spark, rows[:2], [(None, one), (5, two)])).collect()
+    assert {r.doc_id: (r.n_items, r.items_sha256) for r in shown} == {1: (1, hashlib.sha256(b"").hexdigest()), 2: (2, hashlib.sha256(b"5").hexdigest())}

@@ -27,7 +27,9 @@ MAX_WINDOWS windows, so what travels to the executors (the terms of one block,
 Defined cases: null or empty texts and items have no words, hence no matches,
 and the digest of an empty list; a text as long as memory allows is indexed
 whole. Rows that repeat a doc_id, or have none, are separate texts. Rows that
-repeat an item_id count as one item. Empty tables give no rows, or clean ones.
+repeat an item_id count as one item. Items without an item_id are one item, named
+null (the first of a list): their spans and they themselves count, and digests of
+lists leave out the name, as the SQL does. Empty tables give no rows, or clean ones.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ def items(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column("item"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(K.signed(terms)))], ["item", "terms"])
 
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "item string, terms array<long>").where("item is not null and size(terms) > 0").distinct()
+    return rows.mapInArrow(run, "item string, terms array<long>").where("size(terms) > 0").distinct()
 
 
 def count_terms(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") -> DataFrame:
@@ -287,7 +289,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
         return index.select(F.col("doc").alias(doc), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<string>").alias("near_items"))
     matches = materialise(matches, "matches")
     by_item = matches.groupBy("row", "item").agg(F.max(F.size("spans") > 0).alias("exact"))
-    item_lists = by_item.groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("items"), F.sort_array(F.collect_list("item")).alias("near_items"))
+    both = by_item.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("item", "exact"))).alias("found"))  # structs: null names stay
+    item_lists = both.select("row", F.transform(F.filter("found", lambda x: x["exact"]), lambda x: x["item"]).alias("items"), F.col("found.item").alias("near_items"))
     spans = matches.select("row", F.explode("spans").alias("s")).select("row", "s.*").distinct()
     before = Window.partitionBy("row").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("to") - F.greatest(F.col("from"), F.coalesce(F.max("to").over(before), F.lit(0))))
