@@ -96,3 +96,16 @@ def test_components(spark):
 
 def test_runs_follow_the_target():
     assert chosen_path.runs_for(0.9, 0.8) < chosen_path.runs_for(0.999, 0.8) < 30
+
+
+def test_recall_of_contained_texts_at_full_depth(spark):
+    rows = []
+    for i in range(4000):  # one text in a longer one: 96 of 120 grams, in no other text
+        words = [f"p{i}w{j}" for j in range(124)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:100]))]
+    runs = chosen_path.runs_for(chosen_path.TARGET_RECALL, 0.8)
+    keyed = chosen_path._keyed(frame(spark, rows), "doc_id", "text")
+    # leaf=1: each node is split to the last level, as the nodes of a hot template are
+    features = keyed.select("doc", "h", "text").mapInArrow(chosen_path._features(chosen_path.GRAM, 0.8, runs), chosen_path._FEATURES).localCheckpoint()
+    found = chosen_path.candidate_links(features, features.select("id"), runs, leaf=1)
+    assert found.count() >= 3996  # 0.9999 of them are expected

@@ -67,13 +67,12 @@ def runs_for(recall: float, threshold: float) -> int:
     """Runs after which a pair at the threshold has met with the target probability.
 
     A shared gram is chosen by both with probability 1 / (threshold * larger
-    size); of sets of like size, 2t / (1 + t) of the grams are shared, so a level
-    has on average m = 2 / (1 + t) shared children and at least one with
-    probability near 1 - exp(-m). LEVELS levels in a row bound a run from below."""
-    reach = 1.0
-    m = 2 / (1 + threshold)
-    for _ in range(LEVELS):  # survival of a branching process
-        reach = 1 - math.exp(-m * reach)
+    size). A pair at the threshold shares at least threshold * larger size grams
+    (as many where one set contains the other), so a level has one shared child
+    on average, or more, and at least one with probability 1 - exp(-1), or more.
+    All nodes of a run and level choose alike: a pair meets in a run if each of
+    its LEVELS levels has a shared choice."""
+    reach = (1 - math.exp(-1)) ** LEVELS
     return math.ceil(math.log(1 - recall) / math.log(1 - reach))
 
 
