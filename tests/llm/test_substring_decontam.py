@@ -188,3 +188,9 @@ def test_items_without_an_id(spark):
     assert {r.doc_id: (r.n_hit, r["items"], r.near_items) for r in found} == {1: (12, [None], [None]), 2: (24, [None, "5"], [None, "5"]), 3: (0, [], []), 4: (3, ["6"], ["6"])}
     shown = decontam.digests(run_decontam(spark, rows[:2], [(None, one), (5, two)])).collect()
     assert {r.doc_id: (r.n_items, r.items_sha256) for r in shown} == {1: (1, hashlib.sha256(b"").hexdigest()), 2: (2, hashlib.sha256(b"5").hexdigest())}
+
+
+def test_repeated_row_keeps_its_text(spark):
+    line = " ".join(f"w{i}" for i in range(40))
+    out = substring.dedup(frame(spark, [(1, line), (1, line), (2, "a b")]).repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_removed, r.kept) for r in out) == [(1, 0, line), (1, 0, line), (2, 0, "a b")]

@@ -257,6 +257,8 @@ def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", window: in
     """doc, h, lo, n: runs of n windows from window lo on, all of which start earlier
     too; and whether h tells rows of one doc apart (otherwise it is 0)."""
     rows, several = _by_key(docs, doc, text)
+    if several:  # a row that is read twice is not earlier than itself
+        rows = rows.dropDuplicates(["doc", "h"])
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     marks = _settled(rows.select("doc", "h", "text").mapInArrow(_by_blocks(_seed_entries(window, seed), buckets, True, many, block_bytes), _SENT), True, "seeds")
