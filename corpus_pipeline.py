@@ -38,9 +38,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item, word for word or by proximity."""
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where("n_hit > 0 or size(near_items) > 0").select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    # rows that share a doc_id, or have none, are told apart by a hash of the text
+    own = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("__row"), "text")
+    found = decontam.decontaminate(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__row")
+    hit = found.where("n_hit > 0 or size(near_items) > 0").select(F.col("__row.id").alias("__id"), F.col("__row.h").alias("__h")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left_anti")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -194,3 +194,10 @@ def test_repeated_row_keeps_its_text(spark):
     line = " ".join(f"w{i}" for i in range(40))
     out = substring.dedup(frame(spark, [(1, line), (1, line), (2, "a b")]).repartition(3)).collect()
     assert sorted((r.doc_id, r.n_removed, r.kept) for r in out) == [(1, 0, line), (1, 0, line), (2, 0, "a b")]
+
+
+def test_stage_removes_rows_not_ids(spark, tmp_path):
+    item = " ".join(f"w{i}" for i in range(12))
+    folder = written(spark, tmp_path, [(1, item), (1, "clean one"), (None, item + " x"), (None, "clean two"), (2, None)], [(7, item)])
+    kept = corpus_pipeline.decontamination(spark, registry.documents(spark, folder), folder).collect()
+    assert sorted(str(r.text) for r in kept) == ["None", "clean one", "clean two"]
