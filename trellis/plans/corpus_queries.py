@@ -48,6 +48,11 @@ def json_fields(spark, d):
     return t(spark, d, "events").where("event_id < 500").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
+@register("json_fields_all", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_fields_all(spark, d):
+    return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
 @register(
     "cue_gate",
     """SELECT conv_id, turn, regexp_matches(lower(text), 'how many|count|total') AS wants_count, contains(lower(text), '?') AS is_question FROM conversations WHERE role = 'user'""",

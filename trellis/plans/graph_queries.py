@@ -257,3 +257,52 @@ def fallback_chain(spark, d):
 def named_parameters(spark, d):
     t(spark, d, "customer").createOrReplaceTempView("__customer")
     return spark.sql("SELECT c_custkey, c_name FROM __customer WHERE c_mktsegment = :segment AND c_acctbal > :least", args={"segment": "BUILDING", "least": 9000})
+
+
+# ---- the patterns above that are asked about a few ids, over all nodes ----------------------
+
+
+@register(
+    "graph_shared_variables_all",
+    """SELECT DISTINCT 'c' || c_custkey AS c, 's' || s_suppkey AS s, 'p' || l_partkey AS p FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
+    JOIN (SELECT DISTINCT l_suppkey AS sk, l_partkey AS pk FROM lineitem) ON pk = l_partkey JOIN supplier ON s_suppkey = sk WHERE s_nationkey = c_nationkey""",
+)
+def graph_shared_variables_all(spark, d):
+    """Suppliers are reached from the parts bought, and nations bound last: no row for each customer and supplier of a nation."""
+    g = star_graph(spark, d)
+    bought = g.match("c", "Customer").out("c", "PLACED", "o").out("o", "CONTAINS", "p").table().select("c", "p").distinct()
+    found = Pattern(g, bought, 0).into("p", "SUPPLIES", "s", "Supplier").out("s", "BASEDIN", "n").out("c", "LIVESIN", "n")
+    return found.table().select("c", "s", "p").distinct()
+
+
+@register(
+    "graph_distinct_relationships_all",
+    "SELECT 'n' || a.c_nationkey AS n, count(*) AS pairs FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey GROUP BY a.c_nationkey",
+)
+def graph_distinct_relationships_all(spark, d):
+    """Ordered pairs of distinct relationships, counted from their number and not listed."""
+    sizes = star_graph(spark, d).match("a", "Customer").out("a", "LIVESIN", "n").table().groupBy("n").agg(F.count("*").alias("k"))
+    return sizes.where("k > 1").select("n", (F.col("k") * (F.col("k") - 1)).alias("pairs"))
+
+
+@register(
+    "graph_optional_gap_all",
+    """SELECT 'p' || p_partkey AS p, NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) AS no_lines, x.pk IS NULL AS no_supplier FROM part
+    LEFT JOIN (SELECT DISTINCT l_partkey AS pk FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE n_name = 'NATION_9') x ON x.pk = p_partkey
+    WHERE x.pk IS NULL""",
+)
+def graph_optional_gap_all(spark, d):
+    g = star_graph(spark, d)
+    lines = g.match("p", "Part").into("p", "CONTAINS", "o").table().select("p", F.lit(True).alias("has_lines")).distinct()
+    one = F.element_at("props", F.lit("name")) == "NATION_9"
+    suppliers = g.match("p", "Part").into("p", "SUPPLIES", "s", "Supplier").out("s", "BASEDIN", "n", "Nation", where=one).table().select("p", F.lit(True).alias("has_supplier")).distinct()
+    whole = g.match("p", "Part").table().join(lines, "p", "left").join(suppliers, "p", "left")
+    return whole.select("p", F.col("has_lines").isNull().alias("no_lines"), F.col("has_supplier").isNull().alias("no_supplier")).where("no_lines or no_supplier")
+
+
+@register("path_explanation_all", "SELECT c_name AS customer, 'LIVESIN' AS step_1, n_name AS nation, 'PARTOF' AS step_2, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def path_explanation_all(spark, d):
+    g = star_graph(spark, d)
+    p = g.match("c", "Customer").out("c", "LIVESIN", "n").out("n", "PARTOF", "r").table()
+    named = g.props(g.props(g.props(p, "c", customer="name"), "n", nation="name"), "r", region="name")
+    return named.select("customer", F.lit("LIVESIN").alias("step_1"), "nation", F.lit("PARTOF").alias("step_2"), "region")
