@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -31,7 +32,7 @@ class TableSpec:
     props: dict[str, str] = field(default_factory=dict)  # column -> property
     links: tuple[Link, ...] = ()
     label_column: str | None = None  # first of the labels that the node has
-    derived: dict[str, Column] = field(default_factory=dict)
+    derived: dict[str, Column | Callable[[], Column]] = field(default_factory=dict)  # functions where no session exists yet
 
 
 def project_table(graph: Graph, spec: TableSpec) -> DataFrame:
@@ -43,7 +44,8 @@ def project_table(graph: Graph, spec: TableSpec) -> DataFrame:
         one, other = ("src", "dst") if link.forward else ("dst", "src")
         ends = graph.edges.where(F.col("type") == link.type).groupBy(F.col(one).alias(spec.key)).agg(F.min(other).alias(link.column))
         table = table.join(ends, spec.key, "inner" if link.required else "left")
-    return table.withColumns(spec.derived) if spec.derived else table
+    derived = {c: e() if callable(e) else e for c, e in spec.derived.items()}
+    return table.withColumns(derived) if derived else table
 
 
 def project_relation(graph: Graph, type_: str, left: str, right: str, left_labels: tuple[str, ...] = (), right_labels: tuple[str, ...] = ()) -> DataFrame:
@@ -106,3 +108,9 @@ def role_phase_rollup(rows: DataFrame, phase: str, role: str, member: str) -> Da
     elsewhere = rows.groupBy(role, member).agg(F.count_distinct(phase).alias("__n"))
     alone = rows.join(elsewhere.where("__n = 1"), [role, member]).groupBy(role, phase).agg(F.sort_array(F.collect_set(member)).alias("only_here"))
     return sets.join(alone, [role, phase], "left").withColumn("only_here", F.coalesce("only_here", F.array().cast("array<string>")))
+
+
+def fits_role_phase(rows: DataFrame, role: str, phase: str, roles: list[str], phases: list[str]) -> DataFrame:
+    """One row, ``fits``: some role and some phase are known, and there are two phases or more."""
+    known = lambda c, values: F.coalesce(F.bool_or(F.col(c).isin(values)), F.lit(False))
+    return rows.agg((known(role, roles) & known(phase, phases) & (F.count_distinct(phase) >= 2)).alias("fits"))

@@ -87,6 +87,16 @@ def average_without_nan(value: Column) -> Column:
     return F.avg(F.nanvl(value, F.lit(None).cast("double")))
 
 
+def mean_or_zero(value: Column) -> Column:
+    """An average that is 0.0 where there is nothing to average."""
+    return F.coalesce(average_without_nan(value.cast("double")), F.lit(0.0))
+
+
+def canonical_json(df: DataFrame) -> Column:
+    """A row of df as JSON with its fields in order of name; null fields are left out."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]))
+
+
 def bucket(score: Column) -> Column:
     """perfect, high, mid, low, zero or nan."""
     return (
@@ -110,6 +120,5 @@ def retry_stats(attempts: Column, success: Column) -> list[Column]:
 def stats_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean and count by each single key and over all, in one grouping-sets pass."""
     sets = ", ".join(f"({k})" for k in keys) + ", ()"
-    df.createOrReplaceTempView("__stats")
     named = ", ".join(f"cast({k} AS STRING) AS {k}" for k in keys)
-    return df.sparkSession.sql(f"SELECT {named}, count(*) AS n, round(avg({value}), 6) AS mean_value FROM __stats GROUP BY GROUPING SETS ({sets})")
+    return df.sparkSession.sql(f"SELECT {named}, count(*) AS n, round(avg({value}), 6) AS mean_value FROM {{rows}} GROUP BY GROUPING SETS ({sets})", rows=df)

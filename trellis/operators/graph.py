@@ -33,13 +33,19 @@ class Graph:
         found = self.label(*labels) if labels else self.nodes
         return (found if where is None else found.where(where)).select(F.col("id").alias(var))
 
-    def props(self, rows: DataFrame, var: str, **named: str) -> DataFrame:
-        """rows with properties of the node in column var: out=property name. A null id gives nulls."""
-        picked = self.nodes.select(F.col("id").alias(var), *[F.element_at("props", F.lit(p)).alias(out) for out, p in named.items()])
-        return rows.join(picked, var, "left")
-
-    def labels_of(self, rows: DataFrame, var: str, out: str) -> DataFrame:
-        return rows.join(self.nodes.select(F.col("id").alias(var), F.col("labels").alias(out)), var, "left")
+    def props(self, rows: DataFrame, var: str, *labels: str, **named: str | tuple[str, ...]) -> DataFrame:
+        """rows with properties of the node in column var: out=property name, or out=names of which
+        the first that is set counts. A null id gives nulls. With labels, which the nodes must be known
+        to have, only nodes with any of them are read."""
+        value = lambda p: F.element_at("props", F.lit(p)) if isinstance(p, str) else F.coalesce(*[F.element_at("props", F.lit(x)) for x in p])
+        nodes = self.label(*labels) if labels else self.nodes
+        return rows.join(nodes.select(F.col("id").alias(var), *[value(p).alias(out) for out, p in named.items()]), var, "left")
+
+    def labels_of(self, rows: DataFrame, var: str, out: str, *labels: str, at: int | None = None) -> DataFrame:
+        """rows with the labels of the node in column var, or with the label at a place (from 0; null beyond)."""
+        nodes = self.label(*labels) if labels else self.nodes
+        value = F.col("labels") if at is None else F.get("labels", F.lit(at))
+        return rows.join(nodes.select(F.col("id").alias(var), value.alias(out)), var, "left")
 
     def type_counts(self) -> DataFrame:
         return self.edges.groupBy("type").agg(F.count("*").alias("n"))

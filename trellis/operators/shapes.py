@@ -46,11 +46,12 @@ def keyed_diff(left: DataFrame, right: DataFrame, keys: list[str], fields: list[
     both = a.join(b, keys, "full_outer")
     absent = F.when(F.col("__r").isNull(), "missing_right").when(F.col("__l").isNull(), "missing_left")
     differs = [~F.col(f"__l_{f}").eqNullSafe(F.col(f"__r_{f}")) for f in fields]
-    both = both.where(absent.isNotNull() | reduce(or_, differs))
+    both = both.where(reduce(or_, differs, absent.isNotNull()))
     entry = lambda kind, field, l, r: F.struct(kind.alias("kind"), F.lit(field).cast("string").alias("field"), l.cast("string").alias("left_value"), r.cast("string").alias("right_value"))
     null = F.lit(None)
     per_field = F.array(*[F.when(d, entry(F.lit("mismatch"), f, F.col(f"__l_{f}"), F.col(f"__r_{f}"))) for f, d in zip(fields, differs, strict=True)])
-    rows = F.when(absent.isNotNull(), F.array(entry(absent, None, null, null))).otherwise(F.filter(per_field, lambda x: x.isNotNull()))
+    whole = F.array(entry(absent, None, null, null))
+    rows = F.when(absent.isNotNull(), whole).otherwise(F.filter(per_field, lambda x: x.isNotNull())) if fields else whole
     return both.select(*keys, F.explode(rows).alias("d")).select(*keys, "d.*")
 
 

@@ -43,13 +43,9 @@ def shorten_text(spark, d):
     return t(spark, d, "documents").select("doc_id", X.shorten(F.col("text"), 60).alias("short"))
 
 
-@register("json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id < 500")
-def json_fields(spark, d):
-    return t(spark, d, "events").where("event_id < 500").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-
-
+@register("json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 @register("json_fields_all", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
-def json_fields_all(spark, d):
+def json_fields(spark, d):
     return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 

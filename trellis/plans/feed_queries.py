@@ -74,7 +74,7 @@ def page_links(spark, d):
 
 @register(
     "unavailable_answers",
-    """SELECT role, count(*) AS n, count(*) FILTER (WHERE text IS NULL OR regexp_matches(lower(text), 'information not available|no information|i don''t know|cannot answer')) AS n_unavailable FROM conversations GROUP BY role""",
+    """SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(lower(text), 'ne contient pas|aucun|pas disponible|impossible de répondre')) AS n_unavailable FROM conversations GROUP BY role""",
 )
 def unavailable_answers(spark, d):
     return t(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(A.is_unavailable(F.col("text"))).alias("n_unavailable"))
@@ -116,12 +116,12 @@ def calibration(spark, d):
 
 @register(
     "role_rollup",
-    """WITH x AS (SELECT DISTINCT l_returnflag AS phase, l_linestatus AS role, l_suppkey AS who FROM lineitem WHERE l_quantity >= 49),
+    """WITH x AS (SELECT DISTINCT l_returnflag AS phase, l_linestatus AS role, l_suppkey AS who FROM lineitem),
     e AS (SELECT role, who, count(DISTINCT phase) AS n FROM x GROUP BY ALL)
     SELECT phase, role, count(*) AS members, count(*) FILTER (WHERE n = 1) AS only_here FROM x JOIN e USING (role, who) GROUP BY ALL""",
 )
 def role_rollup(spark, d):
-    rows = t(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_returnflag").alias("phase"), F.col("l_linestatus").alias("role"), F.col("l_suppkey").cast("string").alias("who"))
+    rows = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("phase"), F.col("l_linestatus").alias("role"), F.col("l_suppkey").cast("string").alias("who"))
     rolled = etl.role_phase_rollup(rows, "phase", "role", "who")
     return rolled.select("phase", "role", F.size("members").cast("long").alias("members"), F.size("only_here").cast("long").alias("only_here"))
 

@@ -284,9 +284,8 @@ def anti_isnull(spark, d):
 @register("anti_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def anti_not_in(spark, d):
     """A null-aware anti join: the SQL form keeps NOT IN's meaning for null keys."""
-    t(spark, d, "part").createOrReplaceTempView("__part")
-    t(spark, d, "lineitem").createOrReplaceTempView("__lineitem")
-    return spark.sql("SELECT p_partkey FROM __part WHERE p_partkey NOT IN (SELECT l_partkey FROM __lineitem WHERE l_quantity > 45)")
+    wanted = "SELECT p_partkey FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 45)"
+    return spark.sql(wanted, part=t(spark, d, "part"), lineitem=t(spark, d, "lineitem"))
 
 
 @register(
