@@ -1,7 +1,5 @@
 """Every named query that has SQL, against DuckDB on the smallest tables."""
 
-import os
-
 import duckdb
 import pytest
 
@@ -47,8 +45,3 @@ def test_no_python_in_the_plans(spark):
     for name in ("selector", "graph_two_hop", "retrieval_merge", "full_diff", "vector_topk_batch"):
         plan = catalog.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("BatchEvalPython", "ArrowEval", "MapInPandas", "MapInArrow")), name
-
-
-def test_imports_without_the_llm_folders():
-    assert os.path.isdir(os.path.join(os.path.dirname(entry.__file__), "trellis"))
-    assert entry._optional("trellis.no_such_module") is None and entry._optional("no_such_package.module") is None

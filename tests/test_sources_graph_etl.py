@@ -1,5 +1,6 @@
 """RDF, graph, tables, fact sheets, guard, files and streams on small hand-written inputs."""
 
+import shutil
 import json
 
 import pytest
@@ -164,7 +165,15 @@ def test_streams(spark, tmp_path):
     stream = lambda: spark.readStream.schema("k int, ts timestamp, v int").parquet(source)
     q = incremental.upsert_into(spark, stream(), str(tmp_path / "table"), "k", "ts", str(tmp_path / "cp1"))
     q.awaitTermination(60)
-    assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "table/v=0")).collect()} == {(1, 7), (2, 1)}
+    kept = lambda: {(r.k, r.v) for r in incremental.read_upserted(spark, str(tmp_path / "table"), "k int, ts timestamp, v int").collect()}
+    assert kept() == {(1, 7), (2, 1)}
+    for n in range(3):  # later batches touch one bucket; old versions go
+        spark.createDataFrame([(2, f"2024-01-02 00:00:0{n}", 20 + n)], "k int, at string, v int").selectExpr("k", "cast(at as timestamp) ts", "v").write.mode("append").parquet(source)
+        incremental.upsert_into(spark, stream(), str(tmp_path / "table"), "k", "ts", str(tmp_path / "cp1")).awaitTermination(60)
+    assert kept() == {(1, 7), (2, 22)}
+    assert sorted(map(len, incremental._versions(spark, str(tmp_path / "table")).values())) == [1, 2]
+    shutil.rmtree(source)
+    spark.createDataFrame([(1, "2024-01-01 00:00:10", 5), (2, "2024-01-01 00:00:20", 1), (1, "2024-01-01 00:02:00", 7)], "k int, at string, v int").selectExpr("k", "cast(at as timestamp) ts", "v").coalesce(1).write.parquet(source)
     q = incremental.append_results(incremental.tumbling(stream(), "ts", "1 minute", "0 seconds", ["k"], "v"), str(tmp_path / "out"), str(tmp_path / "cp2"))
     q.awaitTermination(60)
     assert {(r.k, r.n, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 1, 5), (2, 1, 1)}

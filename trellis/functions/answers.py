@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trellis.functions.text import contains_any
+from trellis.functions.text import contains_any, unfence
 
-#: Phrases of an answer that says nothing.
-UNAVAILABLE = ["information not available", "no information", "i don't know", "cannot answer"]
-#: Price of 1,000 tokens in and out.
-PRICE_IN, PRICE_OUT = 0.00015, 0.0006
+# Phrases of an answer that honestly says nothing, and markers of one without information.
+UNAVAILABLE = ["ne contient pas", "aucun", "pas disponible", "impossible de répondre"]
+NO_INFORMATION = ["pas disponible", "non disponible", "aucune information", "pas d'information", "ne dispose pas", "n'est pas disponible", "aucune donnée", "pas de données", "n'y a pas d'informations"]
+# Price of 1,000 tokens in and out, and of an embedded token.
+PRICE_IN, PRICE_OUT, PRICE_EMBEDDED = 0.00015, 0.0006, 0.00002
+#: What a passage ends with that was cut.
+CUT = "…[truncated]"
 
 
 def is_unavailable(answer: Column, phrases: list[str] = UNAVAILABLE) -> Column:
-    return F.coalesce(contains_any(F.lower(answer), phrases), F.lit(True))
+    """An answer that says it has none. A missing or blank answer says nothing, so it is none of these."""
+    return F.coalesce(contains_any(F.lower(answer), phrases), F.lit(False))
+
+
+def is_no_information(answer: Column) -> Column:
+    return is_unavailable(answer, NO_INFORMATION)
 
 
 def tokens_of(text: Column) -> Column:
@@ -26,6 +34,63 @@ def cost(text_in: Column, text_out: Column) -> Column:
     return tokens_of(text_in) / 1000 * PRICE_IN + tokens_of(text_out) / 1000 * PRICE_OUT
 
 
+def embedding_cost(text: Column) -> Column:
+    """Tokens times the price, which is one of single tokens here (unlike those of ``cost``)."""
+    return F.coalesce(F.length(text), F.lit(0)) / 4 * PRICE_EMBEDDED
+
+
+def truncate_passages(passages: Column, limit: int) -> Column:
+    """Passages with at most ``limit`` characters together. If they have more, each is cut to its share (one
+    character at least) and marked; then the longest lose characters, the first of equals first, until all fit."""
+    texts = F.transform(passages, lambda p: F.coalesce(p, F.lit("")))
+    zero = F.lit(0).cast("long")
+    sum_of = lambda lengths: F.aggregate(lengths, zero, lambda a, x: a + x)
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def shorten(x: Column) -> Column:
+        total = sum_of(F.transform(x, lambda p: F.length(p).cast("long")))
+        keep = lambda p: F.greatest(F.lit(1), F.floor(F.length(p) * F.lit(limit) / total)).cast("int")
+        cut = F.transform(x, lambda p: F.when(F.length(p) > keep(p), F.concat(p.substr(F.lit(1), keep(p)), F.lit(CUT))).otherwise(p))
+        return F.when(total <= limit, x).otherwise(once(cut, level))
+
+    def level(x: Column) -> Column:
+        """All lengths above a level come down to it, some to one more, so that the sum is the limit."""
+        lengths = F.transform(x, lambda p: F.length(p).cast("long"))
+        n = F.size(x)
+        ordered = F.sort_array(lengths)
+        # how many of the shortest stay whole: those for which all longer ones cut to their length fit
+        whole = F.aggregate(
+            ordered, F.struct(zero.alias("sum"), zero.alias("count")),
+            lambda a, v: F.when(a["sum"] + v * (n - a["count"]) <= limit, F.struct((a["sum"] + v).alias("sum"), (a["count"] + 1).alias("count"))).otherwise(a),
+        )
+        return once(whole, lambda w: F.when(w["count"] == n, x).otherwise(at_most(x, F.floor((limit - w["sum"]) / (n - w["count"])), (limit - w["sum"]) % (n - w["count"]))))
+
+    def at_most(x: Column, most: Column, more: Column) -> Column:
+        """The last ``more`` of the passages longer than ``most`` keep one character above it."""
+        longer = F.transform(x, lambda p: (F.length(p) > most).cast("int"))
+        after = lambda i: F.aggregate(F.slice(longer, i + 2, F.greatest(F.size(longer) - i - 1, F.lit(0))), F.lit(0), lambda a, v: a + v)
+        return F.transform(x, lambda p, i: F.when(F.length(p) > most, p.substr(F.lit(1), F.greatest(F.lit(1), (most + F.when(after(i) < more, 1).otherwise(0)).cast("int")))).otherwise(p))
+
+    return once(texts, shorten)
+
+
+#: Dimensions of a judgement.
+SCORES = ("groundedness", "completeness", "relevance")
+
+
+def judge_scores(reply: Column) -> Column:
+    """A judge's reply as a struct: three scores and ``error`` (null if it is valid). The object may stand in a
+    fence or in prose; each score must be there, be a number (or a text of one), and lie between 0 and 1."""
+    inside = F.regexp_extract(unfence(reply), r"(?s)(\{.*\})", 1)
+    parsed = F.try_parse_json(F.nullif(inside, F.lit("")))
+    raw = {k: F.try_variant_get(parsed, f"$.{k}", "string") for k in SCORES}
+    value = {k: raw[k].try_cast("double") for k in SCORES}
+    error = F.when(inside == "", "no object").when(parsed.isNull(), "no JSON")
+    for k in SCORES:
+        error = error.when(raw[k].isNull(), f"{k} is missing").when(value[k].isNull() | F.isnan(value[k]), f"{k} is no number").when(~value[k].between(0, 1), f"{k} is out of range")
+    return F.struct(*[F.when(error.isNull(), value[k]).alias(k) for k in SCORES], error.alias("error"))
+
+
 def fit_passages(passages: Column, limit: int) -> Column:
     """Passages cut so that together they have at most ``limit`` characters, each in proportion to its
     length (rounded down, so the sum never exceeds the limit); short enough lists stay as they are."""

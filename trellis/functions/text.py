@@ -96,3 +96,8 @@ def strict_boolean(json: Column, field: str) -> Column:
     value = F.try_parse_json(json)
     kind = F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant"))
     return F.when(kind == "BOOLEAN", F.try_variant_get(value, f"$.{field}", "boolean"))
+
+
+def composite_key(*columns: Column, separator: str = "|") -> Column:
+    """The values of a key as one text; a null is empty, so that its place stays."""
+    return F.concat_ws(separator, *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])

@@ -87,3 +87,16 @@ def summary(selections: DataFrame) -> DataFrame:
     n = selections.groupBy("rule", "selected").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("__t"))
     return n.crossJoin(F.broadcast(total)).select("rule", "selected", "n", F.round(F.col("n") / F.col("__t"), 6).alias("share"))
+
+
+def run_report(live: DataFrame, pairs: DataFrame, chosen: DataFrame, pipelines: tuple[str, ...] = PIPELINES, decimals: int = 6) -> DataFrame:
+    """One row about a run: success and mean evidence of each pipeline, agreement of the computed pairs,
+    conflicts and mean time. live: question_id, pipeline, success, evidence_score. pairs: question_id, pair,
+    agreement (null counts as none). chosen: question_id, rule, seconds."""
+    won = live.groupBy("question_id").agg(F.coalesce(F.max(F.col("success").cast("int")), F.lit(0)).alias("any"), *[F.max(F.when(F.col("pipeline") == p, F.coalesce(F.col("success"), F.lit(False)).cast("int"))).alias(p) for p in pipelines])
+    rates = won.agg(F.count("*").alias("questions"), F.count_if(F.col("any") == 0).alias("all_failed"), *[F.round(F.avg(F.coalesce(p, F.lit(0)).cast("double")), decimals).alias(f"success_{p}") for p in pipelines])
+    means = live.agg(*[F.round(F.avg(F.when(F.col("pipeline") == p, F.col("evidence_score"))), decimals).alias(f"evidence_{p}") for p in pipelines])
+    agreed = F.count_if(F.coalesce("agreement", F.lit(False)))
+    agreement = pairs.agg(F.count("*").alias("pairs_computed"), agreed.alias("pairs_agreed"), F.round(F.try_divide(agreed.cast("double"), F.count("*").cast("double")), decimals).alias("agreement_rate"))
+    time = chosen.agg(F.round(F.avg("seconds"), decimals).alias("seconds"), F.count_if(F.col("rule") == "transitivity_conflict").alias("conflicts"))
+    return rates.crossJoin(F.broadcast(means)).crossJoin(F.broadcast(agreement)).crossJoin(F.broadcast(time))  # single rows

@@ -12,9 +12,30 @@ _COUNTING = re.compile(r"\b(how many|number of|count|combien|nombre)\b", re.IGNO
 _SUPERLATIVE = re.compile(r"\b(most|least|highest|lowest|largest|smallest|plus|moins)\b", re.IGNORECASE)
 
 
-def check_statement(spark: SparkSession, sql: str, allow_with: bool = True) -> tuple[bool, str]:
-    """(accepted, reason). One statement that only reads; nothing is run."""
-    text = re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.DOTALL).strip().rstrip(";").strip()
+#: Functions that run code of the host, which a statement must not call.
+HOST_FUNCTIONS = frozenset({"java_method", "reflect", "try_reflect"})
+_QUOTED_OR_COMMENT = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`)|--[^\n]*|/\*.*?\*/""", re.DOTALL)
+
+
+def without_comments(sql: str) -> str:
+    """The statement without comments; what looks like one within quotes stays."""
+    return _QUOTED_OR_COMMENT.sub(lambda m: m[1] or " ", sql).strip().rstrip(";").strip()
+
+
+#: Operators and clauses that may stand before a bracket.
+_NO_CALL = frozenset("and or not in exists as on using over values from join where having when then else case select union all distinct by with any some between like rlike ilike is filter within group".split())
+
+
+def called_functions(sql: str) -> set[str]:
+    """Lower-cased names that stand before a bracket, outside comments and literals: what a statement may call."""
+    text = re.sub(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\"""", " ", without_comments(sql), flags=re.DOTALL).replace("`", "")
+    return {name.lower().rsplit(".", 1)[-1] for name in re.findall(r"([A-Za-z_][\w.]*)\s*\(", text)} - _NO_CALL
+
+
+def check_statement(spark: SparkSession, sql: str, allow_with: bool = True, functions: set[str] | None = None) -> tuple[bool, str]:
+    """(accepted, reason). One statement that only reads; nothing is run. ``functions`` lists the
+    functions that may be called; without it, all but those that run code of the host."""
+    text = without_comments(sql)
     first = text.split(None, 1)[0].upper() if text else ""
     if first != "SELECT" and not (allow_with and first == "WITH"):
         return False, "the statement must start with SELECT"
@@ -25,7 +46,11 @@ def check_statement(spark: SparkSession, sql: str, allow_with: bool = True) -> t
     while plan.getClass().getSimpleName() == "UnresolvedWith":
         plan = plan.child()
     root = plan.getClass().getSimpleName()
-    return (False, f"{root} is not a query") if _COMMANDS.match(root) else (True, "")
+    if _COMMANDS.match(root):
+        return False, f"{root} is not a query"
+    calls = called_functions(text)
+    refused = calls & HOST_FUNCTIONS if functions is None else calls - functions
+    return (False, f"{sorted(refused)[0]} must not be called") if refused else (True, "")
 
 
 def needs_aggregate(question: str, sql: str) -> tuple[bool, str]:

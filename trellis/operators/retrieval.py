@@ -59,18 +59,22 @@ def merge(pools: DataFrame, k: Column | int, anchored: Column | None = None) ->
     return ranked.where(F.col("rank") <= k).select("question_id", "doc_id", "rank")
 
 
-def entity_mentions(texts: DataFrame, entities: DataFrame, key: str, text: str = "text", name: str = "name", cap: int | None = 5, least: int = 3, max_entities: int = 10_000) -> DataFrame:
+def entity_mentions(texts: DataFrame, entities: DataFrame, key: str, text: str = "text", name: str = "name", cap: int | None = 5, least: int = 3) -> DataFrame:
     """key, name, place: the entities that a text mentions as whole words, case aside, longest first.
 
-    The list of names is a dictionary of at most max_entities (checked), which is broadcast;
-    every text is read once."""
-    if entities.limit(max_entities + 1).count() > max_entities:
-        raise ValueError(f"more than {max_entities} names; match in blocks")
-    names = entities.where(F.length(F.col(name)) >= least).select(F.col(name).alias("name")).distinct()
-    pattern = F.concat(F.lit(r"(?i)\b\Q"), F.col("name"), F.lit(r"\E\b"))
-    found = texts.select(key, F.col(text).alias("__text")).join(F.broadcast(names), F.rlike("__text", pattern))
+    Texts and names are cut into words (runs of letters, digits and _), and names are looked up by an
+    equal join on their first word, so any number of names will do; a name of several words is then
+    compared with the text from that word on. A name must start and end with a word character."""
+    word = F.lit(r"[\p{L}\p{N}_]+")
+    named = entities.where((F.length(F.col(name)) >= least) & F.col(name).rlike(r"^[\p{L}\p{N}_](.*[\p{L}\p{N}_])?$")).select(F.col(name).alias("name")).distinct()
+    names = named.withColumn("__first", F.lower(F.regexp_substr("name", word)))
+    words = texts.select(key, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, word, F.lit(0)), lambda w: F.lower(w)))).alias("__first"))
+    met = words.join(names, "__first")
+    one = met.where(F.lower("name") == F.col("__first")).select(key, "name")
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), F.col("name"), F.lit(r"\E(?![\p{L}\p{N}_])"))
+    more = met.where(F.lower("name") != F.col("__first")).join(texts.select(key, F.col(text).alias("__text")), key).where(F.rlike("__text", pattern)).select(key, "name").distinct()
     w = Window.partitionBy(key).orderBy(F.length("name").desc(), "name")
-    placed = found.select(key, "name").withColumn("place", F.row_number().over(w))
+    placed = one.unionByName(more).withColumn("place", F.row_number().over(w))
     return placed if cap is None else placed.where(F.col("place") <= cap)
 
 
@@ -84,5 +88,9 @@ def latest(updates: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return updates.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
 
 
+def list_ids(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    return docs.select(key).distinct()
+
+
 def fetch(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(ids.select(key).distinct(), key, "left_semi")

@@ -35,7 +35,12 @@ def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
     """Articles of RSS files; source is the file. A file that is no XML gives one row with a null title."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_articles, ARTICLE)
+    return articles_of(spark.read.format("binaryFile").load(path))
+
+
+def articles_of(files: DataFrame) -> DataFrame:
+    """Articles of (path, content) rows."""
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(_articles, ARTICLE)
 
 
 def broken(articles: DataFrame) -> DataFrame:
@@ -75,3 +80,10 @@ def recent(articles: DataFrame, now: Column, days: int = 14, fallback: int = 10,
 
     fresh = articles.where(F.col("date") > now - F.expr(f"INTERVAL {days} DAYS"))
     return with_fallback(fresh, articles.orderBy(F.col("date").desc_nulls_last(), sequence).limit(fallback))
+
+
+def digest_text(articles: DataFrame, most: int = 12, sequence: str = "seq") -> DataFrame:
+    """One row: the first ``most`` articles, latest first, as the text that a summary is made of."""
+    first = articles.orderBy(F.col("date").desc_nulls_last(), sequence).limit(most)
+    entry = F.struct(F.col("date").isNull(), -F.unix_timestamp("date"), F.col(sequence), F.concat_ws(": ", "source", "title").alias("line"))
+    return first.agg(F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["line"]), "\n").alias("text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,13 +63,32 @@ def save_conversation(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert_documents(old, fresh.select(*old.columns), "id")
 
 
+def schema_report(df: DataFrame, samples: int = 3) -> DataFrame:
+    """field, type and the ``samples`` least distinct values of text columns (null for others), from one pass:
+    each task keeps so many values of a field before the shuffle."""
+    from pyspark.sql import Window
+
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(n).alias("field"), F.lit(k).alias("type"), F.col(f"`{n}`").alias("value") if k == "string" else F.lit(None).cast("string").alias("value")) for i, (n, k) in enumerate(df.dtypes)])
+    values = df.select(F.inline(cells)).distinct()
+    ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy("at", "field", "type").orderBy(F.col("value").asc_nulls_last()))).where(F.col("rank") <= samples)
+    listed = F.sort_array(F.collect_list("value"))
+    return ranked.groupBy("at", "field", "type").agg(listed.alias("samples")).select("field", "type", F.when(F.col("type") == "string", F.col("samples")).alias("samples"))
+
+
 def describe_schema(df: DataFrame, samples: int = 3) -> dict[str, tuple[str, list[str]]]:
-    """Column -> type, and up to three distinct values of text columns (each a small limit)."""
-    out = {}
-    for name, kind in df.dtypes:
-        values = [] if kind != "string" else [r[0] for r in df.select(name).where(F.col(name).isNotNull()).distinct().orderBy(name).limit(samples).collect()]
-        out[name] = (kind, values)
-    return out
+    """The report as column -> (type, samples)."""
+    found = {r["field"]: (r["type"], r["samples"] or []) for r in schema_report(df, samples).collect()}  # a row a column
+    return {name: found.get(name, (kind, [])) for name, kind in df.dtypes}
+
+
+def new_conversation(spark: SparkSession, title: str = "", now: str | None = None) -> DataFrame:
+    """One empty conversation with an id of its own."""
+    made = now or time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime())
+    return spark.createDataFrame([(uuid.uuid4().hex, title, [], made, made)], CONVERSATION)
+
+
+def delete_conversations(old: DataFrame, ids: DataFrame) -> DataFrame:
+    return old.join(ids.select("id").distinct(), "id", "left_anti")
 
 
 class CachedTable:

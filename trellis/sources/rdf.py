@@ -27,8 +27,12 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     name = lambda tag: tag[1:].replace("}", "", 1) if tag[0] == "{" else tag
     for batch in batches:
         out: list[tuple] = []
-        for content in batch.column("content").to_pylist():
-            root = ET.fromstring(content)
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            try:
+                root = ET.fromstring(content)
+            except ET.ParseError:
+                out.append((path, None, None, None, None))  # reported by ``broken``
+                continue
             base = root.get("{http://www.w3.org/XML/1998/namespace}base", "")
             for subject in root:
                 s = subject.get(f"{{{RDF}}}about") or (base + "#" + subject.get(f"{{{RDF}}}ID", ""))
@@ -44,8 +48,16 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """Triples of RDF/XML files: s, p, o, is_literal, datatype."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_triples, TRIPLES)
+    return triples_of(spark.read.format("binaryFile").load(path))
+
+
+def triples_of(files: DataFrame) -> DataFrame:
+    """Triples of (path, content) rows. A file that is no XML gives one row: its path as s, and nulls."""
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(_triples, TRIPLES)
+
+
+def broken(triples: DataFrame) -> DataFrame:
+    return triples.where("p is null").select("s").distinct()
 
 
 def graph_of(triples: DataFrame, namespace: str, fallback: str = "Resource") -> Graph:
@@ -53,6 +65,7 @@ def graph_of(triples: DataFrame, namespace: str, fallback: str = "Resource") ->
     literals are properties; other triples are edges named by the upper-cased predicate.
     Subjects that declare the ontology are left out; edges to unknown nodes are dropped."""
     is_type = F.col("p") == RDF + "type"
+    triples = triples.where("p is not null")
     declared = triples.where(is_type & local_name(F.col("o")).isin(*DECLARATIONS)).select("s").distinct()
     own = triples.join(declared, "s", "left_anti")
     labels = own.where(is_type & F.col("o").startswith(namespace)).select("s", local_name(F.col("o")).alias("label")).distinct()

@@ -29,19 +29,62 @@ def first_seen(stream: DataFrame, ts: str, late: str, key) -> DataFrame:
     return stream.withColumn("__key", key).withWatermark(ts, late).dropDuplicatesWithinWatermark(["__key"]).drop("__key")
 
 
-def upsert_into(spark: SparkSession, stream: DataFrame, path: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest row of each key in a Parquet table, version by version: each micro-batch
-    writes a new folder from the one before, so a batch that is run again gives the same table."""
+#: Buckets of a key, and versions of the table that stay for its readers.
+BUCKETS, VERSIONS = 64, 2
+_BUCKET, _VERSION = "upsert_bucket", "upsert_version"
+
+
+def _folder(path: str, bucket: int | str, version: int | str) -> str:
+    return f"{path}/{_BUCKET}={bucket}/{_VERSION}={version}"
+
+
+def upsert_into(spark: SparkSession, stream: DataFrame, path: str, key: str, order: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the latest row of each key in a Parquet table, in buckets of the key. A micro-batch reads and
+    writes only the buckets that it touches, each as a new version beside the old one, so a batch that is
+    run again gives the same table; older versions than the last VERSIONS of a bucket are deleted."""
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number:
-            rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v={number - 1}").unionByName(batch)
-        latest(rows, key, [F.desc(order)]).write.mode("overwrite").parquet(f"{path}/v={number}")
+        session, place = batch.sparkSession, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        batch = batch.withColumn("__bucket", place).persist()
+        touched = [r[0] for r in batch.select("__bucket").distinct().collect()]  # ``buckets`` numbers at most
+        versions = _versions(session, path)
+        old = [_folder(path, b, max(v)) for b in touched if (v := [x for x in versions.get(b, []) if x < number])]
+        rows = batch.drop("__bucket")
+        if old:
+            rows = rows.unionByName(session.read.schema(rows.schema).parquet(*old))
+        new = latest(rows, key, [F.desc(order)]).withColumns({_BUCKET: place, _VERSION: F.lit(number)})
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET, _VERSION).parquet(path)
+        batch.unpersist()
+        for b in touched:
+            for v in sorted({*versions.get(b, []), number})[:-VERSIONS]:
+                _files(session, path).delete(_path(session, _folder(path, b, v)), True)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """Versions of each bucket of a table; BUCKETS * VERSIONS folders or little more."""
+    found: dict[int, list[int]] = {}
+    for status in _files(spark, path).globStatus(_path(spark, _folder(path, "*", "*"))) or []:
+        where = status.getPath()
+        found.setdefault(int(where.getParent().getName().split("=")[1]), []).append(int(where.getName().split("=")[1]))
+    return found
+
+
+def read_upserted(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table as the last version of each bucket has it."""
+    last = [_folder(path, b, max(v)) for b, v in _versions(spark, path).items()]
+    return spark.read.schema(schema).parquet(*last) if last else spark.createDataFrame([], schema)
+
+
 def append_results(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Partial saves: what is there is processed and appended; the next start resumes after it."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
