@@ -29,6 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share (spark.checkpoint.dir); a temporary one
     where that is unset and Spark runs in one process."""
@@ -37,6 +40,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    found = tempfile.mkdtemp(prefix="trellis-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="trellis-")
+    return _LOCAL[application]
