@@ -3,20 +3,25 @@
 The kernel of two texts is the number of n-grams (1 to 4 code points of the
 letters, lower-cased, words between blanks) that occur in both, over the
 geometric mean of each text's own number: a blended-spectrum presence kernel.
-N-grams are hashed to DIMENSION buckets. Texts count whole, from first to last
-character.
-
-Nystroem: LANDMARKS training texts (a bounded sample, as many for each language,
-by a hash of the text) span the feature space; a text's features are its
-kernels with them times the inverse root of the landmarks' own kernel matrix.
-One-versus-rest kernel ridge regression over ALL training texts needs two sums
-over them, of outer products of features with themselves and with the targets;
-tasks send one matrix each, added up in Spark. Texts are scored in batches by
-two matrix products.
+N-grams are told apart by 64-bit hashes, so a long text does not come to look
+like every other. Texts count whole, from first to last character.
+
+Nystroem: LANDMARKS pieces of training texts (a bounded sample: as many distinct
+texts for each language, by a hash of the text, and of each a piece of
+LANDMARK_CHARS characters at most, at a place chosen by the hash) span the
+feature space; a text's features are its kernels with them times the inverse
+root of the landmarks' own kernel matrix. Only the landmarks' n-grams have a
+part in a kernel, so a text is a row of presence over this bounded vocabulary,
+and its number of n-grams. One-versus-rest kernel ridge regression over ALL
+training texts needs two sums over them, of outer products of features with
+themselves and with the targets; tasks send one matrix each, added up in Spark
+some tasks at a time. Texts are scored in batches by two matrix products.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0.
-Ties go to the first language in alphabetical order. Without training texts
-everything is ``und``. Texts of any length are used whole.
+Ties go to the first language in alphabetical order. A language whose texts all
+lack letters is not learned. Without training texts everything is ``und``. Texts
+of any length are used whole; of texts that are repeated one can be a landmark,
+all count in the sums. Other columns are not needed and do not disturb.
 """
 
 from __future__ import annotations
@@ -25,20 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.shared import blocks, hash_sample
+from trellis.llm.shared import COUNT_ERROR, blocks, by_batches, discard, hash_limit, materialise, tree_sum
 
-DIMENSION = 1 << 13
 GRAMS = 4
 LANDMARKS = 128
+LANDMARK_CHARS = 2000
 RIDGE = 1e-3
 #: Texts in a matrix product.
 BATCH = 64
 UNKNOWN = "und"
 
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def letters(text: str) -> np.ndarray:
@@ -67,50 +73,84 @@ def _is_alpha(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def presence(texts: list[str | None], dimension: int = DIMENSION) -> np.ndarray:
-    """Rows of 0 and 1 by bucket, over the root of their number; a text without letters is a row of zeros."""
-    out = np.zeros((len(texts), dimension), np.float32)
-    shift = np.uint64(64 - (dimension.bit_length() - 1))
-    for row, text in zip(out, texts, strict=True):
-        codes = letters(text or "").astype(np.uint64)
-        h = np.zeros(len(codes), np.uint64)
-        for size in range(1, min(GRAMS, len(codes)) + 1):
-            h = h[: len(codes) - size + 1] * _FACTOR + codes[size - 1 :]
-            x = h ^ (h >> np.uint64(29))
-            row[((x * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64)] = 1
-    return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
+def grams_of(text: str | None) -> np.ndarray:
+    """Hashes of the distinct n-grams of a text, ascending."""
+    codes = letters(text or "").astype(np.uint64)
+    h, found = np.zeros(len(codes), np.uint64), []
+    for size in range(1, min(GRAMS, len(codes)) + 1):
+        h = h[: len(codes) - size + 1] * _FACTOR + codes[size - 1 :]
+        found.append((h ^ (h >> np.uint64(29))) * _SPREAD)
+    if not found:
+        return np.zeros(0, np.uint64)
+    whole = np.sort(np.concatenate(found))
+    new = np.ones(len(whole), bool)
+    np.not_equal(whole[1:], whole[:-1], out=new[1:])
+    return whole[new]
 
 
 class Kernel:
     """Nystroem features for a set of landmark texts."""
 
     def __init__(self, texts: list[str]):
-        self.landmarks = presence(texts)
-        values, vectors = np.linalg.eigh((self.landmarks @ self.landmarks.T).astype(np.float64))
+        sets = [grams_of(t) for t in texts]
+        self.vocabulary = np.unique(np.concatenate(sets))
+        rows = np.zeros((len(sets), len(self.vocabulary)), np.float32)
+        for row, grams in zip(rows, sets, strict=True):
+            row[np.searchsorted(self.vocabulary, grams)] = 1 / np.sqrt(len(grams))
+        values, vectors = np.linalg.eigh((rows @ rows.T).astype(np.float64))
         good = values > 1e-6 * values.max()
-        self.root = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
-        self.map = np.ascontiguousarray((self.root.T @ self.landmarks).T)
+        root = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
+        #: A line for each n-gram: what its presence adds to the features.
+        self.map = np.ascontiguousarray((root.T @ rows).T)
+        # where each hash can stand, by its first bits
+        self.bits = np.uint64(64 - max(1, len(self.vocabulary).bit_length()))
+        heads = (self.vocabulary >> self.bits).astype(np.int64)
+        self.first = np.searchsorted(heads, np.arange((1 << int(64 - self.bits)) + 1))
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """Indexes of those n-grams that the landmarks have."""
+        heads = (grams >> self.bits).astype(np.int64)
+        at, end = self.first[heads], self.first[heads + 1]
+        found = []
+        while len(grams):
+            there = at < end
+            at, end, grams = at[there], end[there], grams[there]
+            found.append(at[self.vocabulary[at] == grams])
+            at = at + 1
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def features(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Features, and which texts have letters."""
-        x = presence(texts)
-        return x @ self.map, x.any(1)
-
-
-def landmarks(train: DataFrame, text: str = "text", lang: str = "lang", count: int = LANDMARKS) -> tuple[list[str], list[str]]:
-    """Texts of the landmarks and the sorted languages: count / languages of each, by a hash of the text."""
-    rows = train.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+        sets = [grams_of(t) for t in texts]
+        size = np.array([len(s) for s in sets])
+        found = [self.find(s) for s in sets]
+        used, column = np.unique(np.concatenate(found), return_inverse=True)
+        presence = np.zeros((len(texts), len(used)), np.float32)
+        presence[np.repeat(np.arange(len(texts)), [len(x) for x in found]), column] = 1
+        return (presence @ self.map[used]) / np.sqrt(np.maximum(size, 1))[:, None].astype(np.float32), size > 0
+
+
+def landmarks(train: DataFrame, text: str = "text", lang: str = "lang", count: int = LANDMARKS, chars: int = LANDMARK_CHARS) -> tuple[list[str], list[str]]:
+    """Landmark texts and the sorted languages: count / languages distinct texts of each (4 at
+    least), by a hash of the text; of each a piece of ``chars`` characters at most."""
+    h = F.pmod(F.xxhash64(text), F.lit(1 << 30))
+    rows = train.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"), h.alias("chosen"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("chosen", COUNT_ERROR).alias("n")).collect()}  # a row a language
     langs = sorted(sizes)
-    each = max(4, count // max(len(langs), 1))
-    found = [r["text"] for x in langs for r in hash_sample(rows.where(F.col("lang") == x), "text", each, sizes[x]).collect()]
-    return found, langs
+    if not langs:
+        return [], []
+    each = max(4, count // len(langs))
+    limit = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, hash_limit(each, sizes[k]))]), F.col("lang"))
+    place = 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - chars + 1, F.lit(1)))
+    picked = rows.where(F.col("chosen") < limit).select("lang", "chosen", F.col("text").substr(place.cast("int"), F.lit(chars)).alias("text")).distinct()
+    ranked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("chosen", "text"))).where(F.col("rank") <= each)
+    return [r["text"] for r in ranked.orderBy("lang", "rank").collect()], langs
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", count: int = LANDMARKS, ridge: float = RIDGE):
     """(landmark texts, languages, weights) or None without training texts."""
     texts, langs = landmarks(train, text, lang, count)
-    if not texts:
+    if not texts or not any(len(grams_of(t)) for t in texts):
         return None
     code = {x: i for i, x in enumerate(langs)}
 
@@ -124,22 +164,24 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", count: int = L
                 x, has = kernel.features(part.column("text").to_pylist())
                 x = np.append(x, np.ones((len(x), 1)), 1)[has]
                 y = np.full((part.num_rows, len(langs)), -1.0)
-                y[np.arange(part.num_rows), [code[v] for v in part.column("lang").to_pylist()]] = 1
+                own = np.array([code.get(v, -1) for v in part.column("lang").to_pylist()])
+                y[np.flatnonzero(own >= 0), own[own >= 0]] = 1
                 outer += x.T @ x
                 target += x.T @ y[has]
                 n += len(x)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(m)), pa.array([r.tobytes() for r in np.append(outer, target, 1)], pa.binary()), pa.array(np.full(m, n))], ["line", "sums", "n"])
-
-    def add(table: pa.Table) -> pa.Table:
-        return pa.table({"line": table.column("line").slice(0, 1), "sums": pa.array([sum(np.frombuffer(x) for x in table.column("sums").to_pylist()).tobytes()], pa.binary()), "n": [sum(table.column("n").to_pylist())]})
+            sums = np.append(np.append(outer, target, 1).ravel(), n)
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["key", "part", "sums"])
 
     rows = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    lines = sorted(rows.mapInArrow(gather, "line long, sums binary, n long").groupBy("line").applyInArrow(add, "line long, sums binary, n long").collect())
-    sums, n = np.array([np.frombuffer(r["sums"]) for r in lines]), lines[0]["n"]
-    m = len(lines)
+    parts = materialise(rows.transform(by_batches, gather, "key long, part long, sums binary"), "sums")
+    sums = np.frombuffer(tree_sum(parts, "key", {"sums": "f8"}).first()["sums"])
+    discard(parts)
+    n, lines = sums[-1], sums[:-1]
+    m = Kernel(texts).map.shape[1] + 1
+    lines = lines.reshape(m, m + len(langs))
     penalty = ridge * n * np.eye(m) / m
-    return texts, langs, np.linalg.solve(sums[:, :m] + penalty, sums[:, m:])
+    return texts, langs, np.linalg.solve(lines[:, :m] + penalty, lines[:, m:])
 
 
 def predict(docs: DataFrame, model, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,4 +207,4 @@ def predict(docs: DataFrame, model, doc: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     if model is None:
         return rows.select(F.col("doc").alias(doc), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInArrow(run, f"doc {kind}, lang_pred string, score double").withColumnRenamed("doc", doc)
+    return rows.transform(by_batches, run, f"doc {kind}, lang_pred string, score double").withColumnRenamed("doc", doc)

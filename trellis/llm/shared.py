@@ -1,11 +1,11 @@
-"""Scratch tables in the shared folder, and Arrow batches cut to a size in bytes."""
+"""Scratch tables in the shared folder, Arrow batches cut to a size in bytes, memory of Python workers."""
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,31 +13,115 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share (spark.checkpoint.dir).
-
-    Only where that is unset and Spark runs in one process (tests, notebooks)
-    a temporary folder is taken and set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    found = tempfile.mkdtemp(prefix="trellis-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+from trellis.session import scratch_dir
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: what follows
     neither recomputes it nor depends on a lost executor's shuffle files."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_FOLDERS[-1] if _FOLDERS else scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+#: Folders of scratch_folder() that are open.
+_FOLDERS: list[str] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote and that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table.scratch_path)
+
+
+@contextlib.contextmanager
+def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder in the shared folder, which holds the tables written meanwhile and goes at the
+    end. A result that reads them must have been written elsewhere by then."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(path)
+    try:
+        yield path
+    finally:
+        _FOLDERS.remove(path)
+        remove(spark, path)
+
+
+#: Tables that a Python worker keeps between tasks: owner -> what empties them.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, empty: Callable[[], None]) -> None:
+    """Register a table that stays between tasks of one operator."""
+    _KEPT[owner] = empty
+
+
+def give_back(owner: str = "") -> None:
+    """At the end of a task: empty the tables of other operators, and return freed memory."""
+    for name, empty in list(_KEPT.items()):
+        if name != owner:
+            empty()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def by_batches(df: DataFrame, run: Callable, schema, owner: str = "") -> DataFrame:
+    """df.mapInArrow(run, schema), after which each worker gives its memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back(owner)
+
+    return df.mapInArrow(whole, schema)
+
+
+def by_groups(grouped, run: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
+    """grouped.applyInArrow(run, schema), after each group of which the worker gives its memory back."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return grouped.applyInArrow(whole, schema)
+
+
+def tree_sum(rows: DataFrame, key: str, sums: dict[str, str], fan: int = 32) -> DataFrame:
+    """Vectors (packed numbers, binary) of equal key added up: key and the columns of ``sums``
+    (column -> numpy type, kept). Column ``part`` numbers the tasks that sent them. Groups of at
+    most ``fan`` rows are added at a time, so no task holds a row of every task."""
+    n = rows.agg(F.max("part")).first()[0]
+    kind = rows.schema[key].dataType.simpleString()
+
+    def add(table: pa.Table) -> pa.Table:
+        out = {c: table.column(c).slice(0, 1) for c in (key, "part")}
+        for c, number in sums.items():
+            total = 0
+            for x in table.column(c):
+                total = total + np.frombuffer(x.as_buffer(), number)
+            out[c] = pa.array([total.tobytes()], pa.binary())
+        return pa.table(out)
+
+    left = (n or 0) + 1
+    rows = rows.select(key, "part", *sums)
+    while left > 1:
+        rows = rows.withColumn("part", F.floor(F.col("part") / fan)).groupBy(key, "part").applyInArrow(add, f"{key} {kind}, part long, " + ", ".join(f"{c} binary" for c in sums))
+        left = -(-left // fan)
+    return rows.drop("part")
 
 
 @contextlib.contextmanager
@@ -53,19 +137,18 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(key, before)
 
 
-def hash_sample(df: DataFrame, text: str, k: int, n: int) -> DataFrame:
-    """k of the n rows of df (about; all if n is not larger) by the order of a hash of the text.
+#: Relative error of the counts of distinct texts that thresholds are made of.
+COUNT_ERROR = 0.02
+
 
-    Rows beyond a threshold of the hash are left out first, so hardly more than k rows are
-    sorted and moved, however many tasks there are."""
-    share = min(1.0, (k + 6 * k**0.5 + 20) / max(n, 1))
-    chosen = F.xxhash64(text)
-    if share < 1:
-        df = df.where(F.pmod(chosen, F.lit(1 << 30)) < int(share * (1 << 30)))
-    return df.orderBy(F.pmod(chosen, F.lit(1 << 30)), chosen, text).limit(k)
+def hash_limit(k: int, distinct: int) -> int:
+    """Of hashes below 1 << 30, the limit under which at least k of so many distinct texts fall
+    (all, if there are no more), and not many more; the count may be off by five times COUNT_ERROR."""
+    share = (k + 6 * k**0.5 + 20) / max(distinct * (1 - 5 * COUNT_ERROR), 1)
+    return int(min(1.0, share) * (1 << 30))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes of text each (one row
     at least), so that the arrays made of them stay small whatever the rows are."""
     for batch in batches:

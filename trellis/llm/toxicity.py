@@ -5,7 +5,8 @@ white space as one blank) that occur in a text, hashed to FEATURES buckets. Each
 bucket has a log-count ratio r = log(share among toxic / share among others),
 counted over all labelled training texts as distributed sums. A linear model
 over r * presence, with logistic loss, is fitted on a bounded sample of the
-labelled texts (``sample`` texts at most, chosen by a hash of the text).
+labelled texts (``sample`` distinct texts at most, half of them of each label,
+chosen by a hash of the text; copies of a text count once there).
 
 A text is scored piece by piece: a toxic phrase in a very long text would drown
 among thousands of neutral features, so the text is cut into pieces of PIECE
@@ -16,7 +17,10 @@ of ratios stands for it; of other texts, likewise the piece that looks worst.
 Defined cases: null and empty texts have no features and get the score of the
 intercept. Texts of any length are scored whole. Labels that are null, or of
 unknown ids, are not used; of an id that is labelled twice, the larger label
-counts. With texts of one class only, scores are that class's share.
+counts. Rows that repeat a doc_id are separate texts with the label of the id.
+A text with both labels counts for both. A score of exactly 0.5 is toxic. With
+texts of one class only, scores are that class's share. Other columns are not
+needed and do not disturb.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.shared import blocks, materialise
+from trellis.llm.shared import COUNT_ERROR, blocks, by_batches, discard, hash_limit, materialise, tree_sum
 
 FEATURES = 1 << 18
 GRAMS = (3, 4, 5)
@@ -97,51 +102,45 @@ def pieces_in(buckets: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
 def labelled(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """text, y (0 or 1) of the labelled texts. Labels grow with the documents, so they are never broadcast."""
     marks = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(doc).agg(F.max(F.col(label)).alias("y"))
-    return docs.select(doc, F.coalesce(text, F.lit("")).alias("text")).join(marks.hint("merge"), doc).select("text", F.col("y").cast("int").alias("y"))
+    return docs.select(doc, F.coalesce(text, F.lit("")).alias("text")).join(marks.hint("merge"), doc).select("text", (F.col("y") > 0).cast("int").alias("y"))
 
 
 _PARTS = 64
 
 
-def gather(train: DataFrame, sizes: dict[int, int], features: int, sample: int) -> DataFrame:
-    """One pass over the labelled texts. Rows with part >= 0: of a task, how many texts of each
-    label have each bucket of that part of the buckets. Rows with part -1: the texts of the
-    sample (about half of it for each label), by a threshold of a hash of the text."""
-    share = {y: min(1.0, (sample // 2 + 6 * (sample // 2) ** 0.5 + 20) / max(n, 1)) for y, n in sizes.items()}
-    limit = {y: int(s * (1 << 30)) for y, s in share.items()}
+def gather(train: DataFrame, limit: dict[int, int], features: int) -> DataFrame:
+    """One pass over the labelled texts. Rows with slice >= 0: of a task (part), how many texts of
+    each label have each bucket of that slice of the buckets. Rows with slice -1: the texts of the
+    sample, those under a limit of their hash, each once for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, place, some = np.zeros((2, features + 1), np.int32), scratch(features), False
-        names = ["part", "n0", "n1", "text", "y", "chosen"]
-        types = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int64())
+        total, place, some, taken = np.zeros((2, features + 1), np.int64), scratch(features), False, set()
+        task = TaskContext.get().partitionId()
+        names = ["slice", "part", "n0", "n1", "text", "y", "chosen"]
+        types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int64())
         row = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-        for batch in batches:
+        for batch in blocks(batches):
             picked = []
             for text, y, chosen in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "chosen")), strict=True):
                 total[y, distinct(gram_buckets(codes_of(text), features).ravel(), place)] += 1
                 some = True
-                if chosen < limit[y]:
+                if chosen < limit[y] and (key := (y, chosen, hash(text))) not in taken:
+                    taken.add(key)
                     picked.append((text, y, chosen))
             if picked:
                 n = len(picked)
-                yield row([-1] * n, [None] * n, [None] * n, *map(list, zip(*picked, strict=True)))
+                yield row([-1] * n, [task] * n, [None] * n, [None] * n, *map(list, zip(*picked, strict=True)))
         if some:
-            parts = total[:, :-1].reshape(2, _PARTS, features // _PARTS)
+            slices = total[:, :-1].reshape(2, _PARTS, features // _PARTS)
             none = [None] * _PARTS
-            yield row(range(_PARTS), *([p.tobytes() for p in parts[y]] for y in (0, 1)), none, none, none)
+            yield row(range(_PARTS), [task] * _PARTS, *([x.tobytes() for x in slices[y]] for y in (0, 1)), none, none, none)
 
-    rows = train.withColumn("chosen", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
-    return materialise(rows.mapInArrow(run, "part long, n0 binary, n1 binary, text string, y int, chosen long"), "gathered")
+    return materialise(train.transform(by_batches, run, "slice int, part long, n0 binary, n1 binary, text string, y int, chosen long"), "gathered")
 
 
 def log_count_ratios(gathered: DataFrame, features: int) -> np.ndarray:
-    """r of each bucket: the tasks' counts summed part by part (64 rows of 32 KB come to the driver)."""
-
-    def add(table: pa.Table) -> pa.Table:
-        sums = [sum(np.frombuffer(x, np.int32).astype(np.int64) for x in table.column(c).to_pylist()) for c in ("n0", "n1")]
-        return pa.table({"part": table.column("part").slice(0, 1), "n0": pa.array([sums[0].tobytes()], pa.binary()), "n1": pa.array([sums[1].tobytes()], pa.binary())})
-
-    rows = sorted(gathered.where("part >= 0").groupBy("part").applyInArrow(add, "part long, n0 binary, n1 binary").collect())
+    """r of each bucket: the tasks' counts summed slice by slice (64 rows of 64 KB come to the driver)."""
+    rows = sorted(tree_sum(gathered.where("slice >= 0"), "slice", {"n0": "i8", "n1": "i8"}).collect())
     q, p = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) + SMOOTH for k in (1, 2))
     return np.log((p / p.sum()) / (q / q.sum()))
 
@@ -178,11 +177,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray) -> tuple[np.ndarra
 
 def train_model(train: DataFrame, features: int = FEATURES, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights of all buckets and the intercept."""
-    sizes = {0: 0, 1: 0} | {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}  # two rows
+    train = train.withColumn("chosen", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
+    found = train.groupBy("y").agg(F.count("*").alias("n"), F.approx_count_distinct("chosen", COUNT_ERROR).alias("distinct")).collect()  # two rows
+    sizes = {0: 0, 1: 0} | {r["y"]: r["n"] for r in found}
     if not sizes[0] or not sizes[1]:
         share = sizes[1] / max(sum(sizes.values()), 1)
         return np.zeros(features), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-    gathered = gather(train, sizes, features, sample)
+    gathered = gather(train, {r["y"]: hash_limit(sample // 2, r["distinct"]) for r in found}, features)
     r = log_count_ratios(gathered, features)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +194,10 @@ def train_model(train: DataFrame, features: int = FEATURES, sample: int = SAMPLE
                 found.append(max(pieces_in(gram_buckets(codes_of(text), features), place), key=lambda x: r[x].sum()).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("y")], ["found", "y"])
 
-    texts = gathered.where("part = -1").select("text", "y", "chosen")
+    texts = gathered.where("slice = -1").select("text", "y", "chosen").distinct()
     by_class = [texts.where(F.col("y") == y).orderBy("chosen", "text").limit(sample // 2).select("text", "y") for y in (0, 1)]
-    rows = by_class[0].unionByName(by_class[1]).mapInArrow(pick, "found binary, y int").toPandas()
+    rows = by_class[0].unionByName(by_class[1]).transform(by_batches, pick, "found binary, y int").toPandas()
+    discard(gathered)
     return fit([np.frombuffer(x, np.int32) for x in rows["found"]], rows["y"].to_numpy(), r)
 
 
@@ -211,4 +213,4 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float, doc: str = "do
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc", "score"])
 
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInArrow(run, f"doc {kind}, score double").withColumnRenamed("doc", doc)
+    return docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).transform(by_batches, run, f"doc {kind}, score double").withColumnRenamed("doc", doc)
