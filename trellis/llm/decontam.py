@@ -13,20 +13,22 @@
    Parquet table in the shared folder, so the texts are never shuffled.
 4. Anchor postings are joined to the test items on the term, and each position
    is adjusted by the anchor's offset in the item: an alignment (text, item,
-   shift). The other terms' postings are intersected at the same shift; runs
-   that cover a whole window are exact phrase matches. With ``slack``, terms
-   may stand that many words off: a window with ``near_share`` of its terms in
-   place, for one shift of the window, is a proximity match. All shifts at which
-   an anchor may stand that far off are tried.
-
-A very common test passage gives one alignment for each text that has it, and
+   shift). The alignments of a text with an item are one row, which meets the
+   text's postings and the item's terms once; the postings are intersected at
+   each shift; runs that cover a whole window are exact phrase matches. With
+   ``slack``, terms may stand that many words off: a window with ``near_share``
+   of its terms in place, for one shift of the window, is a proximity match. All
+   shifts at which an anchor may stand that far off are tried.
+
+A very common test passage gives one row for each text that has it, and
 joins on terms are split by AQE. Test items are taken in blocks of at most
 MAX_WINDOWS windows, so what travels to the executors (the terms of one block,
-12 bytes each, and 24 bytes for each anchor) is bounded however many items there are.
+12 bytes each with their counts, and 24 bytes for each anchor) is bounded however many items there are.
 
 Defined cases: null or empty texts and items have no words, hence no matches,
 and the digest of an empty list; a text as long as memory allows is indexed
-whole. Rows that repeat a doc_id, or have none, are separate texts. Rows that
+whole. Of terms that are equally rare, the one with the smaller hash and then the
+first in the window is the anchor. Rows that repeat a doc_id, or have none, are separate texts. Rows that
 repeat an item_id count as one item. Items without an item_id are one item, named
 null (the first of a list): their spans and they themselves count, and digests of
 lists leave out the name, as the SQL does. Empty tables give no rows, or clean ones.
@@ -43,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.llm import kernel as K
-from trellis.llm.shared import blocks, materialise, text_bytes
+from trellis.llm.shared import blocks, by_batches, discard, materialise, text_bytes
 
 WINDOW = 10
 SLACK = 2
@@ -52,8 +54,8 @@ MAX_WINDOWS = 500_000
 #: Rarest terms by which a window is looked up, at least: one finds every exact
 #: match; proximity takes as many as may be missing, and one more.
 ANCHORS = 2
-#: Alignments checked at once, and places of anchors.
-STEP = 4096
+#: Item terms checked at once (all alignments of a few rows), and places of anchors.
+STEP = 100_000
 CANDIDATES = 20_000
 
 
@@ -83,7 +85,7 @@ def items(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column("item"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(K.signed(terms)))], ["item", "terms"])
 
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "item string, terms array<long>").where("size(terms) > 0").distinct()
+    return rows.transform(by_batches, run, "item string, terms array<long>").where("size(terms) > 0").distinct()
 
 
 def count_terms(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") -> DataFrame:
@@ -97,7 +99,7 @@ def count_terms(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") ->
         seen = np.flatnonzero(total[1:])
         yield pa.RecordBatch.from_arrays([pa.array(K.signed(vocabulary[seen])), pa.array(total[1:][seen])], ["term", "n"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).alias("text")).transform(by_batches, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def anchors(found_items: DataFrame, counts: DataFrame, window: int = WINDOW, per_window: int = ANCHORS, near_share: float = 1.0) -> DataFrame:
@@ -106,7 +108,8 @@ def anchors(found_items: DataFrame, counts: DataFrame, window: int = WINDOW, per
     size = F.least(F.size("terms"), F.lit(window))
     windows = found_items.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("terms") - size)))
     words = windows.select("item", "terms", "start", F.posexplode(F.slice("terms", F.col("start") + 1, size)).alias("k", "term"))
-    rated = words.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # the counts are those of one block's terms, a table whose size MAX_WINDOWS bounds
+    rated = words.join(F.broadcast(counts), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = rated.groupBy("item", "terms", "start").agg(F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct("n", "term", "k")))).alias("by_n"), F.count("*").alias("size"))
     spare = F.size("by_n") - F.ceil(F.lit(near_share) * F.col("size"))  # terms that occur and may be missing
     picked = rarest.where(spare >= 0).select("item", "terms", "start", F.explode(F.slice("by_n", F.lit(1), F.greatest(F.lit(per_window), spare + 1).cast("int"))).alias("r"))
@@ -196,7 +199,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, where: tuple[np.ndarray
 
     kind = docs.schema[doc].dataType.simpleString()
     schema = f"row long, doc {kind}, n_words long, anchor_terms array<long>, anchor_at array<int>, terms array<long>, at array<int>"
-    return docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).transform(by_batches, run, schema)
 
 
 def _flat(column) -> tuple[np.ndarray, np.ndarray]:
@@ -210,55 +213,69 @@ def match(index: DataFrame, anchor_rows: DataFrame, window: int = WINDOW, slack:
     merged for the alignment) and near (a proximity match)."""
     lists = index.where(F.size("anchor_terms") > 0)
     postings = lists.select("row", F.explode(F.arrays_zip("anchor_terms", "anchor_at")).alias("p")).select("row", F.col("p.anchor_terms").alias("term"), F.col("p.anchor_at").alias("pos"))
-    wanted = anchor_rows.select("item", "terms", "at", "term")
-    aligned = wanted.join(postings, "term").select("row", "item", F.col("terms").alias("item_terms"), (F.col("pos") - F.col("at")).alias("shift")).distinct()
-    pairs = aligned.join(lists.select("row", "terms", "at"), "row").select("row", "item", "item_terms", "shift", "terms", "at")
+    wanted = anchor_rows.select("item", F.xxhash64("item", "terms").alias("key"), "at", "term")
+    shifts = wanted.join(postings, "term").groupBy("row", "key").agg(F.first("item").alias("item"), F.collect_set(F.col("pos") - F.col("at")).alias("shifts"))
+    texts = anchor_rows.select(F.xxhash64("item", "terms").alias("key"), F.col("terms").alias("item_terms")).dropDuplicates(["key"])
+    pairs = shifts.join(texts, "key").join(lists.select("row", "terms", "at"), "row").select("row", "item", "item_terms", "shifts", "terms", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, STEP):
-                batch = whole.slice(begin, STEP)
-                n = batch.num_rows
-                items_flat, item_at = _flat(batch.column("item_terms"))
-                terms, term_at = _flat(batch.column("terms"))
-                at, _ = _flat(batch.column("at"))
-                shift = batch.column("shift").to_numpy().astype(np.int64)
-                keys = (np.repeat(np.arange(n), np.diff(term_at)) << 32) + at + slack  # ascending
-                sizes = np.diff(item_at)
-                owner = np.repeat(np.arange(n), sizes)
-                offset = np.arange(len(items_flat)) - item_at[owner]
-                want = (owner << 32) + shift[owner] + offset + slack
-
-                def at_off(off, want=want, keys=keys, terms=terms, items_flat=items_flat, shift=shift, owner=owner, offset=offset):
-                    if not len(keys):
-                        return np.zeros(len(want), bool)
-                    i = np.minimum(np.searchsorted(keys, want + off), len(keys) - 1)
-                    return (keys[i] == want + off) & (terms[i] == items_flat) & (shift[owner] + offset + off >= 0)
-
-                stands = {off: at_off(off) for off in range(-2 * slack, 2 * slack + 1)}
-                exact = stands[0]
-                length = np.minimum(sizes, window)
-                sums = np.concatenate([[0], np.cumsum(exact)])
-                first = offset <= (sizes - length)[owner]  # a window starts here
-                here = np.flatnonzero(first)
-                long = length[owner[here]]
-                full = here[sums[here + long] - sums[here] == long]
-                near_rows = np.zeros(n, bool)
-                for moved in range(-slack, slack + 1):  # the anchor itself may stand off
-                    near = np.any([stands[moved + off] for off in range(-slack, slack + 1)], axis=0)
-                    near_sums = np.concatenate([[0], np.cumsum(near)])
-                    near_rows[owner[here[near_sums[here + long] - near_sums[here] >= near_share * long]]] = True
-                # runs of exact windows become spans
-                start = shift[owner[full]] + offset[full]
-                new = np.ones(len(full), bool)
-                new[1:] = (owner[full][1:] != owner[full][:-1]) | (start[1:] > start[:-1] + length[owner[full]][:-1])
-                heads = np.flatnonzero(new)
-                tails = np.append(heads[1:], len(full))[: len(heads)] - 1
-                spans = pa.StructArray.from_arrays([pa.array(start[heads], pa.int64()), pa.array(start[tails] + length[owner[full][tails]], pa.int64())], ["from", "to"])
-                per = np.searchsorted(owner[full][heads], np.arange(n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("item"), pa.ListArray.from_arrays(pa.array(per), spans), pa.array(near_rows)], ["row", "item", "spans", "near"])
-
-    return pairs.mapInArrow(run, "row long, item string, spans array<struct<from:long,to:long>>, near boolean").where("near or size(spans) > 0")
+        for batch in batches:
+            items_flat, item_at = _flat(batch.column("item_terms"))
+            terms, term_at = _flat(batch.column("terms"))
+            at, _ = _flat(batch.column("at"))
+            shifts, shift_at = _flat(batch.column("shifts"))
+            pair = np.repeat(np.arange(batch.num_rows), np.diff(shift_at))
+            ends = np.cumsum(np.diff(item_at)[pair])
+            begin = 0
+            while begin < len(pair):  # alignments with STEP item terms at most, or one
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + STEP, side="right")))
+                some = slice(int(pair[begin]), int(pair[end - 1]) + 1)
+                low, high = term_at[some.start], term_at[some.stop]
+                keys = (np.repeat(np.arange(some.start, some.stop), np.diff(term_at[some.start : some.stop + 1])) << 32) + at[low:high] + slack
+                yield from _aligned(batch, pair[begin:end], shifts[begin:end].astype(np.int64), items_flat, item_at, keys, terms[low:high], window, slack, near_share)
+                begin = end
+
+    return pairs.transform(by_batches, run, "row long, item string, spans array<struct<from:long,to:long>>, near boolean").where("near or size(spans) > 0")
+
+
+def _aligned(batch: pa.RecordBatch, pair: np.ndarray, shift: np.ndarray, items_flat: np.ndarray, item_at: np.ndarray, keys: np.ndarray, terms: np.ndarray, window: int, slack: int, near_share: float) -> Iterator[pa.RecordBatch]:
+    """What some alignments (pair of text and item, shift) match; keys and terms are the
+    postings of their texts, ascending by (pair, position)."""
+    n = len(pair)
+    sizes = np.diff(item_at)[pair]
+    owner = np.repeat(np.arange(n), sizes)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    item = items_flat[item_at[pair][owner] + offset]
+    place = shift[owner] + offset
+    want = (pair[owner] << 32) + place + slack
+
+    def at_off(off: int) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(want), bool)
+        i = np.minimum(np.searchsorted(keys, want + off), len(keys) - 1)
+        return (keys[i] == want + off) & (terms[i] == item) & (place + off >= 0)
+
+    stands = {off: at_off(off) for off in range(-2 * slack, 2 * slack + 1)}
+    length = np.minimum(sizes, window)
+    here = np.flatnonzero(offset <= (sizes - length)[owner])  # a window starts here
+    long = length[owner[here]]
+    sums = np.concatenate([[0], np.cumsum(stands[0])])
+    full = here[sums[here + long] - sums[here] == long]
+    near_rows = np.zeros(n, bool)
+    for moved in range(-slack, slack + 1):  # the anchor itself may stand off
+        near = np.any([stands[moved + off] for off in range(-slack, slack + 1)], axis=0)
+        near_sums = np.concatenate([[0], np.cumsum(near)])
+        near_rows[owner[here[near_sums[here + long] - near_sums[here] >= near_share * long]]] = True
+    # runs of exact windows become spans
+    start = place[full]
+    new = np.ones(len(full), bool)
+    new[1:] = (owner[full][1:] != owner[full][:-1]) | (start[1:] > start[:-1] + length[owner[full]][:-1])
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(full))[: len(heads)] - 1
+    spans = pa.StructArray.from_arrays([pa.array(start[heads], pa.int64()), pa.array(start[tails] + length[owner[full][tails]], pa.int64())], ["from", "to"])
+    per = np.searchsorted(owner[full][heads], np.arange(n + 1)).astype(np.int32)
+    out = pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(pair)), batch.column("item").take(pa.array(pair)), pa.ListArray.from_arrays(pa.array(per), spans), pa.array(near_rows)], ["row", "item", "spans", "near"])
+    yield out.filter(pa.array(near_rows | (np.diff(per) > 0)))
 
 
 def _blocks_of(found_items: DataFrame, window: int, limit: int) -> list[DataFrame]:
@@ -275,11 +292,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
     found = materialise(items(benchmark), "items")
     near_share = near_share if slack else 1.0
     index = matches = None
+    used = [found]
     for block in _blocks_of(found, window, limit):
         vocabulary = np.unique(np.array(block.select(F.explode("terms").alias("t")).distinct().toPandas()["t"], np.int64).view(np.uint64))
         anchor_rows = materialise(anchors(block, count_terms(docs, vocabulary, text), window, per_window, near_share), "anchors")
         where = places(block, anchor_rows, vocabulary)
         part = materialise(build_index(docs, vocabulary, where, window, slack, near_share, doc, text), "postings")
+        used += [anchor_rows] if index is None else [anchor_rows, part]
         index = index if index is not None else part
         hit = match(part, anchor_rows, window, slack, near_share)
         matches = hit if matches is None else matches.unionByName(hit)
@@ -288,6 +307,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
         index = build_index(docs, np.zeros(0, np.uint64), (none.astype(np.int32), np.zeros(1, np.int64), none, none, none), window, slack, near_share, doc, text)
         return index.select(F.col("doc").alias(doc), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<string>").alias("near_items"))
     matches = materialise(matches, "matches")
+    discard(*used)
     by_item = matches.groupBy("row", "item").agg(F.max(F.size("spans") > 0).alias("exact"))
     both = by_item.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("item", "exact"))).alias("found"))  # structs: null names stay
     item_lists = both.select("row", F.transform(F.filter("found", lambda x: x["exact"]), lambda x: x["item"]).alias("items"), F.col("found.item").alias("near_items"))
