@@ -20,11 +20,16 @@ it. Each word of it is scored once. Counts and scores come to the texts in two w
 the HEAD most frequent words travel to all tasks (a bounded table), and the rest
 is joined: a text's remaining words, counted, are sent to the word table, and
 those that it lacks are scored where they arrive. Words are compared as strings.
+Words of more than LONG characters (texts without spaces are such words) are cut
+where no piece reaches across, which leaves their sum over segmentations as it
+is; equal fragments are scored once, and what is still longer than STEPWISE
+characters is scored character by character instead of as an array.
 
 Defined cases: null and empty texts consist of the end alone. With no training
 texts all counts are 0, and the piece probabilities are the first ones. Rows
 that repeat a doc_id are separate texts; a null doc_id is hashed as the empty
-text. Texts of any length are scored whole.
+text. Texts of any length are scored whole. An empty table of texts has no rows.
+Other columns are not needed and do not disturb.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm import kernel as K
-from trellis.llm.shared import blocks, materialise, text_bytes
+from trellis.llm.shared import blocks, by_batches, discard, materialise, text_bytes
 
 HEAD = 1 << 17
 ROUNDS = 4
@@ -48,6 +53,8 @@ RANK0 = 20.0
 #: Added to each piece's expected count.
 SMOOTH = 0.1
 MARK = "▁"
+#: Characters from which a word is cut into fragments, and a fragment is not an array's line.
+LONG, STEPWISE = 64, 512
 
 
 class Pieces:
@@ -63,6 +70,9 @@ class Pieces:
         size = 1 << 21
         first = np.searchsorted(self.hashes, np.arange(size + 1, dtype=np.uint64) << np.uint64(64 - 21)).astype(np.int32)
         self.first, self.depth = first, int(np.diff(first).max())
+        #: Neighbours that some piece has inside; between others a word can be cut.
+        self.inside = np.unique(np.concatenate([np.zeros(0, np.int64), *((c[:-1] << 32) + c[1:] for c in codes)]))
+        self.index = {p: i for i, p in enumerate(pieces)}
 
     BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -91,9 +101,9 @@ def byte_cost(codes: np.ndarray) -> np.ndarray:
 
 
 def _lattice(words: list[str], pieces: Pieces, log_byte: float):
-    """For words of one length n: edges[length - 1][start] = (piece or -1 for bytes, log p), as arrays."""
-    n = len(words[0]) + 1
-    codes = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
+    """For strings of one length n: edges[length - 1][start] = (piece or -1 for bytes, log p), as arrays."""
+    n = len(words[0])
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
     raw = np.zeros_like(codes)
     found, logs = [], []
     for length in range(1, min(n, pieces.longest) + 1):
@@ -107,6 +117,47 @@ def _lattice(words: list[str], pieces: Pieces, log_byte: float):
     return n, codes, found, logs
 
 
+def _fragments(words: list[str], pieces: Pieces) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The parts of the marked words that are scored; for each use of a part, the word and the part."""
+    parts = [MARK + w for w in words]
+    word = part = np.arange(len(parts))
+    long = [i for i, w in enumerate(parts) if len(w) > LONG]
+    if not long:
+        return parts, word, part
+    at: dict[str, int] = {}
+    more_word, more_part = [], []
+    for i in long:
+        w = parts[i]
+        codes = np.frombuffer(w.encode("utf-32-le"), np.uint32).astype(np.int64)
+        cuts = (np.flatnonzero(~np.isin((codes[:-1] << 32) + codes[1:], pieces.inside)) + 1).tolist()
+        own = [w[a:b] for a, b in zip([0, *cuts], [*cuts, len(w)], strict=True)]
+        more_word += [i] * len(own)
+        more_part += [at.setdefault(x, len(at)) for x in own]
+    keep = np.ones(len(parts), bool)
+    keep[long] = False
+    short = np.flatnonzero(keep)
+    # the short words first, then the distinct fragments of the long ones
+    return [parts[i] for i in short] + list(at), np.append(short, more_word), np.append(np.arange(len(short)), np.array(more_part) + len(short))
+
+
+def _stepwise(text: str, pieces: Pieces, log_byte: float, backwards: bool = False) -> list[float]:
+    """Log probability of each prefix (or suffix, by its start) of one string."""
+    index, logp, longest, n = pieces.index, pieces.logp, pieces.longest, len(text)
+    out = [0.0]  # of the prefix (suffix) of 0, 1, ... characters
+    for end in range(1, n + 1):
+        terms = []
+        for k in range(1, min(end, longest) + 1):
+            edge = text[n - end : n - end + k] if backwards else text[end - k : end]
+            found = index.get(edge)
+            if found is not None:
+                terms.append(out[end - k] + logp[found])
+            elif k == 1:
+                terms.append(out[end - 1] + len(edge.encode("utf-8", "surrogatepass")) * log_byte)
+        top = max(terms)
+        out.append(top + math.log(sum([math.exp(t - top) for t in terms])))
+    return out[::-1] if backwards else out
+
+
 def _logsum(rows: list[np.ndarray]) -> np.ndarray:
     stack = np.stack(rows)
     top = stack.max(0)
@@ -138,26 +189,36 @@ def _by_length(words: list[str]):
     cuts = np.flatnonzero(np.diff(lengths[order])) + 1
     for part in np.split(order, cuts):
         if len(part):
-            step = max(1, 40_000 // (int(lengths[part[0]]) + 1))
+            step = max(1, 40_000 // int(lengths[part[0]]))
             for i in range(0, len(part), step):
                 yield part[i : i + step]
 
 
 def word_scores(words: list[str], pieces: Pieces, log_byte: float) -> np.ndarray:
     """Natural log of each word's probability."""
-    out = np.zeros(len(words))
-    for part in _by_length(words):
-        n, _, _, logs = _lattice([words[i] for i in part], pieces, log_byte)
-        out[part] = forward(n, logs)[n]
-    return out
+    parts, word, part = _fragments(words, pieces)
+    score = np.zeros(len(parts))
+    for some in _by_length(parts):
+        if len(parts[some[0]]) > STEPWISE:
+            score[some] = [_stepwise(parts[i], pieces, log_byte)[-1] for i in some]
+        else:
+            n, _, _, logs = _lattice([parts[i] for i in some], pieces, log_byte)
+            score[some] = forward(n, logs)[n]
+    return np.bincount(word, score[part], len(words))
 
 
 def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, log_byte: float) -> np.ndarray:
     """Expected uses of each piece; the last entry is for bytes."""
     total = np.zeros(len(pieces.pieces) + 1)
-    for part in _by_length(words):
-        n, codes, found, logs = _lattice([words[i] for i in part], pieces, log_byte)
-        alpha, beta, c = forward(n, logs), backward(n, logs), counts[part]
+    parts, word, part = _fragments(words, pieces)
+    times = np.bincount(part, counts[word], len(parts))
+    for some in _by_length(parts):
+        if len(parts[some[0]]) > STEPWISE:
+            for i in some:
+                _count_stepwise(parts[i], times[i], pieces, log_byte, total)
+            continue
+        n, codes, found, logs = _lattice([parts[i] for i in some], pieces, log_byte)
+        alpha, beta, c = forward(n, logs), backward(n, logs), times[some]
         for k, (index, log) in enumerate(zip(found, logs, strict=True), 1):
             weight = c[:, None] * np.exp(alpha[: n - k + 1].T + log + beta[k : n + 1].T - alpha[n][:, None])
             if k == 1:
@@ -166,6 +227,19 @@ def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, log_by
     return total
 
 
+def _count_stepwise(text: str, times: float, pieces: Pieces, log_byte: float, total: np.ndarray) -> None:
+    alpha, beta = _stepwise(text, pieces, log_byte), _stepwise(text, pieces, log_byte, True)
+    whole = alpha[-1]
+    for start in range(len(text)):
+        for k in range(1, min(len(text) - start, pieces.longest) + 1):
+            found = pieces.index.get(text[start : start + k])
+            if found is not None:
+                total[found] += times * math.exp(alpha[start] + pieces.logp[found] + beta[start + k] - whole)
+            elif k == 1:
+                size = len(text[start].encode("utf-8", "surrogatepass"))
+                total[-1] += times * size * math.exp(alpha[start] + size * log_byte + beta[start + 1] - whole)
+
+
 def vocabulary(model: bytes) -> tuple[list[str], np.ndarray]:
     """Pieces of a sentencepiece model, and their probabilities before training (the bytes' share comes last)."""
     import sentencepiece
@@ -208,7 +282,7 @@ def word_table(docs: DataFrame, text: str = "text") -> DataFrame:
                 size = 0
         yield from _flush(gathered)
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, c long")
+    rows = docs.select(F.col(text).alias("text")).transform(by_batches, run, "word string, c long")
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -239,7 +313,7 @@ def train_pieces(words: DataFrame, model: bytes, ends: int, rounds: int = ROUNDS
             used = np.flatnonzero(total > 0)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "n"])
 
-        rows = words.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        rows = words.transform(by_batches, run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
         counts = np.full(len(p), SMOOTH)
         counts[rows["piece"].to_numpy(int)] += rows["n"].to_numpy(float)
         tokens = counts.sum()
@@ -262,7 +336,7 @@ def frequent_words(words: DataFrame, head: int) -> DataFrame:
 
 
 def _scored(names: list[str], logp: np.ndarray):
-    """A mapInArrow function that fills the score s of words where it is null; other columns pass through."""
+    """A function of Arrow batches that fills the score s of words where it is null; other columns pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, log_byte = Pieces(names, logp[: len(names)]), logp[-2] - math.log(256)
@@ -287,7 +361,8 @@ def score(docs: DataFrame, train: DataFrame, model: bytes, doc: str = "doc_id",
     n, v = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
     names, logp = train_pieces(words, model, ends, rounds)
     fill = _scored(names, logp)
-    lexicon = materialise(words.withColumn("s", F.lit(None).cast("double")).mapInArrow(fill, "word string, c long, s double"), "lexicon")
+    lexicon = materialise(words.withColumn("s", F.lit(None).cast("double")).transform(by_batches, fill, "word string, c long, s double"), "lexicon")
+    discard(words)
     frequent = frequent_words(lexicon, head).toPandas()  # ``head`` rows at most
     head_words = pa.array(frequent["word"], pa.large_string())
     head_counts = np.append(frequent["c"].to_numpy(np.int64), 0)
@@ -320,9 +395,9 @@ def score(docs: DataFrame, train: DataFrame, model: bytes, doc: str = "doc_id",
 
     kind = docs.schema[doc].dataType.simpleString()
     schema = f"row long, doc {kind}, n_tokens long, head_score double, head_base double, head_known long, rest array<struct<word:string,times:int>>"
-    counted = materialise(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema), "counted")
+    counted = materialise(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).transform(by_batches, run, schema), "counted")
     rest = counted.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times")
-    found = rest.join(lexicon, "word", "left").select("word", "row", "times", "c", "s").mapInArrow(fill, "word string, row long, times int, c long, s double")
+    found = rest.join(lexicon, "word", "left").select("word", "row", "times", "c", "s").transform(by_batches, fill, "word string, row long, times int, c long, s double")
     c = F.coalesce("c", F.lit(0))
     tails = found.groupBy("row").agg(
         F.sum(F.col("times") * F.log10((c + alpha) / F.lit(n + alpha * (v + 1)))).alias("base"), F.sum(F.col("times") * F.col("s")).alias("tail_score"), F.sum(F.when(c > 0, F.col("times"))).alias("known")
