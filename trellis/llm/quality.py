@@ -142,8 +142,11 @@ def measure(df: DataFrame, text: str = "text", base=BASE_RULES, rules=METHOD_RUL
         ),
     )
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept"]
-    whole = df.withColumn("__quality", everything)
-    return whole.withColumns({n: F.col("__quality")[n] for n in names}).drop("__quality")
+    taken = "__quality"
+    while taken in df.columns:
+        taken += "_"
+    whole = df.withColumn(taken, everything)
+    return whole.withColumns({n: F.col(taken)[n] for n in names}).drop(taken)
 
 
 def keep_good(df: DataFrame, text: str = "text", base=BASE_RULES, rules=METHOD_RULES) -> DataFrame:

@@ -10,7 +10,8 @@ functions only and nothing is shuffled.
 
 Defined cases: a null key is placed like the empty string; equal keys always
 share a shard; an empty table gives an empty result; other columns pass
-through, and ``slot`` and ``shard`` replace columns of these names.
+through, and ``slot`` and ``shard`` replace columns of these names (one of which
+may be the key).
 """
 
 from __future__ import annotations
@@ -67,8 +68,9 @@ def assign(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) -
         .select(F.posexplode(F.split(F.lit(names), ",")).alias("slot", "owner"))
         .select("slot", F.get(F.array(*map(F.lit, shards)), F.col("owner").cast("int")).alias("shard"))
     )
-    placed = df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), size))
-    return placed.join(F.broadcast(table), "slot").select(*placed.columns, "shard")
+    others = [c for c in df.columns if c not in ("slot", "shard")]
+    placed = df.select(*others, slot_of(F.col(key), size).alias("slot"))  # the key may be one of the two itself
+    return placed.join(F.broadcast(table), "slot").select(*others, "slot", "shard")
 
 
 def write_sharded(df: DataFrame, path: str, files_per_shard: int = 1) -> None:
