@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs. All but the last return the
-columns of documents.
+columns of documents, other columns that docs has included, whatever their names.
+
+Defined cases: a null or empty text fails the quality rules. Rows that repeat a
+doc_id, or have none, are documents of their own: duplicates are the rows equal
+in id and text (one stays), near duplicates are found by text, and stages remove
+rows, never all rows of an id. Of near duplicates the least id stays (null is the
+least). Repeated passages stay where they start first. An empty table gives an
+empty result. Texts of any length are handled whole.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ from pyspark.sql import functions as F
 
 from trellis.llm import chosen_path, decontam, quality, spm, substring
 from trellis.llm.registry import documents, piece_model
-from trellis.llm.shared import scratch_dir
+from trellis.llm.shared import remove, scratch_dir, scratch_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +37,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that start earlier elsewhere; n_chars follows. Texts
     of which nothing is left go."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    kept = substring.dedup(docs, keep=tuple(c for c in others if c != "doc_id"))
-    whole = kept.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long"))
-    return whole.select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    own = {c: f"__{i}" for i, c in enumerate(others)}  # whatever their names
+    kept = substring.dedup(docs.withColumnsRenamed(own), keep=tuple(own.values()))
+    left = kept.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    columns = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")} | {c: F.col(x) for c, x in own.items()}
+    return left.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,11 +72,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is a table in the shared folder."""
+    """All stages over documents; each result is a table in the shared folder. A stage's scratch
+    tables go when it has been written, and its input when nothing reads it any more."""
     docs = documents(spark, sf_dir)
-    folder = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_folder(spark, name):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

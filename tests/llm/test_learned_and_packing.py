@@ -92,9 +92,15 @@ def test_kernel_counts_common_grams():
         return {t[i : i + n] for n in range(1, langid.GRAMS + 1) for i in range(len(t) - n + 1)}
 
     a, b = "the cat, sat", "that cat sits"
-    x = langid.presence([a, b], 1 << 20)
-    want = len(grams(a) & grams(b)) / math.sqrt(len(grams(a)) * len(grams(b)))
-    assert abs(float(x[0] @ x[1]) - want) < 1e-5
+    assert len(langid.grams_of(a)) == len(grams(a)) and len(np.intersect1d(langid.grams_of(a), langid.grams_of(b))) == len(grams(a) & grams(b))
+    # features reproduce the kernel between landmarks
+    texts = [a, b, "dogs bark", "the dog and the cat"]
+    x, has = langid.Kernel(texts).features([*texts, "12", None])
+    kernel = x @ x.T
+    for i, s in enumerate(texts):
+        for j, t in enumerate(texts):
+            assert abs(float(kernel[i, j]) - len(grams(s) & grams(t)) / math.sqrt(len(grams(s)) * len(grams(t)))) < 1e-3
+    assert has.tolist() == [True] * 4 + [False] * 2 and not x[4:].any()
 
 
 # ---- LM ---------------------------------------------------------------------------------

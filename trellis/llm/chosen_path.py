@@ -23,7 +23,9 @@ the pairs found. Components of the forests are the classes.
 Defined cases: null and empty texts and texts of white space have no grams:
 they have no partners and are alone. Rows that repeat a doc_id are told apart
 by a hash of the text; rows equal in both count as one document (each gets its
-result). A null doc_id is the smallest. A text of any length is used whole.
+result). Ids are integers; a null doc_id is the smallest. Of documents with equal
+sets the least id (then hash) stands for all. A text of any length is used whole.
+Other columns are not needed and do not disturb.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from trellis.llm import kernel as K
 from trellis.llm.components import components
-from trellis.llm.shared import blocks, materialise, text_bytes
+from trellis.llm.shared import blocks, by_batches, by_groups, discard, materialise, text_bytes
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -235,10 +237,11 @@ def candidate_links(features: DataFrame, reps: DataFrame, runs: int, threshold:
 
     chosen = grams_of(0).join(reps.select("id"), "id", "left_semi").select("id", F.posexplode("grams").alias("run", "grams"))
     nodes = chosen.select("id", "run", F.explode("grams").alias("gram")).select("id", "run", F.xxhash64("run", "gram").alias("node"))
-    leaves = None
+    leaves, used = None, []
     for level in range(1, LEVELS + 1):
         sizes = materialise(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), f"nodes{level}")
         placed = materialise(nodes.join(sizes, "node"), f"placed{level}")
+        used += [sizes, placed]
         done = (placed if level == LEVELS else placed.where(F.col("n") <= leaf)).select("id", "node", "n")
         leaves = done if leaves is None else leaves.unionByName(done)
         if level < LEVELS:  # split what is too large on the next level's grams
@@ -249,7 +252,9 @@ def candidate_links(features: DataFrame, reps: DataFrame, runs: int, threshold:
     bucket = F.pmod(F.xxhash64("node", "x", "y"), F.lit(max(1, count // LEAF_ROWS))).alias("bucket")
     leaves = leaves.join(features.select("id", "minima"), "id").select("*", bucket)
     least = candidate_share(threshold)
-    return leaves.groupBy("bucket").applyInArrow(lambda rows: _link_leaves(rows, least), "a long, b long").distinct()
+    links = materialise(by_groups(leaves.groupBy("bucket"), lambda rows: _link_leaves(rows, least), "a long, b long").distinct(), "links")
+    discard(*used)
+    return links
 
 
 def _compare_square(threshold: float):
@@ -298,22 +303,31 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", gram: int = G
     similarity is at least ``threshold``, copies included."""
     runs = runs_for(recall, threshold)
     keyed = _keyed(docs, doc, text)
-    features = materialise(keyed.select("doc", "h", "text").mapInArrow(_features(gram, threshold, runs), _FEATURES), "features")
+    features = materialise(keyed.select("doc", "h", "text").transform(by_batches, _features(gram, threshold, runs), _FEATURES), "features")
     # documents with equal sets are one class; texts without grams are no copies of each other
-    members = features.select("doc", "h", "size", "set_a", "set_b", F.when(F.col("size") == 0, F.col("id")).otherwise(-1).alias("alone"), "id")
+    members = materialise(features.select("doc", "h", "size", "set_a", "set_b", F.when(F.col("size") == 0, F.col("id")).otherwise(-1).alias("alone"), "id"), "members")
     same_set = ["set_a", "set_b", "alone"]
     least = members.groupBy(*same_set).agg(F.min(F.struct("doc", "h", "id")).alias("rep"), F.count_distinct("doc", "h").alias("copies"), F.max("size").alias("size"))
     least = materialise(least.select(*same_set, F.col("rep.id").alias("id"), F.struct("rep.doc", "rep.h").alias("rep"), "copies", "size"), "classes")
     membership = members.drop("id", "size").distinct().join(least, same_set).select("doc", "h", "rep", "copies", "id")
     reps = least.where("alone = -1").select("id", F.col("rep.doc").alias("doc"), F.col("rep.h").alias("h"), "copies", "size")
-    clusters = materialise(components(candidate_links(features, reps, runs, threshold, leaf, leaf_side)), "clusters")
+    links = candidate_links(features, reps, runs, threshold, leaf, leaf_side)
+    discard(features)
+    clusters = materialise(components(links), "clusters")
+    discard(links)
     clustered = reps.join(clusters.withColumnRenamed("node", "id"), "id")
-    own_side = F.greatest(F.lit(1), F.least(F.lit(side), F.floor(F.lit(SIDE_GRAMS) / F.max("size")))).cast("int")
-    sizes = materialise(clustered.groupBy("component").agg(F.count("*").alias("n"), own_side.alias("side")), "sizes")
+    sizes = clustered.groupBy("component").agg(F.count("*").alias("n"), F.max("size").alias("most"))
+    # a cluster of more than one square is cut so fine that each task has some squares, down to an eighth of a side
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = F.when(F.col("n") <= side, side).otherwise(F.least(F.lit(side), F.greatest(F.lit(side / 8), F.col("n") / math.sqrt(8 * tasks))))
+    own_side = F.greatest(F.lit(1), F.least(shared, F.lit(SIDE_GRAMS) / F.col("most"))).cast("int")
+    sizes = materialise(sizes.select("component", "n", own_side.alias("side")), "sizes")
     wanted = clustered.join(sizes, "component").select("id", "doc", "h", "copies", "component", "n", "side")
-    sets = keyed.join(wanted, ["doc", "h"]).select("id", "component", "n", "side", "copies", "text").mapInArrow(_gram_sets(gram), "id long, component long, n long, side int, copies long, grams binary").dropDuplicates(["id"])
-    squares = _in_squares(materialise(sets, "sets"), "n", "id", F.col("side"))
-    found = materialise(squares.groupBy("component", "x", "y").applyInArrow(_compare_square(threshold), "id long, root long, links long"), "squares")
+    sets = keyed.join(wanted, ["doc", "h"]).select("id", "component", "n", "side", "copies", "text").transform(by_batches, _gram_sets(gram), "id long, component long, n long, side int, copies long, grams binary").dropDuplicates(["id"])
+    sets = materialise(sets, "sets")
+    squares = _in_squares(sets, "n", "id", F.col("side"))
+    found = materialise(by_groups(squares.groupBy("component", "x", "y"), _compare_square(threshold), "id long, root long, links long"), "squares")
+    discard(sets)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     grouped = joined.join(least.select(F.col("id").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("class"))

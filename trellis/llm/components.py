@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.shared import materialise
+from trellis.llm.shared import discard, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -35,7 +35,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v"))
         small = materialise(small.where("u <> v").distinct(), "small")
-        if small.count() == pairs.count() and small.exceptAll(pairs).isEmpty():
+        stable = small.count() == pairs.count() and small.exceptAll(pairs).isEmpty()
+        discard(least, large, small if stable else pairs)
+        if stable:
             break
         pairs = small
     stars = pairs.groupBy("u").agg(F.min("v").alias("v"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from trellis.llm.shared import keeps
+
 #: ASCII white space: \x20 and \x09-\x0D.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -25,6 +27,7 @@ for _seed in (1, 2):
     _rng = np.random.Generator(np.random.PCG64(_seed))
     _LANES.append((_rng.integers(0, 2**64, 256, np.uint64), int(_rng.integers(0, 2**63)) * 2 + 1, int(_rng.integers(0, 2**63)) * 2 + 1))
 _POWERS: dict[int, np.ndarray] = {}
+keeps("powers", _POWERS.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,16 +41,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**i mod 2**64 for i < n; kept between calls up to 4M entries."""
+    """base**i mod 2**64 for i < n; kept between calls up to 2M entries (16 MB)."""
     found = _POWERS.get(base)
     if found is None or len(found) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length()) if n > 1 else 1 << 16
+        size = max(n + (n >> 3), 1 << 16)
         found = np.ones(size, np.uint64)
         done = 1
         while done < size:  # doubles each time
-            found[done : 2 * done] = found[:done] * np.uint64(pow(base, done, 2**64))
-            done *= 2
-        if size <= 4 << 20:
+            more = min(done, size - done)
+            found[done : done + more] = found[:more] * np.uint64(pow(base, done, 2**64))
+            done += more
+        if size <= 2 << 20:
             _POWERS[base] = found
     return found[:n]
 

@@ -15,8 +15,12 @@ its segments, and positions that start again at 0 with each segment.
 Ids come from a public byte-level vocabulary (merge ranks and a pattern, which
 travel with the function, 0.8 MB); each document ends with the end id.
 
-Defined cases: null and empty texts have the end id only. Rows that repeat a doc_id are packed as separate segments. An empty table has no
-rows.
+Defined cases: null and empty texts have the end id only. A text longer than a
+row fills rows of its own, and its remainder is packed; a text of any length is
+encoded whole. Of equal remainders the earlier document is placed first; of
+equally full rows the one last touched is filled. Rows that repeat a doc_id are
+packed as separate segments; a null doc_id stays null. Ids are integers. An
+empty table has no rows. Other columns are not needed and do not disturb.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.shared import blocks
+from trellis.llm.shared import blocks, by_batches, keeps
 
 LENGTH = 2048
 PAD = 0
@@ -120,6 +124,7 @@ def _batch_of(rows, first: int, length: int) -> pa.RecordBatch:
 
 
 _ENCODERS: dict[str, object] = {}
+keeps("packing", _ENCODERS.clear)
 
 
 def encoder_for(ranks: bytes, pattern: str):
@@ -162,7 +167,7 @@ def pack(docs: DataFrame, ranks: bytes, pattern: str, end: int, doc: str = "doc_
         if names:
             yield from flush()
 
-    return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).transform(by_batches, run, SCHEMA, "packing")
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

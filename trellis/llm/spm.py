@@ -8,8 +8,9 @@ that are no pieces become their UTF-8 byte pieces.
 No piece of a supported vocabulary has U+2581 after another character (this is
 checked when a model is loaded), so no merge crosses the start of a word. Words
 can therefore be encoded one by one and kept in a bounded table of each Python
-worker. Every word that enters the table is checked against the sentencepiece
-library, batch by batch; should one ever differ, the library's ids are taken
+worker (bounded in bytes, so that texts without spaces, each of which is one
+word, take no more memory than others). Every word that is encoded is checked
+against the sentencepiece library, batch by batch; should one ever differ, the library's ids are taken
 and the texts with it are counted in ``n_differ``.
 
 The model's bytes travel with the function (half a megabyte), so executors
@@ -17,7 +18,8 @@ need no file of their own.
 
 Defined cases: null is the empty text, which has the begin and end ids only and
 decodes to the empty text. Texts of any length are encoded whole. Repeated rows
-get one row each; other columns pass through if asked for.
+get one row each; other columns pass through if asked for, unless they have the
+name of a result. Of pairs with equal scores the leftmost is merged first.
 """
 
 from __future__ import annotations
@@ -32,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.shared import blocks
+from trellis.llm.shared import blocks, by_batches, keeps
 
 MARK = "▁"
-#: Words in one generation of a Python worker's table; two are kept (some 150 MB).
-KEEP_WORDS = 300_000
+#: Bytes (about) of one generation of a Python worker's table; two are kept, and one of fragments.
+KEEP_BYTES = 16 << 20
+#: Words and fragments of more characters are encoded where they stand and not kept.
+KEEP_CHARS = 200
 #: Symbols up to which a plain list is the faster agenda.
 SHORT = 64
 
@@ -139,13 +143,15 @@ class WordTable(dict):
     """Word -> its ids as little-endian unsigned 32-bit integers; fills itself.
 
     A full table becomes the old generation; words that are met again move on
-    to the new one, so frequent words stay and memory is bounded."""
+    to the new one, so frequent words stay and memory is bounded: by KEEP_BYTES
+    for each generation, and a block of texts."""
 
     def __init__(self, model: MergeModel):
         super().__init__()
-        self.model, self.fresh, self.differ = model, [], set()
+        self.model, self.fresh, self.differ, self.long = model, [], set(), []
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.size = self.parts_size = 0
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
@@ -153,10 +159,17 @@ class WordTable(dict):
             found = b"".join([self.parts.get(p) or self.part(p) for p in self.model.fragments(word)])
             self.fresh.append(word)
         self[word] = found
+        if len(word) > KEEP_CHARS:
+            self.long.append(word)
+        else:
+            self.size += 150 + 2 * len(word) + len(found)  # with what the objects take
         return found
 
     def part(self, fragment: str) -> bytes:
-        self.parts[fragment] = found = packed_ids(self.model.merge(fragment))
+        found = packed_ids(self.model.merge(fragment))
+        if len(fragment) <= KEEP_CHARS:
+            self.parts[fragment] = found
+            self.parts_size += 150 + 2 * len(fragment) + len(found)
         return found
 
     def settle(self) -> bool:
@@ -174,14 +187,20 @@ class WordTable(dict):
         return same
 
     def trim(self) -> None:
-        if len(self) > KEEP_WORDS:
+        for word in self.long:
+            self.pop(word, None)
+        self.long.clear()
+        if self.size > KEEP_BYTES:
             self.old = dict(self)
             self.clear()
-        if len(self.parts) > KEEP_WORDS:
+            self.size = 0
+        if self.parts_size > KEEP_BYTES:
             self.parts.clear()
+            self.parts_size = 0
 
 
 _TABLES: dict[str, WordTable] = {}
+keeps("spm", _TABLES.clear)
 
 
 def table_for(model: bytes) -> WordTable:
@@ -229,7 +248,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...
     """``keep`` columns, ``ids`` (array<int> with begin and end), ``n_tokens``, ``n_differ``."""
     from pyspark.sql import types as T
 
-    names = list(keep)
+    names = [c for c in keep if c not in ("ids", "n_tokens", "n_differ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_for(model)
@@ -243,7 +262,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...
 
     fields = [*_pass_through(df, names), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("n_differ", T.LongType())]
     fields = sorted(fields[: len(names)], key=lambda f: names.index(f.name)) + fields[len(names) :]
-    return df.select(*names, F.col(text).alias("__text")).mapInArrow(run, T.StructType(fields))
+    return df.select(*names, F.col(text).alias("__text")).transform(by_batches, run, T.StructType(fields), "spm")
 
 
 def encode_digests(df: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -263,14 +282,14 @@ def encode_digests(df: DataFrame, model: bytes, key: str = "doc_id", text: str =
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_differ long" + ", ids binary" * with_ids
-    return df.select(key, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(key, F.col(text).alias("__text")).transform(by_batches, run, schema, "spm")
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``text`` decoded from an array<int> column; null ids give the empty text."""
     from pyspark.sql import types as T
 
-    names = list(keep)
+    names = [c for c in keep if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = table_for(model).model.decode
@@ -279,4 +298,4 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", keep: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
 
     fields = sorted(_pass_through(df, names), key=lambda f: names.index(f.name))
-    return df.select(*names, F.col(ids).alias("__ids")).mapInArrow(run, T.StructType([*fields, T.StructField("text", T.StringType())]))
+    return df.select(*names, F.col(ids).alias("__ids")).transform(by_batches, run, T.StructType([*fields, T.StructField("text", T.StringType())]), "spm")
