@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from trellis import plugins
 from trellis.operators import evaluation as E
 from trellis.operators import retrieval as R
 from trellis.operators.graph import upsert_edges
@@ -197,6 +198,36 @@ def rss_articles(spark, d):
     return feeds.timed(found.withColumn("raw", F.col("summary"))).select("title", "raw", "summary", F.col("date").cast("timestamp_ntz").alias("date"))
 
 
+@register("fetched_feeds", "SELECT 'a' AS path, 'one' AS title, NULL AS reason UNION ALL SELECT 'b', NULL, 'timeout' UNION ALL SELECT 'c', NULL, 'KeyError'")
+def fetched_feeds(spark, d):
+    """Feeds fetched by a plug-in within a time; failures are rows with their reason."""
+    import time
+
+    def fetch(address: str) -> bytes:
+        if address == "b":
+            time.sleep(1)
+        return {"a": b"<rss><item><title>one</title></item></rss>"}[address]
+
+    got = plugins.fetched(spark, ["a", "b", "c"], fetch, 0.3)
+    titles = feeds.articles_of(got.where("content is not null")).select(F.col("source").alias("path"), "title")
+    return got.join(titles, "path", "left").select("path", "title", F.substring_index(F.substring_index("reason", " ", 1), ":", 1).alias("reason"))
+
+
+@register(
+    "site_articles",
+    """SELECT 'n' || s_nationkey AS page, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'http://x/' || s_suppkey ELSE 'http://site/a/' || s_suppkey END AS link, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'About it' END AS summary FROM supplier WHERE s_suppkey % 5 <> 4
+    UNION ALL SELECT 'other', 'Only a list', '', ''""",
+)
+def site_articles(spark, d):
+    """Articles of a site's pages: absolute links, no title no article, and the second kind of element where the first is missing."""
+    s = t(spark, d, "supplier")
+    item = F.expr("""'<ARTICLE class="x"><a href="' || CASE WHEN s_suppkey % 2 = 0 THEN 'http://x/' ELSE '/a/' END || s_suppkey || '">' || CASE WHEN s_suppkey % 5 = 4 THEN '' ELSE '<h2 id="t"> <b>' || s_name || '</b></h2>' END || '</a>' || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '<p>About <i>it</i></p><p>more</p>' END || '</article>'""")
+    pages = s.groupBy(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("page")).agg(F.concat(F.lit("<body><h2>News</h2>"), F.array_join(F.collect_list(item), "\n")).alias("html"))
+    pages = pages.unionByName(spark.createDataFrame([("other", '<ul><li class="menu"><h3>Menu</h3></li><li class="big-news"><h3>Only a list</h3></li></ul>'), ("none", "<p>nothing</p>")], "page string, html string"))
+    site = feeds.Site("Site", "http://site", "article", None, ("div|li", "news|article"))
+    return feeds.site_articles(pages, site).select("page", "title", "link", "summary")
+
+
 @register(
     "recent_digest",
     """SELECT string_agg(source || ': ' || title, chr(10) ORDER BY date DESC, seq) AS text FROM (SELECT doc_id AS seq, source, substring(split_part(text, chr(10), 1), 1, 20) AS title,

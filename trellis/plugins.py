@@ -7,7 +7,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.operators.retrieval import normalised_cosine
@@ -75,3 +75,11 @@ def with_timeout(call: Callable, seconds: float) -> Callable:
             pool.shutdown(wait=False)
 
     return run
+
+
+def fetched(spark: SparkSession, addresses: list[str], fetch: Callable[[str], bytes], seconds: float = 10.0, at_once: int = 8) -> DataFrame:
+    """(path, content, reason) of a list of addresses, some at once, each within so many seconds: what the feed
+    sources read. content is null, with the reason, where the plug-in failed or took too long."""
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = [(a, v, why) for a, (v, why) in zip(addresses, pool.map(with_timeout(fetch, seconds), addresses), strict=True)]
+    return spark.createDataFrame(rows, "path string, content binary, reason string")

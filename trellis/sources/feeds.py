@@ -5,6 +5,7 @@ Fetching is a plug-in: what it stores (files) is what these sources read."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,37 @@ from pyspark.sql import functions as F
 from trellis.functions.text import strip_html
 from trellis.operators.ties import keep_first
 
+@dataclass(frozen=True)
+class Site:
+    """How a site shows its articles: the elements that hold one (with a pattern of their class), the
+    elements to look for where there are none of these, the headings that are titles, and the site's address."""
+
+    name: str
+    address: str
+    tags: str = "article|div"
+    of_class: str | None = "news|article|post"
+    otherwise: tuple[str, str] | None = None
+    headings: str = "h2|h3|h4"
+
+
+def site_articles(pages: DataFrame, site: Site, html: str = "html", most: int | None = None) -> DataFrame:
+    """pages with the articles of one site: position, source, title, link (absolute), summary (400 characters).
+    An element reaches to the next one; what has no title is left out; ``most`` elements of a page count."""
+    def blocks(tags: str, of_class: str | None) -> Column:
+        opening = rf"<(?:{tags})\b" + (rf'(?=[^>]*\bclass="[^"]*(?:{of_class}))' if of_class else "")
+        return F.filter(F.split(html, f"(?is)(?={opening})"), lambda b: b.rlike(f"(?is)^{opening}"))
+
+    found = blocks(site.tags, site.of_class)
+    if site.otherwise:
+        found = F.when(F.size(found) > 0, found).otherwise(blocks(*site.otherwise))
+    items = pages.select("*", F.posexplode(found if most is None else F.slice(found, 1, most)).alias("position", "__b"))
+    inner = lambda pattern, limit: F.substring(F.trim(F.regexp_replace(F.regexp_extract("__b", pattern, 1), r"<[^>]+>", "")), 1, limit)
+    href = F.regexp_extract("__b", r'(?is)<a\b[^>]*\bhref="([^"]*)"', 1)
+    link = F.when(href == "", "").when(href.startswith("http"), href).otherwise(F.concat(F.lit(site.address), href))
+    out = items.withColumns({"source": F.lit(site.name), "title": inner(rf"(?is)<(?:{site.headings})\b[^>]*>(.*?)</(?:{site.headings})>", 1000), "link": link, "summary": inner(r"(?is)<p\b[^>]*>(.*?)</p>", 400)})
+    return out.where("title <> ''").drop("__b")
+
+
 ARTICLE = "source string, title string, link string, published string, summary string"
 
 
