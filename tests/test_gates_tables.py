@@ -101,6 +101,9 @@ def knowledge_base(spark, tmp_path_factory):
     (folder / "three.rdf").write_text("<rdf:RDF")
     triples = rdf.read_triples(spark, str(folder))
     assert [r.s.rsplit("/", 1)[-1] for r in rdf.broken(triples).collect()] == ["three.rdf"]
+    split = rdf.read_individuals(spark, str(folder / "[ot]*.rdf"))  # one, two, three: the third has no individual
+    own = triples.where(f"p is not null and s <> '{KB}Horse'")
+    assert split.exceptAll(own).isEmpty() and own.exceptAll(split).isEmpty() and own.count() > 40
     return rdf.graph_of(triples, KB)
 
 

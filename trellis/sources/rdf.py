@@ -1,7 +1,9 @@
 """RDF/XML individuals to triples, and triples to a property graph.
 
-Files are read whole by Spark and parsed inside tasks by the standard library's
-XML parser, one file at a time; a set of files is parsed in parallel.
+``read_individuals`` splits files of any size at the closing tag of an element,
+as lines are split; each element is parsed in its task by the standard library's
+XML parser, within the opening tag of its file (a row a file, joined on the
+path). ``read_triples`` takes whole files instead, with whatever they hold.
 """
 
 from __future__ import annotations
@@ -51,6 +53,18 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return triples_of(spark.read.format("binaryFile").load(path))
 
 
+def read_individuals(spark: SparkSession, path: str, element: str = "owl:NamedIndividual") -> DataFrame:
+    """Triples of the elements of one name, from files that are split into tasks. An element that is
+    no XML gives one row, as a broken file does."""
+    records = spark.read.option("lineSep", f"</{element}>").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    opening = F.regexp_extract("value", r"(?s)((?:<!DOCTYPE[^\[>]*(?:\[.*?\])?\s*>\s*)?<rdf:RDF\b[^>]*>)", 1)
+    heads = records.where(F.col("value").contains("<rdf:RDF")).groupBy("path").agg(F.first(opening).alias("head"))
+    own = F.concat(F.lit(f"<{element}"), F.substring_index("value", f"<{element}", -1))
+    bodies = records.where(F.col("value").contains(f"<{element}")).join(heads, "path", "left")
+    content = F.concat(F.coalesce("head", F.lit("")), own, F.lit(f"</{element}></rdf:RDF>"))
+    return triples_of(bodies.select("path", content.alias("content")))
+
+
 def triples_of(files: DataFrame) -> DataFrame:
     """Triples of (path, content) rows. A file that is no XML gives one row: its path as s, and nulls."""
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(_triples, TRIPLES)
