@@ -4,7 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from trellis.plans import catalog
+from trellis.operators.graph import Graph
+from trellis.plans import catalog, knowledge_base
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -24,6 +25,24 @@ def canonical(frame):
     return sorted(map(repr, frame.itertuples(index=False, name=None)))
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_knowledge_base(spark):
+    """The graph of the question shapes, made once and kept: their plans are then small."""
+    made, make = knowledge_base.kb_graph(spark, DIR), knowledge_base.kb_graph
+    kept = Graph(made.nodes.coalesce(2).cache(), made.edges.coalesce(2).cache())
+    knowledge_base.kb_graph = lambda spark, d: kept
+    yield make
+    knowledge_base.kb_graph = make
+    kept.nodes.unpersist()
+    kept.edges.unpersist()
+
+
+def test_labels_prune_the_scans(spark, one_knowledge_base):
+    """A constant label leaves only the tables that have it."""
+    plan = one_knowledge_base(spark, DIR).label("Horse")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "s_suppkey" in plan
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_its_sql(spark, duck, name):
     got = catalog.queries()[name](spark, DIR).toPandas()
