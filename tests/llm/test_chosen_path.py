@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from trellis.llm import chosen_path
 from trellis.llm.components import components
+from trellis.llm.shared import materialise
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("h", T.StringType()), T.StructField("id", T.StringType()), T.StructField("class", T.StringType())])
 
@@ -106,6 +107,6 @@ def test_recall_of_contained_texts_at_full_depth(spark):
     runs = chosen_path.runs_for(chosen_path.TARGET_RECALL, 0.8)
     keyed = chosen_path._keyed(frame(spark, rows), "doc_id", "text")
     # leaf=1: each node is split to the last level, as the nodes of a hot template are
-    features = keyed.select("doc", "h", "text").mapInArrow(chosen_path._features(chosen_path.GRAM, 0.8, runs), chosen_path._FEATURES).localCheckpoint()
+    features = materialise(keyed.select("doc", "h", "text").mapInArrow(chosen_path._features(chosen_path.GRAM, 0.8, runs), chosen_path._FEATURES), "features")
     found = chosen_path.candidate_links(features, features.select("id"), runs, leaf=1)
     assert found.count() >= 3996  # 0.9999 of them are expected
