@@ -35,7 +35,7 @@ def _picked(values: list[str], key: str) -> Column:
 # ---- questions ------------------------------------------------------------------------------
 
 QUESTIONS = [
-    "Combien d’événements sportifs sont enregistrés ?", "Quelle est la race de cheval la plus courante ?", "Le cheval Dakota a-t-il plus de séances que Pixie ?",
+    "Combien d’événements sportifs sont enregistrés ?", "Quelle est la race de cheval la plus courante ?", "Le cheval Alto a-t-il plus de séances que Brio ?",
     "Compare la compétition de Saumur par rapport à celle de Nantes", "Les fréquences sont-elles cohérentes ?", "Quels chevaux engagés mais sans résultat officiel ?",
     "Quel capteur au garrot ?", "Où a lieu le Dressage Amateur 2 ?", "Les capteurs IMU sortent du schéma ?", "Quelle heure est-il ?", "", "Comment varie l'intensité Élevée, ÉLEVÉE ou pic ?",
     "Durée des séances en PreCompetitionStage ?", "Quel cheval a le plus de capteurs ?",
@@ -214,12 +214,12 @@ def judge_scores(spark, d):
 
 @register(
     "honest_answers",
-    f"""WITH a AS (SELECT s_suppkey, [NULL, '', 'Aucun cheval', 'Le document ne contient pas ce nom', 'Dakota', 'Cette information n''est pas disponible', 'pas de données'][s_suppkey % 7 + 1] AS x FROM supplier)
+    f"""WITH a AS (SELECT s_suppkey, [NULL, '', 'Aucun cheval', 'Le document ne contient pas ce nom', 'Alto', 'Cette information n''est pas disponible', 'pas de données'][s_suppkey % 7 + 1] AS x FROM supplier)
     SELECT s_suppkey, coalesce({_any('lower(x)', A.UNAVAILABLE)}, false) AS unavailable, coalesce({_any('lower(x)', A.NO_INFORMATION)}, false) AS no_information FROM a""",
 )
 def honest_answers(spark, d):
     """A missing or blank answer is not one that honestly says there is none."""
-    values = [None, "", "Aucun cheval", "Le document ne contient pas ce nom", "Dakota", "Cette information n'est pas disponible", "pas de données"]
+    values = [None, "", "Aucun cheval", "Le document ne contient pas ce nom", "Alto", "Cette information n'est pas disponible", "pas de données"]
     x = F.element_at(F.array(*map(F.lit, values)), (F.col("s_suppkey") % 7 + 1).cast("int"))
     return t(spark, d, "supplier").select("s_suppkey", A.is_unavailable(x).alias("unavailable"), A.is_no_information(x).alias("no_information"))
 
