@@ -137,6 +137,30 @@ def retry_controller(spark, d):
     return spark.createDataFrame([(sql, made, len(generate.seconds), min(generate.seconds) >= 0)], "statement string, attempts int, calls int, timed boolean")
 
 
+@register("one_shot_correction", "SELECT * FROM (VALUES ('mended', 2, true), ('given up', 2, false)) v(name, attempts, answered)")
+def one_shot_correction(spark, d):
+    """One more attempt with the parser's complaint as feedback, and none after that."""
+    spark.read.parquet(f"{d}/events.parquet").createOrReplaceTempView("events")
+    rows = []
+    for name, second in (("mended", "SELECT event_id FROM events"), ("given up", "SELECT FROM WHERE")):
+        heard = []
+
+        def generate(question, feedback, second=second, heard=heard):
+            heard.append(feedback)
+            return second if feedback else "SELEC event_id FROM events"
+
+        found, _, made, _ = guard.answer(spark, "Which events?", generate, attempts=2)
+        rows.append((name, made, found is not None and "must start with SELECT" in heard[1]))
+    return spark.createDataFrame(rows, "name string, attempts int, answered boolean")
+
+
+@register("list_comprehension", "SELECT n_name AS nation, array_to_string(list_transform(list_filter(list_sort(list(s_suppkey)), lambda k: k % 2 = 0), lambda k: 'S' || k), ',') AS even FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
+def list_comprehension(spark, d):
+    """[k IN list WHERE k is even | 'S' + k]"""
+    rows = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).groupBy(F.col("n_name").alias("nation")).agg(F.sort_array(F.collect_list("s_suppkey")).alias("ids"))
+    return rows.select("nation", F.array_join(F.transform(F.filter("ids", lambda k: k % 2 == 0), lambda k: F.concat(F.lit("S"), k.cast("string"))), ",").alias("even"))
+
+
 @register("timeout_wrapper", "SELECT * FROM (VALUES ('quick', '1', NULL), ('broken', NULL, 'ZeroDivisionError'), ('slow', NULL, 'timeout')) v(name, value, reason)")
 def timeout_wrapper(spark, d):
     import time
