@@ -309,7 +309,6 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", gram: int = G
     same_set = ["set_a", "set_b", "alone"]
     least = members.groupBy(*same_set).agg(F.min(F.struct("doc", "h", "id")).alias("rep"), F.count_distinct("doc", "h").alias("copies"), F.max("size").alias("size"))
     least = materialise(least.select(*same_set, F.col("rep.id").alias("id"), F.struct("rep.doc", "rep.h").alias("rep"), "copies", "size"), "classes")
-    membership = members.drop("id", "size").distinct().join(least, same_set).select("doc", "h", "rep", "copies", "id")
     reps = least.where("alone = -1").select("id", F.col("rep.doc").alias("doc"), F.col("rep.h").alias("h"), "copies", "size")
     links = candidate_links(features, reps, runs, threshold, leaf, leaf_side)
     discard(features)
@@ -332,7 +331,9 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", gram: int = G
     joined = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     grouped = joined.join(least.select(F.col("id").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("class"))
     of_node = joined.join(grouped, "component").select(F.col("node").alias("id"), "class")
-    whole = membership.join(links, "id", "left").join(of_node, "id", "left")
+    # all that is known of a class stands in one row before its copies, of which there may be very many, meet it
+    known = materialise(least.join(links, "id", "left").join(of_node, "id", "left").select(*same_set, "rep", "copies", "links", "class"), "known")
+    whole = members.select("doc", "h", *same_set).distinct().join(known, same_set)
     return whole.select("doc", "h", F.col("rep").alias("copy_of"), F.coalesce("class", "rep").alias("class"), (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("n_links"))
 
 
