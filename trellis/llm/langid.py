@@ -40,8 +40,8 @@ GRAMS = 4
 LANDMARKS = 128
 LANDMARK_CHARS = 2000
 RIDGE = 1e-3
-#: Texts in a matrix product.
-BATCH = 64
+#: Texts in a matrix product, and slices of a task's sums, which are added up apart.
+BATCH, SLICES = 64, 16
 UNKNOWN = "und"
 
 _FACTOR, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -170,12 +170,12 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", count: int = L
                 target += x.T @ y[has]
                 n += len(x)
         if n:
-            sums = np.append(np.append(outer, target, 1).ravel(), n)
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["key", "part", "sums"])
+            slices = np.array_split(np.append(np.append(outer, target, 1).ravel(), n), SLICES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int64()), pa.array([TaskContext.get().partitionId()] * SLICES, pa.int64()), pa.array([x.tobytes() for x in slices], pa.binary())], ["key", "part", "sums"])
 
     rows = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     parts = materialise(rows.transform(by_batches, gather, "key long, part long, sums binary"), "sums")
-    sums = np.frombuffer(tree_sum(parts, "key", {"sums": "f8"}).first()["sums"])
+    sums = np.concatenate([np.frombuffer(r["sums"]) for r in sorted(tree_sum(parts, "key", {"sums": "f8"}).collect())])  # SLICES rows
     discard(parts)
     n, lines = sums[-1], sums[:-1]
     m = Kernel(texts).map.shape[1] + 1
