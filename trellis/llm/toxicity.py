@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm.shared import COUNT_ERROR, blocks, by_batches, discard, hash_limit, materialise, tree_sum
@@ -100,9 +100,16 @@ def pieces_in(buckets: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """text, y (0 or 1) of the labelled texts. Labels grow with the documents, so they are never broadcast."""
+    """text, y (0 or 1) and a hash of the labelled texts. Labels grow with the documents, so they are never broadcast."""
     marks = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(doc).agg(F.max(F.col(label)).alias("y"))
-    return docs.select(doc, F.coalesce(text, F.lit("")).alias("text")).join(marks.hint("merge"), doc).select("text", (F.col("y") > 0).cast("int").alias("y"))
+    whole = F.coalesce(text, F.lit(""))
+    # hashed before the join, so that counts of distinct texts do not move the texts
+    own = docs.select(doc, whole.alias("text"), _chosen(whole).alias("chosen"))
+    return own.join(marks.hint("merge"), doc).select("text", (F.col("y") > 0).cast("int").alias("y"), "chosen")
+
+
+def _chosen(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(1 << 30))
 
 
 _PARTS = 64
@@ -177,7 +184,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray) -> tuple[np.ndarra
 
 def train_model(train: DataFrame, features: int = FEATURES, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights of all buckets and the intercept."""
-    train = train.withColumn("chosen", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
+    if "chosen" not in train.columns:
+        train = train.withColumn("chosen", _chosen(F.col("text")))
     found = train.groupBy("y").agg(F.count("*").alias("n"), F.approx_count_distinct("chosen", COUNT_ERROR).alias("distinct")).collect()  # two rows
     sizes = {0: 0, 1: 0} | {r["y"]: r["n"] for r in found}
     if not sizes[0] or not sizes[1]:
