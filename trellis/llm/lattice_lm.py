@@ -34,6 +34,7 @@ Other columns are not needed and do not disturb.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm import kernel as K
-from trellis.llm.shared import blocks, by_batches, discard, materialise, text_bytes
+from trellis.llm.shared import blocks, by_batches, discard, keeps, materialise, text_bytes
 
 HEAD = 1 << 17
 ROUNDS = 4
@@ -57,22 +58,36 @@ MARK = "▁"
 LONG, STEPWISE = 64, 512
 
 
+_SHAPES: dict[str, tuple] = {}
+keeps("lattice", _SHAPES.clear)
+
+
 class Pieces:
     """Piece strings of a vocabulary and log probabilities; the last 256 entries are bytes."""
 
     def __init__(self, pieces: list[str], logp: np.ndarray):
         self.pieces, self.logp = pieces, logp
-        codes = [np.frombuffer(p.encode("utf-32-le"), np.uint32).astype(np.int64) for p in pieces]
-        self.longest = max(map(len, codes))
+        key = hashlib.sha256("\n".join(pieces).encode()).hexdigest()
+        if key not in _SHAPES:
+            _SHAPES.clear()
+            _SHAPES[key] = self._shape()
+        self.longest, self.order, self.hashes, self.first, self.depth, self.inside, self.index = _SHAPES[key]
+
+    def _shape(self) -> tuple:
+        """All that does not depend on probabilities; a worker keeps it between tasks."""
+        codes = [np.frombuffer(p.encode("utf-32-le"), np.uint32).astype(np.int64) for p in self.pieces]
         hashes = K.mix(np.array([self._hash(c) for c in codes], np.uint64))
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-        size = 1 << 21
-        first = np.searchsorted(self.hashes, np.arange(size + 1, dtype=np.uint64) << np.uint64(64 - 21)).astype(np.int32)
-        self.first, self.depth = first, int(np.diff(first).max())
-        #: Neighbours that some piece has inside; between others a word can be cut.
-        self.inside = np.unique(np.concatenate([np.zeros(0, np.int64), *((c[:-1] << 32) + c[1:] for c in codes)]))
-        self.index = {p: i for i, p in enumerate(pieces)}
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        first = np.searchsorted(hashes, np.arange((1 << 21) + 1, dtype=np.uint64) << np.uint64(64 - 21)).astype(np.int32)
+        # neighbours that some piece has inside; between others a word can be cut
+        flat, size = np.concatenate(codes), np.array([len(c) for c in codes])
+        ends = np.cumsum(size)
+        within = np.ones(len(flat), bool)
+        within[ends - 1] = False
+        within = np.flatnonzero(within)
+        inside = np.unique((flat[within] << 32) + flat[within + 1])
+        return int(size.max()), order, hashes, first, int(np.diff(first).max()), inside, {p: i for i, p in enumerate(self.pieces)}
 
     BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -313,7 +328,7 @@ def train_pieces(words: DataFrame, model: bytes, ends: int, rounds: int = ROUNDS
             used = np.flatnonzero(total > 0)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "n"])
 
-        rows = words.transform(by_batches, run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        rows = words.transform(by_batches, run, "piece long, n double", "lattice").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
         counts = np.full(len(p), SMOOTH)
         counts[rows["piece"].to_numpy(int)] += rows["n"].to_numpy(float)
         tokens = counts.sum()
@@ -361,7 +376,7 @@ def score(docs: DataFrame, train: DataFrame, model: bytes, doc: str = "doc_id",
     n, v = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
     names, logp = train_pieces(words, model, ends, rounds)
     fill = _scored(names, logp)
-    lexicon = materialise(words.withColumn("s", F.lit(None).cast("double")).transform(by_batches, fill, "word string, c long, s double"), "lexicon")
+    lexicon = materialise(words.withColumn("s", F.lit(None).cast("double")).transform(by_batches, fill, "word string, c long, s double", "lattice"), "lexicon")
     discard(words)
     frequent = frequent_words(lexicon, head).toPandas()  # ``head`` rows at most
     head_words = pa.array(frequent["word"], pa.large_string())
@@ -397,7 +412,7 @@ def score(docs: DataFrame, train: DataFrame, model: bytes, doc: str = "doc_id",
     schema = f"row long, doc {kind}, n_tokens long, head_score double, head_base double, head_known long, rest array<struct<word:string,times:int>>"
     counted = materialise(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).transform(by_batches, run, schema), "counted")
     rest = counted.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times")
-    found = rest.join(lexicon, "word", "left").select("word", "row", "times", "c", "s").transform(by_batches, fill, "word string, row long, times int, c long, s double")
+    found = rest.join(lexicon, "word", "left").select("word", "row", "times", "c", "s").transform(by_batches, fill, "word string, row long, times int, c long, s double", "lattice")
     c = F.coalesce("c", F.lit(0))
     tails = found.groupBy("row").agg(
         F.sum(F.col("times") * F.log10((c + alpha) / F.lit(n + alpha * (v + 1)))).alias("base"), F.sum(F.col("times") * F.col("s")).alias("tail_score"), F.sum(F.when(c > 0, F.col("times"))).alias("known")
