@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chosen_path, decontam, langid, lattice_lm, packing, quality, sharding, spm, substring, toxicity
+from trellis.llm import chosen_path, decontam, ftrl, langid, lattice_lm, packing, quality, sharding, spm, substring, toxicity
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
@@ -88,6 +88,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(documents(spark, sf_dir)).select(*names)
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = bucket_of(F.col("doc_id"), 3) == 1
+    model = ftrl.train_model(docs.where(~held), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return ftrl.score(docs, *model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_sql() -> str:
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -185,6 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_quality_classifier": op11_quality_classifier,
 }
 ORACLES: dict[str, Callable[[], str]] = {"op2_decontamination": op2_sql, "op4_sharding": op4_sql, "op7_substring_dedup": op7_sql, "op8_quality_rules": op8_sql, "op10_jaccard_join": op10_sql}
 
