@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chosen_path, decontam, ftrl, langid, lattice_lm, packing, quality, sharding, spm, substring, toxicity
+from trellis.llm import chosen_path, collocations, decontam, ftrl, langid, lattice_lm, packing, quality, sharding, spm, substring, toxicity
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
@@ -95,6 +95,30 @@ def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.score(docs, *model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top(collocations.collocations(documents(spark, sf_dir)))
+
+
+def op12_sql() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({lower}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS lp, array_to_string(ws[j + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+rated AS (SELECT cuts.lang, cuts.phrase, cuts.a, j, x.a AS l, y.a AS r, CAST((CAST(cuts.a AS HUGEINT) * 2000000) // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+    FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp),
+lowest AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, max(a) AS longer
+    FROM (SELECT lang, ws, a, s, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM c)) GROUP BY ALL),
+kept AS (SELECT o.* FROM lowest o LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR CAST(longer AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
+
 def op2_sql() -> str:
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -193,8 +217,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_quality_classifier": op11_quality_classifier,
+    "op12_collocations": op12_collocations,
 }
-ORACLES: dict[str, Callable[[], str]] = {"op2_decontamination": op2_sql, "op4_sharding": op4_sql, "op7_substring_dedup": op7_sql, "op8_quality_rules": op8_sql, "op10_jaccard_join": op10_sql}
+ORACLES: dict[str, Callable[[], str]] = {"op2_decontamination": op2_sql, "op4_sharding": op4_sql, "op7_substring_dedup": op7_sql, "op8_quality_rules": op8_sql, "op10_jaccard_join": op10_sql, "op12_collocations": op12_sql}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
