@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chosen_path, collocations, decontam, ftrl, langid, lattice_lm, packing, quality, sharding, spm, substring, toxicity
+from trellis.llm import chosen_path, collocations, decontam, ftrl, langid, lattice_lm, packing, prefix_trie, quality, sharding, spm, substring, toxicity
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
@@ -119,6 +119,34 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000"""
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_sql() -> str:
+    table = "list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"
+    return f"""
+WITH crc AS (SELECT {table} AS t),
+c AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+counts AS (SELECT conv_id, count(*) AS n FROM c GROUP BY conv_id),
+ids AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 4 AS h FROM counts, crc),
+r AS (SELECT ids.conv_id, pos AS d, role, text FROM ids JOIN c ON c.conv_id = base AND pos <= h
+    UNION ALL SELECT ids.conv_id, pos - h + least(h, coalesce(b.n, 0)), role, text FROM ids JOIN c USING (conv_id) LEFT JOIN counts b ON b.conv_id = base WHERE pos > h),
+p AS (SELECT conv_id, d, text, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY d) AS k FROM r
+    UNION ALL SELECT conv_id, 0, '', '' FROM ids),
+nodes AS (SELECT d, k, min(conv_id) AS rep, count(*) AS n_convs, len(regexp_extract_all(any_value(text), '[^\\x20\\x09-\\x0D]+')) AS words FROM p GROUP BY d, k),
+up AS (SELECT x.d, x.k, y.k AS pk FROM nodes x JOIN p y ON y.conv_id = x.rep AND y.d = x.d - 1),
+kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS n FROM up GROUP BY ALL),
+whole AS (SELECT nodes.*, pk, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN up USING (d, k) LEFT JOIN kids USING (d, k)),
+sub AS (SELECT a.d, a.k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved
+    FROM whole f JOIN p a ON a.conv_id = f.rep AND a.d <= f.d GROUP BY a.d, a.k),
+ends AS (SELECT d, k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS s FROM p JOIN (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id) USING (conv_id, d) GROUP BY d, k)
+SELECT f.rep AS conv_id, CAST(f.d AS BIGINT) AS depth, above.rep AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(s, '')) AS ends_sha256
+FROM whole f JOIN sub USING (d, k) LEFT JOIN ends USING (d, k) LEFT JOIN nodes above ON above.d = f.d - 1 AND above.k = pk"""
+
+
 def op2_sql() -> str:
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -218,8 +246,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_quality_classifier": op11_quality_classifier,
     "op12_collocations": op12_collocations,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES: dict[str, Callable[[], str]] = {"op2_decontamination": op2_sql, "op4_sharding": op4_sql, "op7_substring_dedup": op7_sql, "op8_quality_rules": op8_sql, "op10_jaccard_join": op10_sql, "op12_collocations": op12_sql}
+ORACLES: dict[str, Callable[[], str]] = {"op2_decontamination": op2_sql, "op4_sharding": op4_sql, "op7_substring_dedup": op7_sql, "op8_quality_rules": op8_sql, "op10_jaccard_join": op10_sql, "op12_collocations": op12_sql, "op13_prefix_trie": op13_sql}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
