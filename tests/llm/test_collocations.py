@@ -70,6 +70,7 @@ def test_equals_brute_force(spark, bits):
 def test_blocks_and_the_first_few(spark, monkeypatch):
     rows = made_up(2)
     monkeypatch.setattr(C, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(C, "CELLS", 100)
     want = brute(rows, 8, top=5)
     assert got(frame(spark, rows), top=5, floor=8) == want and max(r[1] for r in want) == 5
 

@@ -14,7 +14,7 @@ frequent phrases are exact; words are compared as they are, never by hash.
 What is broadcast is these two bitmaps of ``bits`` bits each: a power of two near a sixteenth of
 the bytes of text, between LEAST_BITS and MOST_BITS (64 MB). From some 100 GB of text on every
 bucket fills up and only Apriori prunes, which costs time and changes no result. Counts are
-added up within a block of text, then in each task by Spark, then by key: a phrase or bucket that
+added up within a block of text (buckets within some blocks), then in each task by Spark, then by key: a phrase or bucket that
 is everywhere gives one row a task. Ranking is done by a hash of the phrase first, so no task
 ever sorts all phrases of a language.
 
@@ -43,8 +43,10 @@ LONGEST = 4
 COVER = 80
 TOP = 2000
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
-#: Text of one block, and hash groups of the three steps of ranking.
-BLOCK_BYTES = 2 << 20
+#: Text of one block, buckets that a task counts before it sends them, and hash groups of the
+#: three steps of ranking.
+BLOCK_BYTES = 1 << 20
+CELLS = 1 << 20
 STEPS = (4096, 64, 1)
 
 _SEPARATORS = np.zeros(256, bool)
@@ -108,7 +110,17 @@ def _pass(k: int, longest: int, bits: int, maps):
     """Rows of a pass: phrases of k words; with phrase null, buckets of k + 1 words (lang null too)
     and, in the first pass, the number of words of each language."""
 
+    def sent(cells, counts):
+        none = pa.nulls(len(cells), pa.string())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(cells), pa.array(counts)], names=["lang", "phrase", "cell", "n"])
+
+    def added(some):
+        """Buckets once each, with the sums of their counts."""
+        cells, at = np.unique(np.concatenate([c for c, _ in some]), return_inverse=True)
+        return cells, np.bincount(at, np.concatenate([n for _, n in some]), len(cells)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
         bucket_map, part_map = (np.frombuffer(x, np.uint8) for x in maps.value) if maps else (None, None)
         for batch in blocks(batches, "text", BLOCK_BYTES):
             block = _Block(batch, bits)
@@ -124,12 +136,16 @@ def _pass(k: int, longest: int, bits: int, maps):
                 yield pa.RecordBatch.from_arrays(block.counted(places, k), names=["lang", "phrase", "cell", "n"])
             if k < longest and n > k:
                 longer = np.flatnonzero(can[:-1] & can[1:] & (block.run > k))
-                cells, counts = np.unique(block.cells(k + 1)[longer], return_counts=True)
-                none = pa.nulls(len(cells), pa.string())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(cells), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "cell", "n"])
+                kept.append(np.unique(block.cells(k + 1)[longer], return_counts=True))
+                if sum(len(c) for c, _ in kept) > CELLS:
+                    kept = [added(kept)]
+                    if len(kept[0][0]) > CELLS // 2:
+                        yield sent(*kept.pop())
             if k == 1 and n:
                 totals = np.bincount(block.lang, minlength=len(block.langs))
                 yield pa.RecordBatch.from_arrays([block.langs, pa.nulls(len(totals), pa.string()), pa.array(np.full(len(totals), -1)), pa.array(totals.astype(np.int64))], names=["lang", "phrase", "cell", "n"])
+        if kept:
+            yield sent(*added(kept))
 
     return run
 
