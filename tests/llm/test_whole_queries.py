@@ -264,10 +264,18 @@ def test_pipeline_stages_with_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, "nothing of this stands anywhere in any of these texts at all")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     kept = corpus_pipeline.run(spark, folder).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["None", "None"]  # of the three copies the least id, null, stays
-    clash = registry.documents(spark, folder).withColumns({"id": F.lit("x"), "h": F.lit(1), "row": F.lit("y"), "kept": F.lit(0), "class": F.lit(""), "n_words": F.lit(2)})
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    own = {"id": "x", "h": "1", "row": "y", "kept": "0", "class": "", "n_words": "2", "own": "o", "others": "p", "doc": "d", "a.b": "e", "hit_id": "f", "hit_h": "g"}
+    own |= {f"__{c}": f"mine {c}" for c in ("h", "doc", "id", "row", "text", "ranges", "ids", "quality", "0", "1", "2")}
+    clash = registry.documents(spark, folder).withColumns({c: F.lit(v) for c, v in own.items()})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, clash, folder)
-        assert out.columns == clash.columns and out.where("id = 'x' and row = 'y' and n_words = 2").count() == out.count()
+        rows = out.collect()
+        assert out.columns == clash.columns and out.dtypes == clash.dtypes and rows, name
+        assert all(r[c] == v for r in rows for c, v in own.items()), name
+    assert corpus_pipeline.STAGES[-1][1](spark, clash, folder).count() == clash.count()
+    bare = clash.select("doc_id", "text")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, bare, folder).columns == ["doc_id", "text"], name
 
 
 def test_tree_sum_in_levels(spark, tmp_path):

@@ -24,8 +24,9 @@ Defined cases: null and empty texts and texts of white space have no grams:
 they have no partners and are alone. Rows that repeat a doc_id are told apart
 by a hash of the text; rows equal in both count as one document (each gets its
 result). Ids are integers; a null doc_id is the smallest. Of documents with equal
-sets the least id (then hash) stands for all. A text of any length is used whole.
-Other columns are not needed and do not disturb.
+sets the least id (then hash) stands for all. A text of any length is used whole. An empty
+table gives no rows. Other columns are not needed and do not disturb, whatever
+their names; ``keep_one`` hands them on as they are.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from trellis.llm import kernel as K
 from trellis.llm.components import components
-from trellis.llm.shared import blocks, by_batches, by_groups, discard, materialise, text_bytes
+from trellis.llm.shared import blocks, by_batches, by_groups, discard, materialise, text_bytes, whole
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -274,7 +275,7 @@ def _compare_square(threshold: float):
         code, owner = column[code[shared]], owner[shared]
         order = np.argsort(code, kind="stable")
         code, owner = code[order], owner[order]
-        both = np.zeros((len(ids), len(ids)), np.float32)
+        both = np.zeros((len(ids), len(ids)), np.float64)
         width = 4096
         for begin in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             i, j = np.searchsorted(code, [begin, begin + width])
@@ -282,7 +283,7 @@ def _compare_square(threshold: float):
             part[owner[i:j], code[i:j] - begin] = 1
             both += part @ part.T
         union = size[:, None] + size[None, :] - both
-        similar = both >= threshold * union - 1e-3  # whole numbers: exact up to 16 million grams
+        similar = both >= threshold * union - 1e-3  # whole numbers, each part of them exact in 32 bits and their sum in 64
         np.fill_diagonal(similar, False)
         if x != y:  # pairs within x or within y are in other squares
             similar &= own[:, None] != own[None, :]
@@ -333,8 +334,8 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", gram: int = G
     of_node = joined.join(grouped, "component").select(F.col("node").alias("id"), "class")
     # all that is known of a class stands in one row before its copies, of which there may be very many, meet it
     known = materialise(least.join(links, "id", "left").join(of_node, "id", "left").select(*same_set, "rep", "copies", "links", "class"), "known")
-    whole = members.select("doc", "h", *same_set).distinct().join(known, same_set)
-    return whole.select("doc", "h", F.col("rep").alias("copy_of"), F.coalesce("class", "rep").alias("class"), (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("n_links"))
+    every = members.select("doc", "h", *same_set).distinct().join(known, same_set)
+    return every.select("doc", "h", F.col("rep").alias("copy_of"), F.coalesce("class", "rep").alias("class"), (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("n_links"))
 
 
 def _gram_sets(gram: int):
@@ -358,12 +359,13 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", **how) ->
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without those that are not the least of their class; of equal rows one stays."""
+    """docs without those that are not the least of their class; of equal rows one stays. Columns
+    of any name keep their values: they travel as one struct."""
     found = join(docs, doc, text, **how)
     stays = found.where((F.col("class.doc") == F.col("doc")) & (F.col("class.h") == F.col("h"))).select("doc", "h")
-    rows = docs.withColumn("__doc", F.coalesce(F.col(doc).cast("long"), F.lit(_LOWEST)))
     several = not stays.where("h <> 0").isEmpty()
-    rows = rows.withColumn("__h", F.xxhash64(text) if several else F.lit(0).cast("long"))
+    h = F.xxhash64(text) if several else F.lit(0).cast("long")
+    rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(_LOWEST)).alias("doc"), h.alias("h"), whole(docs).alias("own"))
     if several:
-        rows = rows.dropDuplicates(["__doc", "__h"])
-    return rows.join(stays.select(F.col("doc").alias("__doc"), F.col("h").alias("__h")), ["__doc", "__h"], "left_semi").select(*docs.columns)
+        rows = rows.dropDuplicates(["doc", "h"])
+    return rows.join(stays, ["doc", "h"], "left_semi").select("own.*")

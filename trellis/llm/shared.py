@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.session import scratch_dir
@@ -57,6 +57,11 @@ def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
         remove(spark, path)
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 #: Tables that a Python worker keeps between tasks: owner -> what empties them.
 _KEPT: dict[str, Callable[[], None]] = {}
 
