@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from trellis.llm import chosen_path, decontam, quality, spm, substring
 from trellis.llm.registry import documents, piece_model
-from trellis.llm.shared import remove, scratch_dir, scratch_folder
+from trellis.llm.shared import remove, scratch_dir, scratch_folder, whole
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +37,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that start earlier elsewhere; n_chars follows. Texts
     of which nothing is left go."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    own = {c: f"__{i}" for i, c in enumerate(others)}  # whatever their names
-    kept = substring.dedup(docs.withColumnsRenamed(own), keep=tuple(own.values()))
+    others = docs.drop("doc_id", "text", "n_chars")
+    own = docs.select("doc_id", "text", *[whole(others).alias("others")] * bool(others.columns))  # whatever their names
+    kept = substring.dedup(own, keep=("others",) * bool(others.columns))
     left = kept.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    columns = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")} | {c: F.col(x) for c, x in own.items()}
-    return left.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")} | {c: F.col("others").getField(c) for c in others.columns}
+    return left.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # rows that share a doc_id, or have none, are told apart by a hash of the text
     own = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("__row"), "text")
     found = decontam.decontaminate(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__row")
-    hit = found.where("n_hit > 0 or size(near_items) > 0").select(F.col("__row.id").alias("__id"), F.col("__row.h").alias("__h")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left_anti")
+    hit = found.where("n_hit > 0 or size(near_items) > 0").select(F.col("__row.id").alias("hit_id"), F.col("__row.h").alias("hit_h")).distinct()
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), whole(docs).alias("own"))
+    return rows.join(hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left_anti").select("own.*")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
