@@ -91,12 +91,6 @@ def test_ordered_comparison_tells_types_and_columns_apart(spark):
     assert not E.same_result(a, a.selectExpr("cast(a as double) a", "b"), columns_matter=True)
 
 
-def test_containment_is_a_matching():
-    gold, found = [("a",), ("a", "b")], [("a", "b", "c"), ("a", "x")]
-    assert E.contains_result(gold, found) and E.contains_result(gold[::-1], found)
-    assert not E.contains_result([("a",), ("z",)], found) and not E.contains_result(gold, found[:1])
-
-
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 3), st.sampled_from("ab")), max_size=6), st.lists(st.tuples(st.integers(0, 3), st.sampled_from("ab")), max_size=6))
 def test_multiset_equality_is_that_of_sorted_lists(spark, a, b):

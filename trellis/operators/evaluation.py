@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _token(column: Column, kind: T.DataType, as_set: bool) -> Column:
+def cell_token(column: Column, kind: T.DataType, as_set: bool) -> Column:
     """Canonical text of a cell: null, true or false, whole numbers without a fraction, lists as
     sorted multisets (or sets), structs and maps as sorted key:value pairs."""
     if isinstance(kind, T.BooleanType):
@@ -16,13 +16,13 @@ def _token(column: Column, kind: T.DataType, as_set: bool) -> Column:
         whole = column.cast("double") == F.floor(column.cast("double"))
         text = F.when(whole & (F.abs(column.cast("double")) < 1e15), column.cast("double").try_cast("long").cast("string")).otherwise(column.cast("string"))
     elif isinstance(kind, T.ArrayType):
-        values = F.transform(column, lambda x: _token(x, kind.elementType, as_set))
+        values = F.transform(column, lambda x: cell_token(x, kind.elementType, as_set))
         text = F.concat(F.lit("["), F.array_join(F.sort_array(F.array_distinct(values) if as_set else values), "|"), F.lit("]"))
     elif isinstance(kind, T.StructType):
-        pairs = F.sort_array(F.array(*[F.concat(F.lit(f"{f.name}:"), _token(column[f.name], f.dataType, as_set)) for f in kind]))
+        pairs = F.sort_array(F.array(*[F.concat(F.lit(f"{f.name}:"), cell_token(column[f.name], f.dataType, as_set)) for f in kind]))
         text = F.concat(F.lit("{"), F.array_join(pairs, "|"), F.lit("}"))
     elif isinstance(kind, T.MapType):
-        pairs = F.transform(F.map_entries(column), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), _token(e["value"], kind.valueType, as_set)))
+        pairs = F.transform(F.map_entries(column), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), cell_token(e["value"], kind.valueType, as_set)))
         text = F.concat(F.lit("{"), F.array_join(F.sort_array(pairs), "|"), F.lit("}"))
     else:
         text = column.cast("string")
@@ -37,7 +37,7 @@ def ordered_tokens(df: DataFrame) -> DataFrame:
 
 def unordered_tokens(df: DataFrame, as_set: bool = False) -> DataFrame:
     """token: the sorted multiset of a row's cell tokens; names and order of columns do not matter."""
-    cells = F.array(*[_token(F.col(f"`{f.name}`"), f.dataType, as_set) for f in df.schema])
+    cells = F.array(*[cell_token(F.col(f"`{f.name}`"), f.dataType, as_set) for f in df.schema])
     return df.select(F.array_join(F.sort_array(cells), "\x01").alias("token"))
 
 
@@ -56,29 +56,6 @@ def same_result(gold: DataFrame, found: DataFrame, columns_matter: bool = False,
     return multiset_difference(unordered_tokens(gold, as_set), unordered_tokens(found, as_set)).isEmpty()
 
 
-def contains_result(gold: list[tuple], found: list[tuple]) -> bool:
-    """Each gold row is contained (as a multiset of cells) in another found row, with as many rows
-    on both sides. A maximum matching on small collected results, so the order of rows does not matter."""
-    from collections import Counter
-
-    if len(gold) != len(found):
-        return False
-    need, have = [Counter(map(str, g)) for g in gold], [Counter(map(str, f)) for f in found]
-    fits = [[j for j, h in enumerate(have) if not n - h] for n in need]
-    owner: dict[int, int] = {}
-
-    def place(i: int, tried: set[int]) -> bool:
-        for j in fits[i]:
-            if j not in tried:
-                tried.add(j)
-                if j not in owner or place(owner[j], tried):
-                    owner[j] = i
-                    return True
-        return False
-
-    return all(place(i, set()) for i in range(len(need)))
-
-
 def rate(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
 

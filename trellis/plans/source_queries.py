@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from trellis import plugins
+from trellis.operators import containment as C
 from trellis.operators import evaluation as E
 from trellis.operators import retrieval as R
 from trellis.operators.graph import upsert_edges
@@ -304,21 +305,78 @@ def stream_upsert(spark, d):
 # ---- comparators ----------------------------------------------------------------------------
 
 
-@register("comparators", "SELECT * FROM (VALUES ('order of columns', false, true, true), ('list order', true, true, true), ('list inflated', false, false, true), ('extra column', false, false, true), ('value', false, false, false), ('extra row', false, false, false)) v(name, strict, unordered, contained)")
+_GOLD = "SELECT s_suppkey AS k, s_nationkey AS n FROM supplier"
+#: What is held against it: as SQL, and the same with extra columns last.
+_FOUND = {
+    "order of columns": "SELECT s_nationkey AS n, s_suppkey AS k FROM supplier", "extra column": "SELECT s_suppkey AS k, s_nationkey AS n, s_name AS more FROM supplier",
+    "value": "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 7 = 0 THEN -1 ELSE s_nationkey END AS n FROM supplier", "extra row": "SELECT s_suppkey AS k, s_nationkey AS n FROM supplier UNION ALL SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey = 1",
+    "half": "SELECT s_suppkey AS k, s_nationkey AS n FROM supplier WHERE s_suppkey % 2 = 0",
+}
+
+
+def _compared(name: str, found: str) -> str:
+    texts = lambda sql: f"(SELECT list_sort([CAST(k AS VARCHAR), CAST(n AS VARCHAR){', more' * ('more' in sql)}]) FROM ({sql}))"
+    differ = lambda a, b: f"(SELECT count(*) FROM ({a} EXCEPT ALL {b})) + (SELECT count(*) FROM ({b} EXCEPT ALL {a}))"
+    strict = f"{differ(f'({_GOLD})', f'({found})')} = 0" if "more" not in found else "false"
+    inside = f"(SELECT count(DISTINCT g.k) FROM ({_GOLD}) g JOIN ({found}) f ON f.k = g.k AND f.n = g.n)"
+    return f"SELECT '{name}' AS name, {strict} AS strict, {differ(texts(_GOLD), texts(found))} = 0 AS unordered, (SELECT count(*) FROM ({found})) = (SELECT count(*) FROM supplier) AND {inside} = (SELECT count(*) FROM supplier) AS contained"
+
+
+@register("comparators", " UNION ALL ".join(_compared(*x) for x in _FOUND.items()))
 def comparators(spark, d):
-    """Strict, unordered (lists as sets in one case) and containing comparison of small results."""
-    f = lambda rows, schema: spark.createDataFrame(rows, schema)
-    gold = f([(1, ["a", "b"]), (2, ["c"])], "k int, v array<string>")
+    """Strict, unordered and containing comparison of a result with others of the same table."""
+    supplier = t(spark, d, "supplier")
+    gold = supplier.select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
     other = {
-        "order of columns": gold.select("v", "k"), "list order": f([(2, ["c"]), (1, ["a", "b"])], gold.schema), "list inflated": f([(1, ["a", "b", "b"]), (2, ["c"])], gold.schema),
-        "extra column": gold.withColumn("more", F.lit("x")), "value": f([(1, ["a", "x"]), (2, ["c"])], gold.schema), "extra row": gold.unionAll(gold.where("k = 1")),
+        "order of columns": gold.select("n", "k"), "extra column": gold.withColumn("more", F.lit("x")), "value": gold.withColumn("n", F.when(F.col("k") % 7 == 0, -1).otherwise(F.col("n"))),
+        "extra row": gold.unionAll(gold.where("k = 1")), "half": gold.where("k % 2 = 0"),
     }
-    cells = lambda df: [tuple(",".join(sorted(set(c))) if isinstance(c, list) else c for c in r) for r in df.collect()]
-    rows = [(name, E.same_result(gold, df, columns_matter=True), E.same_result(gold, df), E.contains_result(cells(gold), cells(df))) for name, df in other.items()]
+    other["extra column"] = supplier.select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"), "s_name")
+    rows = [(name, E.same_result(gold, df, columns_matter=True), E.same_result(gold, df), C.contained(gold, df)) for name, df in other.items()]
     return spark.createDataFrame(rows, "name string, strict boolean, unordered boolean, contained boolean")
 
 
-@register("list_as_set", "SELECT true AS as_set, false AS as_multiset")
+#: Of each month's result one in some rows is wrong (odd months), missing (June) or there twice (August).
+_ODD = "month(o_orderdate) % 2 = 1 AND o_orderkey % 97 = 0"
+
+
+@register(
+    "containment_match",
+    f"""WITH g AS (SELECT year(o_orderdate) * 100 + month(o_orderdate) AS question, o_custkey AS c, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY ALL),
+    f AS (SELECT year(o_orderdate) * 100 + month(o_orderdate) AS question, o_custkey AS c, CASE WHEN {_ODD} THEN 'wrong' ELSE o_orderstatus END AS s, sum(CASE WHEN month(o_orderdate) = 8 AND o_orderkey % 50 = 0 THEN 2 ELSE 1 END) AS n
+      FROM orders WHERE NOT (month(o_orderdate) = 6 AND o_orderkey % 50 = 0) GROUP BY ALL),
+    m AS (SELECT question, sum(least(g.n, coalesce(f.n, 0))) AS n_matched, sum(g.n) AS n_gold FROM g LEFT JOIN f USING (question, c, s) GROUP BY question),
+    h AS (SELECT question, sum(n) AS n_found FROM f GROUP BY question)
+    SELECT question, CAST(n_gold AS BIGINT) AS n_gold, CAST(coalesce(n_found, 0) AS BIGINT) AS n_found, CAST(n_matched AS BIGINT) AS n_matched, n_gold = coalesce(n_found, 0) AND n_matched = n_gold AS contained FROM m LEFT JOIN h USING (question)""",
+)
+def containment_match(spark, d):
+    """Each month's orders as (customer, status), held against rows with more columns in another order, some of
+    them wrong, missing or twice there: all months in one run."""
+    rows = t(spark, d, "orders").withColumn("question", F.year("o_orderdate") * 100 + F.month("o_orderdate"))
+    twice = F.when((F.month("o_orderdate") == 8) & (F.col("o_orderkey") % 50 == 0), 2).otherwise(1)
+    found = rows.where(~((F.month("o_orderdate") == 6) & (F.col("o_orderkey") % 50 == 0))).withColumn("again", F.explode(F.sequence(F.lit(1), twice)))
+    found = found.select("question", "o_orderpriority", F.when(F.expr(_ODD), "wrong").otherwise(F.col("o_orderstatus")).alias("status"), "o_custkey")
+    gold = rows.select("question", "o_custkey", "o_orderstatus")
+    return C.matches(C.rows_of(gold, ["question"]), C.rows_of(found, ["question"]), ["question"])
+
+
+@register(
+    "containment_chains",
+    """WITH k AS (SELECT DISTINCT o_custkey AS c, o_orderstatus AS s FROM orders), run AS (SELECT s, c, c - row_number() OVER (PARTITION BY s ORDER BY c) AS part FROM k),
+    size AS (SELECT s, part, count(*) AS n FROM run GROUP BY ALL) SELECT s AS status, CAST(sum(n) AS BIGINT) AS n_gold, CAST(sum(n - 1) AS BIGINT) AS n_found, CAST(sum(n - 1) AS BIGINT) AS n_matched, false AS contained FROM size GROUP BY s""",
+)
+def containment_chains(spark, d):
+    """Rows that could each answer two expected ones, along chains of customers with neighbouring numbers: only a
+    matching that moves rows on finds a place for all but one of a chain."""
+    own = t(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("c")).distinct()
+    pairs = own.join(own.select("status", (F.col("c") - 1).alias("c"), F.col("c").alias("next")), ["status", "c"])
+    return C.matches(C.rows_of(own, ["status"]), C.rows_of(pairs.select("status", F.col("next").alias("b"), F.col("c").alias("a")), ["status"]), ["status"])
+
+
+@register("list_as_set", "SELECT o_custkey, true AS as_set, count(*) = count(DISTINCT o_orderstatus) AS as_multiset FROM orders GROUP BY 1")
 def list_as_set(spark, d):
-    a, b = (spark.createDataFrame([(v,)], "v array<string>") for v in (["a", "b"], ["b", "a", "b"]))
-    return spark.createDataFrame([(E.same_result(a, b, as_set=True), E.same_result(a, b))], "as_set boolean, as_multiset boolean")
+    """A customer's list of order statuses and the set of them: equal as sets, and as multisets if none repeats."""
+    lists = t(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderstatus").alias("a"), F.collect_set("o_orderstatus").alias("b"))
+    kind = lists.schema["a"].dataType
+    same = lambda as_set: E.cell_token(F.col("a"), kind, as_set) == E.cell_token(F.col("b"), kind, as_set)
+    return lists.select("o_custkey", same(True).alias("as_set"), same(False).alias("as_multiset"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,22 @@ def scratch_dir(spark: SparkSession) -> str:
     if application not in _LOCAL:
         _LOCAL[application] = tempfile.mkdtemp(prefix="trellis-")
     return _LOCAL[application]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: what follows neither computes it again nor needs
+    the shuffle files of an executor that is lost. ``path`` of the result says where it is."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.path = path
+    return found
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for table_ in tables:
+        spark = table_.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(table_.path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
