@@ -45,8 +45,8 @@ TOP = 2000
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 #: Text of one block, buckets that a task counts before it sends them, and hash groups of the
 #: three steps of ranking.
-BLOCK_BYTES = 1 << 20
-CELLS = 1 << 20
+BLOCK_BYTES = 1 << 19
+CELLS = 1 << 19
 STEPS = (4096, 64, 1)
 
 _SEPARATORS = np.zeros(256, bool)
