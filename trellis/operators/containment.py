@@ -153,7 +153,6 @@ def matches(gold: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
         parts = max(1, n // BUCKET)
         flows = written(graph.groupBy(F.pmod(F.xxhash64("component"), F.lit(parts)).alias("bucket")).applyInPandas(_flows, "g long, placed long"), "flows")
         placed = placed.unionByName(flows)
-        used.append(label)
     per = golds.join(placed, "g", "left").groupBy("key").agg(F.sum("n").alias("n_gold"), F.sum(F.coalesce("placed", F.lit(0))).alias("n_matched"))
     there = rows.groupBy("key").agg(F.sum("m").alias("n_found"))
     removed(*used)
