@@ -3,7 +3,10 @@
 import hashlib
 import random
 import re
+import shutil
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -140,6 +143,50 @@ def written(spark, tmp_path, rows, items):
     return str(tmp_path)
 
 
+def test_index_serves_other_test_sets_without_the_texts(spark, tmp_path):
+    rng = random.Random(12)
+    rows = random_texts(3, 60) + [(500 + i, " ".join(f"w{rng.randrange(300)}" for _ in range(200))) for i in range(40)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    index = decontam.build_index(spark.read.parquet(f"{tmp_path}/documents.parquet"), block_bytes=5000)
+    shutil.rmtree(f"{tmp_path}/documents.parquet")
+    for k in range(2):
+        words = [words_of(t or "") for _, t in rows[k::7]]
+        items = [(i, " ".join(w[k : k + 14])) for i, w in enumerate(words) if w[k:]] + [(99, "not there at all")]
+        benchmark = spark.createDataFrame(items, "item_id long, text string")
+        got = sorted([(r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in decontam.summaries(index.texts, decontam.lookup(index, benchmark)).withColumnRenamed("doc", "doc_id").collect()], key=str)
+        assert got == brute_decontam(rows, items) and any(g[2] for g in got)
+    assert index.postings.select("block").distinct().count() > 5
+
+
+def test_long_items_are_cut_into_rounds(spark, monkeypatch):
+    """One item far longer than a round's limit; no round is empty and none is above the limit."""
+    rng = random.Random(2)
+    long = [f"t{rng.randrange(3000)}" for _ in range(12_000)]
+    items = [(1, " ".join(long)), (2, "a b c")]
+    rows = [(1, "x " + " ".join(long[4990:5030]) + " y a b c"), (2, " ".join(long[11_980:])), (3, " ".join(long[0:10])), (4, " ".join(long[:3000] + long[2000:]))]
+    pieces = decontam.items(spark.createDataFrame(items, "item_id long, text string"))
+    parts = decontam.rounds(pieces, 2500)
+    sizes = [p.agg({"n": "sum"}).first()[0] for p in parts]
+    assert all(sizes) and max(sizes) <= 5000 and sum(sizes) == 12_000 - 9 + 1 and pieces.agg({"n": "max"}).first()[0] <= decontam.PIECE
+    got = sorted([(r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in run_decontam(spark, rows, items, limit=2500).collect()], key=str)
+    assert got == brute_decontam(rows, items)
+
+
+def test_posting_lists_round_trip():
+    rng = np.random.default_rng(3)
+    for n, terms in ((0, 1), (1, 1), (500, 7), (300_000, 3), (200_000, 150_000)):
+        words = rng.integers(0, terms, n).astype(np.uint64)
+        if n > 200_000:
+            words[1000:280_000] = 9  # steps of more than 16 bits for the others
+        found, counts, values, at = decontam.packed(words)
+        lists = pa.chunked_array([pa.array([values[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())])
+        positions, sizes = decontam.unpacked(lists)
+        assert sizes.tolist() == counts.tolist() and len(positions) == n
+        again = np.zeros(n, np.uint64)
+        again[positions] = np.repeat(found, sizes)
+        assert np.array_equal(again, words)
+
+
 def test_query_and_stage_find_near_matches(spark, tmp_path):
     item = [f"w{i}" for i in range(40)]
     near = " ".join("w0" if i % 10 == 5 else w for i, w in enumerate(item))  # every tenth word changed

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from trellis.session import scratch_dir
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: what follows
-    neither recomputes it nor depends on a lost executor's shuffle files."""
+def materialise(df: DataFrame, name: str, *partitioned: str) -> DataFrame:
+    """Write df as Parquet in the shared folder (in folders by the columns ``partitioned``) and read it
+    back: what follows neither recomputes it nor depends on a lost executor's shuffle files."""
     spark = df.sparkSession
     path = f"{_FOLDERS[-1] if _FOLDERS else scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.partitionBy(*partitioned).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.scratch_path = path
     return found
