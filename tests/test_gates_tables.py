@@ -53,8 +53,24 @@ def test_comments_are_cut_outside_quotes_only(text):
     assert guard.without_comments(f"SELECT {literal} AS x -- note") == f"SELECT {literal} AS x"
 
 
-def test_called_functions():
-    assert guard.called_functions("SELECT max(a), `reflect`('x(', 'y') FROM t WHERE b IN (SELECT c FROM u) -- f(") == {"max", "reflect"}
+def test_functions_and_relations_of_the_analysed_plan(spark):
+    session = spark.newSession()  # its views are its own
+    session.range(3).selectExpr("id AS a", "id AS b").createOrReplaceTempView("t")
+    session.range(3).selectExpr("id AS c").createOrReplaceTempView("u")
+    found = guard.inspect(session, "WITH w AS (SELECT max(a) AS `sum`, 'count(' AS x FROM t GROUP BY b) SELECT upper(x) FROM w WHERE `sum` IN (SELECT c FROM u WHERE EXISTS (SELECT 1 FROM t v (k, l) WHERE abs(k) = c))")
+    assert {"max", "upper", "abs"} <= found.functions and "sum" not in found.functions and "count" not in found.functions and found.relations == {"t", "u"}
+    check = lambda sql, **how: guard.check_statement(session, sql, **how)
+    assert check("SELECT nvl(max(a), 0) + 1 FROM t WHERE NOT (a IN (1, 2)) AND b BETWEEN 1 AND 2", functions={"max", "nvl"}) == (True, "")
+    assert check("SELECT transform(array(a), x -> sha1(cast(x AS string))) FROM t", functions={"transform", "array"})[1] == "sha1 must not be called"
+    assert check("SELECT (SELECT max(reflect('java.lang.Math', 'abs', 1)) FROM t) AS x")[1] == "reflect must not be called" and check("SELECT `REFLECT`('a', 'b')")[1] == "reflect must not be called"
+    assert check("SELECT a FROM t JOIN u ON a = c", tables={"t"})[1] == "u must not be read" and check("WITH u AS (SELECT a FROM t) SELECT * FROM u", tables={"t"})[0]
+    assert "a file must not be read" in check("SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`")[1]
+    assert check("SELECT nothing FROM t")[1].startswith("not one valid statement") and check("SELECT a FROM missing")[1].startswith("not one valid statement")
+    session.udf.register("own", lambda x: x)
+    assert check("SELECT own(a) FROM t", functions={"max"})[1] == "own must not be called" and check("SELECT own(a) FROM t", functions={"own"})[0]
+    for sql in ("CACHE TABLE t", "SET x = 1", "DESCRIBE t", "CREATE TEMP VIEW v AS SELECT 1", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "SELECT 1; SELECT 2", "EXPLAIN SELECT 1"):
+        assert not check(sql)[0], sql
+    assert [r.name for r in session.catalog.listTables() if r.name in "tuv"] == ["t", "u"]
 
 
 def test_entity_mentions_take_whole_words(spark):

@@ -16,6 +16,12 @@ PRICE_IN, PRICE_OUT, PRICE_EMBEDDED = 0.00015, 0.0006, 0.00002
 CUT = "…[truncated]"
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+
 def is_unavailable(answer: Column, phrases: list[str] = UNAVAILABLE) -> Column:
     """An answer that says it has none. A missing or blank answer says nothing, so it is none of these."""
     return F.coalesce(contains_any(F.lower(answer), phrases), F.lit(False))
@@ -45,7 +51,6 @@ def truncate_passages(passages: Column, limit: int) -> Column:
     texts = F.transform(passages, lambda p: F.coalesce(p, F.lit("")))
     zero = F.lit(0).cast("long")
     sum_of = lambda lengths: F.aggregate(lengths, zero, lambda a, x: a + x)
-    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
 
     def shorten(x: Column) -> Column:
         total = sum_of(F.transform(x, lambda p: F.length(p).cast("long")))
@@ -81,14 +86,22 @@ SCORES = ("groundedness", "completeness", "relevance")
 def judge_scores(reply: Column) -> Column:
     """A judge's reply as a struct: three scores and ``error`` (null if it is valid). The object may stand in a
     fence or in prose; each score must be there, be a number (or a text of one), and lie between 0 and 1."""
-    inside = F.regexp_extract(unfence(reply), r"(?s)(\{.*\})", 1)
-    parsed = F.try_parse_json(F.nullif(inside, F.lit("")))
-    raw = {k: F.try_variant_get(parsed, f"$.{k}", "string") for k in SCORES}
-    value = {k: raw[k].try_cast("double") for k in SCORES}
-    error = F.when(inside == "", "no object").when(parsed.isNull(), "no JSON")
-    for k in SCORES:
-        error = error.when(raw[k].isNull(), f"{k} is missing").when(value[k].isNull() | F.isnan(value[k]), f"{k} is no number").when(~value[k].between(0, 1), f"{k} is out of range")
-    return F.struct(*[F.when(error.isNull(), value[k]).alias(k) for k in SCORES], error.alias("error"))
+    def read(inside: Column) -> Column:
+        return once(F.struct(inside.alias("text"), F.try_parse_json(F.nullif(inside, F.lit(""))).alias("json")), scores)
+
+    def scores(x: Column) -> Column:
+        raw = [F.try_variant_get(x["json"], f"$.{k}", "string").alias(k) for k in SCORES]
+        numbers = [F.try_variant_get(x["json"], f"$.{k}", "string").try_cast("double").alias(f"{k}_value") for k in SCORES]
+        return once(F.struct((x["text"] == "").alias("none"), x["json"].isNull().alias("broken"), *raw, *numbers), checked)
+
+    def checked(x: Column) -> Column:
+        error = F.when(x["none"], "no object").when(x["broken"], "no JSON")
+        for k in SCORES:
+            value = x[f"{k}_value"]
+            error = error.when(x[k].isNull(), f"{k} is missing").when(value.isNull() | F.isnan(value), f"{k} is no number").when(~value.between(0, 1), f"{k} is out of range")
+        return once(error, lambda e: F.struct(*[F.when(e.isNull(), x[f"{k}_value"]).alias(k) for k in SCORES], e.alias("error")))
+
+    return once(F.regexp_extract(F.coalesce(unfence(reply), F.lit("")), r"(?s)(\{.*\})", 1), read)
 
 
 def fit_passages(passages: Column, limit: int) -> Column:

@@ -69,9 +69,23 @@ def mean_or_zero(value: Column) -> Column:
     return F.coalesce(average_without_nan(value.cast("double")), F.lit(0.0))
 
 
+def canonical(column: Column, kind: T.DataType) -> Column:
+    """The same value with fields of structs in order of name and entries of maps in order of key, at any depth; lists keep their order."""
+    if isinstance(kind, T.StructType):
+        fields = [canonical(column[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)]
+        return F.when(column.isNotNull(), F.struct(*fields)) if fields else column
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(column), lambda e: F.struct(e["key"].alias("key"), canonical(e["value"], kind.valueType).alias("value")))
+        by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+        return F.map_from_entries(F.array_sort(entries, by_key))
+    return column
+
+
 def canonical_json(df: DataFrame) -> Column:
-    """A row of df as JSON with its fields in order of name; null fields are left out."""
-    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]))
+    """A row of df as JSON in canonical order, compiled from its schema; null fields are left out, null entries of maps and lists stay."""
+    return F.to_json(F.struct(*[canonical(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema, key=lambda f: f.name)]), {"ignoreNullFields": "true"})
 
 
 def bucket(score: Column) -> Column:

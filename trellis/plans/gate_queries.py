@@ -92,39 +92,71 @@ def statement_gates(spark, d):
     )
 
 
-PATTERNS = {
-    "MATCH (h:Horse) RETURN h.id": "ok", "```cypher\nMATCH (h) RETURN h\n```": "ok", "": "empty", "MATCH (n) RETURN n; MATCH (m) RETURN m": "more than one statement", "MATCH (n) DETACH DELETE n": "forbidden: DELETE",
-    "MATCH (n) SET n.x = 1 RETURN n": "forbidden: SET", "MATCH (n) RETURN n.type, count(*) GROUP BY n.type": "unsupported: GROUP BY", "MATCH (n)": "nothing is returned", "MATCH (n) RETURN n.settled;": "ok", "load csv from 'x' as r return r": "forbidden: LOAD CSV",
-}
+#: Statements of a pattern language, with a part's name as an identifier or a literal, and the guard's verdict.
+PATTERNS = [
+    ("MATCH (h:Horse) WHERE h.name = '{n}' RETURN h.id", "ok"), ("```cypher\nMATCH (h) RETURN h AS `{n}`\n```", "ok"), ("", "empty"), ("MATCH (n) RETURN n; MATCH (m) RETURN m.`{n}`", "more than one statement"),
+    ("MATCH (n:`{n}`) DETACH DELETE n", "forbidden: DELETE"), ("MATCH (n) SET n.x = '{n}' RETURN n", "forbidden: SET"), ("MATCH (n) RETURN n.type, count(*) GROUP BY n.`{n}`", "unsupported: GROUP BY"),
+    ("MATCH (n:`{n}`)", "nothing is returned"), ("MATCH (n) RETURN n.settled AS `{n}`;", "ok"), ("load csv from '{n}' as r return r", "forbidden: LOAD CSV"),
+]
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
 
+def _cases(key: str, rows: list[tuple]) -> str:
+    """SQL: the verdict of the statement that a row's key picks."""
+    return f"CASE {key} % {len(rows)} " + " ".join(f"WHEN {i} THEN {_text(r[1])}" for i, r in enumerate(rows)) + " END"
 
-def _values(rows: dict[str, str]) -> str:
-    return "(VALUES " + ", ".join("('" + a.replace("'", "''") + f"', '{b}')" for a, b in rows.items()) + ")"
 
+def _statement(key: Column, name: Column, rows: list[tuple]) -> Column:
+    """The statement that a row's key picks, with the name put in."""
+    return F.replace(F.element_at(F.array(*[F.lit(r[0]) for r in rows]), (key % len(rows) + 1).cast("int")), F.lit("{n}"), name)
 
-@register("pattern_guard", f"SELECT * FROM {_values(PATTERNS)} v(statement, verdict)")
+
+@register("pattern_guard", f"SELECT p_partkey, {_cases('p_partkey', PATTERNS)} AS verdict FROM part")
 def pattern_guard(spark, d):
-    rows = spark.createDataFrame([(x,) for x in PATTERNS], "statement string")
-    return rows.select("statement", F.coalesce(Q.pattern_complaint(F.col("statement")), F.lit("ok")).alias("verdict"))
+    """A statement for each part, judged as a column."""
+    statement = _statement(F.col("p_partkey"), F.col("p_name"), PATTERNS)
+    return t(spark, d, "part").select("p_partkey", F.coalesce(Q.pattern_complaint(statement), F.lit("ok")).alias("verdict"))
 
 
-GUARDED = {
-    "SELECT a FROM t JOIN u USING (k)": "ok", "SELECT 'was updated' AS x": "ok", "SELECT a FROM t WHERE a LIKE '%DROP%'": "ok", "SELECT 'a--b' AS x": "ok", "SELECT 'a;b' AS x": "ok", "select 1; ": "ok", "WITH x AS (SELECT 1 AS a) SELECT a FROM x": "ok",
-    "DROP TABLE t": "no", "SELECT 1; DROP TABLE t": "no", "DELETE FROM t": "no", "/* SELECT */ DROP TABLE t": "no", "SELECT java_method('java.lang.System', 'exit', 1)": "no", "SELECT `reflect`('java.lang.Math', 'abs', 1)": "no", "": "no",
-    "SELECT (SELECT max(reflect('a', 'b')) FROM t) AS x": "no", "SELECT 'reflect(1)' AS x": "ok",
-}
+#: The same for SQL: what the analysed plan shows decides.
+STATEMENTS = [
+    ("SELECT count(*) AS `drop {n}` FROM part WHERE p_type = '{n}'", "ok"), ("SELECT max(p_size), '{n}; DROP TABLE part --' AS x FROM part /* {n} */ GROUP BY p_brand", "ok"), ("DROP TABLE `{n}`", "must start with SELECT"),
+    ("SELECT p_size FROM part; DELETE FROM part WHERE p_type = '{n}'", "not one valid statement"), ("SELECT java_method('java.lang.Math', 'abs', 1) AS `{n}` FROM part", "must not be called"),
+    ("SELECT (SELECT max(`reflect`('java.lang.Math', 'abs', p_size)) FROM part) AS `{n}`", "must not be called"), ("SELECT `{n}` FROM part", "not one valid statement"), ("SELECT n_name AS `{n}` FROM nation", "must not be read"),
+    ("SELECT '{n}' AS x FROM part WHERE p_partkey IN (SELECT n_nationkey FROM nation)", "must not be read"), ("WITH nation AS (SELECT p_size AS a FROM part) SELECT count(a) AS `max(` FROM nation", "ok"),
+    ("SELECT p_size AS upper, 'sum({n})' AS sha1 FROM part AS nation (a, b, c, d, p_size, f)", "ok"), ("SELECT transform(array(p_size), x -> upper('{n}')) FROM part", "must not be called"), ("WITH x AS (SELECT '{n}' AS a) INSERT INTO part SELECT * FROM x", "not a part of a query"),
+    ("SELECT count(*) FROM range(3) WHERE '{n}' > ''", "ok"), ("SELECT count(p_size) FROM (SELECT p_size FROM part UNION ALL SELECT length('{n}') FROM part)", "must not be called"),
+]
 
 
-@register("statement_guard", f"SELECT * FROM {_values(GUARDED)} v(statement, verdict)")
+@register("statement_guard", f"WITH s AS (SELECT p_brand, p_type, min(p_partkey) AS k FROM part GROUP BY ALL) SELECT p_brand, p_type, {_cases('k', STATEMENTS)} AS verdict FROM s")
 def statement_guard(spark, d):
-    return spark.createDataFrame([(x, "ok" if guard.check_statement(spark, x)[0] else "no") for x in GUARDED], "statement string, verdict string")
+    """A statement for each brand and type of part, with lists of the functions and views that it may use. The views are
+    those of a session of their own, so no caller's view is replaced."""
+    session = spark.newSession()
+    for name in ("part", "nation"):
+        t(session, d, name).createOrReplaceTempView(name)
+    kinds = t(spark, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("k")).select("p_brand", "p_type", _statement(F.col("k"), F.col("p_type"), STATEMENTS).alias("statement"))
+    rows = []
+    for r in kinds.toLocalIterator():  # statements are analysed where Spark plans them, one by one
+        ok, reason = guard.check_statement(session, r["statement"], functions={"count", "max", "transform", "array"}, tables={"part"})
+        verdicts = {v for _, v in STATEMENTS if v in reason}
+        rows.append((r["p_brand"], r["p_type"], "ok" if ok else verdicts.pop() if verdicts else reason))
+    return spark.createDataFrame(rows, "p_brand string, p_type string, verdict string")
 
 
-@register("function_gate", "SELECT * FROM (VALUES ('SELECT count(*) FROM t', true), ('SELECT upper(a) FROM t WHERE a IN (SELECT b FROM u)', false), ('SELECT max(a) FROM t WHERE (a > 1) AND (b < 2)', true)) v(statement, accepted)")
+@register("function_gate", "SELECT p_brand, max(p_size) % 2 = 0 AS accepted FROM part GROUP BY p_brand")
 def function_gate(spark, d):
-    """With a list of functions, any other is refused."""
-    statements = ["SELECT count(*) FROM t", "SELECT upper(a) FROM t WHERE a IN (SELECT b FROM u)", "SELECT max(a) FROM t WHERE (a > 1) AND (b < 2)"]
-    return spark.createDataFrame([(s, guard.check_statement(spark, s, functions={"count", "max"})[0]) for s in statements], "statement string, accepted boolean")
+    """With a list of functions any other is refused: a brand's largest size says whether its statement calls one."""
+    session = spark.newSession()
+    t(session, d, "part").createOrReplaceTempView("part")
+    brands = t(spark, d, "part").groupBy("p_brand").agg(F.max("p_size").alias("size")).toLocalIterator()
+    call = lambda r: "max" if r["size"] % 2 == 0 else "length"
+    rows = [(r["p_brand"], guard.check_statement(session, f"SELECT {call(r)}(p_name) AS `count(` FROM part WHERE (p_size > 1) AND p_brand = '{r['p_brand']}' GROUP BY p_name", functions={"count", "max"})[0]) for r in brands]
+    return spark.createDataFrame(rows, "p_brand string, accepted boolean")
 
 
 @register("retry_controller", "SELECT 'SELECT count(*) AS n FROM events' AS statement, CAST(3 AS INTEGER) AS attempts, CAST(3 AS INTEGER) AS calls, true AS timed")
@@ -223,17 +255,44 @@ def canonical_rows(spark, d):
     return rows.select(F.col("k").alias("s_suppkey"), E.canonical_json(rows).alias("row"))
 
 
-REPLIES = {
-    '{"groundedness": 0.5, "completeness": 1, "relevance": 0}': "ok", '```json\n{"groundedness": 0.5, "completeness": "0.25", "relevance": 1.0}\n```': "ok", 'Sure: {"groundedness": 1, "completeness": 1, "relevance": 1} done': "ok",
-    '{"groundedness": 0.5, "completeness": 1}': "relevance is missing", '{"groundedness": 1.5, "completeness": 1, "relevance": 0}': "groundedness is out of range", '{"groundedness": "high", "completeness": 1, "relevance": 0}': "groundedness is no number",
-    "no idea": "no object", "{groundedness}": "no JSON",
-}
+@register(
+    "canonical_nested",
+    """WITH m AS (SELECT *, json_extract_string(props, '$.k') AS k FROM events)
+    SELECT event_id, '{"a":[{"p":' || user_id || ',"q":"' || event_type || '"},{"q":"' || event_type || '"}],"m":{"' || least(event_type, 'm') || '":' || CASE WHEN event_type <= 'm' THEN '{"y":' || k || '}' ELSE '{"x":' || k || '}' END
+      || CASE WHEN event_type = 'm' THEN '' ELSE ',"' || greatest(event_type, 'm') || '":' || CASE WHEN event_type > 'm' THEN '{"y":' || k || '}' ELSE '{"x":' || k || '}' END END || '}'
+      || CASE WHEN user_id % 2 = 0 THEN ',"z":{"b":{"c":' || event_id || '}}' ELSE '' END || '}' AS row FROM m""",
+)
+def canonical_nested(spark, d):
+    """Structs in lists, structs in maps and structs in structs: every level in order of name or key."""
+    k = F.try_variant_get(F.parse_json("props"), "$.k", "int")
+    kind, none = F.col("event_type"), F.lit(None).cast("long")
+    pair = lambda q, p: F.struct(q.alias("q"), p.alias("p"))
+    value = lambda y, x: F.struct(y.alias("y"), x.alias("x"))
+    no = F.lit(None).cast("int")
+    rows = t(spark, d, "events").select(
+        F.when(F.col("user_id") % 2 == 0, F.struct(F.lit(None).cast("string").alias("d"), F.struct(F.col("event_id").alias("c")).alias("b"))).alias("z"),
+        F.map_from_arrays(F.array(kind, F.lit("m")), F.array(value(k, no), value(no, k))).alias("m"), F.array(pair(kind, F.col("user_id")), pair(kind, none)).alias("a"), F.col("event_id"),
+    )
+    return rows.select("event_id", E.canonical_json(rows.drop("event_id")).alias("row"))
+
+
+#: A judge's replies, with the numbers of an event in place of {v} (its value in hundredths, as a share) and {w}.
+REPLIES = [
+    ('{"groundedness": {v}, "completeness": 1, "relevance": 0}', "ok"), ('```json\n{"groundedness": {v}, "completeness": "0.25", "relevance": 1.0, "reasoning": {"groundedness": "}"}}\n```', "ok"), ('Sure: {"groundedness": {v}, "completeness": 1, "relevance": 1} done', "ok"),
+    ('{"groundedness": {v}, "completeness": 1}', "relevance is missing"), ('{"groundedness": 1{w}, "completeness": 1, "relevance": 0}', "groundedness is out of range"), ('{"groundedness": "high {v}", "completeness": 1, "relevance": 0}', "groundedness is no number"),
+    ("no idea {v}", "no object"), ("{groundedness {v}}", "no JSON"), ('{"groundedness": {v}, "completeness": null, "relevance": 0}', "completeness is missing"), ('{"groundedness": true, "completeness": 1, "relevance": 0}', "groundedness is no number"),
+    ('{"groundedness": {v}, "completeness": [1], "relevance": 0}', "completeness is no number"),
+]
+_SHARE = "least(abs(CAST(floor(value) AS BIGINT)) % 100, 99)"
 
 
-@register("judge_scores", f"SELECT statement AS reply, verdict, CASE WHEN verdict = 'ok' THEN CASE WHEN contains(statement, '0.5') THEN 0.5 ELSE 1.0 END END AS groundedness FROM {_values(REPLIES)} v(statement, verdict)")
+@register("judge_scores", f"SELECT event_id, {_cases('event_id', REPLIES)} AS verdict, CASE WHEN {_cases('event_id', REPLIES)} = 'ok' THEN round({_SHARE} / 100.0, 2) END AS groundedness FROM events WHERE value IS NOT NULL")
 def judge_scores(spark, d):
-    rows = spark.createDataFrame([(x,) for x in REPLIES], "reply string").withColumn("s", A.judge_scores(F.col("reply")))
-    return rows.select("reply", F.coalesce("s.error", F.lit("ok")).alias("verdict"), "s.groundedness")
+    """A judge's reply about each event, with the event's number in it, read strictly."""
+    rows = t(spark, d, "events").where("value IS NOT NULL").withColumn("v", F.expr(f"{_SHARE}"))
+    reply = F.element_at(F.array(*[F.lit(r) for r, _ in REPLIES]), (F.col("event_id") % len(REPLIES) + 1).cast("int"))
+    reply = F.replace(F.replace(reply, F.lit("{v}"), F.concat(F.lit("0."), F.lpad(F.col("v").cast("string"), 2, "0"))), F.lit("{w}"), F.lpad(F.col("v").cast("string"), 2, "0"))
+    return rows.select("event_id", A.judge_scores(reply).alias("s")).select("event_id", F.coalesce("s.error", F.lit("ok")).alias("verdict"), F.round("s.groundedness", 2).alias("groundedness"))
 
 
 @register(

@@ -27,7 +27,7 @@ def open_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, D
 
 def query(spark: SparkSession, sql: str, args: dict | None = None, limit: int | None = None) -> DataFrame:
     """A statement that only reads, over the views. No silent cut: a limit is given or there is none."""
-    ok, reason = check_statement(spark, sql)
+    ok, reason = check_statement(spark, sql, args=args)
     if not ok:
         raise ValueError(reason)
     df = spark.sql(sql.strip().rstrip(";"), args=args or {})
