@@ -17,6 +17,8 @@ from trellis.session import scratch_dir
 from trellis.session import table as t
 from trellis.sources import feeds, files, rdf, reports, tables
 from trellis.streaming import incremental as I
+from trellis.streaming import retries
+from trellis.streaming import sliding as S
 
 
 def _folder(spark) -> str:
@@ -302,6 +304,74 @@ def stream_upsert(spark, d):
     return I.read_upserted(spark, f"{folder}/table", "user_id long, event_id long")
 
 
+def _sliding_sql(rows: str, where: str = "true") -> str:
+    """Windows of 3 hours every 45 minutes: each row in its four."""
+    begin = "time_bucket(INTERVAL 45 MINUTE, ts, TIMESTAMP '1970-01-01')"
+    return f"""SELECT window_start, window_start + INTERVAL 3 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most
+    FROM (SELECT *, unnest([{begin}, {begin} - INTERVAL 45 MINUTE, {begin} - INTERVAL 90 MINUTE, {begin} - INTERVAL 135 MINUTE]) AS window_start FROM {rows}) WHERE {where} GROUP BY ALL"""
+
+
+def _sliding_columns(df):
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")], "event_type", "n", F.round("total", 4).alias("total"), "least", "most")
+
+
+@register("events_sliding", _sliding_sql("events"))
+def events_sliding(spark, d):
+    rows = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _sliding_columns(S.sliding(rows, "ts", "3 hours", "45 minutes", ["event_type"], "value"))
+
+
+_CLOSED = "(SELECT max(ts) FROM events WHERE event_id % 50 <> 0) - INTERVAL 10 MINUTE"
+
+
+@register(
+    "stream_sliding",
+    f"""WITH came AS (SELECT *, event_id % 50 = 0 AND date_trunc('milliseconds', ts) <= date_trunc('milliseconds', {_CLOSED}) AS late FROM events)
+    SELECT w.*, (SELECT count(*) FROM came WHERE late) AS late_rows FROM ({_sliding_sql("(SELECT * FROM came WHERE NOT late)", f"window_start + INTERVAL 3 HOUR <= {_CLOSED}")}) w""",
+)
+def stream_sliding(spark, d):
+    """A stream whose second file has rows that are too late (every fiftieth): its windows are those of the batch form over what came in time, and late rows are counted."""
+    folder, rows = _folder(spark), t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    late = F.col("event_id") % 50 == 0
+    rows.where(~late).coalesce(1).write.parquet(f"{folder}/in/1")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    windows = S.sliding_stream(stream, "ts", "3 hours", "45 minutes", "10 minutes", ["event_type"], "value", ["event_id"])
+    query = I.append_results(windows, f"{folder}/out", f"{folder}/checkpoint")
+    query.awaitTermination()
+    rows.where(late).coalesce(1).write.parquet(f"{folder}/in/2")
+    query = I.append_results(windows, f"{folder}/out", f"{folder}/checkpoint")
+    query.awaitTermination()
+    out = spark.read.schema(windows.schema).parquet(f"{folder}/out")
+    return _sliding_columns(out).withColumn("late_rows", F.lit(S.late_rows(query)).cast("long"))
+
+
+#: A question is a user's day; an event is an attempt, which passes if its value is above 60.
+_ATTEMPTS = "SELECT CAST(user_id AS VARCHAR) || '/' || CAST(day(ts) AS VARCHAR) AS question, ts, value > 60 AS passed, event_type AS feedback FROM events"
+
+
+@register(
+    "retry_outcomes",
+    f"""WITH a AS (SELECT *, epoch_ms(ts) AS ms FROM ({_ATTEMPTS})), o AS (SELECT *, row_number() OVER w AS k, CASE WHEN ms - lag(ms) OVER w > 21600000 THEN 1 ELSE 0 END AS gap FROM a WINDOW w AS (PARTITION BY question ORDER BY ts, passed, feedback)),
+    v AS (SELECT *, sum(gap) OVER (PARTITION BY question ORDER BY k) AS part FROM o), r AS (SELECT question, count(*) FILTER (WHERE part = 0) AS n, min(k) FILTER (WHERE part = 0 AND passed) AS won, max(part) AS gaps,
+      max(ms) FILTER (WHERE part = 0) AS last, arg_max(feedback, k) FILTER (WHERE part = 0 AND k <= 3) AS said FROM v GROUP BY question)
+    SELECT question, CAST(CASE WHEN won <= 3 THEN won ELSE least(n, 3) END AS INTEGER) AS attempts, CASE WHEN won <= 3 THEN 'answered' WHEN n >= 3 THEN 'given up' ELSE 'expired' END AS outcome, CASE WHEN coalesce(won, 9) > 3 THEN said END AS feedback
+    FROM r WHERE won <= 3 OR n >= 3 OR gaps > 0 OR last + 21600000 <= (SELECT max(ms) FROM a) - 600000""",
+)
+def retry_outcomes(spark, d):
+    """A stream of attempts in four files, stopped after two of them and started again: what each question came to."""
+    folder, rows = _folder(spark), t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.select(F.concat_ws("/", F.col("user_id").cast("string"), F.day("ts").cast("string")).alias("question"), "ts", (F.col("value") > 60).alias("passed"), F.col("event_type").alias("feedback"))
+    part = F.least(F.floor((F.day("ts") - 1) / 8), F.lit(3))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    for k in range(4):
+        rows.where(part == k).coalesce(1).write.parquet(f"{folder}/in/{k}")
+        if k % 2:  # a stop between the second and the third file
+            with retries.rocksdb_state(spark):
+                query = I.append_results(retries.outcomes(stream, 3, 6 * 3_600_000), f"{folder}/out", f"{folder}/checkpoint")
+            query.awaitTermination()
+    return spark.read.schema(retries.OUT).parquet(f"{folder}/out").drop("decided")
+
+
 # ---- comparators ----------------------------------------------------------------------------
 
 
