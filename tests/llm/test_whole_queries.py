@@ -137,6 +137,26 @@ def test_language_of_many_copies_and_without_letters(spark):
     assert langid.fit(train.where("lang = 'xx'")) is None
 
 
+def test_very_many_languages_share_the_landmarks(spark, monkeypatch):
+    rows = [(f"text number {i} of {'abcdefghij'[i % 10] * 5}", f"l{i % 600:03d}") for i in range(1300)]
+    train = spark.createDataFrame(rows, "text string, lang string")
+    marks, langs = langid.landmarks(train)
+    assert len(marks) == langid.LANDMARKS and len(langs) == 600 and langs == sorted(langs)
+    monkeypatch.setattr(langid, "LANGS", 5)
+    marks, langs = langid.landmarks(train.unionByName(train.where("lang < 'l004'")))
+    assert langs == ["l000", "l001", "l002", "l003", "l004"]
+    model = langid.fit(train.where("lang < 'l300'"))
+    got = langid.predict(spark.createDataFrame([(1, "text"), (2, "12")], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred in [*langs, "und"] for r in got} == {1: True, 2: True}
+
+
+def test_frequent_words_are_bounded_by_bytes(spark):
+    words = spark.createDataFrame([("x" * 1000 + str(i), int(1e6 * 0.9**i)) for i in range(50)] + [(f"w{i}", 3) for i in range(100)], "word string, c long")
+    some = lattice_lm.frequent_words(words, 1000, 30_000).toPandas()
+    assert 0 < len(some) <= 30 and some["word"].str.len().sum() <= 30_000
+    assert lattice_lm.frequent_words(words, 1000).count() == 150 and lattice_lm.frequent_words(words, 0).count() == 0
+
+
 def test_long_texts_do_not_look_alike(spark):
     rng = random.Random(2)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(30_000))

@@ -6,8 +6,9 @@ geometric mean of each text's own number: a blended-spectrum presence kernel.
 N-grams are told apart by 64-bit hashes, so a long text does not come to look
 like every other. Texts count whole, from first to last character.
 
-Nystroem: LANDMARKS pieces of training texts (a bounded sample: as many distinct
-texts for each language, by a hash of the text, and of each a piece of
+Nystroem: LANDMARKS pieces of training texts at most (a bounded sample: as many distinct
+texts for each language, by a hash of the text, one of each of the most frequent
+languages where there are more languages than landmarks; and of each a piece of
 LANDMARK_CHARS characters at most, at a place chosen by the hash) span the
 feature space; a text's features are its kernels with them times the inverse
 root of the landmarks' own kernel matrix. Only the landmarks' n-grams have a
@@ -19,7 +20,8 @@ some tasks at a time. Texts are scored in batches by two matrix products.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0.
 Ties go to the first language in alphabetical order. A language whose texts all
-lack letters is not learned. Without training texts everything is ``und``. Texts
+lack letters is not learned; of more than LANGS languages (a column of dirty values)
+the most frequent are. An empty table gives no rows. Without training texts everything is ``und``. Texts
 of any length are used whole; of texts that are repeated one can be a landmark,
 all count in the sums. Other columns are not needed and do not disturb.
 """
@@ -39,6 +41,8 @@ from trellis.llm.shared import COUNT_ERROR, blocks, by_batches, discard, hash_li
 GRAMS = 4
 LANDMARKS = 128
 LANDMARK_CHARS = 2000
+#: Languages that are learned, at most: the most frequent ones.
+LANGS = 1000
 RIDGE = 1e-3
 #: Texts in a matrix product, and slices of a task's sums, which are added up apart.
 BATCH, SLICES = 64, 16
@@ -131,16 +135,16 @@ class Kernel:
 
 
 def landmarks(train: DataFrame, text: str = "text", lang: str = "lang", count: int = LANDMARKS, chars: int = LANDMARK_CHARS) -> tuple[list[str], list[str]]:
-    """Landmark texts and the sorted languages: count / languages distinct texts of each (4 at
-    least), by a hash of the text; of each a piece of ``chars`` characters at most."""
+    """Landmark texts, ``count`` at most, and the sorted languages: count / languages distinct texts of each (of the
+    ``count`` most frequent ones, where there are more), by a hash of the text; of each a piece of ``chars`` characters at most."""
     h = F.pmod(F.xxhash64(text), F.lit(1 << 30))
     rows = train.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"), h.alias("chosen"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("chosen", COUNT_ERROR).alias("n")).collect()}  # a row a language
-    langs = sorted(sizes)
+    found = rows.groupBy("lang").agg(F.count("*").alias("all"), F.approx_count_distinct("chosen", COUNT_ERROR).alias("n")).orderBy(F.desc("all"), "lang").limit(LANGS).collect()
+    langs = sorted(r["lang"] for r in found)
     if not langs:
         return [], []
-    each = max(4, count // len(langs))
-    limit = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, hash_limit(each, sizes[k]))]), F.col("lang"))
+    each, shown = max(1, count // len(langs)), found[:count]
+    limit = F.element_at(F.create_map(*[F.lit(x) for r in shown for x in (r["lang"], hash_limit(each, r["n"]))]), F.col("lang"))
     place = 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - chars + 1, F.lit(1)))
     picked = rows.where(F.col("chosen") < limit).select("lang", "chosen", F.col("text").substr(place.cast("int"), F.lit(chars)).alias("text")).distinct()
     ranked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("chosen", "text"))).where(F.col("rank") <= each)
@@ -162,10 +166,11 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", count: int = L
             for i in range(0, batch.num_rows, BATCH):
                 part = batch.slice(i, BATCH)
                 x, has = kernel.features(part.column("text").to_pylist())
-                x = np.append(x, np.ones((len(x), 1)), 1)[has]
                 y = np.full((part.num_rows, len(langs)), -1.0)
                 own = np.array([code.get(v, -1) for v in part.column("lang").to_pylist()])
                 y[np.flatnonzero(own >= 0), own[own >= 0]] = 1
+                has &= own >= 0
+                x = np.append(x, np.ones((len(x), 1)), 1)[has]
                 outer += x.T @ x
                 target += x.T @ y[has]
                 n += len(x)

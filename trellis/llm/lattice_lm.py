@@ -17,7 +17,7 @@ UTF-8 bytes, as byte pieces. Piece probabilities and the end sum to one.
 
 The word table (word, count) is one shuffle and as large as the corpus makes
 it. Each word of it is scored once. Counts and scores come to the texts in two ways:
-the HEAD most frequent words travel to all tasks (a bounded table), and the rest
+the HEAD most frequent words travel to all tasks (a table bounded in rows and bytes), and the rest
 is joined: a text's remaining words, counted, are sent to the word table, and
 those that it lacks are scored where they arrive. Words are compared as strings.
 Words of more than LONG characters (texts without spaces are such words) are cut
@@ -48,7 +48,8 @@ from pyspark.sql import functions as F
 from trellis.llm import kernel as K
 from trellis.llm.shared import blocks, by_batches, discard, keeps, materialise, text_bytes
 
-HEAD = 1 << 17
+#: Words that travel to all tasks, and their bytes, at most.
+HEAD, HEAD_BYTES = 1 << 17, 16 << 20
 ROUNDS = 4
 RANK0 = 20.0
 #: Added to each piece's expected count.
@@ -337,14 +338,14 @@ def train_pieces(words: DataFrame, model: bytes, ends: int, rounds: int = ROUNDS
     return names, np.log(np.append(p * (1 - end), end))
 
 
-def frequent_words(words: DataFrame, head: int) -> DataFrame:
-    """The most frequent words, ``head`` at most: all from the least count, in steps of
-    2**(1/8), that does not let in more. Only the histogram (a row a step) is gathered before."""
+def frequent_words(words: DataFrame, head: int, most_bytes: int = HEAD_BYTES) -> DataFrame:
+    """The most frequent words, ``head`` at most and of ``most_bytes`` at most: all from the least count, in
+    steps of 2**(1/8), that does not let in more. Only the histogram (a row a step) is gathered before."""
     step = F.floor(F.log2("c") * 8)
-    total, least = 0, None
-    for row in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
-        total += row["n"]
-        if total > head:
+    total, size, least = 0, 0, None
+    for row in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("size")).collect(), reverse=True):
+        total, size = total + row["n"], size + row["size"]
+        if total > head or size > most_bytes:
             break
         least = row["step"]
     return words.where(step >= least) if least is not None else words.limit(0)
@@ -378,7 +379,7 @@ def score(docs: DataFrame, train: DataFrame, model: bytes, doc: str = "doc_id",
     fill = _scored(names, logp)
     lexicon = materialise(words.withColumn("s", F.lit(None).cast("double")).transform(by_batches, fill, "word string, c long, s double", "lattice"), "lexicon")
     discard(words)
-    frequent = frequent_words(lexicon, head).toPandas()  # ``head`` rows at most
+    frequent = frequent_words(lexicon, head).toPandas()  # ``head`` rows and HEAD_BYTES at most
     head_words = pa.array(frequent["word"], pa.large_string())
     head_counts = np.append(frequent["c"].to_numpy(np.int64), 0)
     head_scores = np.append(frequent["s"].to_numpy(float), 0.0)

@@ -15,7 +15,7 @@ piece. Fitting does the same: of a toxic text, the piece with the largest sum
 of ratios stands for it; of other texts, likewise the piece that looks worst.
 
 Defined cases: null and empty texts have no features and get the score of the
-intercept. Texts of any length are scored whole. Labels that are null, or of
+intercept. An empty table gives no rows. Texts of any length are scored whole. Labels that are null, or of
 unknown ids, are not used; of an id that is labelled twice, the larger label
 counts. Rows that repeat a doc_id are separate texts with the label of the id.
 A text with both labels counts for both. A score of exactly 0.5 is toxic. With
@@ -40,11 +40,11 @@ GRAMS = (3, 4, 5)
 PIECE = 1500
 OVERLAP = 60
 #: Labelled texts on which the linear model is fitted, at most.
-SAMPLE = 4000
+SAMPLE = 8000
 SMOOTH = 1.0
 #: Weight of the penalty, and steps of fitting.
 PENALTY = 1e-4
-STEPS = 120
+STEPS = 300
 
 _MULTIPLIER, _SPREAD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
@@ -164,7 +164,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray) -> tuple[np.ndarra
     chunks = []
     for i in range(0, len(rows), 200):
         part = rows[i : i + 200]
-        chunks.append((np.concatenate(part), np.repeat(np.arange(len(part)), size[i : i + 200]), slice(i, i + len(part))))
+        chunks.append((np.concatenate(part), np.repeat(np.arange(len(part), dtype=np.int32), size[i : i + 200]), slice(i, i + len(part))))
     w, b = np.zeros(len(r)), 0.0
     ahead_w, ahead_b, t = w, b, 1.0
     for _ in range(STEPS):
