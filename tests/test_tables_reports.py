@@ -1,7 +1,6 @@
 """Tables as views, reports, timed plug-ins."""
 
 import json
-import time
 
 import pytest
 
@@ -33,6 +32,3 @@ def test_reports(spark, tmp_path):
 def test_timed_calls():
     timed = plugins.Timed(lambda x: x + 1)
     assert timed(1) == 2 and len(timed.seconds) == 1
-    assert plugins.with_timeout(lambda: 3, 5)() == (3, None)
-    assert plugins.with_timeout(lambda: 1 / 0, 5)()[1].startswith("ZeroDivisionError")
-    assert plugins.with_timeout(lambda: time.sleep(1), 0.05)()[0] is None

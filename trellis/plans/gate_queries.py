@@ -9,6 +9,7 @@ from trellis import plugins
 from trellis.functions import answers as A
 from trellis.functions import questions as Q
 from trellis.functions import text as X
+from trellis.operators import calls
 from trellis.operators import etl
 from trellis.operators import evaluation as E
 from trellis.operators import fusion as U
@@ -159,31 +160,45 @@ def function_gate(spark, d):
     return spark.createDataFrame(rows, "p_brand string, accepted boolean")
 
 
-@register("retry_controller", "SELECT 'SELECT count(*) AS n FROM events' AS statement, CAST(3 AS INTEGER) AS attempts, CAST(3 AS INTEGER) AS calls, true AS timed")
+def _events_session(spark, d):
+    """A session of its own with the view ``events``: no caller's view is replaced."""
+    session = spark.newSession()
+    t(session, d, "events").createOrReplaceTempView("events")
+    return session, [r[0] for r in t(spark, d, "events").select("event_type").distinct().collect()]
+
+
+@register("retry_controller", "SELECT event_type, count(*) AS n, CAST(CASE WHEN event_type < 'm' THEN 3 ELSE 2 END AS INTEGER) AS attempts, true AS timed FROM events GROUP BY event_type")
 def retry_controller(spark, d):
-    """A generator is asked until its statement passes the gates: a command, a list for a count, then a count."""
-    drafts = iter(["DROP TABLE events", "SELECT event_id FROM events", "SELECT count(*) AS n FROM events"])
-    generate = plugins.Timed(lambda question, feedback: next(drafts))
-    spark.read.parquet(f"{d}/events.parquet").createOrReplaceTempView("events")
-    _, sql, made, _ = guard.answer(spark, "How many events are there?", generate)
-    return spark.createDataFrame([(sql, made, len(generate.seconds), min(generate.seconds) >= 0)], "statement string, attempts int, calls int, timed boolean")
+    """For each type of event a generator is asked until its statement passes the gates and can be analysed: a
+    command or a list for a count, a column that is not there, then a count. What the last one finds is returned."""
+    session, kinds = _events_session(spark, d)
+    rows = []
+    for kind in kinds:
+        drafts = iter((["DROP TABLE events"] if kind < "m" else []) + ["SELECT event_id FROM events" if len(kind) % 2 else "SELECT count(nothing) FROM events", f"SELECT count(*) AS n FROM events WHERE event_type = '{kind}'"])
+        generate = plugins.Timed(lambda question, feedback, drafts=drafts: next(drafts))
+        found, _, made, _ = guard.answer(session, f"How many events of {kind} are there?", generate)
+        rows.append((kind, found.first()["n"], made, len(generate.seconds) == made and min(generate.seconds) >= 0))
+    return spark.createDataFrame(rows, "event_type string, n long, attempts int, timed boolean")
 
 
-@register("one_shot_correction", "SELECT * FROM (VALUES ('mended', 2, true), ('given up', 2, false)) v(name, attempts, answered)")
+@register("one_shot_correction", "SELECT event_type, CASE WHEN event_type < 'm' THEN max(event_id) END AS last, CAST(2 AS INTEGER) AS attempts, true AS heard FROM events GROUP BY event_type")
 def one_shot_correction(spark, d):
-    """One more attempt with the parser's complaint as feedback, and none after that."""
-    spark.read.parquet(f"{d}/events.parquet").createOrReplaceTempView("events")
+    """One more attempt with the complaint of the parser or analyser as feedback, and none after that: some types
+    of events are mended by it, the others given up."""
+    session, kinds = _events_session(spark, d)
     rows = []
-    for name, second in (("mended", "SELECT event_id FROM events"), ("given up", "SELECT FROM WHERE")):
+    for kind in kinds:
         heard = []
 
-        def generate(question, feedback, second=second, heard=heard):
+        def generate(question, feedback, kind=kind, heard=heard):
             heard.append(feedback)
-            return second if feedback else "SELEC event_id FROM events"
+            if not feedback:
+                return "SELEC max(event_id) FROM events" if len(kind) % 2 else "SELECT max(nothing) AS last FROM events"
+            return f"SELECT max(event_id) AS last FROM events WHERE event_type = '{kind}'" if kind < "m" else "SELECT FROM WHERE"
 
-        found, _, made, _ = guard.answer(spark, "Which events?", generate, attempts=2)
-        rows.append((name, made, found is not None and "must start with SELECT" in heard[1]))
-    return spark.createDataFrame(rows, "name string, attempts int, answered boolean")
+        found, _, made, _ = guard.answer(session, f"Which event of {kind} came last?", generate, attempts=2)
+        rows.append((kind, found.first()["last"] if found is not None else None, made, ("must start with SELECT" if len(kind) % 2 else "nothing") in heard[1]))
+    return spark.createDataFrame(rows, "event_type string, last long, attempts int, heard boolean")
 
 
 @register("list_comprehension", "SELECT n_name AS nation, array_to_string(list_transform(list_filter(list_sort(list(s_suppkey)), lambda k: k % 2 = 0), lambda k: 'S' || k), ',') AS even FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
@@ -193,16 +208,28 @@ def list_comprehension(spark, d):
     return rows.select("nation", F.array_join(F.transform(F.filter("ids", lambda k: k % 2 == 0), lambda k: F.concat(F.lit("S"), k.cast("string"))), ",").alias("even"))
 
 
-@register("timeout_wrapper", "SELECT * FROM (VALUES ('quick', '1', NULL), ('broken', NULL, 'ZeroDivisionError'), ('slow', NULL, 'timeout')) v(name, value, reason)")
-def timeout_wrapper(spark, d):
+def _counted(doc_id, text):
+    """A plug-in that counts words, fails on texts without any, and hangs on some documents."""
+    import re
     import time
 
-    calls = {"quick": lambda: "1", "broken": lambda: 1 // 0, "slow": lambda: time.sleep(1)}
-    rows = []
-    for name, call in calls.items():
-        value, reason = plugins.with_timeout(call, 0.2)()
-        rows.append((name, value, reason and reason.replace(":", " ").split()[0]))
-    return spark.createDataFrame(rows, "name string, value string, reason string")
+    if doc_id % 300 == 7:
+        time.sleep(600)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if not words:
+        raise ValueError("no words")
+    return len(words)
+
+
+@register(
+    "timeout_wrapper",
+    """SELECT doc_id, CASE WHEN doc_id % 300 = 7 THEN NULL ELSE nullif(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')), 0) END AS value,
+    CASE WHEN doc_id % 300 = 7 THEN 'timeout' WHEN len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) = 0 THEN 'ValueError' END AS reason, true AS timed FROM documents""",
+)
+def timeout_wrapper(spark, d):
+    """A plug-in called for each document in its task, within two seconds: values, reasons and times are columns."""
+    rows = calls.with_calls(t(spark, d, "documents").select("doc_id", "text"), _counted, ["doc_id", "text"], 2.0, "long")
+    return rows.select("doc_id", "value", F.regexp_extract("reason", r"^(\w+)", 1).alias("reason"), (F.col("seconds") >= 0).alias("timed"))
 
 
 # ---- scalar functions -----------------------------------------------------------------------

@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from trellis import plugins
 from trellis.operators import containment as C
 from trellis.operators import evaluation as E
 from trellis.operators import retrieval as R
@@ -15,7 +14,7 @@ from trellis.operators.graph import upsert_edges
 from trellis.plans.catalog import register
 from trellis.session import scratch_dir
 from trellis.session import table as t
-from trellis.sources import feeds, files, rdf, reports, tables
+from trellis.sources import feed_source, feeds, files, rdf, reports, tables
 from trellis.streaming import incremental as I
 from trellis.streaming import retries
 from trellis.streaming import sliding as S
@@ -201,19 +200,43 @@ def rss_articles(spark, d):
     return feeds.timed(found.withColumn("raw", F.col("summary"))).select("title", "raw", "summary", F.col("date").cast("timestamp_ntz").alias("date"))
 
 
-@register("fetched_feeds", "SELECT 'a' AS path, 'one' AS title, NULL AS reason UNION ALL SELECT 'b', NULL, 'timeout' UNION ALL SELECT 'c', NULL, 'KeyError'")
+def _feed_files(spark, d, folder: str, where: str, stage: int) -> None:
+    """Entries of five feeds from the pages, in order, one a line; the fifth feed has an entry that is no XML."""
+    escaped = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    item = F.concat(F.lit("<item><title>Page "), F.col("page_id").cast("string"), F.lit("</title><link>"), escaped, F.when(F.col("page_id") % 5 == 4, "</item>").otherwise("</link></item>"))
+    pages = t(spark, d, "pages").where(where).select((F.col("page_id") % 5).alias("feed"), F.lit(stage).alias("stage"), "page_id", item.alias("value"))
+    pages.coalesce(1).sortWithinPartitions("feed", "page_id").drop("page_id").write.mode("append").partitionBy("feed", "stage").text(f"{folder}/feeds")
+
+
+_FEED_SQL = "SELECT page_id % 5 AS feed, CAST(row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id % 2, page_id) - 1 AS INTEGER) AS position, 'Page ' || page_id AS title, url AS link, NULL AS reason FROM pages WHERE page_id % 5 <> 4"
+_FETCHER = "trellis.sources.feed_source:StoredFeeds"
+
+
+def _told(rows):
+    """The number of a feed instead of its address, and of a reason its first word."""
+    return rows.select(F.coalesce(F.regexp_extract("source", r"feed=(\d+)$", 1).try_cast("long"), F.lit(-1)).alias("feed"), "position", "title", "link", F.regexp_extract("reason", r"^(\w+( \w+)?)", 1).alias("reason"))
+
+
+@register("fetched_feeds", _FEED_SQL + " UNION ALL SELECT 4, NULL, NULL, NULL, 'no RSS' UNION ALL SELECT -1, NULL, NULL, NULL, 'FileNotFoundError' FROM (SELECT count(*) FROM pages)")
 def fetched_feeds(spark, d):
-    """Feeds fetched by a plug-in within a time; failures are rows with their reason."""
-    import time
+    """Feeds made of the pages, each fetched in a task; one is no XML, one is not there."""
+    folder = _folder(spark)
+    _feed_files(spark, d, folder, "page_id % 2 = 0", 0)
+    _feed_files(spark, d, folder, "page_id % 2 = 1", 1)
+    addresses = [f"{folder}/feeds/feed={k}" for k in range(5)] + [f"{folder}/feeds/gone"]
+    return _told(feed_source.read_feeds(spark, addresses, _FETCHER))
 
-    def fetch(address: str) -> bytes:
-        if address == "b":
-            time.sleep(1)
-        return {"a": b"<rss><item><title>one</title></item></rss>"}[address]
 
-    got = plugins.fetched(spark, ["a", "b", "c"], fetch, 0.3)
-    titles = feeds.articles_of(got.where("content is not null")).select(F.col("source").alias("path"), "title")
-    return got.join(titles, "path", "left").select("path", "title", F.substring_index(F.substring_index("reason", " ", 1), ":", 1).alias("reason"))
+@register("feed_stream", _FEED_SQL + " UNION ALL SELECT 4, NULL, NULL, NULL, 'no RSS' FROM (SELECT unnest([0, 1])) UNION ALL SELECT -1, NULL, NULL, NULL, 'FileNotFoundError' FROM (SELECT unnest([0, 1]))")
+def feed_stream(spark, d):
+    """The same as a stream that is stopped and started again when half of the entries are there: each entry
+    comes once, and each poll of a feed that fails gives its reason."""
+    folder = _folder(spark)
+    addresses = [f"{folder}/feeds/feed={k}" for k in range(5)] + [f"{folder}/feeds/gone"]
+    for stage in (0, 1):
+        _feed_files(spark, d, folder, f"page_id % 2 = {stage}", stage)
+        I.append_results(feed_source.read_feeds(spark, addresses, _FETCHER, stream=True), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return _told(spark.read.schema(feed_source.SCHEMA).parquet(f"{folder}/out"))
 
 
 @register(
