@@ -59,22 +59,58 @@ def merge(pools: DataFrame, k: Column | int, anchored: Column | None = None) ->
     return ranked.where(F.col("rank") <= k).select("question_id", "doc_id", "rank")
 
 
+#: Nodes of one depth of a trie that are sent to all tasks, and their characters, at most; more are joined.
+SENT_NODES, SENT_CHARS = 50_000, 4_000_000
+_WORD = r"[\p{L}\p{N}_]+"
+
+
+def _pieces(text: Column) -> Column:
+    """word, what stands between, word, ...: from the first word to the last, in lower case."""
+    words, between = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.split(text, _WORD, -1)
+    both = F.transform(words, lambda w, i: F.array(F.lower(w), F.lower(F.get(between, i + 1))))
+    return F.flatten(both)
+
+
+def name_trie(entities: DataFrame, name: str = "name", least: int = 3) -> DataFrame:
+    """depth, prefix, names, more: the nodes of a trie over words. A node is the first ``depth`` words of some
+    names, with what stands between them, in lower case; ``names`` end there, and ``more`` says whether any goes on."""
+    named = entities.where((F.length(F.col(name)) >= least) & F.col(name).rlike(r"^[\p{L}\p{N}_](.*[\p{L}\p{N}_])?$")).select(F.col(name).alias("name")).distinct()
+    cut = named.withColumn("pieces", _pieces(F.col("name"))).withColumn("words", (F.size("pieces") / 2).cast("int"))
+    prefixes = cut.withColumn("depth", F.explode(F.sequence(F.lit(1), "words"))).select("depth", F.array_join(F.slice("pieces", F.lit(1), F.col("depth") * 2 - 1), "").alias("prefix"), F.when(F.col("depth") == F.col("words"), F.col("name")).alias("name"))
+    return prefixes.groupBy("depth", "prefix").agg(F.collect_set("name").alias("names"), F.max(F.col("name").isNull()).alias("more"))
+
+
 def entity_mentions(texts: DataFrame, entities: DataFrame, key: str, text: str = "text", name: str = "name", cap: int | None = 5, least: int = 3) -> DataFrame:
     """key, name, place: the entities that a text mentions as whole words, case aside, longest first.
 
-    Texts and names are cut into words (runs of letters, digits and _), and names are looked up by an
-    equal join on their first word, so any number of names will do; a name of several words is then
-    compared with the text from that word on. A name must start and end with a word character."""
-    word = F.lit(r"[\p{L}\p{N}_]+")
-    named = entities.where((F.length(F.col(name)) >= least) & F.col(name).rlike(r"^[\p{L}\p{N}_](.*[\p{L}\p{N}_])?$")).select(F.col(name).alias("name")).distinct()
-    names = named.withColumn("__first", F.lower(F.regexp_substr("name", word)))
-    words = texts.select(key, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, word, F.lit(0)), lambda w: F.lower(w)))).alias("__first"))
-    met = words.join(names, "__first")
-    one = met.where(F.lower("name") == F.col("__first")).select(key, "name")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), F.col("name"), F.lit(r"\E(?![\p{L}\p{N}_])"))
-    more = met.where(F.lower("name") != F.col("__first")).join(texts.select(key, F.col(text).alias("__text")), key).where(F.rlike("__text", pattern)).select(key, "name").distinct()
-    w = Window.partitionBy(key).orderBy(F.length("name").desc(), "name")
-    placed = one.unionByName(more).withColumn("place", F.row_number().over(w))
+    Texts and names are cut into words (runs of letters, digits and _). Names form a trie over their
+    words, and each place of a text goes down it word by word: an equal join on all words so far, so a
+    first word that very many names share only lets a place go on, and the work grows with the texts and
+    the depth, never with texts times names. A depth of the trie is sent to all tasks where its size,
+    which is counted, allows, and joined otherwise. A name must start and end with a word character."""
+    trie = name_trie(entities, name, least).persist()
+    sizes = {r["depth"]: (r["n"], r["size"]) for r in trie.groupBy("depth").agg(F.count("*").alias("n"), F.sum(F.length("prefix") + F.length(F.array_join("names", ""))).alias("size")).collect()}  # a row a depth
+    deepest = max(sizes, default=0)
+    rows = texts.select(F.col(key).alias("at"), F.col(text).alias("text"))
+    if deepest <= 1:
+        words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
+        rows = rows.select("at", F.explode(F.array_distinct(F.transform(words, lambda w: F.array(F.lower(w))))).alias("rest"))
+    else:
+        places = F.transform(F.sequence(F.lit(1), F.size("pieces") - 1, F.lit(2)), lambda i: F.slice("pieces", i, F.lit(2 * deepest - 1)))
+        rows = rows.withColumn("pieces", _pieces(F.col("text"))).where(F.size("pieces") > 0).select("at", F.explode(F.array_distinct(places)).alias("rest"))
+    met = None
+    for depth in range(1, deepest + 1):
+        nodes = trie.where(F.col("depth") == depth).select("prefix", "names", "more")
+        if sizes[depth][0] <= SENT_NODES and sizes[depth][1] <= SENT_CHARS:
+            nodes = F.broadcast(nodes)
+        rows = rows.where(F.size("rest") >= 2 * depth - 1).withColumn("prefix", F.array_join(F.slice("rest", 1, 2 * depth - 1), "")).join(nodes, "prefix")
+        ends = rows.where(F.size("names") > 0).select("at", F.explode("names").alias("name"))
+        met = ends if met is None else met.unionByName(ends)
+        rows = rows.where("more").select("at", "rest")
+    if met is None:
+        met = rows.select("at", F.lit(None).cast("string").alias("name")).where("false")
+    w = Window.partitionBy("at").orderBy(F.length("name").desc(), "name")
+    placed = met.distinct().withColumn("place", F.row_number().over(w)).withColumnRenamed("at", key)
     return placed if cap is None else placed.where(F.col("place") <= cap)
 
 

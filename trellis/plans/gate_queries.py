@@ -396,6 +396,20 @@ def name_resolution(spark, d):
     return found.join(names, "name").select("id", "name", F.col("s_suppkey").alias("horse"))
 
 
+@register(
+    "part_mentions",
+    """SELECT p_partkey AS id, q AS name FROM (SELECT p_partkey, unnest([p_name, regexp_extract(p_name, '^\\S+'), p_name || ' ' || p_brand]) AS q FROM part WHERE p_partkey % 7 <> 0)
+    WHERE q IN (SELECT p_name FROM part UNION ALL SELECT p_name || ' ' || p_brand FROM part)""",
+)
+def part_mentions(spark, d):
+    """As many names as parts, which share their first words, found in as many texts: names that begin others are found too."""
+    part = t(spark, d, "part")
+    whole = F.concat_ws(" ", "p_name", "p_brand")
+    names = part.select(F.col("p_name").alias("name")).union(part.select(whole))
+    texts = part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 7 != 0, F.concat(F.lit("Where is "), F.upper(whole), F.lit("?"))).otherwise(F.concat(F.lit("x"), "p_name", F.lit("x"))).alias("text"))
+    return R.entity_mentions(texts, names, "id", cap=None).drop("place")
+
+
 @register("prose_documents", "SELECT n_name AS nation, 'Nation ' || n_name || '.' || coalesce(chr(10) || chr(10) || 'Suppliers: ' || (SELECT string_agg(s_name || '.', ' ' ORDER BY s_name) FROM supplier WHERE s_nationkey = n_nationkey), '') AS text FROM nation")
 def prose_documents(spark, d):
     n = t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("nation"))
