@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trellis.functions import text as X
 from trellis.operators import evaluation as E
 from trellis.operators import fusion as U
+from trellis.operators import pivots
 from trellis.operators import retrieval as R
 from trellis.plans.catalog import register
+from trellis.session import scratch_dir
 from trellis.session import table as t
 from trellis.streaming.incremental import pending
 
@@ -44,7 +48,6 @@ def shorten_text(spark, d):
 
 
 @register("json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
-@register("json_fields_all", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_fields(spark, d):
     return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
@@ -109,6 +112,19 @@ def vector_topk_batch(spark, d):
     return R.top_k_batch(e, queries, 5, decimals=4)
 
 
+@register(
+    "vector_topk_pivots",
+    f"""SELECT q.vec_id AS query_id, e.vec_id, {_DIST.format(a='e', b='q')} AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST.format(a='e', b='q')}, e.vec_id) AS INTEGER) AS rank
+    FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5""",
+)
+def vector_topk_pivots(spark, d):
+    """The same from a table partitioned by pivots, of which most pairs of queries and cells are never compared."""
+    e = t(spark, d, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    table = pivots.store(e, f"{scratch_dir(spark)}/pivots-{uuid.uuid4().hex}")
+    return pivots.nearest(table, queries, 5, decimals=4).rows
+
+
 @register(
     "cosine_similarity",
     """SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 4) AS cos, round((list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) + 1) / 2, 4) AS similarity
