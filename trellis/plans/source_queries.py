@@ -14,14 +14,18 @@ from trellis.operators.graph import upsert_edges
 from trellis.plans.catalog import register
 from trellis.session import scratch_dir
 from trellis.session import table as t
-from trellis.sources import feed_source, feeds, files, rdf, reports, tables
+from trellis.sources import feed_source, feeds, files, rdf, reports, tables, versions
 from trellis.streaming import incremental as I
 from trellis.streaming import retries
 from trellis.streaming import sliding as S
 
 
 def _folder(spark) -> str:
-    return f"{scratch_dir(spark)}/sources-{uuid.uuid4().hex}"
+    """A scratch folder, which goes when the application ends: results read it until then."""
+    path = f"{scratch_dir(spark)}/sources-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 # ---- RDF ------------------------------------------------------------------------------------
@@ -93,15 +97,16 @@ def table_roundtrip(spark, d):
     names = {f"kb_{n}_{uuid.uuid4().hex}": (t(spark, d, n), k) for n, k in (("supplier", "s_suppkey"), ("nation", "n_nationkey"))}
     for frames in ({n: df.limit(0) for n, (df, _) in names.items()}, {n: df for n, (df, _) in names.items()}):
         tables.save_tables(frames, folder, {n: [k] for n, (_, k) in names.items()})
-    opened = list(tables.open_tables(spark, folder, list(names)))
-    return tables.query(spark, f"SELECT n_name AS nation, count(*) AS suppliers FROM {opened[0]} JOIN {opened[1]} ON n_nationkey = s_nationkey GROUP BY n_name")
+    session = spark.newSession()  # its views are its own
+    opened = list(tables.open_tables(session, folder, list(names)))
+    return tables.query(session, f"SELECT n_name AS nation, count(*) AS suppliers FROM {opened[0]} JOIN {opened[1]} ON n_nationkey = s_nationkey GROUP BY n_name")
 
 
 @register("explicit_limit", "SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 5")
 def explicit_limit(spark, d):
-    name = f"supplier_{uuid.uuid4().hex}"
-    t(spark, d, "supplier").createOrReplaceTempView(name)
-    return tables.query(spark, f"SELECT s_suppkey, s_name FROM {name} ORDER BY s_suppkey;", limit=5)
+    session = spark.newSession()
+    t(session, d, "supplier").createOrReplaceTempView("supplier")
+    return tables.query(session, "SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey;", limit=5)
 
 
 @register("json_export", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
@@ -179,12 +184,32 @@ def report_rows(spark, d):
     return spark.read.schema("regions array<struct<key:int,name:string>>").json(f"{folder}/report.json").select(F.inline("regions"))
 
 
-@register("cached_table", "SELECT count(*) AS n FROM nation")
+@register("cached_table", "SELECT n_nationkey, 1 AS first, 1 AS again, 2 AS later FROM nation")
 def cached_table(spark, d):
-    made = []
-    cache = files.CachedTable(lambda: made.append(1) or t(spark, d, "nation"), 300)
-    cache.get()
-    return cache.get().agg(F.count("*").alias("n")).where(F.lit(len(made)) == 1)
+    """A table kept for 300 seconds on disk: a second session reads the first version, and one that comes later makes a second."""
+    folder, nation = _folder(spark), t(spark, d, "nation")
+    seen = {}
+    for name, session, now in (("first", spark, 1000.0), ("again", spark.newSession(), 1290.0), ("later", spark, 1301.0)):
+        source = t(session, d, "nation").select("n_nationkey", F.lit(len(versions.Versions(spark, folder).numbers()) + 1).alias("made"))
+        seen[name] = versions.cached(session, folder, lambda source=source: source, 300, now).collect()  # a nation a row
+    parts = [spark.createDataFrame(rows, f"n_nationkey int, {name} int") for name, rows in seen.items()]
+    return nation.select("n_nationkey").join(parts[0], "n_nationkey").join(parts[1], "n_nationkey").join(parts[2], "n_nationkey")
+
+
+@register("atomic_json", "SELECT s_suppkey, s_name, 1 AS version FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, s_name, 2 FROM supplier")
+def atomic_json(spark, d):
+    """JSON replaced whole: a write that breaks off in a task leaves what was there; the next one takes its place."""
+    table = versions.Versions(spark, _folder(spark), "json")
+    rows = t(spark, d, "supplier").select("s_suppkey", "s_name")
+    table.replace(rows.where("s_suppkey % 2 = 0"))
+    broken = rows.withColumn("s_name", F.when(F.col("s_suppkey") == 7, F.raise_error(F.lit("broken off"))).otherwise(F.col("s_name")))
+    try:
+        table.replace(broken)
+        held = None
+    except Exception:
+        held = table.read(rows.schema).withColumn("version", F.lit(table.current()[0]))
+    table.replace(rows)
+    return held.unionByName(table.read(rows.schema).withColumn("version", F.lit(table.current()[0])))
 
 
 @register("rss_articles", "SELECT s_name AS title, 'a & b <b>' || s_suppkey || '</b>' AS raw, 'a & b ' || s_suppkey AS summary, TIMESTAMP '2024-03-05 10:00:00' AS date FROM supplier")
@@ -309,13 +334,17 @@ def stream_windows(spark, d):
     return out.join(F.broadcast(last), F.col("v") == F.col("last")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@register("stream_first_seen", "SELECT count(DISTINCT user_id) AS users FROM events")
+@register("stream_first_seen", "SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id")
 def stream_first_seen(spark, d):
-    """Of each key the first row within the watermark: with one that is wide enough, one row a key."""
-    folder = _folder(spark)
-    once = I.first_seen(_stream(spark, d).select("ts", "user_id"), "ts", "3650 days", F.col("user_id"))
-    I.append_results(once, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema("ts timestamp, user_id long").parquet(f"{folder}/out").agg(F.count("*").alias("users"))
+    """Of each key the first row within the watermark, over files that come one after another: which row stays is seen."""
+    folder, rows = _folder(spark), t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    week = F.least(F.floor((F.day("ts") - 1) / 8), F.lit(3))
+    polled = rows.groupBy(week.alias("week"), "user_id").agg(F.min("ts").alias("ts")).select("week", "user_id", "ts")
+    stream = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    for k in range(4):  # each poll of the feed brings users again
+        polled.where(F.col("week") == k).drop("week").coalesce(1).write.parquet(f"{folder}/in/{k}")
+        I.append_results(I.first_seen(stream, "ts", "3650 days", F.col("user_id")), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema("user_id long, ts timestamp").parquet(f"{folder}/out").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @register("stream_upsert", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")

@@ -89,17 +89,3 @@ def new_conversation(spark: SparkSession, title: str = "", now: str | None = Non
 
 def delete_conversations(old: DataFrame, ids: DataFrame) -> DataFrame:
     return old.join(ids.select("id").distinct(), "id", "left_anti")
-
-
-class CachedTable:
-    """A DataFrame kept for some seconds, then made anew."""
-
-    def __init__(self, make, ttl: float, clock=time.monotonic):
-        self.make, self.ttl, self.clock, self.at, self.df = make, ttl, clock, None, None
-
-    def get(self) -> DataFrame:
-        if self.at is None or self.clock() - self.at > self.ttl:
-            if self.df is not None:
-                self.df.unpersist()
-            self.df, self.at = self.make().cache(), self.clock()
-        return self.df
