@@ -20,7 +20,9 @@ row fills rows of its own, and its remainder is packed; a text of any length is
 encoded whole. Of equal remainders the earlier document is placed first; of
 equally full rows the one last touched is filled. Rows that repeat a doc_id are
 packed as separate segments; a null doc_id stays null. Ids are integers. An
-empty table has no rows. Other columns are not needed and do not disturb.
+empty table has no rows. Which documents share a row depends on how the input is
+partitioned (blocks are those of a task); what a document's ids are does not, and
+every partitioning is lossless. Other columns are not needed and do not disturb.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ is shuffled.
 
 Defined cases: a null text has no words and fails min_words, as an empty one
 does. Texts of any length are read whole (a text's words and its 3-word windows
-are held in one task, as the text itself is). Other columns pass through
+are held in one task, as the text itself is). Repeated rows are judged one by one, and a
+ratio that equals its threshold passes. An empty table gives no rows. Other columns pass through
 untouched; metric columns replace columns of the same name.
 """
 

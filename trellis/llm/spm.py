@@ -19,7 +19,7 @@ need no file of their own.
 Defined cases: null is the empty text, which has the begin and end ids only and
 decodes to the empty text. Texts of any length are encoded whole. Repeated rows
 get one row each; other columns pass through if asked for, unless they have the
-name of a result. Of pairs with equal scores the leftmost is merged first.
+name of a result. An empty table gives no rows. Of pairs with equal scores the leftmost is merged first.
 """
 
 from __future__ import annotations

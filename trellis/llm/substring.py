@@ -32,7 +32,8 @@ compared by 2 x 64 bits, words by 64.
 Defined cases: null and empty texts have no words. "Earlier" is the smaller
 doc_id (null comes first), then the earlier start. Ids are integers. Rows with
 equal doc_id and equal text are one document read twice: both get its result.
-Rows with equal doc_id and other texts are ordered by a hash of the text. A text
+Rows with equal doc_id and other texts are ordered by a hash of the text. An empty
+table gives no rows. A text
 of any length is handled whole, in memory of some 100 bytes a byte for one block
 of 1 MB of text (or one text, if longer). Columns other than the key and the
 text are not needed and do not disturb.
