@@ -27,7 +27,7 @@ class Graph:
 
     def match(self, var: str, *labels: str, where: Column | None = None) -> Pattern:
         """Start of a pattern: one node. ``where`` is about id, labels and props."""
-        return Pattern(self, self._ids(var, labels, where), 0)
+        return Pattern(self, self._ids(var, labels, where))
 
     def _ids(self, var: str, labels: tuple[str, ...], where: Column | None) -> DataFrame:
         found = self.label(*labels) if labels else self.nodes
@@ -62,23 +62,21 @@ class Graph:
 class Pattern:
     graph: Graph
     rows: DataFrame
-    hops: int
+    #: (type, source, target) of the relationships of this match, by variables
+    hops: tuple[tuple[str, str, str], ...] = ()
 
     def _hop(self, src: str, type_: str, dst: str, labels: tuple[str, ...], where: Column | None, forward: bool) -> Pattern:
         one, other = ("src", "dst") if forward else ("dst", "src")
-        edge = f"__e{self.hops}"
-        edges = self.graph.edges.where(F.col("type") == type_).select(F.col(one).alias(src), F.col(other).alias("__to"), F.concat_ws("\x01", "src", "type", "dst").alias(edge))
-        if dst in self.rows.columns:  # the end is bound already
-            rows = self.rows.join(edges.withColumnRenamed("__to", dst), [src, dst])
-        else:
-            rows = self.rows.join(edges.withColumnRenamed("__to", dst), src)
+        edges = self.graph.edges.where(F.col("type") == type_).select(F.col(one).alias(src), F.col(other).alias(dst))
+        rows = self.rows.join(edges, [src, dst] if dst in self.rows.columns else src)  # the end may be bound already
         if labels or where is not None:
             rows = rows.join(self.graph._ids(dst, labels, where), dst, "left_semi")
-        # relationships of one match are pairwise distinct
-        for k in range(self.hops):
-            if f"__e{k}" in rows.columns:
-                rows = rows.where(F.col(f"__e{k}") != F.col(edge))
-        return Pattern(self.graph, rows, self.hops + 1)
+        hop = (type_, src, dst) if forward else (type_, dst, src)
+        # relationships of one match are pairwise distinct; those of different types are anyway
+        for kind, a, b in self.hops:
+            if kind == type_:
+                rows = rows.where((F.col(a) != F.col(hop[1])) | (F.col(b) != F.col(hop[2])))
+        return Pattern(self.graph, rows, (*self.hops, hop))
 
     def out(self, src: str, type_: str, dst: str, *labels: str, where: Column | None = None) -> Pattern:
         """(src)-[:type_]->(dst)"""
@@ -90,25 +88,25 @@ class Pattern:
 
     def table(self) -> DataFrame:
         """One column for each variable."""
-        return self.rows.drop(*[c for c in self.rows.columns if c.startswith("__e")])
+        return self.rows
 
     def join(self, other: Pattern) -> Pattern:
         """A second match that shares variables (its relationships may repeat those of the first)."""
         right = other.table()
         shared = [c for c in self.table().columns if c in right.columns]
-        return Pattern(self.graph, self.table().join(right, shared), 0)
+        return Pattern(self.graph, self.table().join(right, shared))
 
     def optional(self, other: Pattern) -> Pattern:
         """An optional match: one left join of the whole other pattern, its conditions included."""
         right = other.table()
         shared = [c for c in self.table().columns if c in right.columns]
-        return Pattern(self.graph, self.table().join(right, shared, "left"), 0)
+        return Pattern(self.graph, self.table().join(right, shared, "left"))
 
     def without(self, other: Pattern) -> Pattern:
         """Rows for which the other pattern has no match (optional match with count 0)."""
         right = other.table()
         shared = [c for c in self.table().columns if c in right.columns]
-        return Pattern(self.graph, self.table().join(right.select(*shared), shared, "left_anti"), 0)
+        return Pattern(self.graph, self.table().join(right.select(*shared), shared, "left_anti"))
 
     def where(self, condition: Column | str) -> Pattern:
         return Pattern(self.graph, self.rows.where(condition), self.hops)

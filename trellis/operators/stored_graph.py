@@ -56,7 +56,7 @@ class StoredGraph(Graph):
                     rows = rows.where((end(i, 0) != end(j, 0)) | (end(i, 1) != end(j, 1)))
         for var, label in (labels or {}).items():
             rows = rows.join(self.label(label).select(F.col("id").alias(var)), var, "left_semi")
-        return Pattern(self, rows, 0)
+        return Pattern(self, rows)
 
     def _edges(self, k: int, names: list[str], hop: tuple[str, str, str], near: str) -> DataFrame:
         """Edges of a hop under the names of its variables, bucketed by its first (before) or last (after) one."""

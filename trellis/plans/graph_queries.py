@@ -37,8 +37,9 @@ def star_graph(spark: SparkSession, d: str) -> Graph:
 
     def edges(name: str, type_: str, a: str, ka: str, b: str, kb: str) -> DataFrame:
         ident = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
-        rows = t(spark, d, name).select(ident(a, ka).alias("src"), F.lit(type_).alias("type"), ident(b, kb).alias("dst"))
-        return rows.distinct() if name == "lineitem" else rows  # the other tables have a row for each edge
+        rows = t(spark, d, name).select(ka, kb)
+        rows = rows.distinct() if name == "lineitem" else rows  # the other tables have a row for each edge
+        return rows.select(ident(a, ka).alias("src"), F.lit(type_).alias("type"), ident(b, kb).alias("dst"))
 
     all_edges = [
         edges("orders", "PLACED", "c", "o_custkey", "o", "o_orderkey"),
@@ -187,7 +188,7 @@ def graph_two_level_grouping(spark, d):
 def graph_reexpand_after_aggregate(spark, d):
     g = star_graph(spark, d)
     big = g.match("c", "Customer").out("c", "PLACED", "o").counts(["c"], n="o").where("n >= 15").select("c")
-    nations = Pattern(g, big, 0).out("c", "LIVESIN", "n").counts(["n"], big_customers="c")
+    nations = Pattern(g, big).out("c", "LIVESIN", "n").counts(["n"], big_customers="c")
     return g.props(nations, "n", "Nation", nation="name").select("nation", "big_customers")
 
 
@@ -224,7 +225,7 @@ def graph_shared_variables(spark, d):
     """Suppliers are reached from the parts bought, and nations bound last: no row for each customer and supplier of a nation."""
     g = star_graph(spark, d)
     bought = g.match("c", "Customer").out("c", "PLACED", "o").out("o", "CONTAINS", "p").table().select("c", "p").distinct()
-    found = Pattern(g, bought, 0).into("p", "SUPPLIES", "s", "Supplier").out("s", "BASEDIN", "n").out("c", "LIVESIN", "n")
+    found = Pattern(g, bought).into("p", "SUPPLIES", "s", "Supplier").out("s", "BASEDIN", "n").out("c", "LIVESIN", "n")
     return found.table().select("c", "s", "p").distinct()
 
 
