@@ -110,7 +110,7 @@ def role_phase_rollup(rows: DataFrame, phase: str, role: str, member: str) -> Da
     return sets.join(alone, [role, phase], "left").withColumn("only_here", F.coalesce("only_here", F.array().cast("array<string>")))
 
 
-def fits_role_phase(rows: DataFrame, role: str, phase: str, roles: list[str], phases: list[str]) -> DataFrame:
-    """One row, ``fits``: some role and some phase are known, and there are two phases or more."""
+def fits_role_phase(rows: DataFrame, role: str, phase: str, roles: list[str], phases: list[str], *keys: str) -> DataFrame:
+    """One row (of each group of keys), ``fits``: some role and some phase are known, and there are two phases or more."""
     known = lambda c, values: F.coalesce(F.bool_or(F.col(c).isin(values)), F.lit(False))
-    return rows.agg((known(role, roles) & known(phase, phases) & (F.count_distinct(phase) >= 2)).alias("fits"))
+    return rows.groupBy(*keys).agg((known(role, roles) & known(phase, phases) & (F.count_distinct(phase) >= 2)).alias("fits"))

@@ -429,15 +429,8 @@ def spot_check(spark, d):
 
 @register(
     "role_phase_gate",
-    """SELECT l_shipmode AS case_, l_shipmode = 'fits' AS fits FROM (VALUES ('fits'), ('one phase'), ('unknown roles')) v(l_shipmode)""",
+    """SELECT o_custkey, coalesce(bool_or(o_orderpriority IN ('1-URGENT', '2-HIGH')), false) AND coalesce(bool_or(o_orderstatus IN ('F', 'P')), false) AND count(DISTINCT o_orderstatus) >= 2 AS fits FROM orders GROUP BY o_custkey""",
 )
 def role_phase_gate(spark, d):
-    """A roll-up by role and phase is made only of known roles and of two phases or more."""
-    make = lambda *rows: spark.createDataFrame(rows, "actor string, role string, phase string")
-    cases = {
-        "fits": make(("a", "Rider", "PreparationStage"), ("b", "Veterinarian", "TransitionStage")), "one phase": make(("a", "Rider", "PreparationStage"), ("b", "Rider", "PreparationStage")),
-        "unknown roles": make(("a", "x", "PreparationStage"), ("b", "y", "TransitionStage")),
-    }
-    roles, phases = ["Rider", "Veterinarian", "Caretaker"], ["PreparationStage", "PreCompetitionStage", "CompetitionStage", "TransitionStage"]
-    frames = [etl.fits_role_phase(df, "role", "phase", roles, phases).select(F.lit(name).alias("case_"), "fits") for name, df in cases.items()]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    """A roll-up by role (here a customer's priorities) and phase (statuses) is made only of known ones, and of two phases or more."""
+    return etl.fits_role_phase(t(spark, d, "orders"), "o_orderpriority", "o_orderstatus", ["1-URGENT", "2-HIGH"], ["F", "P"], "o_custkey")
