@@ -57,6 +57,7 @@ LEAF_ROWS = 20_000
 SIDE = 512
 SIDE_GRAMS = 400_000
 LEAF_SIDE = 2048
+CUTS = 4
 BINS = 128
 _LOWEST = -(2**63)
 
@@ -317,9 +318,8 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", gram: int = G
     discard(links)
     clustered = reps.join(clusters.withColumnRenamed("node", "id"), "id")
     sizes = clustered.groupBy("component").agg(F.count("*").alias("n"), F.max("size").alias("most"))
-    # a cluster of more than one square is cut so fine that each task has some squares, down to an eighth of a side
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = F.when(F.col("n") <= side, side).otherwise(F.least(F.lit(side), F.greatest(F.lit(side / 8), F.col("n") / math.sqrt(8 * tasks))))
+    # a cluster of more than one square is cut in CUTS at least, so that some tasks share it; each of its sets travels to as many squares
+    shared = F.when(F.col("n") <= side, side).otherwise(F.least(F.lit(side), F.greatest(F.lit(side / 8), F.col("n") / CUTS)))
     own_side = F.greatest(F.lit(1), F.least(shared, F.lit(SIDE_GRAMS) / F.col("most"))).cast("int")
     sizes = materialise(sizes.select("component", "n", own_side.alias("side")), "sizes")
     wanted = clustered.join(sizes, "component").select("id", "doc", "h", "copies", "component", "n", "side")
