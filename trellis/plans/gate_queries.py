@@ -123,7 +123,7 @@ def pattern_guard(spark, d):
 
 
 #: The same for SQL: what the analysed plan shows decides.
-STATEMENTS = [
+GUARDED = [
     ("SELECT count(*) AS `drop {n}` FROM part WHERE p_type = '{n}'", "ok"), ("SELECT max(p_size), '{n}; DROP TABLE part --' AS x FROM part /* {n} */ GROUP BY p_brand", "ok"), ("DROP TABLE `{n}`", "must start with SELECT"),
     ("SELECT p_size FROM part; DELETE FROM part WHERE p_type = '{n}'", "not one valid statement"), ("SELECT java_method('java.lang.Math', 'abs', 1) AS `{n}` FROM part", "must not be called"),
     ("SELECT (SELECT max(`reflect`('java.lang.Math', 'abs', p_size)) FROM part) AS `{n}`", "must not be called"), ("SELECT `{n}` FROM part", "not one valid statement"), ("SELECT n_name AS `{n}` FROM nation", "must not be read"),
@@ -133,18 +133,18 @@ STATEMENTS = [
 ]
 
 
-@register("statement_guard", f"WITH s AS (SELECT p_brand, p_type, min(p_partkey) AS k FROM part GROUP BY ALL) SELECT p_brand, p_type, {_cases('k', STATEMENTS)} AS verdict FROM s")
+@register("statement_guard", f"WITH s AS (SELECT p_brand, p_type, min(p_partkey) AS k FROM part GROUP BY ALL) SELECT p_brand, p_type, {_cases('k', GUARDED)} AS verdict FROM s")
 def statement_guard(spark, d):
     """A statement for each brand and type of part, with lists of the functions and views that it may use. The views are
     those of a session of their own, so no caller's view is replaced."""
     session = spark.newSession()
     for name in ("part", "nation"):
         t(session, d, name).createOrReplaceTempView(name)
-    kinds = t(spark, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("k")).select("p_brand", "p_type", _statement(F.col("k"), F.col("p_type"), STATEMENTS).alias("statement"))
+    kinds = t(spark, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("k")).select("p_brand", "p_type", _statement(F.col("k"), F.col("p_type"), GUARDED).alias("statement"))
     rows = []
     for r in kinds.toLocalIterator():  # statements are analysed where Spark plans them, one by one
         ok, reason = guard.check_statement(session, r["statement"], functions={"count", "max", "transform", "array"}, tables={"part"})
-        verdicts = {v for _, v in STATEMENTS if v in reason}
+        verdicts = {v for _, v in GUARDED if v in reason}
         rows.append((r["p_brand"], r["p_type"], "ok" if ok else verdicts.pop() if verdicts else reason))
     return spark.createDataFrame(rows, "p_brand string, p_type string, verdict string")
 
