@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from trellis.llm import kernel as K
 from trellis.llm.components import components
-from trellis.llm.shared import blocks, by_batches, by_groups, discard, materialise, text_bytes, whole
+from trellis.llm.shared import blocks, by_batches, by_groups, discard, materialise, sent_if_few, text_bytes, whole
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -322,7 +322,7 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", gram: int = G
     shared = F.when(F.col("n") <= side, side).otherwise(F.least(F.lit(side), F.greatest(F.lit(side / 8), F.col("n") / CUTS)))
     own_side = F.greatest(F.lit(1), F.least(shared, F.lit(SIDE_GRAMS) / F.col("most"))).cast("int")
     sizes = materialise(sizes.select("component", "n", own_side.alias("side")), "sizes")
-    wanted = clustered.join(sizes, "component").select("id", "doc", "h", "copies", "component", "n", "side")
+    wanted = sent_if_few(materialise(clustered.join(sizes, "component").select("id", "doc", "h", "copies", "component", "n", "side"), "wanted"))
     sets = keyed.join(wanted, ["doc", "h"]).select("id", "component", "n", "side", "copies", "text").transform(by_batches, _gram_sets(gram), "id long, component long, n long, side int, copies long, grams binary").dropDuplicates(["id"])
     sets = materialise(sets, "sets")
     squares = _in_squares(sets, "n", "id", F.col("side"))
@@ -362,10 +362,10 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", **how) ->
     """docs without those that are not the least of their class; of equal rows one stays. Columns
     of any name keep their values: they travel as one struct."""
     found = join(docs, doc, text, **how)
-    stays = found.where((F.col("class.doc") == F.col("doc")) & (F.col("class.h") == F.col("h"))).select("doc", "h")
+    stays = materialise(found.where((F.col("class.doc") == F.col("doc")) & (F.col("class.h") == F.col("h"))).select("doc", "h"), "stays")
     several = not stays.where("h <> 0").isEmpty()
     h = F.xxhash64(text) if several else F.lit(0).cast("long")
     rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(_LOWEST)).alias("doc"), h.alias("h"), whole(docs).alias("own"))
     if several:
         rows = rows.dropDuplicates(["doc", "h"])
-    return rows.join(stays, ["doc", "h"], "left_semi").select("own.*")
+    return rows.join(sent_if_few(stays), ["doc", "h"], "left_semi").select("own.*")

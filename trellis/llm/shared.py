@@ -62,6 +62,16 @@ def whole(df: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
+#: Rows of keys (some tens of bytes each) that are sent to all tasks, at most.
+SENT_ROWS = 500_000
+
+
+def sent_if_few(keys: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be sent to all tasks if it has SENT_ROWS rows at most (they are
+    counted); a larger one is joined by a shuffle. So texts stay where they are while the keys are few."""
+    return F.broadcast(keys) if keys.count() <= SENT_ROWS else keys
+
+
 #: Tables that a Python worker keeps between tasks: owner -> what empties them.
 _KEPT: dict[str, Callable[[], None]] = {}
 
