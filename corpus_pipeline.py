@@ -21,11 +21,7 @@ from pyspark.sql import functions as F
 
 from trellis.llm import chosen_path, decontam, quality, spm, substring
 from trellis.llm.registry import documents, piece_model
-from trellis.llm.shared import materialise, remove, scratch_dir, scratch_folder, whole
-
-
-#: Contaminated rows (an id and a hash each) that are sent to all tasks, at most.
-SENT_LEAKS = 1_000_000
+from trellis.llm.shared import materialise, remove, scratch_dir, scratch_folder, sent_if_few, whole
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     own = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("__row"), "text")
     found = decontam.decontaminate(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__row")
     hit = found.where("n_hit > 0 or size(near_items) > 0").select(F.col("__row.id").alias("hit_id"), F.col("__row.h").alias("hit_h")).distinct()
-    hit = materialise(hit, "leaks")
-    if hit.count() <= SENT_LEAKS:  # else they are joined, which moves the texts
-        hit = F.broadcast(hit)
+    hit = sent_if_few(materialise(hit, "leaks"))
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), whole(docs).alias("own"))
     return rows.join(hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left_anti").select("own.*")
 
