@@ -148,6 +148,33 @@ def test_questions_are_decided_once(spark, tmp_path):
     }
 
 
+@pytest.mark.parametrize("again", [False, True])
+def test_questions_of_a_whole_batch_are_decided_at_once(spark, tmp_path, again):
+    """decide_into: the same outcomes, over stops, and over a last micro-batch that is run again."""
+    at = lambda h, m=0: dt.datetime(2024, 5, 1, h, m)
+    files = [
+        [("q1", at(1), False, "no"), ("q2", at(1), True, "x"), ("q3", at(1), False, "a"), ("q3", at(1, 1), None, "b"), ("q5", at(1), False, "only"), (None, at(1), True, None)],
+        [("q1", at(1, 30), True, "y"), ("q3", at(1, 40), False, "c"), ("q2", at(1, 50), True, "again"), ("q6", None, True, "no time")],
+        [("q4", at(5), False, "late"), ("q3", at(5), True, "too late"), ("q4", at(5, 30), False, "later"), ("q4", at(9), True, "after the silence"), ("q7", at(1, 5), True, "late rows are dropped")],
+        [("q9", at(15), True, "end")],
+    ]
+    schema = "question string, ts timestamp, passed boolean, feedback string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        retries.decide_into(stream, f"{tmp_path}/decided", f"{tmp_path}/checkpoint").awaitTermination()
+    if again:
+        os.remove(f"{tmp_path}/checkpoint/commits/3")
+        (tmp_path / "checkpoint" / "commits" / ".3.crc").unlink(missing_ok=True)
+        retries.decide_into(stream, f"{tmp_path}/decided", f"{tmp_path}/checkpoint").awaitTermination()
+    got = {r.question: (r.attempts, r.outcome, r.feedback, r.decided) for r in retries.read_decided(spark, f"{tmp_path}/decided").collect()}
+    assert got == {
+        "q1": (2, "answered", None, at(1, 30)), "q2": (1, "answered", None, at(1)), "q3": (3, "given up", "c", at(1, 40)), "q4": (2, "expired", "later", at(6, 30)),
+        "q5": (1, "expired", "only", at(2)), "": (1, "answered", None, at(1)), "q9": (1, "answered", None, at(15)),
+    }
+    assert retries.read_decided(spark, f"{tmp_path}/nothing").count() == 0
+
+
 # ---- judgements and canonical JSON --------------------------------------------------------------
 
 

@@ -418,10 +418,8 @@ def retry_outcomes(spark, d):
     for k in range(4):
         rows.where(part == k).coalesce(1).write.parquet(f"{folder}/in/{k}")
         if k % 2:  # a stop between the second and the third file
-            with retries.rocksdb_state(spark):
-                query = I.append_results(retries.outcomes(stream, 3, 6 * 3_600_000), f"{folder}/out", f"{folder}/checkpoint")
-            query.awaitTermination()
-    return spark.read.schema(retries.OUT).parquet(f"{folder}/out").drop("decided")
+            retries.decide_into(stream, f"{folder}/decided", f"{folder}/checkpoint", 3, 6 * 3_600_000).awaitTermination()
+    return retries.read_decided(spark, f"{folder}/decided").drop("decided")
 
 
 # ---- comparators ----------------------------------------------------------------------------
