@@ -34,15 +34,20 @@ _NS = "http://example.org/kb#"
 _HEAD = f'<rdf:RDF xmlns:rdf="{rdf.RDF}" xmlns:kb="{_NS}" xmlns:owl="http://www.w3.org/2002/07/owl#"><owl:Class rdf:about="{_NS}Horse"/>'
 
 
+#: Numbers of suppliers in the files of a nation.
+_FILE = 50_000
+
+
 def _rdf_files(spark, d):
-    """A file for each nation: the nation (but for number 3), its suppliers, one of their names twice, and a broken file."""
+    """Files for each nation, one for each _FILE numbers of suppliers, so that files do not grow with the table: the
+    nation (but for number 3), its suppliers, one of their names twice, and a broken file."""
     s, n = t(spark, d, "supplier"), t(spark, d, "nation")
     begin = lambda p, key, kind: F.concat(F.lit(f'<owl:NamedIndividual rdf:about="{_NS}{p}'), F.col(key).cast("string"), F.lit(f'"><rdf:type rdf:resource="{_NS}{kind}"/><kb:hasName>'))
     link = F.concat(F.lit(f'</kb:hasName><kb:competesIn rdf:resource="{_NS}N'), F.col("s_nationkey").cast("string"), F.lit('"/></owl:NamedIndividual>'))
-    horses = s.select(F.col("s_nationkey").alias("k"), F.concat(begin("S", "s_suppkey", "Horse"), "s_name", link).alias("x"))
-    events = n.where("n_nationkey <> 3").select(F.col("n_nationkey").alias("k"), F.concat(begin("N", "n_nationkey", "Event"), "n_name", F.lit("</kb:hasName></owl:NamedIndividual>")).alias("x"))
-    whole = horses.unionAll(horses.where("k = 1")).unionAll(events).groupBy("k").agg(F.array_join(F.sort_array(F.collect_list("x")), "").alias("x"))
-    good = whole.select(F.concat(F.lit("n"), F.col("k").cast("string")).alias("path"), F.concat(F.lit(_HEAD), "x", F.lit("</rdf:RDF>")).alias("content"))
+    horses = s.select(F.col("s_nationkey").alias("k"), F.floor(F.col("s_suppkey") / _FILE).alias("part"), F.concat(begin("S", "s_suppkey", "Horse"), "s_name", link).alias("x"))
+    events = n.where("n_nationkey <> 3").select(F.col("n_nationkey").alias("k"), F.lit(0).cast("long").alias("part"), F.concat(begin("N", "n_nationkey", "Event"), "n_name", F.lit("</kb:hasName></owl:NamedIndividual>")).alias("x"))
+    whole = horses.unionAll(horses.where("k = 1")).unionAll(events).groupBy("k", "part").agg(F.array_join(F.sort_array(F.collect_list("x")), "").alias("x"))
+    good = whole.select(F.concat_ws("/", F.concat(F.lit("n"), F.col("k").cast("string")), F.col("part").cast("string")).alias("path"), F.concat(F.lit(_HEAD), "x", F.lit("</rdf:RDF>")).alias("content"))
     return good.unionByName(spark.createDataFrame([("broken", "<rdf:RDF")], "path string, content string"))
 
 

@@ -23,29 +23,83 @@ RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 DECLARATIONS = ("Class", "ObjectProperty", "DatatypeProperty", "AnnotationProperty", "Ontology")
 
 
-def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Triples of a batch that leaves the parser, at most (and those of one element).
+BATCH = 10_000
+
+
+def _elements(content: bytes):
+    """The root's attributes, then its children one at a time, each forgotten when the next is asked for."""
+    import io
+    import xml.etree.ElementTree as ET
+
+    depth, root = 0, None
+    for event, element in ET.iterparse(io.BytesIO(content), ("start", "end")):
+        if event == "start":
+            depth += 1
+            if depth == 1:
+                root = element
+                yield element
+        else:
+            depth -= 1
+            if depth == 1:
+                yield element
+                root.clear()
+
+
+class _Nothing:
+    """What a parser builds that only looks for errors."""
+
+    def start(self, tag, attributes): ...
+    def end(self, tag): ...
+    def close(self): ...
+
+
+def _well_formed(content: bytes) -> bool:
     import xml.etree.ElementTree as ET
 
+    try:
+        parser = ET.XMLParser(target=_Nothing())
+        parser.feed(content)
+        parser.close()
+    except ET.ParseError:
+        return False
+    return True
+
+
+def _of_file(path: str, content: bytes) -> Iterator[list[tuple]]:
+    """The triples of each element of a file; no tree of the whole file is made."""
     name = lambda tag: tag[1:].replace("}", "", 1) if tag[0] == "{" else tag
-    for batch in batches:
+    if not _well_formed(content):
+        yield [(path, None, None, None, None)]  # reported by ``broken``
+        return
+    elements = _elements(content)
+    base = next(elements).get("{http://www.w3.org/XML/1998/namespace}base", "")
+    for subject in elements:
+        s = subject.get(f"{{{RDF}}}about") or (base + "#" + subject.get(f"{{{RDF}}}ID", ""))
         out: list[tuple] = []
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            try:
-                root = ET.fromstring(content)
-            except ET.ParseError:
-                out.append((path, None, None, None, None))  # reported by ``broken``
-                continue
-            base = root.get("{http://www.w3.org/XML/1998/namespace}base", "")
-            for subject in root:
-                s = subject.get(f"{{{RDF}}}about") or (base + "#" + subject.get(f"{{{RDF}}}ID", ""))
-                if name(subject.tag) != RDF + "Description":
-                    out.append((s, RDF + "type", name(subject.tag), False, None))
-                for link in subject:
-                    target = link.get(f"{{{RDF}}}resource")
-                    literal = target is None
-                    out.append((s, name(link.tag), (link.text or "") if literal else target, literal, link.get(f"{{{RDF}}}datatype") if literal else None))
+        if name(subject.tag) != RDF + "Description":
+            out.append((s, RDF + "type", name(subject.tag), False, None))
+        for link in subject:
+            target = link.get(f"{{{RDF}}}resource")
+            literal = target is None
+            out.append((s, name(link.tag), (link.text or "") if literal else target, literal, link.get(f"{{{RDF}}}datatype") if literal else None))
+        yield out
+
+
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(out: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(),) * 3 + (pa.bool_(), pa.string()), strict=True)], ["s", "p", "o", "is_literal", "datatype"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(),) * 3 + (pa.bool_(), pa.string()), strict=True)], ["s", "p", "o", "is_literal", "datatype"])
+
+    for batch in batches:
+        out: list[tuple] = []
+        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):  # a file at a time
+            for found in _of_file(path.as_py(), content.as_py() or b""):
+                out += found
+                if len(out) >= BATCH:
+                    yield packed(out)
+                    out = []
+        yield packed(out)
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
