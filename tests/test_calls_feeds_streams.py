@@ -45,6 +45,23 @@ def test_a_call_without_inputs_and_of_another_type(spark):
     assert [list(r.pair) for r in out] == [[1, 2]] * 3 and all(r.reason is None for r in out)
 
 
+def test_calls_that_wait_do_so_together(spark):
+    """Twenty calls of 1 s that hang beside others: some are waited for at once, and each row has its own outcome."""
+
+    def some_hang(k):
+        if k % 5 == 2:
+            time.sleep(60)
+        if k % 25 == 3:
+            os._exit(1)
+        return k
+
+    began = time.time()
+    out = calls.with_calls(spark.range(100).coalesce(1), some_hang, ["id"], 1.0, "long", together=10).collect()
+    assert time.time() - began < 15 and [r.id for r in out] == list(range(100))
+    want = lambda k: (None, "timeout after 1 s") if k % 5 == 2 else (None, calls.ENDED) if k % 25 == 3 else (k, None)
+    assert [(r.value, r.reason) for r in out] == [want(k) for k in range(100)] and all(r.seconds < 3 for r in out)
+
+
 # ---- feeds ------------------------------------------------------------------------------------
 
 
