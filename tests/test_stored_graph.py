@@ -67,3 +67,28 @@ def test_odd_nodes_and_edges(spark, tmp_path):
     assert g.chain("x", ("out", "U", "y"), labels={"y": "A"}).table().count() == 0 and g.chain("x", ("out", "none", "y")).table().count() == 0
     assert sorted(map(tuple, SG.opened(spark, name).match("x", "A").out("x", "T", "y").table().orderBy(F.col("y")).collect())) == [("a", "a"), ("a", "b")]
     SG.dropped(spark, name, str(tmp_path / "g"))
+
+
+def test_turns_are_counted_and_not_listed(spark, tmp_path):
+    """As many as a chain of two hops lists, relationships that are there twice included."""
+    edges = spark.createDataFrame([(a, "T", b) for a, b in ("an", "bn", "cn", "bn", "am", "nn")] + [("a", "U", "n")], "src string, type string, dst string")
+    nodes = spark.createDataFrame([(x, ["A"], {}) for x in "abcnm"], "id string, labels array<string>, props map<string,string>")
+    name = f"g{uuid.uuid4().hex}"
+    g = SG.save(Graph(nodes, edges), spark, name, str(tmp_path / "g"), buckets=2)
+    listed = g.chain("x", ("out", "T", "n"), ("in", "T", "y")).table().groupBy("n").count()
+    found = g.turns("T", "n", "count")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, listed.collect())) == [("n", 18)]
+    assert "Join" not in plan_of(found) and g.turns("V").isEmpty()
+    SG.dropped(spark, name, str(tmp_path / "g"))
+
+
+def test_a_graph_is_stored_as_far_as_it_is_asked_for(spark):
+    """The folders written are those of the labels and types named, and the last hop of three stays where it is."""
+    g = graph_queries.stored_star_graph(spark, DIR, ("Nation",), ("LIVESIN", "PLACED", "CONTAINS"))
+    folders = lambda df, kind: {re.search(rf"{kind}=(\w+)", f)[1] for f in df.inputFiles()}
+    assert folders(spark.table(f"{g.name}_nodes"), "label") == {"Nation"} and folders(spark.table(f"{g.name}_out"), "type") == {"LIVESIN", "PLACED", "CONTAINS"}
+    whole = graph_queries.star_graph(spark, DIR)
+    plain = whole.match("n", "Nation").into("n", "LIVESIN", "c").out("c", "PLACED", "o").out("o", "CONTAINS", "p").table()
+    walked = g.chain("n", ("in", "LIVESIN", "c"), ("out", "PLACED", "o"), ("out", "CONTAINS", "p")).table().select(*plain.columns)
+    assert plain.exceptAll(walked).isEmpty() and walked.exceptAll(plain).isEmpty()
+    assert all("_out/" in f or "/out/" in f for f in walked.inputFiles() if "CONTAINS" in f)
