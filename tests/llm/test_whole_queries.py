@@ -86,6 +86,20 @@ def test_toxicity_of_many_copies(spark):
     assert got[1] > 0.9 and got[0] < 0.1 and 0 <= got[2] <= 1
 
 
+def test_fitting_holds_its_rows_once():
+    """The rows give way to the chunks made of them, so the sample is not in the driver's memory twice."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 1 << 12, 3000)).astype(np.int32) for _ in range(1000)]
+    size, y, r = sum(x.nbytes for x in rows), np.arange(1000) % 2, rng.normal(size=1 << 12)
+    tracemalloc.start()
+    weights, b = toxicity.fit(rows, y, r)
+    assert not rows and np.isfinite(weights).all() and np.isfinite(b)
+    assert tracemalloc.get_traced_memory()[1] < 2.2 * size
+    tracemalloc.stop()
+
+
 def test_hash_limit_takes_enough():
     assert shared.hash_limit(2000, 1500) == 1 << 30 and 2000 <= shared.hash_limit(2000, 100_000) / (1 << 30) * 100_000 <= 2800
 

@@ -42,6 +42,8 @@ OVERLAP = 60
 #: Labelled texts on which the linear model is fitted, at most.
 SAMPLE = 8000
 SMOOTH = 1.0
+#: Parts in which the sample comes to the driver.
+FETCHES = 32
 #: Weight of the penalty, and steps of fitting.
 PENALTY = 1e-4
 STEPS = 300
@@ -155,16 +157,20 @@ def log_count_ratios(gathered: DataFrame, features: int) -> np.ndarray:
 def fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of presence (r included) and intercept by logistic regression on rows of
     present buckets: accelerated gradient steps, with the classes balanced. Rows are taken
-    in chunks, so beside the rows themselves only a few MB are used."""
+    in chunks, which take their place (``rows`` is empty afterwards), so beside them only a few MB are used."""
     size = np.array([len(x) for x in rows])
     scale = r / np.sqrt(max(size.mean(), 1))
     weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
     norms = np.array([(scale[x] ** 2).sum() for x in rows])
     curve = 0.25 * (weight * (norms + 1)).sum() + PENALTY
     chunks = []
-    for i in range(0, len(rows), 200):
-        part = rows[i : i + 200]
-        chunks.append((np.concatenate(part), np.repeat(np.arange(len(part), dtype=np.int32), size[i : i + 200]), slice(i, i + len(part))))
+    rows.reverse()
+    while rows:
+        part = [rows.pop() for _ in range(min(200, len(rows)))]
+        at = chunks[-1][2].stop if chunks else 0
+        owner = np.repeat(np.arange(len(part), dtype=np.uint8), size[at : at + len(part)])
+        chunks.append((np.concatenate(part), owner, slice(at, at + len(part))))
+        del part
     w, b = np.zeros(len(r)), 0.0
     ahead_w, ahead_b, t = w, b, 1.0
     for _ in range(STEPS):
@@ -204,9 +210,13 @@ def train_model(train: DataFrame, features: int = FEATURES, sample: int = SAMPLE
 
     texts = gathered.where("slice = -1").select("text", "y", "chosen").distinct()
     by_class = [texts.where(F.col("y") == y).orderBy("chosen", "text").limit(sample // 2).select("text", "y") for y in (0, 1)]
-    rows = by_class[0].unionByName(by_class[1]).transform(by_batches, pick, "found binary, y int").toPandas()
+    # in parts, so that neither the driver's JVM nor its Python holds the sample twice
+    chosen = by_class[0].unionByName(by_class[1]).repartition(FETCHES, F.xxhash64("text")).transform(by_batches, pick, "found binary, y int")
+    rows = sorted((int(x["y"]), bytes(x["found"])) for x in chosen.toLocalIterator())
     discard(gathered)
-    return fit([np.frombuffer(x, np.int32) for x in rows["found"]], rows["y"].to_numpy(), r)
+    y = np.array([k for k, _ in rows])
+    rows = [np.frombuffer(x, np.int32) for _, x in rows]
+    return fit(rows, y, r)
 
 
 def score(docs: DataFrame, weights: np.ndarray, intercept: float, doc: str = "doc_id", text: str = "text") -> DataFrame:
