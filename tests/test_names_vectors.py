@@ -79,3 +79,49 @@ def test_cells_that_are_not_needed_are_not_read(spark, tmp_path):
     table = pivots.store(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), str(tmp_path / "p"))
     found = pivots.nearest(table, spark.createDataFrame([(0, x[0].tolist())], "query_id long, embedding array<float>"), 3)
     assert found.rows.count() == 3 and found.cells_read < 0.5
+
+
+def listed(rows):
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.distance))
+    return got
+
+
+@pytest.mark.parametrize("k", [1, 6, 3000])
+def test_batch_in_squares_finds_what_comparing_all_finds(spark, monkeypatch, k):
+    """Many squares, equal vectors beyond k, and vectors that have no distance: these come last, as in SQL."""
+    from trellis.operators import squares
+
+    monkeypatch.setattr(squares, "SIDE", 300)
+    monkeypatch.setattr(squares, "PAIRS", 700)
+    x = clusters(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(-9, None), (9001, [1.0]), (9002, [None] * 8)]
+    queries = [(i, x[i].tolist()) for i in range(0, 1200, 100)] + [(5000, [0.0] * 8), (5001, None)]
+    schema = "array<float>"
+    got = listed(R.top_k_batch(spark.createDataFrame(rows, f"vec_id long, embedding {schema}"), spark.createDataFrame(queries, f"query_id long, embedding {schema}"), k, max_queries=4, decimals=4).collect())
+    assert set(got) == {q for q, _ in queries}
+    for q, v in queries[:-1]:
+        d = ((x.astype(float) - np.asarray(v, np.float32).astype(float)) ** 2).sum(1)
+        mine = got[q]
+        assert len(mine) == min(k, len(rows)) and [m for m in mine if m[1] is None] == [(i, None) for i in (-9, 9001, 9002)][: max(0, k - 1200)]
+        some = mine[:1200]
+        assert np.allclose([m[1] for m in some], np.sort(d)[:k], atol=6e-5) and np.allclose(d[[m[0] for m in some]], [m[1] for m in some], atol=6e-5)
+        assert [(m[1], m[0]) for m in some] == sorted((m[1], m[0]) for m in some)
+        assert all(m[0] <= 39 for m in some[:k] if m[1] == 0 and q == 5)
+    assert got[5001] == [(i, None) for i, _ in sorted(rows)][:k]
+
+
+def test_squares_round_as_sql(spark):
+    from trellis.operators.squares import rounded
+
+    x = np.array([0.00005, 1.00005, 2.00015, 0.12345, 1.23445, 7.00000000001, 0.0, np.inf])
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(R.F.round("x", 4)).collect()]
+    assert rounded(x, 4).tolist() == want
+
+
+def test_batch_has_no_join_of_all_pairs(spark):
+    """No pair of a query and a vector is a row, and no queries are sent to all tasks."""
+    v = spark.range(3000).selectExpr("id AS vec_id", "array(cast(id AS float), cast(id % 7 AS float)) AS embedding")
+    rows = R.top_k_batch(v, v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 2)
+    assert rows.count() == 120 and "Join" not in rows._jdf.queryExecution().executedPlan().toString()

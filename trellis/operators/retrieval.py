@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellis.operators import squares
+from trellis.session import written
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -31,20 +34,34 @@ def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None =
     return near.orderBy("distance", key).limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", query: str = "query_id", max_queries: int = 1000, decimals: int = 6) -> DataFrame:
-    """The k nearest of each of a stated set of queries. Queries are broadcast, in blocks of
-    max_queries; each task keeps k of each query before the shuffle."""
-    n = queries.count()
-    blocks = -(-n // max_queries) or 1
-    dealt = queries.withColumn("__block", F.pmod(F.xxhash64(query), F.lit(blocks)))
-    out = None
-    for block in range(blocks):
-        own = dealt.where(F.col("__block") == block).select(query, F.col(vector).alias("__q"))
-        pairs = vectors.join(F.broadcast(own)).select(query, key, F.round(squared_distance(F.col(vector), F.col("__q")), decimals).alias("distance"))
-        w = Window.partitionBy(query).orderBy("distance", key)
-        best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # WindowGroupLimit runs before the exchange
-        out = best if out is None else out.unionByName(best)
-    return out
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", query: str = "query_id", max_queries: int = squares.QUERIES, decimals: int = 6) -> DataFrame:
+    """The k nearest of each of a stated set of queries: query, key, distance (rounded), rank; ties by key.
+
+    Vectors and queries are compared in squares of squares.SIDE vectors by max_queries queries, which give k rows
+    a query each; these are written to the shared folder, and the best of them are ranked. Vectors
+    that are null, or of another size than a query, have no distance from it and come last."""
+    sizes = [(r["size"], r["n"]) for r in queries.groupBy(F.coalesce(F.size(vector), F.lit(-1)).alias("size")).agg(F.count("*").alias("n")).collect()]  # a row a size
+    n, tasks = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    across = max(1, -(-n // squares.SIDE), min(tasks, n // 1000))
+    found = None
+    for size, asked in sizes:
+        down = max(1, -(-asked // max_queries))
+        fit = squares.usable(F.col(vector), size)
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        dealt = lambda count, *by: F.pmod(F.xxhash64(*by), F.lit(count)).cast("int")
+        own = queries.where(F.coalesce(F.size(vector), F.lit(-1)) == size)
+        left = vectors.where(fit).select(key, vector, dealt(across, key, vector).alias("__x")).withColumn("__y", every(down))
+        right = own.where(fit).select(query, F.col(vector).alias("__q"), dealt(down, query, vector).alias("__y")).withColumn("__x", every(across))
+        near = squares.compared(left, right, ["__x", "__y"], k, decimals, key, vector, query, "__q")
+        far = F.lit(None).cast("double").alias("distance")
+        last = vectors.where(~fit).select(key).orderBy(key).limit(k)
+        near = near.unionByName(own.where(fit).select(query).crossJoin(F.broadcast(last)).select(query, key, far))
+        near = near.unionByName(own.where(~fit).select(query).crossJoin(F.broadcast(vectors.select(key).orderBy(key).limit(k))).select(query, key, far))
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        found = queries.select(query).crossJoin(vectors.select(key)).withColumn("distance", F.lit(None).cast("double")).where("false")
+    w = Window.partitionBy(query).orderBy(F.col("distance").asc_nulls_last(), key)
+    return written(found, "nearest").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def merge(pools: DataFrame, k: Column | int, anchored: Column | None = None) -> DataFrame:
