@@ -125,3 +125,29 @@ def test_batch_has_no_join_of_all_pairs(spark):
     v = spark.range(3000).selectExpr("id AS vec_id", "array(cast(id AS float), cast(id % 7 AS float)) AS embedding")
     rows = R.top_k_batch(v, v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 2)
     assert rows.count() == 120 and "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pivots_take_two_rounds_whatever_the_queries(spark, tmp_path):
+    """Jobs do not grow with the blocks of queries."""
+    x = clusters(4)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    table = pivots.store(v, str(tmp_path / "p"))
+    queries = v.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for block in (240, 4):
+        spark.sparkContext.setJobGroup(f"pivots {block}", "")
+        found = pivots.nearest(table, queries, 3, block=block)
+        rows = listed(found.rows.collect())
+        jobs.append(len(tracker.getJobIdsForGroup(f"pivots {block}")))
+        assert rows == listed(R.top_k_batch(v, queries, 3).collect())
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] < jobs[0] + 10
+
+
+def test_squares_with_an_empty_side(spark, monkeypatch):
+    from trellis.operators import squares
+
+    monkeypatch.setattr(squares, "SIDE", 1)
+    v = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "vec_id long, embedding array<float>")
+    got = listed(R.top_k_batch(v, v.withColumnRenamed("vec_id", "query_id"), 2, max_queries=1).collect())
+    assert got == {i: sorted([(j, float((i - j) ** 2)) for j in range(6)], key=lambda x: (x[1], x[0]))[:2] for i in range(6)}

@@ -2,25 +2,27 @@
 
 Every vector lies in the cell of its nearest pivot, with its distance from it. By the triangle
 inequality no vector of a cell is nearer to a query than (distance to the pivot) - (radius of the
-cell), nor nearer than the difference of the two distances to the pivot. A query first reads the
-nearest cells that hold k vectors together; the k-th distance found there excludes cells, and vectors
-of the others, before anything is compared. The result is that of comparing everything.
+cell). A query first reads the nearest cells that hold k vectors together; the k-th distance found there
+excludes cells before anything is compared. The result is that of comparing everything.
 
-Cells are folders of the table, so those that no query needs are not read. Pivots (COUNT at most), their
-cells' sizes and radii, and blocks of queries are all that leaves the tasks or is sent to them.
+Cells are folders of the table, so those that no query needs are not read. Queries meet the vectors of a
+cell by a shuffle, in squares of bounded size. Pivots (COUNT at most) and their cells' sizes and radii are
+all that leaves the tasks or is sent to them. Where vectors are not clustered no cell can be excluded, and
+the work is that of comparing everything.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.operators.retrieval import squared_distance
+from trellis.operators.squares import QUERIES, SIDE, compared, matrix, usable
+from trellis.session import removed, written
 
 #: Pivots, at most.
 COUNT = 256
@@ -37,6 +39,7 @@ class PivotTable:
     cells: dict[int, tuple[int, float, float]]
     key: str
     vector: str
+    decimals: int = 6
 
 
 def _nearest(pivots: np.ndarray):
@@ -45,7 +48,7 @@ def _nearest(pivots: np.ndarray):
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                x = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                x = matrix(part.column(1))
                 cell = ((x**2).sum(1)[:, None] + norms - 2 * x @ pivots.T).argmin(1)
                 distance = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(distance), pa.array(cell.astype(np.int32))], [*part.schema.names, "distance", "cell"])
@@ -91,56 +94,73 @@ class Found:
     cells_read: float
 
 
-def _compared(spark: SparkSession, table: PivotTable, wanted: list[tuple], decimals: int, kind: str) -> DataFrame:
-    """query, key, distance for (query, vector, cell, distance to the pivot, bound) rows."""
-    key, vector = table.key, table.vector
-    asked = spark.createDataFrame(wanted, f"query {kind}, q array<double>, cell int, at double, bound double")
-    # a block of queries with their cells
-    rows = table.rows.where(F.col("cell").isin(sorted({w[2] for w in wanted}))).join(F.broadcast(asked), "cell")
-    near = rows.where(F.abs(F.col("distance") - F.col("at")) <= F.col("bound"))
-    return near.select("query", key, F.round(squared_distance(F.col(vector), F.col("q")), decimals).alias("distance"))
+def _asks(table: PivotTable, k: int, query: str, first: bool):
+    """Rows (query, q, cell, bound) of a batch of queries: the nearest cells that hold k vectors together, or
+    the others that may hold vectors within ``far``, the k-th distance found in the nearest."""
+    cell_ids = np.array(sorted(table.cells), np.int32)
+    sizes, low, high = (np.array([table.cells[int(c)][i] for c in cell_ids]) for i in range(3))
+    pivots, margin = table.pivots[cell_ids], 10.0**-table.decimals
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                x = matrix(part.column(1))
+                at = np.sqrt(np.maximum(0, np.stack([((pivots - v) ** 2).sum(1) for v in x])))
+                order = np.argsort(at, axis=1, kind="stable")
+                before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                chosen = np.zeros(at.shape, bool)
+                np.put_along_axis(chosen, order, before < k, axis=1)
+                bound = np.full(len(x), np.inf)
+                if not first:
+                    far = part.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+                    bound = np.where(np.isnan(far), np.inf, np.sqrt(far + margin)) * (1 + _SLACK) + _SLACK
+                    least = np.maximum(0, np.maximum(at - high, low - at))  # nothing of a cell is nearer
+                    chosen = (least <= bound[:, None]) & ~chosen
+                row, column = np.nonzero(chosen)
+                taken = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(cell_ids[column]), pa.array(bound[row] ** 2)], [query, "q", "cell", "bound"])
+
+    return run
 
 
-def _best(rows: DataFrame, key: str, k: int) -> DataFrame:
-    w = Window.partitionBy("query").orderBy("distance", key)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _compared(table: PivotTable, asked: DataFrame, counts: dict[int, int], k: int, query: str, block: int) -> DataFrame:
+    """query, key, distance: the k nearest within the bound in each square of a cell's vectors and the queries that ask for it."""
+    spark = asked.sparkSession
+    dealt = lambda count, *by: F.pmod(F.xxhash64(*by), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    cuts = spark.createDataFrame([(c, -(-table.cells[c][0] // SIDE), -(-n // block)) for c, n in counts.items()], "cell int, across int, down int")  # a row a pivot
+    rows = table.rows.where(F.col("cell").isin(sorted(counts))).join(F.broadcast(cuts), "cell")
+    left = rows.select(table.key, table.vector, "cell", dealt("across", table.key, table.vector).alias("__x"), every("down").alias("__y"))
+    right = asked.join(F.broadcast(cuts), "cell").select(query, "q", "bound", "cell", dealt("down", query, "q").alias("__y"), every("across").alias("__x"))
+    return compared(left, right, ["cell", "__x", "__y"], k, table.decimals, table.key, table.vector, query, "q", "bound")
 
 
-def nearest(table: PivotTable, queries: DataFrame, k: int, query: str = "query_id", decimals: int = 6, block: int = 100) -> Found:
-    """The k nearest of each of a stated set of queries (squared distance, rounded; ties by key): exact. Queries
-    are taken in blocks."""
+def nearest(table: PivotTable, queries: DataFrame, k: int, query: str = "query_id", decimals: int = 6, block: int = QUERIES) -> Found:
+    """The k nearest of each of a stated set of queries (squared distance, rounded; ties by key): exact. Two rounds,
+    whatever the number of queries: a cell's vectors are compared with ``block`` queries at a time, in squares that are dealt to tasks."""
     spark, kind = queries.sparkSession, queries.schema[query].dataType.simpleString()
-    out, pairs, cells, total = None, 0, set(), 0
-    n = queries.count()
-    blocks = -(-n // block) or 1
-    cell_ids = np.array(sorted(table.cells), int)
-    sizes, low, high = (np.array([table.cells[c][i] for c in cell_ids]) for i in range(3))
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b).where(F.col(table.vector).isNotNull()).select(query, table.vector).collect()  # a block
-        if not own or not len(cell_ids):
-            continue
-        x = np.array([r[1] for r in own], np.float64)
-        at = np.sqrt(((x[:, None, :] - table.pivots[cell_ids][None]) ** 2).sum(2))
-        total += at.size
-        least = np.maximum(0, np.maximum(at - high, low - at))  # nothing of a cell is nearer
-        order = np.argsort(at, axis=1)
-        first = np.zeros(at.shape, bool)
-        for i in range(len(own)):
-            enough = int(np.searchsorted(np.cumsum(sizes[order[i]]), k)) + 1
-            first[i, order[i, :enough]] = True
-        row = lambda i, j, bound: (own[i][0], x[i].tolist(), int(cell_ids[j]), float(at[i, j]), bound)
-        seen = _best(_compared(spark, table, [row(i, j, float("inf")) for i, j in zip(*np.nonzero(first), strict=True)], decimals, kind), table.key, k).persist()
-        kth = {r["query"]: r["far"] for r in seen.groupBy("query").agg(F.max("distance").alias("far"), F.count("*").alias("n")).where(F.col("n") >= k).collect()}
-        bound = np.array([np.sqrt(kth[r[0]] + 10.0**-decimals) if r[0] in kth else np.inf for r in own])
-        bound = bound * (1 + _SLACK) + _SLACK
-        more = (least <= bound[:, None]) & ~first
-        pairs += int(first.sum() + more.sum())
-        cells |= set(cell_ids[(first | more).any(0)].tolist())
-        rows = seen.select("query", table.key, "distance")
-        if more.any():
-            rows = rows.unionByName(_compared(spark, table, [row(i, j, float(bound[i])) for i, j in zip(*np.nonzero(more), strict=True)], decimals, kind))
-        best = _best(rows, table.key, k)
-        out = best if out is None else out.unionByName(best)
-    if out is None:
-        out = spark.createDataFrame([], f"query {kind}, {table.key} {table.rows.schema[table.key].dataType.simpleString()}, distance double, rank int")
-    return Found(out.withColumnRenamed("query", query), pairs / max(total, 1), len(cells) / max(len(cell_ids), 1))
+    key_kind = table.rows.schema[table.key].dataType.simpleString()
+    if not table.cells:
+        return Found(spark.createDataFrame([], f"{query} {kind}, {table.key} {key_kind}, distance double, rank int"), 0.0, 0.0)
+    table = replace(table, decimals=decimals)
+    own = queries.where(usable(F.col(table.vector), table.pivots.shape[1])).select(query, F.col(table.vector).alias("q"))
+    schema = f"{query} {kind}, q {queries.schema[table.vector].dataType.simpleString()}, cell int, bound double"
+    w = Window.partitionBy(query).orderBy("distance", table.key)
+    best = lambda rows: rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found, pairs, cells = None, 0, set()
+    for first in (True, False):
+        asking = own
+        if not first:
+            kth = best(found).where(F.col("rank") == k).select(query, F.col("distance").alias("far"))
+            asking = own.join(kth.groupBy(query).agg(F.max("far").alias("far")), query, "left").select(query, "q", "far")
+        asked = written(asking.mapInArrow(_asks(table, k, query, first), schema), "asked")
+        counts = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a pivot
+        if counts:
+            near = written(_compared(table, asked, counts, k, query, block), "nearest")
+            found = near if found is None else found.unionByName(near)
+        removed(asked)
+        pairs, cells = pairs + sum(counts.values()), cells | set(counts)
+        if found is None:  # no queries
+            return Found(spark.createDataFrame([], f"{query} {kind}, {table.key} {key_kind}, distance double, rank int"), 0.0, 0.0)
+    return Found(best(found), pairs / max(own.count() * len(table.cells), 1), len(cells) / len(table.cells))

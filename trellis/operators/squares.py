@@ -31,7 +31,7 @@ def usable(vector: Column, size: int) -> Column:
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A column of vectors of one size, without nulls, as rows of doubles."""
     whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1)
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1 if len(whole) else 0)
 
 
 def rounded(x: np.ndarray, decimals: int) -> np.ndarray:
@@ -102,6 +102,8 @@ def compared(vectors: DataFrame, queries: DataFrame, square: list[str], k: int,
         keys = left.column(key).combine_chunks()
         ranks = pc.rank(keys, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
         bounds = right.column(bound).to_numpy() if bound else None
+        if not (left.num_rows and right.num_rows):  # a hash may leave a side empty
+            return pa.table([right.column(query)[:0].combine_chunks(), keys[:0], pa.array([], pa.float64())], [query, key, "distance"])
         i, j, far = nearest_of(matrix(left.column(vector)), ranks, matrix(right.column(asked)), bounds, k, decimals)
         return pa.table([right.column(query).combine_chunks().take(pa.array(i)), keys.take(pa.array(j)), pa.array(far)], [query, key, "distance"])
 
