@@ -92,3 +92,13 @@ def test_a_graph_is_stored_as_far_as_it_is_asked_for(spark):
     walked = g.chain("n", ("in", "LIVESIN", "c"), ("out", "PLACED", "o"), ("out", "CONTAINS", "p")).table().select(*plain.columns)
     assert plain.exceptAll(walked).isEmpty() and walked.exceptAll(plain).isEmpty()
     assert all("_out/" in f or "/out/" in f for f in walked.inputFiles() if "CONTAINS" in f)
+
+
+def test_shared_variables_meet_on_both(spark):
+    """Parts bought meet parts sold on part and nation: no row for a part and a supplier of another nation."""
+    import re
+
+    from trellis.plans import catalog
+
+    plan = catalog.queries()["graph_shared_variables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, \(\(n#\d+ = n#\d+\) AND \(p#\d+ = p#\d+\)\)", plan)
