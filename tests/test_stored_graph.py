@@ -102,3 +102,12 @@ def test_shared_variables_meet_on_both(spark):
 
     plan = catalog.queries()["graph_shared_variables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Join Inner, \(\(n#\d+ = n#\d+\) AND \(p#\d+ = p#\d+\)\)", plan)
+
+
+def test_degrees_are_counted_without_joins(spark):
+    """Edges are distinct already: neither their ends nor pairs are held a second time."""
+    from trellis.plans import catalog
+
+    rows = catalog.queries()["graph_two_level_grouping"](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "distinct" not in plan and sum(r.n_orders for r in rows.collect()) > 0
