@@ -120,3 +120,17 @@ def test_word_that_differs_takes_the_library_ids():
     model.costs.pop("▁the")  # as if our merges went wrong
     out, differ = spm.encode_block(["the cat the", "cat"], table)
     assert np.frombuffer(out[0], "<u4").tolist() == model.library.encode("the cat the") and differ == [2, 0]
+
+
+def test_words_of_a_task_are_encoded_once(monkeypatch):
+    """A task's texts have some hundred thousand different words: those that come again are in the table."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        words = spm.WordTable(spm.MergeModel(f.read()))
+    met, cut = [], spm.MergeModel.fragments
+    monkeypatch.setattr(spm.MergeModel, "fragments", lambda model, word: met.append(word) or cut(model, word))
+    texts = [" ".join(f"{i * 7919 % 999983:x}" for i in range(at, at + 5000)) for at in range(0, 120_000, 5000)]
+    for text in [*texts, *texts]:
+        spm.encode_block([text], words)
+    assert len(met) == len(set(met))

@@ -38,7 +38,7 @@ from trellis.llm.shared import blocks, by_batches, keeps
 
 MARK = "▁"
 #: Bytes (about) of one generation of a Python worker's table; two are kept, and one of fragments.
-KEEP_BYTES = 16 << 20
+KEEP_BYTES = 32 << 20
 #: Words and fragments of more characters are encoded where they stand and not kept.
 KEEP_CHARS = 200
 #: Symbols up to which a plain list is the faster agenda.
