@@ -115,3 +115,14 @@ def test_components(spark):
         least[find(x)] = min(least.get(find(x), x), x)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: least[find(x)] for x in parent}
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_the_empty_text_is_looked_up_only_for_rows_without_cells(spark, monkeypatch, empty):
+    """It would stand in every row, and be the greatest group of all joins."""
+    kept, keep = [], C.written
+    monkeypatch.setattr(C, "written", lambda df, name: kept.append((name, keep(df, name))) or kept[-1][1])
+    frame = lambda rows: spark.createDataFrame(rows, "cells array<string>").select(C._numbered(C.F.col("cells")).alias("cells"))
+    row = C.matches(frame([(["a"],), (["b"],)] + [([],)] * empty), frame([(["a", "x"],), (["b"],), (["y"],)]), []).first()
+    assert (row["n_gold"], row["n_found"], row["n_matched"], row["contained"]) == (2 + empty, 3, 2 + empty, empty)
+    assert any("" in r["cells"] for r in dict(kept)["classes"].collect()) == empty

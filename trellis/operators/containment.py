@@ -127,10 +127,13 @@ def matches(gold: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     own = list(names.values())
     key = F.struct(*[F.col(k) for k in own]) if own else F.struct(F.lit(0).alias("one"))
     gold, found = (df.select(*[F.col(k).alias(x) for k, x in names.items()], "cells").select(key.alias("key"), "cells") for df in (gold, found))
+    # only rows without cells are looked up by the empty text: the others need their own cells
+    gold = gold.select("key", F.when(F.size("cells") > 1, F.array_remove("cells", "")).otherwise(F.col("cells")).alias("cells"))
     golds = written(gold.groupBy("key", "cells").agg(F.count("*").alias("n")).withColumn("g", F.monotonically_increasing_id()), "expected")
     vocabulary = golds.select("key", F.explode("cells").alias("cell")).distinct()
     rows = written(found.groupBy("key", "cells").agg(F.count("*").alias("m")).withColumn("row", F.monotonically_increasing_id()), "found")
-    known = rows.select("key", "row", "m", F.explode("cells").alias("cell")).join(vocabulary, ["key", "cell"], "left_semi")
+    cells = F.col("cells") if golds.where(F.array_contains("cells", "")).limit(1).count() else F.array_remove("cells", "")
+    known = rows.select("key", "row", "m", F.explode(cells).alias("cell")).join(vocabulary, ["key", "cell"], "left_semi")
     classes = known.groupBy("key", "row").agg(F.first("m").alias("m"), F.sort_array(F.collect_list("cell")).alias("cells")).groupBy("key", "cells").agg(F.sum("m").alias("m"))
     classes = written(classes.withColumn("f", F.monotonically_increasing_id()), "classes")
     index = classes.select("key", "f", "m", "cells", F.explode("cells").alias("cell"))
