@@ -1,8 +1,10 @@
 """Quality rules, sharding and SentencePiece encoding on small cases, against brute force and the library."""
 
 import hashlib
+import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -134,3 +136,29 @@ def test_words_of_a_task_are_encoded_once(monkeypatch):
     for text in [*texts, *texts]:
         spm.encode_block([text], words)
     assert len(met) == len(set(met))
+
+
+def test_new_words_of_a_block_are_encoded_together(monkeypatch):
+    """No word of usual length has an agenda of its own, and the library is not asked word by word."""
+    table = spm.WordTable(spm.MergeModel(registry.piece_model()))
+    library, met, asked = table.model.library, [], []
+    whole = [" ".join(f"w{i * 7919 % 999983:x}é☃" for i in range(at, at + 1000)) + "  " for at in range(0, 5000, 1000)]
+    want = [np.array(library.encode(t), "<u4").tobytes() for t in whole]
+    monkeypatch.setattr(spm.MergeModel, "merge", lambda model, symbols: met.append(symbols))
+    monkeypatch.setattr(table.model, "library", SimpleNamespace(encode=lambda texts, **more: asked.extend(texts) or library.encode(texts, **more)))
+    assert spm.encode_block(whole, table) == (want, [0] * 5)
+    assert not met and len(asked) < 200 and sum(map(len, asked)) > 40_000
+
+
+def test_matrix_of_agendas_equals_the_agenda_of_each_word():
+    """Characters in no piece, lengths from 1 to the longest, and equal scores (the leftmost pair goes first)."""
+    rng = random.Random(5)
+    letters = "etaonrish" * 3 + "ABC.,;:!\n\t\x00\x7f0123éßñ漢字かな한글☃🙂\U0010ffff"
+    words = ["".join(rng.choices(letters, k=rng.choice([0, 1, 2, 5, 9, 14, 63]))) for _ in range(3000)]
+    words = [spm.MARK * rng.choice([0, 1, 1, 1, 2]) + w for w in words]
+    words = [w[: spm.SHORT] for w in words if w] + ["e" * spm.SHORT, "🙂" * spm.SHORT]
+    for step in (1, 500, 10**6):
+        model = spm.MergeModel(registry.piece_model())
+        model.costs = {p: cost // step for p, cost in model.costs.items()}
+        assert model.merge_words(words) == [spm.packed_ids(model.merge(w)) for w in words]
+    assert model.merge_words([]) == []

@@ -7,9 +7,11 @@ that are no pieces become their UTF-8 byte pieces.
 
 No piece of a supported vocabulary has U+2581 after another character (this is
 checked when a model is loaded), so no merge crosses the start of a word. Words
-can therefore be encoded one by one and kept in a bounded table of each Python
+can therefore be encoded by themselves and kept in a bounded table of each Python
 worker (bounded in bytes, so that texts without spaces, each of which is one
-word, take no more memory than others). Every word that is encoded is checked
+word, take no more memory than others). The new words of a batch are encoded together:
+each has its own agenda, a row of a matrix, and all rows give up one pair at a time.
+Every word that is encoded is checked
 against the sentencepiece library, batch by batch; should one ever differ, the library's ids are taken
 and the texts with it are counted in ``n_differ``.
 
@@ -28,6 +30,8 @@ import hashlib
 import heapq
 import struct
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +45,12 @@ MARK = "▁"
 KEEP_BYTES = 32 << 20
 #: Words and fragments of more characters are encoded where they stand and not kept.
 KEEP_CHARS = 200
-#: Symbols up to which a plain list is the faster agenda.
+#: Symbols up to which a plain list is the faster agenda, and words are encoded many at a time.
 SHORT = 64
+#: Words whose agendas are one matrix.
+ROWS = 4096
+#: Words that are compared with the library's ids in one text.
+TOGETHER = 64
 
 
 class MergeModel:
@@ -121,6 +129,29 @@ class MergeModel:
                     heapq.heappush(agenda, (found, ahead, left, parts[ahead] + piece))
         return [p for p in parts if p is not None]
 
+    @cached_property
+    def pairs(self) -> PairTable:
+        return PairTable(self)
+
+    def merge_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words of up to SHORT symbols (of much the same length, best), as merge() has them."""
+        text = "".join(words)
+        points, data = np.frombuffer(text.encode("utf-32-le"), "<u4"), np.frombuffer(text.encode(), np.uint8)
+        symbols, origin, row = self.pairs.merged(points, np.fromiter(map(len, words), np.int64, len(words)))
+        ids = self.pairs.ids[symbols]
+        # A symbol has its own id, or one for each byte of the character.
+        widths = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        first_byte = (np.cumsum(widths) - widths)[origin]
+        counts = np.where(ids < 0, widths[origin], 1)
+        ends = np.cumsum(counts)
+        flat = np.repeat(ids, counts)
+        for i in range(4):
+            some = np.flatnonzero((ids < 0) & (counts > i))
+            flat[ends[some] - counts[some] + i] = self.pairs.byte_ids[data[first_byte[some] + i]]
+        packed = flat.astype("<u4").tobytes()
+        stops = (4 * np.cumsum(np.bincount(row, counts, len(words)).astype(np.int64))).tolist()
+        return [packed[a:b] for a, b in zip([0, *stops], stops)]
+
     def fragments(self, word: str) -> list[str]:
         """The word, cut where no piece reaches across."""
         inside = self.inside
@@ -134,13 +165,71 @@ class MergeModel:
         return text[1:] if text[:1] == " " else text
 
 
+class PairTable:
+    """Pairs of symbols (numbers of pieces and characters) that make a piece, and agendas of many words."""
+
+    def __init__(self, model: MergeModel):
+        number = {p: i for i, p in enumerate(model.ids)}
+        for c in sorted({c for p in model.ids for c in p}):
+            number.setdefault(c, len(number))
+        self.none = len(number)  # stands for what is in no piece, and beyond both ends of a word
+        self.ids = np.array([model.ids.get(p, -1) for p in number] + [-1], np.int32)
+        self.byte_ids = np.array([model.byte_ids[b] for b in range(256)], np.int32)
+        self.characters = np.full(0x110000, self.none, np.int32)
+        for c, i in number.items():
+            if len(c) == 1:
+                self.characters[ord(c)] = i
+        found = sorted((number[p[:i]] * (self.none + 1) + number[p[i:]], cost, number[p]) for p, cost in model.costs.items() for i in range(1, len(p)) if p[:i] in number and p[i:] in number)
+        keys, costs, pieces = zip(*found, strict=True) if found else ((), (), ())
+        # The last entry stands for every pair that makes no piece.
+        self.keys = np.array([*keys, np.iinfo(np.int64).max], np.int64)
+        self.pieces = np.array([*pieces, self.none], np.int32)
+        self.ranks = np.unique([*costs, np.inf], return_inverse=True)[1].astype(np.int32)
+        self.never = self.ranks[-1]
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Entries of the pairs."""
+        wanted = left * np.int64(self.none + 1) + right
+        found = np.searchsorted(self.keys, wanted)
+        found[self.keys[found] != wanted] = len(self.keys) - 1
+        return found
+
+    def merged(self, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The agendas of words (code points one after another) as rows of costs by position: of each row the first
+        of the least is next. Symbols that are left, where in points each begins, and their words."""
+        n, width = len(lengths), int(lengths.max(initial=0)) + 2
+        columns = np.arange(width)
+        alive = (columns > 0) & (columns <= lengths[:, None])  # a place is kept before and after each word
+        place = (np.cumsum(lengths) - lengths)[:, None] + columns - 1
+        symbols = np.full((n, width), self.none, np.int32)
+        symbols[alive] = self.characters[points]
+        entry = np.full((n, width), len(self.keys) - 1, np.int64)
+        entry[:, 1:-1] = self.find(symbols[:, 1:-1], symbols[:, 2:])
+        costs = self.ranks[entry]
+        before, after = np.arange(-1, n * width - 1), np.arange(1, n * width + 1)
+        symbol, pair, cost, living = symbols.ravel(), entry.ravel(), costs.ravel(), alive.ravel()
+        rows = np.arange(n)
+        while len(rows):
+            at = costs[rows].argmin(axis=1) + rows * width
+            some = cost[at] < self.never
+            rows, at = rows[some], at[some]
+            right, ahead = after[at], before[at]
+            beyond = after[right]
+            symbol[at], living[right], cost[right] = self.pieces[pair[at]], False, self.never
+            after[at], before[beyond] = beyond, at
+            for a, b in ((at, beyond), (ahead, at)):
+                pair[a] = self.find(symbol[a], symbol[b])
+                cost[a] = self.ranks[pair[a]]
+        return symbols[alive], place[alive], np.nonzero(alive)[0]
+
+
 def packed_ids(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordTable(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers; fills itself.
+    """Word -> its ids as little-endian unsigned 32-bit integers.
 
     A full table becomes the old generation; words that are met again move on
     to the new one, so frequent words stay and memory is bounded: by KEEP_BYTES
@@ -153,17 +242,33 @@ class WordTable(dict):
         self.parts: dict[str, bytes] = {}
         self.size = self.parts_size = 0
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            found = b"".join([self.parts.get(p) or self.part(p) for p in self.model.fragments(word)])
-            self.fresh.append(word)
+    def meet(self, words: Iterator[str]) -> None:
+        """Take in the words that are not in the table."""
+        short = []
+        for word in dict.fromkeys(words):
+            if word in self:
+                continue
+            found = self.old.get(word)
+            if found is not None:
+                self.take(word, found)
+            elif len(word) <= SHORT:
+                short.append(word)
+            else:
+                self.take(word, b"".join([self.parts.get(p) or self.part(p) for p in self.model.fragments(word)]))
+                self.fresh.append(word)
+        short.sort(key=len)
+        for i in range(0, len(short), ROWS):
+            some = short[i : i + ROWS]
+            for word, found in zip(some, self.model.merge_words(some), strict=True):
+                self.take(word, found)
+        self.fresh += short
+
+    def take(self, word: str, found: bytes) -> None:
         self[word] = found
         if len(word) > KEEP_CHARS:
             self.long.append(word)
         else:
             self.size += 150 + 2 * len(word) + len(found)  # with what the objects take
-        return found
 
     def part(self, fragment: str) -> bytes:
         found = packed_ids(self.model.merge(fragment))
@@ -172,19 +277,24 @@ class WordTable(dict):
             self.parts_size += 150 + 2 * len(fragment) + len(found)
         return found
 
-    def settle(self) -> bool:
-        """Check what has come in against the library. False if some word differed."""
+    def settle(self) -> None:
+        """Check what has come in against the library, some words at a time in one text (no merge
+        crosses the start of a word), and one by one where that differs; then its ids are taken."""
         fresh, self.fresh = self.fresh, []
-        same = True
-        wanted = self.model.library.encode([w[1:].replace(MARK, " ") for w in fresh], num_threads=1) if fresh else []
-        for word, ids in zip(fresh, wanted, strict=True):
+        encode = self.model.library.encode
+        single = [w for w in fresh if w[-1] == MARK]  # the next word's marks would join them
+        fresh = [w for w in fresh if w[-1] != MARK]
+        groups = [fresh[i : i + TOGETHER] for i in range(0, len(fresh), TOGETHER)]
+        for group, ids in zip(groups, encode(["".join(g)[1:].replace(MARK, " ") for g in groups], num_threads=1) if groups else [], strict=True):
+            if packed_ids(ids) != b"".join([self[w] for w in group]):
+                single += group
+        for word, ids in zip(single, encode([w[1:].replace(MARK, " ") for w in single], num_threads=1) if single else [], strict=True):
             if word == MARK:  # the library gives nothing for the empty text
                 continue
             ids = packed_ids(ids)
             if ids != self[word]:
-                self[word], same = ids, False
+                self[word] = ids
                 self.differ.add(word)
-        return same
 
     def trim(self) -> None:
         for word in self.long:
@@ -232,9 +342,9 @@ def split_words(text: str) -> list[str]:
 def encode_block(texts: list[str], table: WordTable) -> tuple[list[bytes], list[int]]:
     """Packed ids of each text without begin and end, and how many of its words differed from the library's."""
     split = [split_words(t or "") for t in texts]
+    table.meet(chain.from_iterable(split))
+    table.settle()
     out = [b"".join([table[w] for w in words]) for words in split]
-    if not table.settle():
-        out = [b"".join([table[w] for w in words]) for words in split]
     differ = [sum(w in table.differ for w in words) for words in split] if table.differ else [0] * len(texts)
     table.trim()
     return out, differ
